@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from corpusloom.operators import dense
 from corpusloom.operators.block_topk import best_per_query, cell_topk
 from corpusloom.schemas import BlockLimits
+from corpusloom.session import join_keys, written
 
 # Fixed value: the usual number of inverted lists.
 N_LISTS = 100
@@ -66,12 +67,19 @@ def nearest_lists(df: DataFrame, lists: InvertedLists, n: int = 1) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def store_lists(docs: DataFrame, lists: InvertedLists, path: str) -> DataFrame:
+    """Store ``doc_id, embedding`` by list. A long list is split over several files by size."""
+    assigned = nearest_lists(docs.select("doc_id", "embedding"), lists)
+    assigned.hint("rebalance", "list_id").write.partitionBy("list_id").parquet(path)
+    return docs.sparkSession.read.schema(assigned.schema).parquet(path)
+
+
 def search_lists(queries: DataFrame, docs: DataFrame, lists: InvertedLists, k: int, n_probe: int,
                  metric: str = "l2", score: str = "inverse",
                  limits: BlockLimits = BlockLimits()) -> DataFrame:
-    """Top-k among the ``n_probe`` nearest lists. ``docs`` carries ``list_id`` (``nearest_lists``).
+    """Top-k among the ``n_probe`` nearest lists. ``docs`` carries ``list_id``.
 
-    Documents stored with ``partitionBy("list_id")`` are pruned to the probed lists by the semi join.
+    Stored lists (``store_lists``) that no query probes are not read: the semi join prunes partitions.
     """
     probes = nearest_lists(queries.select("query_id", "embedding"), lists, n_probe)
     # At most one row per list.
@@ -102,8 +110,11 @@ def search_hashes(queries: DataFrame, docs: DataFrame, model: BucketedRandomProj
                   metric: str = "l2", score: str = "inverse",
                   limits: BlockLimits = BlockLimits()) -> DataFrame:
     """Top-k among the documents that share a bucket with the query in some hash table."""
-    hits = cell_topk(hash_cells(queries.select("query_id", "embedding"), model),
-                     hash_cells(docs.select("doc_id", "embedding"), model),
+    asked = written(hash_cells(queries.select("query_id", "embedding"), model), "query-cells")
+    stored = hash_cells(docs.select("doc_id", "embedding"), model)
+    # Documents in cells without a query are dropped before anything is shuffled.
+    met = join_keys(stored, asked.select("cell").distinct(), "cell", "left_semi")
+    hits = cell_topk(asked, met,
                      dense.VectorKernel(metric, limits.matrix_cells), k, limits)
     # A document met in several tables counts once; k rows per query, table and block remain here.
     return dense.as_hits(best_per_query(hits.dropDuplicates(["query_id", "doc_id"]), k), metric, score)

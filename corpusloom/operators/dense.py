@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import scores
 from corpusloom.operators.block_topk import block_topk, id_array
 from corpusloom.schemas import BlockLimits
+from corpusloom.session import join_keys, match_few, written
 
 
 def vector_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -92,8 +93,8 @@ def search_filtered(queries: DataFrame, docs: DataFrame, keep: Column, k: int, m
         return search(queries, docs.filter(keep), k, metric, score, limits)
     if mode != "post":
         raise ValueError(f"unknown filter mode {mode!r}")
-    hits = search(queries, docs, k, metric, score, limits)
-    return hits.join(docs.filter(keep).select("doc_id"), "doc_id", "left_semi")
+    hits = written(search(queries, docs, k, metric, score, limits), "unfiltered-hits")
+    return match_few(hits, docs.filter(keep), "doc_id", "left_semi")
 
 
 def search_without(queries: DataFrame, docs: DataFrame, deleted: DataFrame, k: int, mode: str = "pre",
@@ -102,10 +103,11 @@ def search_without(queries: DataFrame, docs: DataFrame, deleted: DataFrame, k: i
     """Search past deleted ids. ``mode="post"`` lets a deleted row take a place and then drops it."""
     ids = deleted.select("doc_id")
     if mode == "pre":
-        return search(queries, docs.join(ids, "doc_id", "left_anti"), k, metric, score, limits)
+        return search(queries, join_keys(docs, ids, "doc_id", "left_anti"), k, metric, score, limits)
     if mode != "post":
         raise ValueError(f"unknown filter mode {mode!r}")
-    return search(queries, docs, k, metric, score, limits).join(ids, "doc_id", "left_anti")
+    hits = written(search(queries, docs, k, metric, score, limits), "unfiltered-hits")
+    return match_few(hits, ids, "doc_id", "left_anti")
 
 
 def above_threshold(hits: DataFrame, threshold: float) -> DataFrame:

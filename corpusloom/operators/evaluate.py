@@ -62,13 +62,14 @@ def means(scores: DataFrame) -> DataFrame:
 
 
 def lexical_statements(rows: DataFrame, column: str, verdict: str, at_least: float = 0.5) -> DataFrame:
-    """A sentence of ``column`` is accepted when enough of its tokens occur in the contexts."""
-    known = rows.select("question_id", text.sentences(F.col(column)).alias("sentences"),
-                        F.flatten(F.transform("contexts", text.tokens)).alias("known"))
-    shares = known.select("question_id", F.posexplode(F.transform(
-        "sentences", lambda s: text.covered_share(text.tokens(s), F.col("known")))).alias("idx", "share"))
-    return shares.select("question_id", F.col("idx").cast("bigint").alias("idx"),
-                         (F.col("share") >= at_least).cast("int").alias(verdict))
+    """A sentence of ``column`` is accepted when enough of its distinct tokens occur in the contexts."""
+    sentences = rows.select("question_id", F.posexplode(text.sentences(F.col(column))).alias("idx", "sentence"))
+    wanted = sentences.select("question_id", "idx", F.explode(F.array_distinct(text.tokens(F.col("sentence")))).alias("token"))
+    known = rows.select("question_id", F.explode(F.array_distinct(F.flatten(F.transform("contexts", text.tokens)))).alias("token"),
+                        F.lit(1).alias("found"))
+    found = wanted.join(known, ["question_id", "token"], "left").groupBy("question_id", "idx")
+    share = F.count("found") / F.count("*")
+    return found.agg((share >= at_least).cast("int").alias(verdict)).withColumn("idx", F.col("idx").cast("bigint"))
 
 
 def lexical_contexts(rows: DataFrame, at_least: float = 0.5) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import hooks, text
-from corpusloom.session import join_keys
+from corpusloom.session import join_keys, match_few, written
 
 RANGE_ROWS = 1_000_000
 
@@ -97,7 +97,7 @@ def one_per_id(batch: DataFrame, order: str, keep: str = "last") -> DataFrame:
 
 def insert_if_absent(current: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """Rows of the batch whose id is new, added; of a repeated id in the batch the first row counts."""
-    added = join_keys(one_per_id(new, order, "first").drop(order), current.select("doc_id"), "doc_id", "left_anti")
+    added = match_few(written(one_per_id(new, order, "first").drop(order), "batch"), current, "doc_id", "left_anti")
     return current.unionByName(added)
 
 
@@ -120,7 +120,7 @@ def parse_ids(df: DataFrame, column: str) -> DataFrame:
 def delete_report(current: DataFrame, ids: DataFrame) -> DataFrame:
     """One row: ids requested (repeats and unknown ones counted), rows deleted."""
     requested = ids.agg(F.count("*").alias("num_requested"))
-    deleted = current.join(ids.select("doc_id"), "doc_id", "left_semi").agg(F.count("*").alias("num_deleted"))
+    deleted = join_keys(current, ids.select("doc_id"), "doc_id", "left_semi").agg(F.count("*").alias("num_deleted"))
     return requested.select("num_requested", deleted.scalar().alias("num_deleted"))
 
 
@@ -130,18 +130,17 @@ def update(current: DataFrame, changes: DataFrame, mode: str, embedder=None) ->
     ``existing``: replace rows that exist and embed them again. ``upsert``: the same, and add the
     others. ``payload_only``: replace text and metadata and keep the old vector.
     """
-    if mode == "payload_only":
-        new = changes.select("doc_id", F.struct("content", "metadata").alias("new"))
-        joined = current.join(new, "doc_id", "left")
-        return joined.select(*[
-            F.when(F.col("new").isNotNull(), F.col(f"new.{name}")).otherwise(F.col(name)).alias(name)
-            if name in ("content", "metadata") else F.col(name) for name in current.columns])
-    if mode not in ("existing", "upsert"):
+    if mode not in ("existing", "upsert", "payload_only"):
         raise ValueError(f"unknown update mode {mode!r}")
-    if mode == "existing":
-        changes = changes.join(current.select("doc_id"), "doc_id", "left_semi")
-    fresh = fill_embeddings(changes, embedder) if embedder else changes
-    untouched = join_keys(current, changes.select("doc_id"), "doc_id", "left_anti")
+    ids = changes.select("doc_id")
+    untouched = join_keys(current, ids, "doc_id", "left_anti")
+    if mode == "payload_only":
+        touched = join_keys(current, ids, "doc_id", "left_semi").drop("content", "metadata")
+        fresh = touched.join(changes.select("doc_id", "content", "metadata"), "doc_id")
+    else:
+        if mode == "existing":
+            changes = match_few(changes, current, "doc_id", "left_semi")
+        fresh = fill_embeddings(changes, embedder) if embedder else changes
     return untouched.unionByName(fresh.select(*current.columns))
 
 
@@ -149,8 +148,9 @@ def update_report(current: DataFrame, changes: DataFrame, mode: str) -> DataFram
     """``doc_id, updated`` for each requested change."""
     if mode == "upsert":
         return changes.select("doc_id", F.lit(True).alias("updated"))
-    known = current.select("doc_id").distinct().withColumn("found", F.lit(True))
-    return changes.join(known, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("updated"))
+    known = join_keys(current.select("doc_id"), changes.select("doc_id"), "doc_id", "left_semi").distinct()
+    return changes.join(known.withColumn("found", F.lit(True)), "doc_id", "left").select(
+        "doc_id", F.coalesce("found", F.lit(False)).alias("updated"))
 
 
 def to_payload(content: Column, metadata: Column, wins: str = "metadata") -> Column:

@@ -97,7 +97,8 @@ def query_vectors(queries: DataFrame, index: SparseIndex) -> DataFrame:
     """``query_id, terms, weights``: a repeated token weighs as often as it occurs; unknown ones drop out."""
     counted = (queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("token"))
                .groupBy("query_id", "token").agg(F.count("*").alias("qtf")))
-    weighted = counted.join(index.term_stats(), "token").select(
+    # Written, so that Catalyst sees how small the table is and does not shuffle the vocabulary.
+    weighted = written(counted, "query-tokens").join(index.term_stats(), "token").select(
         "query_id", F.struct("token", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("weight")).alias("term"))
     return weighted.groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("t")).select(
         "query_id", F.col("t.token").alias("terms"), F.col("t.weight").alias("weights"))

@@ -291,13 +291,16 @@ ORACLE: dict[str, str] = {
         "FROM bm JOIN documents USING (doc_id) WHERE score > 0 AND lang = 'en' "
         f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= {KEYWORD_K}", *KEYWORDS),
     "rrf_fuse": _with(
-        "SELECT query_id, doc_id, round(score, 9) AS score, NULL::DOUBLE AS distance, "
+        "SELECT query_id, doc_id, round(score, 9) AS score, distance, "
         "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS rank FROM fused",
-        "docs AS (SELECT quality AS query_id, doc_id, text FROM documents JOIN labels USING (doc_id))",
-        "hits AS (SELECT query_id, doc_id, text, 0 AS list_idx, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, doc_id) AS rank FROM docs "
-        "UNION ALL SELECT query_id, doc_id, text, 1, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) FROM docs)",
-        "fused AS (SELECT query_id, text, arg_min(doc_id, list_idx * 100000000 + rank) AS doc_id, "
-        "sum(1::DOUBLE / (60 + rank) ORDER BY list_idx, rank) AS score, min(list_idx * 100000000 + rank) AS place FROM hits GROUP BY query_id, text)"),
+        "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)",
+        f"pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label, {COST['l2']} AS cost FROM v q, v d)",
+        "hits AS (SELECT 0 AS list_idx, query_id, doc_id, cost, row_number() OVER (PARTITION BY query_id ORDER BY cost, doc_id) AS rank FROM pairs "
+        f"QUALIFY rank <= {TOP_K} UNION ALL SELECT 1, query_id, doc_id, cost, "
+        f"row_number() OVER (PARTITION BY query_id ORDER BY cost, doc_id) AS rank FROM pairs WHERE label = 3 QUALIFY rank <= {TOP_K})",
+        "fused AS (SELECT query_id, text, arg_min(doc_id, list_idx * 100000 + rank) AS doc_id, arg_min(cost, list_idx * 100000 + rank) AS distance, "
+        "sum(1::DOUBLE / (60 + rank) ORDER BY list_idx, rank) AS score, min(list_idx * 100000 + rank) AS place "
+        "FROM hits JOIN documents USING (doc_id) GROUP BY query_id, text)"),
     "dense_topk": _with(
         f"SELECT query_id, rank, doc_id, round(1.0::DOUBLE - cost, 9) AS score, cost AS distance FROM ({_list(0)}) "
         f"WHERE rank <= {TOP} AND 1.0::DOUBLE - cost >= -0.5", DOC_TOKENS, QUERY_TOKENS, *DENSE),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import filters, hooks, text
 from corpusloom.operators import ann, chat, context, dense, evaluate, fusion, mutate, rerank, sparse
 from corpusloom.plans import evaluation, workflow
-from corpusloom.plans.retrieve import Corpus, retrieve
+from corpusloom.plans.retrieve import Corpus, attach_documents, retrieve
 from corpusloom.schemas import BlockLimits, RetrievalParams
 from corpusloom.session import new_folder, written
 from corpusloom.sources import tables
@@ -105,7 +105,8 @@ def _ivf(n_lists: int, n_probe: int):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         queries, docs = _vectors(spark, sf)
         lists = ann.train_lists(docs, n_lists)
-        return _rounded(ann.search_lists(queries, ann.nearest_lists(docs, lists), lists, TOP_K, n_probe))
+        stored = ann.store_lists(docs, lists, new_folder(spark, "lists"))
+        return _rounded(ann.search_lists(queries, stored, lists, TOP_K, n_probe))
 
     return query
 
@@ -182,19 +183,14 @@ def _flat_hits(hits: DataFrame) -> DataFrame:
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
-    """Two ranked lists: the labelled documents of each language and label by length, and by id."""
-    docs = _documents(spark, sf).join(_labels(spark, sf), "doc_id").select(
-        F.col("quality").alias("query_id"), "doc_id", F.length("content").alias("n"),
-        text.content_key(F.col("content")).alias("content_key"))
-    by_length = _ranked(docs, [F.desc("n"), F.asc("doc_id")])
-    by_id = _ranked(docs, [F.asc("doc_id")])
-    return _flat_hits(fusion.fuse(fusion.union_lists([by_length, by_id])))
-
-
-def _ranked(docs: DataFrame, order: list[Column]) -> DataFrame:
-    from pyspark.sql import Window
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("bigint")
-    return docs.select("query_id", "doc_id", "content_key", rank.alias("rank"), F.lit(None).cast("double").alias("distance"))
+    """Two ranked lists per vector: its neighbours, and its neighbours of label 3, merged by the text
+    of the documents with these ids."""
+    queries, docs = _vectors(spark, sf)
+    lists = [dense.search(queries, docs, TOP_K), dense.search(queries, docs.filter("label = 3"), TOP_K)]
+    found = written(fusion.union_lists(lists), "candidates")
+    texts = attach_documents(found, _documents(spark, sf), ["content"])
+    keys = texts.select("doc_id", text.content_key(F.col("content")).alias("content_key"))
+    return _flat_hits(fusion.fuse(found.join(keys, "doc_id")))
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -468,7 +464,7 @@ def workflow_rag(spark: SparkSession, sf: str) -> DataFrame:
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     golden = tables.golden(bench, "text", "text", "item_id")
-    rows = written(evaluation.golden_rows(golden, _rag(spark, sf)), "evaluation-rows")
+    rows = written(evaluation.golden_rows(golden, _rag(spark, sf)), "evaluation-rows", "question_id")
     return evaluate.lexical_metrics(rows, EMBED)
 
 

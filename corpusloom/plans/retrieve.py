@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import text
 from corpusloom.operators import dense, fusion, rerank, sparse
 from corpusloom.schemas import BlockLimits, RetrievalParams
-from corpusloom.session import join_keys, written
+from corpusloom.session import join_keys, spread, written
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def retrieve(queries: DataFrame, corpus: Corpus, params: RetrievalParams = Retri
     elif not reranking:
         final = rerank.cut(fused, params.top_k)
     else:
-        pairs = (fused.join(texts.select("doc_id", "content"), "doc_id")
+        pairs = (spread(fused, "query_id", "doc_id").join(texts.select("doc_id", "content"), "doc_id")
                  .join(queries.select("query_id", "query"), "query_id"))
         final = (rerank.rerank_lexical(pairs, queries, corpus.keywords, params.top_k) if lexical
                  else rerank.rerank(pairs, params.top_k, scorer)).drop("content", "query")

@@ -32,13 +32,28 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition narrow rows before costly work on each of them.
+
+    Adaptive execution sizes partitions by bytes, so a few narrow rows would end up in one task even
+    if each of them is about to be joined with a long text or sent to a model.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
+def written(df: DataFrame, label: str, *spread_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage, keeps costly or unrepeatable hooks from running twice, survives the loss of
-    executors, and gives Catalyst the true size of the table for its choice of join.
+    executors, and gives Catalyst the true size of the table for its choice of join. With
+    ``spread_by`` the rows are spread first, so that costly work on the written table runs in many
+    tasks.
     """
     spark = df.sparkSession
+    if spread_by:
+        df = spread(df, *spread_by)
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,3 +72,13 @@ def join_keys(df: DataFrame, keys: DataFrame, on: str, how: str, bound: int = BR
     if row_count_within(keys, bound):
         keys = F.broadcast(keys)
     return df.join(keys, on, how)
+
+
+def match_few(few: DataFrame, many: DataFrame, on: str, how: str) -> DataFrame:
+    """Semi or anti join of a short table with a long key table, without shuffling the long one.
+
+    The long table is first cut to the keys of the short one, which is read several times and
+    therefore a written table or a plain scan.
+    """
+    present = join_keys(many.select(on), few.select(on).distinct(), on, "left_semi")
+    return few.join(present, on, how)

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from corpusloom.functions import text
 from corpusloom.operators import mutate
 from corpusloom.schemas import DOCUMENT_SCHEMA
-from corpusloom.session import BROADCAST_KEYS
+from corpusloom.session import BROADCAST_KEYS, match_few, written
 
 ROW_SCHEMA = T.StructType([*DOCUMENT_SCHEMA.fields, T.StructField("deleted", T.BooleanType()),
                            T.StructField("version", T.LongType())])
 
 LOG_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
-    T.StructField("kind", T.StringType()),      # create, base, delta
+    T.StructField("kind", T.StringType()),      # create, base, delta, merged
     T.StructField("folder", T.StringType()),
     T.StructField("n_rows", T.LongType()),
     T.StructField("dimension", T.IntegerType()),
@@ -57,19 +57,28 @@ class Collection:
 
     def load(self) -> DataFrame:
         """The current documents; an empty table when nothing was added."""
-        log = self.log()
-        base = next((e for e in reversed(log) if e.kind == "base"), None)
-        deltas = [e for e in log if e.kind == "delta" and (base is None or e.version > base.version)]
+        base, deltas = self._parts(self.log())
         current = self._read([base.folder] if base else [])
         if deltas:
-            changed = self._read([e.folder for e in deltas])
-            latest = changed.groupBy("doc_id").agg(F.max_by(F.struct(*changed.columns), "version").alias("row")).select("row.*")
-            keys = changed.select("doc_id")
+            latest = self._latest(deltas)
+            keys = self._read([e.folder for e in deltas]).select("doc_id")
             if sum(e.n_rows for e in deltas) <= BROADCAST_KEYS:
                 keys = F.broadcast(keys)
             current = current.join(keys, "doc_id", "left_anti").unionByName(latest.filter(~F.col("deleted")))
         return current.select(*DOCUMENT_SCHEMA.fieldNames())
 
+    def _parts(self, log: list[Row]) -> tuple[Row | None, list[Row]]:
+        """The last base and the deltas on top of it; a merged delta replaces those before it."""
+        base = next((e for e in reversed(log) if e.kind == "base"), None)
+        later = [e for e in log if base is None or e.version > base.version]
+        merged = max((e.version for e in later if e.kind == "merged"), default=-1)
+        return base, [e for e in later if e.kind in ("delta", "merged") and e.version >= merged]
+
+    def _latest(self, deltas: list[Row]) -> DataFrame:
+        changed = self._read([e.folder for e in deltas])
+        row = F.max_by(F.struct(*changed.columns), "version").alias("row")
+        return changed.groupBy("doc_id").agg(row).select("row.*")
+
     def upsert(self, docs: DataFrame, order: str = "content_key", stream: str | None = None,
                batch_id: int | None = None) -> int:
         """Add or replace documents. ``order`` decides which row of a repeated id in the batch counts."""
@@ -81,18 +90,33 @@ class Collection:
 
     def insert_if_absent(self, docs: DataFrame, order: str = "content_key") -> int:
         new = mutate.one_per_id(self._complete(docs, order), order, "first")
-        return self._write_delta(self.log(), new.join(self.load().select("doc_id"), "doc_id", "left_anti"))
+        return self._write_delta(self.log(), match_few(written(new, "batch"), self.load(), "doc_id", "left_anti"))
 
     def delete(self, ids: DataFrame) -> int:
         gone = ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
         return self._write_delta(self.log(), gone, deleted=True)
 
     def compact(self) -> int:
+        """Fold all deltas into a new base. Rewrites the collection."""
         log = self.log()
-        folder = f"data/{uuid.uuid4().hex}"
-        current = self.load().select("*", F.lit(False).alias("deleted"), F.lit(log[-1].version + 1).cast("bigint").alias("version"))
-        current.write.parquet(f"{self.path}/{folder}")
-        return self._commit(log, "base", folder, self._read([folder]).count())
+        version = F.lit(log[-1].version + 1).cast("bigint").alias("version")
+        return self._write(log, "base", self.load().select("*", F.lit(False).alias("deleted"), version))
+
+    def merge_deltas(self) -> int:
+        """Fold the deltas into one. Rewrites only them."""
+        log = self.log()
+        return self._write(log, "merged", self._latest(self._parts(log)[1]))
+
+    def tidy(self, max_deltas: int = 50, max_share: float = 0.25) -> None:
+        """Merge the deltas when there are many; compact when they hold a good share of the rows, so
+        that each row is rewritten only a few times however many batches arrive."""
+        base, deltas = self._parts(self.log())
+        if len(deltas) <= max_deltas:
+            return
+        if sum(e.n_rows for e in deltas) > max_share * (base.n_rows if base else 0):
+            self.compact()
+        else:
+            self.merge_deltas()
 
     def stats(self, name: str, index_type: str = "flat") -> DataFrame:
         return mutate.stats(self.load(), name, index_type)
@@ -108,12 +132,17 @@ class Collection:
 
     def _write_delta(self, log: list[Row], rows: DataFrame, stream: str | None = None,
                      batch_id: int | None = None, deleted: bool = False) -> int:
-        folder = f"data/{uuid.uuid4().hex}"
         named = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
                  for f in DOCUMENT_SCHEMA.fields]
-        rows.select(*named, F.lit(deleted).alias("deleted"),
-                    F.lit(log[-1].version + 1).cast("bigint").alias("version")).write.parquet(f"{self.path}/{folder}")
-        return self._commit(log, "delta", folder, self._read([folder]).count(), stream, batch_id)
+        stamped = rows.select(*named, F.lit(deleted).alias("deleted"),
+                              F.lit(log[-1].version + 1).cast("bigint").alias("version"))
+        return self._write(log, "delta", stamped, stream, batch_id)
+
+    def _write(self, log: list[Row], kind: str, rows: DataFrame, stream: str | None = None,
+               batch_id: int | None = None) -> int:
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        return self._commit(log, kind, folder, self._read([folder]).count(), stream, batch_id)
 
     def _read(self, folders: list[str]) -> DataFrame:
         if not folders:

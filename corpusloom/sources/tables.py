@@ -8,14 +8,14 @@ from corpusloom.functions import text
 
 
 def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Read Parquet; a table of fewer files than cores is spread over the cores by its key.
+    """Read Parquet; a table of fewer splits than cores is spread over the cores by its key.
 
     A small table may be a single row group, which one task would process alone. A large table has
-    more files than cores and is not shuffled.
+    more splits than cores and is not shuffled.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def documents(df: DataFrame, doc_id: str = "doc_id", content: str = "text",

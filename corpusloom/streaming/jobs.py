@@ -11,7 +11,7 @@ from corpusloom.sources.collection import Collection
 
 
 def ingest(source: DataFrame, path: str, checkpoint: str, name: str, embedder,
-           dimension: int | None = None, order: str = "content_key", compact_after: int = 50) -> StreamingQuery:
+           dimension: int | None = None, order: str = "content_key") -> StreamingQuery:
     """Upsert a stream of ``doc_id, content, metadata, embedding`` into the collection at ``path``.
 
     Every micro-batch is one delta of the collection. A batch that is replayed after a failure is
@@ -22,10 +22,7 @@ def ingest(source: DataFrame, path: str, checkpoint: str, name: str, embedder,
         collection = Collection(batch.sparkSession, path, dimension)
         embedded = mutate.fill_embeddings(batch, embedder)
         collection.upsert(embedded, order, stream=name, batch_id=batch_id)
-        log = collection.log()
-        base = max((e.version for e in log if e.kind == "base"), default=-1)
-        if sum(e.kind == "delta" and e.version > base for e in log) > compact_after:
-            collection.compact()
+        collection.tidy()
 
     return (source.writeStream.foreachBatch(apply).queryName(name)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
