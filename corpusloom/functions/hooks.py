@@ -40,7 +40,7 @@ def hashed_tokens(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarra
             rows = np.repeat(np.arange(len(texts)), [len(c) for c in cells])
             flat = np.array([pair for c in cells for pair in c]).reshape(-1, 2)
             counts = np.bincount(rows * dim + flat[:, 0].astype(int), flat[:, 1], len(texts) * dim)
-            counts = counts.reshape(len(texts), dim)
+            counts = counts.astype(np.float64).reshape(len(texts), dim)  # integers when there is no token
             norm = np.sqrt((counts ** 2).sum(axis=1, keepdims=True))
             return np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
 
