@@ -39,7 +39,7 @@ def train_lists(docs: DataFrame, n_lists: int = N_LISTS, rows_per_list: int = 25
     share = min(1.0, 1.2 * n_lists * rows_per_list / max(n, 1))
     training = docs if share == 1.0 else docs.sample(share, seed)
     vectors = training.select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=min(n_lists, max(n, 1)), seed=seed, maxIter=max_iter).fit(vectors)
+    model = KMeans(k=min(n_lists, max(n, 1)), seed=seed, maxIter=max_iter, initMode="random").fit(vectors)
     return InvertedLists(np.array(model.clusterCenters()))
 
 

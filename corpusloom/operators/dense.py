@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import scores
@@ -35,6 +36,15 @@ class VectorKernel:
     def load(self, queries: pa.Table) -> None:
         self.queries = self._unit(vector_matrix(queries.column("embedding")))
         self.squares = (self.queries ** 2).sum(axis=1)
+        asked = queries.column("filter").to_pylist() if "filter" in queries.column_names else []
+        asked = [dict(pairs or ()) for pairs in asked]
+        # Per key: the values asked for, and each query's place among them (-1: no condition).
+        self.conditions = {}
+        for key in sorted({key for pairs in asked for key in pairs}):
+            values = sorted({pairs[key] for pairs in asked if pairs.get(key) is not None})
+            place = {value: i for i, value in enumerate(values)} | {None: len(values)}
+            wanted = np.array([place[pairs[key]] if key in pairs else -1 for pairs in asked])
+            self.conditions[key] = (pa.array(values, pa.string()), wanted)
 
     def costs(self, docs: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not docs.num_rows or not len(self.queries):
@@ -42,8 +52,20 @@ class VectorKernel:
         ids = id_array(docs.column(docs.schema.get_field_index("doc_id")))
         vectors = self._unit(vector_matrix(docs.column(docs.schema.get_field_index("embedding"))))
         step = max(1, self.matrix_cells // len(self.queries))
+        found = self._found(docs)
         for start in range(0, len(ids), step):
-            yield ids[start:start + step], self._cost(vectors[start:start + step])
+            cost = self._cost(vectors[start:start + step])
+            for wanted, given in found:
+                cost[(wanted >= 0)[:, None] & (wanted[:, None] != given[None, start:start + step])] = np.nan
+            yield ids[start:start + step], cost
+
+    def _found(self, docs: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per key: each query's wanted place, and the place of each document's value (-2: not asked for)."""
+        found = []
+        for key, (values, wanted) in self.conditions.items():
+            given = pc.map_lookup(docs.column(docs.schema.get_field_index("metadata")), pa.scalar(key), "first")
+            found.append((wanted, pc.fill_null(pc.index_in(given, value_set=values), -2).to_numpy()))
+        return found
 
     def _unit(self, vectors: np.ndarray) -> np.ndarray:
         if self.metric != "cosine":
@@ -66,13 +88,17 @@ def search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "l2", scor
     """Exact top-k: ``query_id, doc_id, rank, score, distance``.
 
     ``queries`` has ``query_id, embedding`` and ``docs`` has ``doc_id, embedding``, all vectors of one
-    dimension (see ``mutate.split_by_dimension``). Filters before the search are plain filters on
-    ``docs``; filters after it apply to the result.
+    dimension (see ``mutate.split_by_dimension``). A filter for all queries is a plain filter on
+    ``docs`` before the search, or on the result after it. When ``queries`` has a column ``filter``
+    (a string map), each query sees only the documents whose ``metadata`` equals it on every key.
     """
     scores.check_metric(metric)
     kernel = VectorKernel(metric, limits.matrix_cells)
-    hits = block_topk(queries.select("query_id", "embedding"), docs.select("doc_id", "embedding"),
-                      F.size("embedding") * 8, kernel, k, limits)
+    own_filters = "filter" in queries.columns
+    hits = block_topk(queries.select("query_id", "embedding", *["filter"] * own_filters),
+                      docs.select("doc_id", "embedding", *["metadata"] * own_filters),
+                      F.size("embedding") * 8 + (F.octet_length(F.to_json("filter")) if own_filters else 0),
+                      kernel, k, limits)
     return as_hits(hits, metric, score)
 
 

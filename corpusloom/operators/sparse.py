@@ -9,7 +9,7 @@ postings nor (query, document) pairs are ever shuffled; see ``block_topk``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
+BLOCK_BYTES = 256 << 20
+
 
 def term_vectors(docs: DataFrame) -> DataFrame:
     """``doc_id, dl, terms, tfs``: distinct tokens of each document in order, with their counts.
@@ -172,6 +174,8 @@ def search(queries: DataFrame, index: SparseIndex, k: int, keep: DataFrame | Non
     vectors = index.vectors if keep is None else index.vectors.join(
         keep.select("doc_id"), "doc_id", "left_semi")
     weighted = written(query_vectors(queries, index), "query-vectors")
+    # Blocks of long documents get fewer rows: about twelve bytes a token.
+    limits = replace(limits, doc_rows=max(1, min(limits.doc_rows, int(BLOCK_BYTES / (12 * index.avgdl + 100)))))
     size = F.aggregate("terms", F.lit(0), lambda total, term: total + F.octet_length(term) + 24)
     hits = block_topk(weighted, vectors, size, TermKernel(index.avgdl, limits.matrix_cells), k, limits)
     return hits.select("query_id", "doc_id", "rank", (F.lit(0.0) - F.col("cost")).alias("score"),

@@ -31,13 +31,13 @@ SCORE = {
 }
 
 
-def _knn(metric: str, score: str, docs: str = "v", after: str = "true") -> str:
+def _knn(metric: str, score: str, docs: str = "v", pairs: str = "true", after: str = "true") -> str:
     distance = "cost" if metric in ("l2", "euclid") else "NULL::DOUBLE"
     return _with(
         f"SELECT query_id, doc_id, rank, {SCORE[score]} AS score, {distance} AS distance "
         f"FROM ranked WHERE rank <= {TOP_K} AND {after}",
         "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)",
-        f"pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label, {COST[metric]} AS cost FROM v q, {docs} d)",
+        f"pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label, {COST[metric]} AS cost FROM v q, {docs} d WHERE {pairs})",
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, doc_id) AS rank FROM pairs)")
 
 
@@ -271,6 +271,7 @@ ORACLE: dict[str, str] = {
     "knn_euclid_topk": _knn("euclid", "inverse"),
     "knn_prefilter": _knn("l2", "inverse", docs="(SELECT * FROM v WHERE label = 3)"),
     "knn_postfilter": _knn("l2", "inverse", after="label = 3"),
+    "knn_request_filter": _knn("l2", "inverse", pairs="q.label = d.label"),
     "knn_threshold": _knn("cosine", "similarity", after="0.0 - cost >= 0.3"),
     "knn_tombstone": _knn("l2", "inverse", after=f"doc_id NOT IN {DELETED}"),
     "knn_without_deleted": _knn("l2", "inverse", docs=f"(SELECT * FROM v WHERE vec_id NOT IN {DELETED})"),

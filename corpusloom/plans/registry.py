@@ -87,6 +87,14 @@ def knn_postfilter(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(dense.search_filtered(queries, docs, keep, TOP_K, "post"))
 
 
+def knn_request_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Every query asks for documents of its own label."""
+    vectors = tables.read_spread(spark, f"{sf}/embeddings.parquet", "vec_id")
+    own = F.create_map(F.lit("label"), F.col("label").cast("string"))
+    return _rounded(dense.search(vectors.select(F.col("vec_id").alias("query_id"), "embedding", own.alias("filter")),
+                                 vectors.select(F.col("vec_id").alias("doc_id"), "embedding", own.alias("metadata")), TOP_K))
+
+
 def knn_threshold(spark: SparkSession, sf: str) -> DataFrame:
     queries, docs = _vectors(spark, sf)
     return _rounded(dense.above_threshold(dense.search(queries, docs, TOP_K, "cosine", "identity"), 0.3))
@@ -516,6 +524,7 @@ QUERIES = {
     "knn_euclid_topk": _knn("euclid", "inverse"),
     "knn_prefilter": knn_prefilter,
     "knn_postfilter": knn_postfilter,
+    "knn_request_filter": knn_request_filter,
     "knn_threshold": knn_threshold,
     "knn_tombstone": _tombstones("post"),
     "knn_without_deleted": _tombstones("pre"),

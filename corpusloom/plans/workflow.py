@@ -133,11 +133,14 @@ def retrieve_then_generate(df: DataFrame, corpus: Corpus, embedder, generator, p
                            compat: bool = False, limits: BlockLimits = BlockLimits()) -> DataFrame:
     """Retrieval, then generation with the retrieved text in the context.
 
+    A column ``filter`` (a string map) restricts the vector search of its request.
+
     Outputs have the fixed keys ``retrieval`` and ``generation``; ``hits`` are kept beside them for
     the evaluation. The generator runs once per request: its result is written before it is used.
     """
     valid = text.is_valid_input(F.col("initial_input"))
-    questions = df.filter(valid).select(F.col("request_id").alias("query_id"), F.col("initial_input").alias("query"))
+    questions = df.filter(valid).select(F.col("request_id").alias("query_id"), F.col("initial_input").alias("query"),
+                                        *["filter"] * ("filter" in df.columns))
     queries = written(hooks.embed_column(questions, embedder, "query"), "queries")
     hits = retrieve(queries, corpus, params, scorer, lexical, keep, limits)
     arrays = context.hit_arrays(queries.select("query_id"), hits).select(

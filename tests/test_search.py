@@ -81,6 +81,19 @@ def test_filter_before_and_after(spark):
     assert dense.search_without(query, docs, deleted, 3, "post").count() == 1
 
 
+@pytest.mark.parametrize("limits", [BlockLimits(), BLOCKS], ids=["broadcast", "blocks"])
+def test_each_query_with_its_own_filter(spark, rows, limits):
+    docs = spark.createDataFrame([(i, [float(i)], {"parity": str(i % 2), "big": str(i > 5)} if i < 9 else {}) for i in range(10)],
+                                 "doc_id long, embedding array<float>, metadata map<string,string>")
+    asked = [("all", {}), ("none", None), ("odd", {"parity": "1"}), ("odd and big", {"parity": "1", "big": "true"}), ("unknown", {"x": "y"})]
+    queries = spark.createDataFrame([(name, [0.0], own) for name, own in asked], "query_id string, embedding array<float>, filter map<string,string>")
+    docs = docs.withColumn("metadata", F.transform_values("metadata", lambda _, v: F.lower(v)))
+    found = {}
+    for name, doc in rows(dense.search(queries, docs, 3, limits=limits), "query_id", "doc_id"):
+        found.setdefault(name, []).append(doc)
+    assert found == {"all": [0, 1, 2], "none": [0, 1, 2], "odd": [1, 3, 5], "odd and big": [7]}
+
+
 def test_score_conversions(spark):
     row = spark.range(1).select(
         scores.score("l2", "inverse", F.lit(1.0)).alias("a"), scores.score("l2", "one_minus", F.lit(3.0)).alias("b"),
