@@ -67,6 +67,24 @@ def translate(filters: dict[str, Any], lookup: Lookup) -> Column:
     return _all(terms)
 
 
+def translate_json(filters: dict[str, Any], json: str, columns: dict[str, str]) -> Column:
+    """A filter dictionary over a JSON column and promoted columns.
+
+    The JSON is parsed once per row, however many conditions look into it. Conditions on promoted
+    columns stay outside, where they reach the scan.
+    """
+    in_table = column_lookup(columns)
+
+    def inside(doc: Column) -> Column:
+        in_doc = variant_lookup(doc)
+        return translate(rest, lambda key, value: (in_table if key in columns else in_doc)(key, value))
+
+    plain = {key: value for key, value in filters.items() if key in columns}
+    rest = {key: value for key, value in filters.items() if key not in columns}
+    parsed = F.array(F.try_parse_json(json))
+    return translate(plain, in_table) & (F.exists(parsed, inside) if rest else F.lit(True))
+
+
 def _comparison(key: str, name: str, operand: Any, lookup: Lookup) -> Column:
     if name not in COMPARISONS:
         raise ValueError(f"unknown comparison operator {name!r}")

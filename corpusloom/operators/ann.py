@@ -79,12 +79,12 @@ def search_lists(queries: DataFrame, docs: DataFrame, lists: InvertedLists, k: i
                  limits: BlockLimits = BlockLimits()) -> DataFrame:
     """Top-k among the ``n_probe`` nearest lists. ``docs`` carries ``list_id``.
 
-    Stored lists (``store_lists``) that no query probes are not read: the semi join prunes partitions.
+    Stored lists (``store_lists``) that no query probes are not read: they are pruned partitions.
     """
-    probes = nearest_lists(queries.select("query_id", "embedding"), lists, n_probe)
-    # At most one row per list.
-    probed = F.broadcast(probes.select("list_id").distinct())
-    candidates = docs.select("doc_id", "embedding", "list_id").join(probed, "list_id", "left_semi")
+    probes = written(nearest_lists(queries.select("query_id", "embedding"), lists, n_probe), "probes")
+    # At most one number per list, and the centroids of all lists are on the driver already.
+    probed = [row.list_id for row in probes.select("list_id").distinct().collect()]
+    candidates = docs.select("doc_id", "embedding", "list_id").filter(F.col("list_id").isin(probed))
     hits = cell_topk(probes.withColumnRenamed("list_id", "cell"),
                      candidates.withColumnRenamed("list_id", "cell"),
                      dense.VectorKernel(metric, limits.matrix_cells), k, limits)

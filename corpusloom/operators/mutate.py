@@ -97,14 +97,14 @@ def one_per_id(batch: DataFrame, order: str, keep: str = "last") -> DataFrame:
 
 def insert_if_absent(current: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """Rows of the batch whose id is new, added; of a repeated id in the batch the first row counts."""
-    added = match_few(written(one_per_id(new, order, "first").drop(order), "batch"), current, "doc_id", "left_anti")
-    return current.unionByName(added)
+    first = written(one_per_id(new, order, "first").drop(order), "batch")
+    return current.unionByName(match_few(first, current, "doc_id", "left_anti"))
 
 
 def upsert(current: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """Rows of the batch replace rows of the same id; of a repeated id in the batch the last row counts."""
-    latest = one_per_id(new, order, "last").drop(order)
-    return join_keys(current, new.select("doc_id"), "doc_id", "left_anti").unionByName(latest)
+    latest = written(one_per_id(new, order, "last").drop(order), "batch")
+    return join_keys(current, latest.select("doc_id"), "doc_id", "left_anti").unionByName(latest)
 
 
 def delete(current: DataFrame, ids: DataFrame) -> DataFrame:
@@ -132,6 +132,7 @@ def update(current: DataFrame, changes: DataFrame, mode: str, embedder=None) ->
     """
     if mode not in ("existing", "upsert", "payload_only"):
         raise ValueError(f"unknown update mode {mode!r}")
+    changes = written(changes, "batch")
     ids = changes.select("doc_id")
     untouched = join_keys(current, ids, "doc_id", "left_anti")
     if mode == "payload_only":

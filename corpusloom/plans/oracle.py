@@ -278,7 +278,7 @@ ORACLE: dict[str, str] = {
     "knn_ivf_all_lists": _knn("l2", "inverse"),
     "filter_operators": """
         SELECT event_id, event_type, value, k FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events)
-        WHERE k >= 10 AND k < 90 AND (event_type IN ('click', 'error') OR value > 15.0) AND k NOT IN (13, 42) AND k <> 77""",
+        WHERE k >= 10 AND k < 90 AND (event_type IN ('click', 'error') OR value > 15.0) AND k NOT IN (13, 42) AND k <> 77 AND value > 0.5""",
     "valid_input": r"""
         SELECT doc_id, line_no - 1 AS line_no, line <> '' AS success,
                CASE WHEN line = '' THEN 'Invalid input message' END AS error

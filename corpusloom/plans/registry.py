@@ -130,14 +130,15 @@ EVENT_FILTER = {
     "$and": [{"k": {"$gte": 10}}, {"k": {"$lt": 90}}],
     "$or": [{"event_type": {"$in": ["click", "error"]}}, {"value": {"$gt": 15.0}}],
     "k": {"$nin": [13, 42], "$ne": 77},
+    "value": {"$gt": 0.5},
 }
 
 
 def filter_operators(spark: SparkSession, sf: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("doc", F.try_parse_json("props"))
-    in_json, in_table = filters.variant_lookup("doc"), filters.column_lookup({"event_type": "event_type", "value": "value"})
-    keep = filters.translate(EVENT_FILTER, lambda key, value: in_json(key, value) if key == "k" else in_table(key, value))
-    return events.filter(keep).select("event_id", "event_type", "value", in_json("k", 0).alias("k"))
+    events = tables.read_spread(spark, f"{sf}/events.parquet", "event_id")
+    keep = filters.translate_json(EVENT_FILTER, "props", {"event_type": "event_type", "value": "value"})
+    number = filters.variant_lookup(F.try_parse_json("props"))("k", 0)
+    return events.filter(keep).select("event_id", "event_type", "value", number.alias("k"))
 
 
 def valid_input(spark: SparkSession, sf: str) -> DataFrame:
