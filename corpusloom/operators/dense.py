@@ -95,6 +95,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "l2", scor
     scores.check_metric(metric)
     kernel = VectorKernel(metric, limits.matrix_cells)
     own_filters = "filter" in queries.columns
+    docs = docs.filter(F.col("embedding").isNotNull())
     hits = block_topk(queries.select("query_id", "embedding", *["filter"] * own_filters),
                       docs.select("doc_id", "embedding", *["metadata"] * own_filters),
                       F.size("embedding") * 8 + (F.octet_length(F.to_json("filter")) if own_filters else 0),

@@ -346,6 +346,10 @@ ORACLE: dict[str, str] = {
     "collection_roundtrip": _with(
         "SELECT doc_id::VARCHAR AS doc_id, content_key FROM ("
         f"{DOC_KEYS} WHERE {NOT_IN_BATCH} AND doc_id NOT IN {TOXIC} UNION ALL {BATCH_KEYS})", BATCH),
+    "collection_search": _with(
+        "SELECT query_id, doc_id, rank, round(1.0::DOUBLE / (1.0::DOUBLE + cost), 6) AS score, cost AS distance FROM ("
+        "SELECT query_id, doc_id::VARCHAR AS doc_id, cost, row_number() OVER (PARTITION BY query_id ORDER BY cost, doc_id::VARCHAR) AS rank "
+        f"FROM l2 JOIN documents USING (doc_id) WHERE lang = 'en') WHERE rank <= {TOP_K}", DOC_TOKENS, QUERY_TOKENS, *DENSE),
     "context_block": _with("SELECT query_id, retrieved_info, num_results FROM block", *RERANK, BLOCK),
     "context_split": _with("SELECT query_id, CASE WHEN num_results = 0 THEN 1 ELSE num_results + 1 END AS n_parts FROM block", *RERANK, BLOCK),
     "prompt_table": _with(

@@ -9,7 +9,7 @@ from corpusloom.operators import ann, chat, context, dense, evaluate, fusion, mu
 from corpusloom.plans import evaluation, workflow
 from corpusloom.plans.retrieve import Corpus, attach_documents, retrieve
 from corpusloom.schemas import BlockLimits, RetrievalParams
-from corpusloom.session import new_folder, written
+from corpusloom.session import new_folder, spread, written
 from corpusloom.sources import tables
 from corpusloom.sources.collection import Collection
 from corpusloom.streaming import jobs
@@ -371,6 +371,14 @@ def collection_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return collection.load().select("doc_id", "content_key")
 
 
+def collection_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents are added to a stored collection, which is then searched under a metadata filter."""
+    collection = Collection(spark, new_folder(spark, "collection"), dimension=64)
+    collection.upsert(_embedded_documents(spark, sf))
+    keep = filters.equals_all({"lang": "en"}, filters.map_lookup("metadata"))
+    return _rounded(dense.search_filtered(_embedded_questions(spark, sf), collection.load(), keep, TOP_K))
+
+
 # --- contexts, prompts, conversations -----------------------------------------------------------
 
 def context_block(spark: SparkSession, sf: str) -> DataFrame:
@@ -473,8 +481,8 @@ def workflow_rag(spark: SparkSession, sf: str) -> DataFrame:
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     golden = tables.golden(bench, "text", "text", "item_id")
-    rows = written(evaluation.golden_rows(golden, _rag(spark, sf)), "evaluation-rows", "question_id")
-    return evaluate.lexical_metrics(rows, EMBED)
+    rows = written(evaluation.golden_rows(golden, _rag(spark, sf)), "evaluation-rows")
+    return evaluate.lexical_metrics(spread(rows, rows.count(), "question_id"), EMBED)
 
 
 def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -510,7 +518,7 @@ def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "stream-tokens")
     messages = _messages(spark, sf)
     jobs.write_part(messages, f"{folder}/in")
-    source = jobs.file_stream(spark, f"{folder}/in", messages, files_per_batch=2)
+    source = jobs.file_stream(spark, f"{folder}/in", messages, files_per_batch=4)
     jobs.run(jobs.stream_token_totals(source, f"{folder}/out", f"{folder}/state"))
     return jobs.latest_totals(spark, f"{folder}/out")
 
@@ -562,6 +570,7 @@ QUERIES = {
     "collection_stats": collection_stats,
     "dim_check": dim_check,
     "collection_roundtrip": collection_roundtrip,
+    "collection_search": collection_search,
     "context_block": context_block,
     "context_split": context_split,
     "prompt_table": prompt_table,

@@ -86,7 +86,7 @@ def retrieve(queries: DataFrame, corpus: Corpus, params: RetrievalParams = Retri
     elif not reranking:
         final = rerank.cut(fused, params.top_k)
     else:
-        pairs = (spread(fused, "query_id", "doc_id").join(texts.select("doc_id", "content"), "doc_id")
+        pairs = (spread(fused, found.count(), "query_id", "doc_id").join(texts.select("doc_id", "content"), "doc_id")
                  .join(queries.select("query_id", "query"), "query_id"))
         final = (rerank.rerank_lexical(pairs, queries, corpus.keywords, params.top_k) if lexical
                  else rerank.rerank(pairs, params.top_k, scorer)).drop("content", "query")

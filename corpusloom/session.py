@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Row bound below which an id table (one narrow key column) may be broadcast.
 BROADCAST_KEYS = 5_000_000
+# Rows of one task where each row means costly work.
+SPREAD_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,31 +34,25 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, n_rows: int, *keys: str) -> DataFrame:
     """Repartition narrow rows before costly work on each of them.
 
     Adaptive execution sizes partitions by bytes, so a few narrow rows would end up in one task even
     if each of them is about to be joined with a long text or sent to a model.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    tasks = max(-(-n_rows // SPREAD_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
 
 
-def written(df: DataFrame, label: str, *spread_by: str) -> DataFrame:
+def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage, keeps costly or unrepeatable hooks from running twice, survives the loss of
-    executors, and gives Catalyst the true size of the table for its choice of join. With
-    ``spread_by`` the rows are spread first, so that costly work on the written table runs in many
-    tasks.
+    executors, and gives Catalyst the true size of the table for its choice of join.
     """
-    spark = df.sparkSession
-    if spread_by:
-        df = spread(df, *spread_by)
-    path = new_folder(spark, label)
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_count_within(df: DataFrame, bound: int) -> bool:

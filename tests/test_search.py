@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scores
 from corpusloom.operators import ann, dense, sparse
-from corpusloom.operators.block_topk import BestK
+from corpusloom.operators.block_topk import BestK, best_per_query, cell_topk
 from corpusloom.schemas import BlockLimits
 
 BLOCKS = BlockLimits(broadcast_bytes=0, doc_rows=7, query_rows=3, matrix_cells=16)
@@ -81,6 +81,23 @@ def test_filter_before_and_after(spark):
     assert dense.search_without(query, docs, deleted, 3, "post").count() == 1
 
 
+def test_hot_cell_is_split(spark, rows):
+    """One cell holds most documents and queries; blocks of seven rows still give the exact answer."""
+    docs, d = vectors(spark, 90, 3, "doc_id", 5)
+    queries, q = vectors(spark, 12, 3, "query_id", 6)
+    hot = lambda key, n: F.when(F.col(key) < n, 1).otherwise(F.col(key) % 4 + 2)
+    hits = cell_topk(queries.withColumn("cell", hot("query_id", 9)), docs.withColumn("cell", hot("doc_id", 60)),
+                     dense.VectorKernel("l2", 16), 4, BLOCKS)
+    best = best_per_query(hits, 4)
+    cell = lambda i, n: 1 if i < n else i % 4 + 2
+    want = []
+    for i in range(12):
+        mates = [j for j in range(90) if cell(j, 60) == cell(i, 9)]
+        cost = {j: round(float(((d[j] - q[i]) ** 2).sum()), 6) for j in mates}
+        want += [(i, j, rank) for rank, j in enumerate(sorted(mates, key=lambda j: (cost[j], j))[:4], 1)]
+    assert rows(best, "query_id", "doc_id", "rank") == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("limits", [BlockLimits(), BLOCKS], ids=["broadcast", "blocks"])
 def test_each_query_with_its_own_filter(spark, rows, limits):
     docs = spark.createDataFrame([(i, [float(i)], {"parity": str(i % 2), "big": str(i > 5)} if i < 9 else {}) for i in range(10)],
