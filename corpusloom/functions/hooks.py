@@ -122,6 +122,54 @@ def generate(df: DataFrame, factory, spec: ModelSpec = ModelSpec(), prompt: str
     return flagged.mapInArrow(run, schema)
 
 
+def generate_chat(messages: DataFrame, factory, spec: ModelSpec = ModelSpec()) -> DataFrame:
+    """One reply per call from a model that takes a message list: ``call_id, content, success, error``.
+
+    ``messages`` has ``call_id, position, kind, text``. The function from ``factory`` gets
+    ``[(kind, text), ...]``. Messages stream through the task in order, and only those of one call, which
+    the model has to be given anyway, are held at a time. A call whose last message is empty is an
+    error row.
+    """
+    id_type = messages.schema["call_id"].dataType
+    schema = T.StructType([T.StructField("call_id", id_type), T.StructField("content", T.StringType()),
+                           T.StructField("success", T.BooleanType()), T.StructField("error", T.StringType())])
+    ordered = (messages.select("call_id", "position", "kind", "text").repartition("call_id")
+               .sortWithinPartitions("call_id", "position"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = factory(spec)
+
+        def answer(call) -> dict:
+            call_id, history = call
+            if not history[-1][1]:
+                return {"call_id": call_id, "content": "", "success": False, "error": "Invalid input message"}
+            try:
+                return {"call_id": call_id, "content": model(history), "success": True, "error": None}
+            except Exception as problem:  # a failed call must not end the job
+                return {"call_id": call_id, "content": "", "success": False, "error": str(problem)}
+
+        def packed(rows: list[dict], id_kind: pa.DataType) -> pa.RecordBatch:
+            kinds = {"call_id": id_kind, "content": pa.string(), "success": pa.bool_(), "error": pa.string()}
+            return pa.RecordBatch.from_arrays([pa.array([row[name] for row in rows], kind) for name, kind in kinds.items()],
+                                              names=list(kinds))
+
+        current = None
+        for batch in batches:
+            id_kind, done = batch.schema.field("call_id").type, []
+            given = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+            for call_id, kind, text in zip(given["call_id"], given["kind"], given["text"]):
+                if current is None or current[0] != call_id:
+                    if current is not None:
+                        done.append(answer(current))
+                    current = (call_id, [])
+                current[1].append((kind, text))
+            yield packed(done, id_kind)
+        if current is not None:
+            yield packed([answer(current)], id_kind)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def first_hit() -> Callable[[ModelSpec], Callable[[str], str]]:
     """Stand-in generator: repeats the first retrieved text, or the sentence for "nothing found"."""
 

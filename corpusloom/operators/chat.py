@@ -62,6 +62,23 @@ def history_asof(messages: DataFrame) -> DataFrame:
     return running_totals(messages, n_messages=F.lit(1), n_chars=F.length("text"))
 
 
+def last_calls(messages: DataFrame) -> DataFrame:
+    """The call of each conversation's last turn: ``conv_id, as_of``."""
+    return messages.groupBy("conv_id").agg(F.max("turn").alias("as_of"))
+
+
+def call_messages(calls: DataFrame, messages: DataFrame, system_prompt: str = "") -> DataFrame:
+    """Model messages of chosen calls (``call_id, conv_id, as_of``), ready for ``hooks.generate_chat``."""
+    seen = messages.join(calls.select("call_id", "conv_id", "as_of"), "conv_id").filter(F.col("turn") <= F.col("as_of"))
+    kind = F.when(F.col("role") == "assistant", "ai").otherwise("human")
+    chat = seen.filter(F.col("role") != "system").select("call_id", F.col("turn").alias("position"), kind.alias("kind"), "text")
+    if not system_prompt:
+        return chat
+    first = calls.select("call_id", F.lit(-1).cast("bigint").alias("position"), F.lit("system").alias("kind"),
+                         F.lit(system_prompt).alias("text"))
+    return first.unionByName(chat)
+
+
 def history_of(calls: DataFrame, messages: DataFrame) -> DataFrame:
     """Texts seen by chosen calls (``conv_id, as_of``): one row per visible message."""
     return messages.join(calls.select("conv_id", "as_of"), "conv_id").filter(F.col("turn") <= F.col("as_of"))

@@ -361,6 +361,11 @@ ORACLE: dict[str, str] = {
                CASE WHEN role = 'assistant' THEN 'ai' ELSE 'human' END AS kind, text
         FROM conversations WHERE role <> 'system'
         UNION ALL SELECT DISTINCT conv_id, 0, 'system', '{SYSTEM_PROMPT}' FROM conversations""",
+    "chat_replies": f"""
+        SELECT conv_id AS call_id, true AS success, NULL::VARCHAR AS error,
+               '1/' || count(*) FILTER (WHERE role NOT IN ('system', 'assistant')) || '/' || count(*) FILTER (WHERE role = 'assistant')
+               || ' ' || coalesce(arg_max(text, turn) FILTER (WHERE role <> 'system'), '{SYSTEM_PROMPT}') AS content
+        FROM conversations GROUP BY conv_id""",
     "history_asof": HISTORY + "conversations",
     "history_cleared": _with(
         HISTORY + "(SELECT c.* FROM conversations c LEFT JOIN cleared USING (conv_id) WHERE cleared_at IS NULL OR turn > cleared_at)",

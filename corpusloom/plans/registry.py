@@ -410,6 +410,22 @@ def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
     return chat.chat_messages(_messages(spark, sf), SYSTEM_PROMPT)
 
 
+def replying(spec):
+    """Stand-in chat model: counts the messages and repeats the last one."""
+    def reply(history: list[tuple[str, str]]) -> str:
+        kinds = [kind for kind, _ in history]
+        return f"{kinds.count('system')}/{kinds.count('human')}/{kinds.count('ai')} {history[-1][1]}"
+
+    return reply
+
+
+def chat_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """A reply to the last turn of every conversation."""
+    messages = _messages(spark, sf)
+    calls = chat.last_calls(messages).withColumn("call_id", F.col("conv_id"))
+    return hooks.generate_chat(chat.call_messages(calls, messages, SYSTEM_PROMPT), replying)
+
+
 def history_asof(spark: SparkSession, sf: str) -> DataFrame:
     return chat.history_asof(_messages(spark, sf).drop("role")).drop("text")
 
@@ -576,6 +592,7 @@ QUERIES = {
     "prompt_table": prompt_table,
     "augment": augment,
     "chat_messages": chat_messages,
+    "chat_replies": chat_replies,
     "history_asof": history_asof,
     "history_cleared": history_cleared,
     "token_estimate": token_estimate,

@@ -18,6 +18,12 @@ def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def read_documents(spark: SparkSession, path: str, kind: str = "parquet", schema=None, **options: str) -> DataFrame:
+    """A document table in any file format Spark reads; give text formats a schema."""
+    reader = spark.read.format(kind).options(**options)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
+
+
 def documents(df: DataFrame, doc_id: str = "doc_id", content: str = "text",
               metadata: list[str] | None = None) -> DataFrame:
     """Any table as ``doc_id, content, metadata``; the named columns become the metadata map."""
@@ -57,6 +63,10 @@ def output(outputs: str, name: str) -> Column:
     return F.coalesce(F.try_element_at(F.col(outputs), F.lit(name)), F.lit(""))
 
 
+def write_answers(results: DataFrame, path: str) -> None:
+    answers(results).write.parquet(path)
+
+
 def answers(results: DataFrame) -> DataFrame:
     """Workflow results as flat answer rows."""
     return results.select("request_id", "success", output("outputs", "generation").alias("answer"),

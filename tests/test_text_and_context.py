@@ -147,6 +147,13 @@ def test_token_estimate_rounds_after_the_sum(spark, rows):
     assert rows(chat.token_totals(df), "n_chars", "est_tokens") == [(9, 2)]
 
 
+def test_read_documents_from_json(spark, tmp_path, rows):
+    (tmp_path / "d.json").write_text('{"id": "a", "body": "text", "topic": "x"}\n')
+    table = tables.read_documents(spark, str(tmp_path / "d.json"), "json", "id string, body string, topic string")
+    docs = tables.documents(table, "id", "body", ["topic"])
+    assert rows(docs, "doc_id", "content", F.col("metadata")["topic"]) == [("a", "text", "x")]
+
+
 def test_lines(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, " one \n\n \ntwo")], "doc_id long, t string")
     assert rows(tables.lines(df, "t", "src", "doc_id"), "line_no", "content") == [(0, "one"), (3, "two")]
@@ -169,6 +176,27 @@ def test_generation_turns_failures_into_rows(spark):
                      3: ("", False, "Invalid input message"), 4: ("", False, "Invalid input message")}
 
 
+def test_chat_generation(spark, rows):
+    def factory(spec):
+        def model(history):
+            if history[-1][1] == "boom":
+                raise RuntimeError("refused")
+            return " | ".join(f"{kind}={text}" for kind, text in history)
+        return model
+
+    data = [(i, turn, role, text) for i in range(40) for turn, (role, text) in enumerate(
+        [("user", f"q{i}"), ("system", "s"), ("assistant", "a"), ("user", "boom" if i == 7 else "" if i == 8 else "next")])]
+    table = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    calls = chat.last_calls(table).withColumn("call_id", F.col("conv_id").cast("string"))
+    found = {r.call_id: (r.content, r.success, r.error) for r in hooks.generate_chat(chat.call_messages(calls, table, "S"), factory).collect()}
+    assert len(found) == 40
+    assert found["3"] == ("system=S | human=q3 | ai=a | human=next", True, None)
+    assert found["7"] == ("", False, "refused")
+    assert found["8"] == ("", False, "Invalid input message")
+    earlier = spark.createDataFrame([("x", 3, 0)], "call_id string, conv_id long, as_of long")
+    assert hooks.generate_chat(chat.call_messages(earlier, table), factory).first().content == "human=q3"
+
+
 def test_generation_skips_inactive_rows(spark):
     df = spark.createDataFrame([(1, "a", False)], "id long, prompt string, wanted boolean")
     row = hooks.generate(df, lambda spec: lambda prompt: "x", active=F.col("wanted")).first()
