@@ -6,9 +6,11 @@ the block's best k per query only. Two physical forms give the same answer:
 
 * ``broadcast_topk``: the query block is measured, and when it is within the bound it is sent to
   every executor. Documents are scanned where they lie and never shuffled.
-* ``cell_topk``: both sides carry a cell. Cells above the block bound, on either side, are split into
-  sub-blocks that meet each other exactly once, so a cell that holds a third of all rows becomes
-  many tasks of bounded size.
+* ``grid_topk``: beyond the bound both sides are cut into blocks that meet each other exactly once.
+
+``cell_topk`` is the same for sides that carry a cell (an inverted list, a hash bucket): only rows of
+one cell meet, and cells above the block bound, on either side, are split into such blocks, so a cell
+that holds a third of all rows becomes many tasks of bounded size.
 
 A final window keeps k rows per query; its input is k rows per query and block.
 
@@ -96,9 +98,7 @@ def block_topk(queries: DataFrame, docs: DataFrame, payload_bytes: Column, kerne
     if measured[1] <= limits.broadcast_bytes:
         hits = broadcast_topk(queries, docs, kernel, k)
     else:
-        everything = F.lit(0)
-        hits = cell_topk(queries.withColumn("cell", everything), docs.withColumn("cell", everything),
-                         kernel, k, limits)
+        hits = grid_topk(queries, docs, kernel, k, limits)
     return best_per_query(hits, k)
 
 
@@ -133,27 +133,40 @@ def broadcast_topk(queries: DataFrame, docs: DataFrame, kernel, k: int) -> DataF
     return docs.coalesce(tasks).mapInArrow(search, _hit_schema(queries, docs))
 
 
+def grid_topk(queries: DataFrame, docs: DataFrame, kernel, k: int,
+              limits: BlockLimits = BlockLimits()) -> DataFrame:
+    """Shuffled form over the whole tables: every block of documents meets every block of queries."""
+    parts = [F.lit(max(1, -(-docs.count() // limits.doc_rows))).cast("bigint").alias("n_doc_parts"),
+             F.lit(max(1, -(-queries.count() // limits.query_rows))).cast("bigint").alias("n_query_parts")]
+    return _search_blocks([], queries.select("*", *parts), docs.select("*", *parts), kernel, k)
+
+
 def cell_topk(queries: DataFrame, docs: DataFrame, kernel, k: int,
               limits: BlockLimits = BlockLimits()) -> DataFrame:
-    """Shuffled form: best k per query inside each shared ``cell``, cells split into bounded blocks.
+    """Shuffled form inside each shared ``cell``, large cells split into bounded blocks.
 
     Returns up to k rows per query and block; finish with ``best_per_query``.
     """
+    # At most one row per doc_rows documents, and per query_rows queries.
+    large_docs = F.broadcast(_large_cells(docs, limits.doc_rows, "n_doc_parts"))
+    large_queries = F.broadcast(_large_cells(queries, limits.query_rows, "n_query_parts"))
+    split = [side.join(large_docs, "cell", "left").join(large_queries, "cell", "left")
+             .fillna(1, ["n_doc_parts", "n_query_parts"]) for side in (queries, docs)]
+    return _search_blocks(["cell"], *split, kernel, k)
+
+
+def _search_blocks(cell: list[str], queries: DataFrame, docs: DataFrame, kernel, k: int) -> DataFrame:
+    """Cut both sides into their parts, repeat each row for the parts of the other side, and search
+    the blocks."""
     queries = queries.toDF(*queries.columns)  # the sides may come from one table
-    large_docs = _large_cells(docs, limits.doc_rows, "n_doc_parts")
-    large_queries = _large_cells(queries, limits.query_rows, "n_query_parts")
-
-    def blocks(side: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
-        # At most one row per doc_rows documents (query_rows queries) in either table of large cells.
-        split = (side.join(F.broadcast(large_docs), "cell", "left")
-                 .join(F.broadcast(large_queries), "cell", "left")
-                 .fillna(1, ["n_doc_parts", "n_query_parts"]))
-        return (split.withColumn(own, F.pmod(F.xxhash64(key), F.col(own_count)))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
+
+    def blocks(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.col(f"n_{own}_parts"))
+        return (side.withColumn(f"{own}_part", mine)
+                .withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{other}_parts") - 1)))
                 .drop("n_doc_parts", "n_query_parts"))
 
-    doc_blocks = blocks(docs, "doc_id", "doc_part", "n_doc_parts", "query_part", "n_query_parts")
-    query_blocks = blocks(queries, "query_id", "query_part", "n_query_parts", "doc_part", "n_doc_parts")
+    doc_blocks, query_blocks = blocks(docs, "doc_id", "doc", "query"), blocks(queries, "query_id", "query", "doc")
 
     def search(doc_table: pa.Table, query_table: pa.Table) -> pa.Table:
         doc_type = doc_table.schema.field("doc_id").type
@@ -166,7 +179,7 @@ def cell_topk(queries: DataFrame, docs: DataFrame, kernel, k: int,
                     best.offer(ids, cost)
         return _hits(best, query_ids, doc_type)
 
-    keys = ["cell", F.col("doc_part").cast("bigint"), F.col("query_part").cast("bigint")]
+    keys = [*cell, "doc_part", "query_part"]
     return (doc_blocks.groupBy(*keys).cogroup(query_blocks.groupBy(*keys))
             .applyInArrow(search, _hit_schema(queries, docs)))
 

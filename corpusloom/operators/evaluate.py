@@ -81,10 +81,10 @@ def lexical_contexts(rows: DataFrame, at_least: float = 0.5) -> DataFrame:
                          F.coalesce((share >= at_least).cast("int"), F.lit(0)).alias("relevant"))
 
 
-def generated_questions(rows: DataFrame, embedder, n: int = 3) -> DataFrame:
-    """Stand-in for questions made from the answer: its first n sentences."""
+def generated_questions(rows: DataFrame, embedder) -> DataFrame:
+    """Stand-in for questions made from the answer: its sentences."""
     asked = hooks.embed_column(rows.select("question_id", "question", "answer"), embedder, "question", "question_embedding")
-    made = asked.select("question_id", "question_embedding", F.explode(F.slice(text.sentences(F.col("answer")), 1, n)).alias("made"),
+    made = asked.select("question_id", "question_embedding", F.explode(text.sentences(F.col("answer"))).alias("made"),
                         (F.col("answer") == NO_RESULTS).alias("noncommittal"))
     return hooks.embed_column(made, embedder, "made").drop("made")
 

@@ -26,12 +26,11 @@ def positions(df: DataFrame, order: str, out: str = "position", range_rows: int
     """
     n_ranges = ceil(df.count() / range_rows)
     if n_ranges <= 1:
-        ranged = df.withColumn("__range", F.lit(0.0))
-    else:
-        shares = [i / n_ranges for i in range(1, n_ranges)]
-        bounds = sorted(set(df.approxQuantile(order, shares, 0.25 / n_ranges)))
-        cutter = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__order", outputCol="__range")
-        ranged = cutter.transform(df.withColumn("__order", F.col(order).cast("double"))).drop("__order")
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
+    shares = [i / n_ranges for i in range(1, n_ranges)]
+    bounds = sorted(set(df.approxQuantile(order, shares, 0.25 / n_ranges)))
+    cutter = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__order", outputCol="__range")
+    ranged = cutter.transform(df.withColumn("__order", F.col(order).cast("double"))).drop("__order")
     # One row per range.
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("__range").count().select(

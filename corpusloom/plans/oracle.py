@@ -247,7 +247,7 @@ EVALUATION = (
     "precision_ AS (SELECT qid, coalesce(sum(p * v) / nullif(sum(v), 0), 0) AS context_precision FROM cprec GROUP BY ALL)",
     f"qt2 AS (SELECT qid, unnest({TOKENS.format('question')}) AS token FROM er)",
     *_embedding("qe", "qt2", "qid"),
-    f"gt2 AS (SELECT qid || '#' || s[2] AS gid, unnest({TOKENS.format('s[1]')}) AS token FROM asent WHERE s[2] < 3)",
+    f"gt2 AS (SELECT qid || '#' || s[2] AS gid, unnest({TOKENS.format('s[1]')}) AS token FROM asent)",
     *_embedding("ge", "gt2", "gid"),
     "cosines AS (SELECT g.gid, split_part(g.gid, '#', 1)::BIGINT AS qid, sum(g.x * q.x) AS dot FROM ge g LEFT JOIN qe q "
     "ON q.qid = split_part(g.gid, '#', 1)::BIGINT AND q.cell = g.cell GROUP BY ALL)",
