@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import filters, hooks, text
-from corpusloom.operators import ann, chat, context, dense, evaluate, fusion, mutate, rerank, sparse
+from corpusloom.operators import ann, chat, context, dense, evaluate, fusion, mutate, sparse
 from corpusloom.plans import evaluation, workflow
 from corpusloom.plans.retrieve import Corpus, attach_documents, retrieve
 from corpusloom.schemas import BlockLimits, RetrievalParams

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import scores
 from corpusloom.operators import ann, dense, sparse
 from corpusloom.operators.block_topk import BestK, best_per_query, cell_topk
+from corpusloom.plans import registry
 from corpusloom.schemas import BlockLimits
 
 BLOCKS = BlockLimits(broadcast_bytes=0, doc_rows=7, query_rows=3, matrix_cells=16)
@@ -111,6 +112,12 @@ def test_each_query_with_its_own_filter(spark, rows, limits):
     assert found == {"all": [0, 1, 2], "none": [0, 1, 2], "odd": [1, 3, 5], "odd and big": [7]}
 
 
+@pytest.mark.parametrize("name", ["knn_l2_topk", "knn_l2_blocks", "knn_ivf", "knn_lsh", "bm25_blocks", "assign_ids"])
+def test_plans_have_no_nested_loops(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_score_conversions(spark):
     row = spark.range(1).select(
         scores.score("l2", "inverse", F.lit(1.0)).alias("a"), scores.score("l2", "one_minus", F.lit(3.0)).alias("b"),
