@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, decontaminate
+from corpusloom.llm import bpe, decontaminate, language, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +61,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """
+
+
+def _fold(column: str, folds: int):
+    return F.crc32(F.col(column).cast("string")) % folds
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document; rows of fold 0 of 5 are held out."""
+    docs = _table(spark, sf, "documents")
+    model = toxicity.fit(docs, _table(spark, sf, "labels").filter(_fold("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document; rows of fold 1 of 3 are held out."""
+    docs = _table(spark, sf, "documents")
+    model = language.fit(docs.filter(_fold("doc_id", 3) != 1))
+    return language.predict(docs, model).select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
