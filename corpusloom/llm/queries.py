@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, decontaminate, language, toxicity
+from corpusloom.llm import bpe, decontaminate, language, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,3 +82,25 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     model = language.fit(docs.filter(_fold("doc_id", 3) != 1))
     return language.predict(docs, model).select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op2_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of near-duplicate documents: shingles of two words, similarity 0.8."""
+    return neardup.near_duplicates(_table(spark, sf, "documents"), shingle=2, percent=80)
+
+
+ORACLE["op2_minhash"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x{{20}}\\x{{09}}-\\x{{0D}}]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]
+                                        WHEN len(w) = 1 THEN w ELSE [] END) AS s FROM w),
+c AS (SELECT list_sort(s) AS k, any_value(s) AS s, min(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY 1),
+e AS (SELECT id, len(s) AS n, unnest(s) AS t FROM c),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.t = b.t AND a.id < b.id AND b.n <= a.n * 1.25 AND a.n <= b.n * 1.25
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT id, id AS root FROM c UNION SELECT u.b, r.root FROM r JOIN u ON r.id = u.a),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, s.doc_id = coalesce(m.root, s.doc_id) AS kept
+FROM s LEFT JOIN c ON list_sort(s.s) = c.k LEFT JOIN m ON m.id = c.id
+"""
