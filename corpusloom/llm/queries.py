@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, decontaminate, language, neardup, toxicity
+from corpusloom.llm import bpe, decontaminate, language, neardup, suffix_array, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,11 @@ m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, s.doc_id = coalesce(m.root, s.doc_id) AS kept
 FROM s LEFT JOIN c ON list_sort(s.s) = c.k LEFT JOIN m ON m.id = c.id
 """
+
+
+@_query
+def op10_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the strings of 50 bytes that also start in an earlier one."""
+    cut = suffix_array.cut_repeated_bytes(_table(spark, sf, "documents"), window=50)
+    return cut.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
