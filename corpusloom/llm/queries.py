@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, decontaminate, language, neardup, suffix_array, toxicity
+from corpusloom.llm import bpe, decontaminate, fm_index, language, neardup, suffix_array, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,3 +112,10 @@ def op10_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
     cut = suffix_array.cut_repeated_bytes(_table(spark, sf, "documents"), window=50)
     return cut.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op6_fm_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the windows of 13 words that also start in an earlier one."""
+    cut = fm_index.cut_repeated_words(_table(spark, sf, "documents"), window=13)
+    return cut.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
