@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, decontaminate, fm_index, language, neardup, suffix_array, toxicity
+from corpusloom.llm import bpe, decontaminate, fm_index, language, licenses, neardup, suffix_array, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,3 +119,32 @@ def op6_fm_index(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the windows of 13 words that also start in an earlier one."""
     cut = fm_index.cut_repeated_words(_table(spark, sf, "documents"), window=13)
     return cut.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op8_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases of every document, and labels of the templates that its lines hold."""
+    found = licenses.scan(_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"),
+                        F.concat_ws(",", "labels").alias("labels"), "score")
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in rows)
+
+
+ORACLE["op8_licenses"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+p AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_values(licenses.PHRASES)}) AS x(phrase, label)),
+h AS (SELECT r, i - 1 AS i, label
+      FROM (SELECT r, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, p WHERE len(w) >= len(p)) WHERE w[i:i + len(p) - 1] = p),
+b AS (SELECT r, count(*) AS n, min(i) AS f, max(i) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY r),
+t AS (SELECT label, list_distinct(string_split(words, ' ')) AS t FROM (VALUES {_values(licenses.TEMPLATES)}) AS x(label, words)),
+s AS (SELECT r, list_distinct(regexp_extract_all({_LOWER}, '{_WORDS}')) AS s FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d)),
+m AS (SELECT r, label, len(list_intersect(s, t)) / len(t) AS share FROM s, t WHERE 100 * len(list_intersect(s, t)) >= {licenses.PERCENT} * len(t)),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM m UNION SELECT r, label FROM h) GROUP BY r),
+k AS (SELECT r, max(share) AS share FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r) LEFT JOIN k USING (r)
+"""
