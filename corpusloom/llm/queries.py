@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, decontaminate, fm_index, language, licenses, neardup, suffix_array, toxicity
+from corpusloom.llm import bpe, decontaminate, fm_index, language, licenses, mtree, neardup, suffix_array, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -148,3 +148,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
        coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
 FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r) LEFT JOIN k USING (r)
 """
+
+
+@_query
+def op5_mtree(spark: SparkSession, sf: str) -> DataFrame:
+    """The five largest inner products of every 50th vector with all others."""
+    vectors = _table(spark, sf, "embeddings").select("vec_id", mtree.quantised(F.col("embedding")).alias("vector"))
+    return mtree.top_k(mtree.build(vectors), vectors.filter("vec_id % 50 = 0"), 5)
+
+
+ORACLE["op5_mtree"] = """
+WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+z AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+      FROM z q JOIN z c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+"""
