@@ -175,7 +175,7 @@ def _by_document(doc: np.ndarray, ids: np.ndarray, keys: np.ndarray, values: np.
     """One row for each document with its values; ``values`` come sorted by ``doc``."""
     cut = np.flatnonzero(np.diff(doc, prepend=-1))
     raw, width = values.tobytes(), values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    ends = [*cut[1:].tolist(), len(doc)]
+    ends = [*cut[1:].tolist(), len(doc)][:len(cut)]
     return pa.table({"doc_id": pa.array(ids[doc[cut]], pa.int64()), "key": pa.array(keys[doc[cut]], pa.int64()),
                      name: pa.array([raw[a * width:b * width] for a, b in zip(cut.tolist(), ends, strict=True)], pa.binary())})
 
