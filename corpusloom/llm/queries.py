@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, decontaminate, fm_index, language, licenses, mtree, neardup, suffix_array, toxicity
+from corpusloom.llm import bpe, decontaminate, fm_index, language, licenses, main_text, mtree, neardup, suffix_array, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -166,3 +166,11 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS s
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
 """
+
+
+@_query
+def op4_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The article text of every page."""
+    pages = _table(spark, sf, "pages")
+    found = main_text.extract(pages, main_text.fit(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
