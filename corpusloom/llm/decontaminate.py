@@ -182,13 +182,13 @@ def _scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(items, window)
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        for batch in pieces(batches):
-            n_words, spans, names = search.run(*flat(column(batch, "text")))
+        for batch in pieces(batches, "_text"):
+            n_words, spans, names = search.run(*flat(column(batch, "_text")))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(n_words, pa.int64()), pa.array(spans, kind),
                  pa.array(names, pa.list_(pa.string()))], [*batch.schema.names[:-1], "n_words", "spans", "items"])
 
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema[:-1])
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[:-1])
     return docs.mapInArrow(run, f"{keys}, {FOUND}")
 
 
@@ -206,30 +206,33 @@ def _joined(spans: Column) -> Column:
     return F.aggregate(ordered, F.slice(ordered, 1, 0), add)
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
     """Occurrences of benchmark windows in documents.
 
     ``docs``: ``doc_id``, ``text``; ``benchmark``: ``item_id``, ``text``; other columns are ignored. Returns per row of
-    ``docs``: ``doc_id``, ``n_words``, ``spans`` (array of first and last word of each run of hit words, in order),
+    ``docs``: ``doc_id``, the columns named in ``keep``, ``n_words``, ``spans`` (array of first and last word of each run of hit words, in order),
     ``items`` (ids of the items with occurring windows, as sorted strings). A null or empty text has no words and no
     hits; items with a null id or without words are passed over; repeated rows count as one item, or give one row each.
 
     The benchmark is searched for in blocks of ``block_bytes`` of text, each read by the driver in turn; documents
     are scanned once for each block and shuffled only if there are several.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", *keep, F.col("text").alias("_text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     if blocks == 1:
         return _scan(docs, [tuple(r) for r in items.collect()], window)
-    keyed = written(docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text"), "passages")
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "passages")
+    narrow = keyed.select("_row", "_text")
     found = None
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        one = _scan(keyed, [tuple(r) for r in part.collect()], window)
+        one = _scan(narrow, [tuple(r) for r in part.collect()], window)
         found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("doc_id", "_row").agg(
+    merged = found.groupBy("_row").agg(
         F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    return merged.select("doc_id", "n_words", _joined(F.col("spans")).alias("spans"),
+    merged = keyed.select("_row", "doc_id", *keep).join(merged, "_row")
+    return merged.select("doc_id", *keep, "n_words", _joined(F.col("spans")).alias("spans"),
                          F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
