@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 4 << 20
+# A worker's memory goes back to the system as soon as a batch is done with.
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

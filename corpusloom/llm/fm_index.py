@@ -15,25 +15,11 @@ from pyspark.sql import DataFrame
 from corpusloom.llm.batches import ranges
 from corpusloom.llm.repeats import Units, cut_repeats
 from corpusloom.llm.shingles import sequence_hashes
+from corpusloom.llm.suffix_array import doubled
 
 SEPARATOR = 1
 
 
-def ordered(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``t`` ordered by their first ``depth`` symbols at least: as far as patterns of that length can tell."""
-    n, step, rank = len(t), 1, t.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    while step < depth:
-        key = rank * (int(rank.max()) + 2)
-        key[:n - step] += rank[step:] + 1
-        order = np.argsort(key)
-        key = key[order]
-        rank = np.zeros(n, np.int64)
-        rank[order[1:]] = np.cumsum(key[1:] != key[:-1])
-        step *= 2
-    return order
-
-
 class Wavelet:
     """Ranks of symbols in a sequence of small numbers."""
 
@@ -72,7 +58,8 @@ def least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: in
     text[ranges(begins, lengths)] = code + SEPARATOR + 1
     text[-1] = 0
     size = len(known) + SEPARATOR + 1
-    sa = ordered(text, window)
+    # Ordered by their first symbols, as far as patterns of a window's length can tell.
+    sa = doubled(text, window)
     tree = Wavelet(text[sa - 1], size)
     below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
     # Where the suffixes that share their first window - 1 symbols begin and end.

@@ -27,11 +27,11 @@ from corpusloom.llm.components import released
 from corpusloom.llm.shingles import FACTOR, MIX, byte_values, mixed, powers, word_bounds, word_hashes
 from corpusloom.session import written
 
-PACK_RUNS = 2_000_000
+PACK_RUNS = 1_000_000
 PACK_SYMBOLS = 4 << 20
 # Text of one shard of minima, and symbols of one shard of segments.
-MARK_BYTES = 64 << 20
-SHARD_SYMBOLS = 2 << 20
+MARK_BYTES = 16 << 20
+SHARD_SYMBOLS = 1 << 19
 PIECE = 1 << 20
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
@@ -122,6 +122,12 @@ def _batch(rows: list[list], schema: str) -> pa.RecordBatch:
                                       [n for n, _ in fields])
 
 
+def _unpacked(table: pa.Table) -> list[dict]:
+    """The rows of a shard, with buffers in place of copies of their bytes."""
+    columns = {n: [x.as_buffer() if pa.types.is_binary(x.type) else x.as_py() for x in table[n]] for n in table.column_names}
+    return [{n: c[i] for n, c in columns.items()} for i in range(table.num_rows)]
+
+
 def _numbers(row: dict, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(row[name], kind)
 
@@ -188,7 +194,7 @@ def _gathered(rows: list[dict]) -> tuple[list[int], np.ndarray, np.ndarray]:
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Runs of a shard whose minimum occurs in two documents at least."""
-    rows = table.to_pylist()
+    rows = _unpacked(table)
     before, ids, keys = _gathered(rows)
     doc, run = [], []
     sent = [(r, b) for r, b in zip(rows, before, strict=False) if r["kind"]]
@@ -269,7 +275,7 @@ def _segments(units: Units, shards: int):
 def _solved(units: Units, solve: Solve):
     """Spans of symbols to be cut, of a shard's segments."""
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = _unpacked(table)
         before, ids, keys = _gathered(rows)
         doc, begin, end = [], [], []
         for r, b in zip(rows, before, strict=False):
@@ -282,7 +288,7 @@ def _solved(units: Units, solve: Solve):
         if sent:
             size = np.concatenate([_numbers(r, "lengths", np.int32) for r, _ in sent]).astype(np.int64)
             hashes = np.stack([np.concatenate([_numbers(r, h, np.uint64) for r, _ in sent]) for h in ("hash1", "hash2")])
-            n_content = np.cumsum([0, *(len(r["lengths"]) // 4 for r, _ in sent)])
+            n_content = np.cumsum([0, *(len(_numbers(r, "lengths", np.int32)) for r, _ in sent)])
             d = np.concatenate([_numbers(r, "doc", np.int32) + b for r, b in sent])
             start = np.concatenate([_numbers(r, "start", np.int32) for r, _ in sent]).astype(np.int64)
             content = np.concatenate([_numbers(r, "content", np.int32) + c for (r, _), c in zip(sent, n_content, strict=False)])
@@ -386,13 +392,13 @@ def cut_repeats(docs: DataFrame, units: Units, solve: Solve, characters: bool =
     with released(spark):
         size = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         marks = named.mapInArrow(_mark(units, shards := max(1, -(-size // MARK_BYTES))), MARKED)
-        marks = marks.repartition(shards, "shard").groupBy("shard").applyInArrow(_repeated, "doc_id long, key long, runs binary")
+        marks = marks.groupBy("shard").applyInArrow(_repeated, "doc_id long, key long, runs binary")
         marks = written(marks.groupBy("doc_id", "key").agg(F.collect_list("runs").alias("runs")), "marks")
         runs = marks.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
         length = ((units.window - units.gram + 2) / 2 + units.window) / 4
         shards = max(1, int(runs * length // SHARD_SYMBOLS) + 1)
         segments = named.join(marks, ["doc_id", "key"]).mapInArrow(_segments(units, shards), SEGMENTS)
-        spans = segments.repartition(shards, "shard").groupBy("shard").applyInArrow(_solved(units, solve), "doc_id long, key long, spans binary")
+        spans = segments.groupBy("shard").applyInArrow(_solved(units, solve), "doc_id long, key long, spans binary")
         spans = written(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")), "spans")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.xxhash64("text").alias("key"), "text")
     rows = rows.join(spans, ["doc_id", "key"], "left").select("doc_id", *keep, "key", "text", "spans")

@@ -19,19 +19,28 @@ from corpusloom.llm.repeats import Units, cut_repeats
 BUCKET = 300
 
 
-def doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array of ``t`` by prefix doubling."""
+def ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their keys (of so many bits), and the keys in order. Sorting numbers that carry their position is faster than an indirect sort."""
+    place = int(len(key)).bit_length()
+    if bits + place > 63:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort((key << place) | np.arange(len(key)))
+    return both & ((1 << place) - 1), both >> place
+
+
+def doubled(t: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffixes of ``t`` in order, by prefix doubling; with ``depth``, only by so many symbols at least."""
     n, step = len(t), 1
     rank = t.astype(np.int64)
     while True:
-        key = rank * (int(rank.max()) + 2)
+        base = int(rank.max()) + 2
+        key = rank * base
         key[:n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum(key[1:] != key[:-1])
-        rank, step = new, step * 2
-        if rank[order[-1]] == n - 1 or step >= n:
+        order, key = ordered(key, 2 * base.bit_length())
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        step *= 2
+        if rank[order[-1]] == n - 1 or step >= (n if depth is None else min(n, depth)):
             return order
 
 
@@ -109,10 +118,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     first = _induce(t, lms, s, starts)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    ordered = first[is_lms[first]].astype(np.int64)
+    found = first[is_lms[first]].astype(np.int64)
     length = np.zeros(n, np.int32)
     length[lms] = np.diff(np.append(lms, n - 1)) + 1
-    a, b = ordered[:-1], ordered[1:]
+    a, b = found[:-1], found[1:]
     same = length[a] == length[b]
     pair, done = np.flatnonzero(same), 0
     while len(pair):
@@ -121,7 +130,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         done += 1
         pair = pair[equal & (length[a[pair]] > done)]
     name = np.zeros(n, np.int64)
-    name[ordered[1:]] = np.cumsum(~same)
+    name[found[1:]] = np.cumsum(~same)
     reduced = name[lms]
     names = int(reduced.max()) + 1
     if names == len(lms):
