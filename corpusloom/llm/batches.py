@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 4 << 20
-# A worker's memory goes back to the system as soon as a batch is done with.
+# A worker's memory goes back to the system as soon as a batch is done with: Arrow takes it from the C library, which
+# maps every large piece by itself (M_MMAP_THRESHOLD, where the library has it) in place of keeping it for later.
 pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(ctypes.CDLL(None), "mallopt"):
+    ctypes.CDLL(None).mallopt(-3, 1 << 18)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
