@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.batches import column, flat, pieces, ranges, words8
@@ -100,8 +101,9 @@ class Units:
         return mixed((total[starts + lengths] - total[starts]) * down[starts] + lengths.astype(np.uint64) * MIX)
 
 
-MARKED = "shard int, kind int, minimum binary, many binary, doc binary, run binary, ids binary, keys binary"
-SEGMENTS = "shard int, kind int, data binary, lengths binary, hash1 binary, hash2 binary, content binary, doc binary, start binary, size binary, ids binary, keys binary"
+MARKED = "shard int, kind int, minimum binary, many binary, doc binary, run binary, ids binary, keys binary, pack bigint"
+SEGMENTS = "shard int, kind int, data binary, lengths binary, hashes binary, content binary, doc binary, start binary, size binary, ids binary, keys binary, pack bigint"
+FOUND = "pack bigint, doc binary, found binary, ids binary, keys binary"
 
 
 def _shards(values: np.ndarray, shards: int) -> np.ndarray:
@@ -113,11 +115,16 @@ def _packed(shard: int, kind: int, arrays: list[np.ndarray | None], doc: np.ndar
     """One row; documents are renumbered to those that the row speaks of."""
     used, local = np.unique(doc, return_inverse=True)
     arrays = [*arrays[:at], local.astype(np.int32), *arrays[at:]]
-    return [int(shard), kind, *(None if x is None else x.tobytes() for x in arrays), ids[used].tobytes(), keys[used].tobytes()]
+    pack = int(mixed(np.array([int(ids[0]) % (1 << 63) * 3 + len(ids)], np.uint64) ^ keys[:1].view(np.uint64)).view(np.int64)[0])
+    return [int(shard), kind, *(None if x is None else _squeezed(x) for x in arrays), _squeezed(ids[used]), _squeezed(keys[used]), pack]
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
 
 def _batch(rows: list[list], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
     fields = [f.strip().split(" ") for f in schema.split(",")]
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)],
                                       [n for n, _ in fields])
@@ -130,7 +137,7 @@ def _unpacked(table: pa.Table) -> list[dict]:
 
 
 def _numbers(row: dict, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(row[name], kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row[name]), kind)
 
 
 def _mark(units: Units, shards: int):
@@ -178,13 +185,36 @@ def _mark(units: Units, shards: int):
     return run
 
 
-def _by_document(doc: np.ndarray, ids: np.ndarray, keys: np.ndarray, values: np.ndarray, name: str) -> pa.Table:
-    """One row for each document with its values; ``values`` come sorted by ``doc``."""
-    cut = np.flatnonzero(np.diff(doc, prepend=-1))
-    raw, width = values.tobytes(), values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    ends = [*cut[1:].tolist(), len(doc)][:len(cut)]
-    return pa.table({"doc_id": pa.array(ids[doc[cut]], pa.int64()), "key": pa.array(keys[doc[cut]], pa.int64()),
-                     name: pa.array([raw[a * width:b * width] for a, b in zip(cut.tolist(), ends, strict=True)], pa.binary())})
+def _by_pack(rows: list[dict], doc: np.ndarray, values: np.ndarray, docs_before: list[int]) -> pa.Table:
+    """What was found for the documents of each row (``doc`` counts on through the rows), one row for each."""
+    order = np.argsort(doc, kind="stable")
+    doc, values = doc[order], values[order]
+    ends = np.searchsorted(doc, docs_before[1:])
+    out, start = [], 0
+    for row, before, end in zip(rows, docs_before[:-1], ends.tolist(), strict=True):
+        if end > start:
+            out.append([row["pack"], _squeezed((doc[start:end] - before).astype(np.int32)), _squeezed(values[start:end]), row["ids"].to_pybytes(), row["keys"].to_pybytes()])
+        start = end
+    fields = [f.split(" ") for f in FOUND.split(", ")]
+    columns = list(zip(*out, strict=True)) or [[]] * len(fields)
+    return pa.table({n: pa.array(list(c), pa.int64() if k == "bigint" else pa.binary()) for c, (n, k) in zip(columns, fields, strict=True)})
+
+
+def _documents_of(name: str, width: int):
+    """The rows of one pack as one row for each of its documents."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = _unpacked(table)
+        before, ids, keys = _gathered(rows)
+        doc = np.concatenate([_numbers(r, "doc", np.int32) + b for r, b in zip(rows, before, strict=False)])
+        values = np.concatenate([_numbers(r, "found", np.int32).reshape(-1, width) for r in rows])
+        order = np.lexsort((keys[doc], ids[doc]))
+        doc, values = doc[order], values[order]
+        cut = np.flatnonzero(np.append(True, (ids[doc[1:]] != ids[doc[:-1]]) | (keys[doc[1:]] != keys[doc[:-1]])))
+        raw, size = values.astype(np.int32).tobytes(), 4 * width
+        ends = [*cut[1:].tolist(), len(doc)]
+        return pa.table({"doc_id": pa.array(ids[doc[cut]], pa.int64()), "key": pa.array(keys[doc[cut]], pa.int64()),
+                         name: pa.array([raw[a * size:b * size] for a, b in zip(cut.tolist(), ends, strict=True)], pa.binary())})
+    return run
 
 
 def _gathered(rows: list[dict]) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -215,16 +245,14 @@ def _repeated(table: pa.Table) -> pa.Table:
         if not r["kind"]:
             doc.append(_numbers(r, "doc", np.int32) + b)
             run.append(_numbers(r, "run", np.int32))
-    doc, run = np.concatenate(doc), np.concatenate(run)
-    order = np.argsort(doc, kind="stable")
-    return _by_document(doc[order], ids, keys, run[order], "runs")
+    return _by_pack(rows, np.concatenate(doc), np.concatenate(run), before)
 
 
 def _segments(units: Units, shards: int):
     def pack(held: list[tuple], ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         value, content, doc, start, size, symbols = (np.concatenate([h[i] for h in held]) for i in range(6))
         begin = np.cumsum(size) - size
-        content = mixed(content ^ size.astype(np.uint64))
+        content = mixed(content ^ mixed(value + size.astype(np.uint64)))
         order = np.lexsort((ids[doc], content, value))
         value, content, doc, start, size, begin = (x[order] for x in (value, content, doc, start, size, begin))
         first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (content[1:] != content[:-1])))
@@ -232,8 +260,8 @@ def _segments(units: Units, shards: int):
         later = ids[doc] > ids[doc[first]][number]
         if later.any():
             by = np.flatnonzero(later)
-            yield _batch([_packed(int(content[by[0]] % np.uint64(shards)), 0, [None] * 5 + [start[by].astype(np.int32), size[by].astype(np.int32)],
-                                  doc[by], ids, keys, 5)], SEGMENTS)
+            yield _batch([_packed(int(content[by[0]] % np.uint64(shards)), 0, [None] * 4 + [start[by].astype(np.int32), size[by].astype(np.int32)],
+                                  doc[by], ids, keys, 4)], SEGMENTS)
         shard = _shards(value, shards)
         cut = np.flatnonzero(np.diff(shard, prepend=-1))
         rows, total = [], 0
@@ -241,8 +269,8 @@ def _segments(units: Units, shards: int):
             own = first[(first >= a) & (first < b)] if len(cut) < 16 else first[np.searchsorted(first, a):np.searchsorted(first, b)]
             send = a + np.flatnonzero(~later[a:b])
             data = symbols[ranges(begin[own], size[own])]
-            rows.append(_packed(shard[a], 1, [data, size[own].astype(np.int32), value[own], content[own], (number[send] - number[a]).astype(np.int32),
-                                              start[send].astype(np.int32), None], doc[send], ids, keys, 5))
+            rows.append(_packed(shard[a], 1, [data, size[own].astype(np.int32), content[own], (number[send] - number[a]).astype(np.int32),
+                                              start[send].astype(np.int32), None], doc[send], ids, keys, 4))
             total += data.nbytes
             if total > PIECE:
                 yield _batch(rows, SEGMENTS)
@@ -288,14 +316,14 @@ def _solved(units: Units, solve: Solve):
         sent = [(r, b) for r, b in zip(rows, before, strict=False) if r["kind"]]
         if sent:
             size = np.concatenate([_numbers(r, "lengths", np.int32) for r, _ in sent]).astype(np.int64)
-            hashes = np.stack([np.concatenate([_numbers(r, h, np.uint64) for r, _ in sent]) for h in ("hash1", "hash2")])
+            hashes = np.concatenate([_numbers(r, "hashes", np.uint64) for r, _ in sent])
             n_content = np.cumsum([0, *(len(_numbers(r, "lengths", np.int32)) for r, _ in sent)])
             d = np.concatenate([_numbers(r, "doc", np.int32) + b for r, b in sent])
             start = np.concatenate([_numbers(r, "start", np.int32) for r, _ in sent]).astype(np.int64)
             content = np.concatenate([_numbers(r, "content", np.int32) + c for (r, _), c in zip(sent, n_content, strict=False)])
             data = np.concatenate([_numbers(r, "data", np.uint64 if units.words else np.uint8) for r, _ in sent])
-            order = np.lexsort(hashes)
-            new = np.append(True, (hashes[:, order[1:]] != hashes[:, order[:-1]]).any(0))
+            order = np.argsort(hashes, kind="stable")
+            new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])
             distinct = np.empty(len(order), np.int64)
             distinct[order] = np.cumsum(new) - 1
             chosen = order[new]
@@ -316,7 +344,7 @@ def _solved(units: Units, solve: Solve):
             end.append(begin[-1] + units.window)
         doc, begin, end = np.concatenate(doc), np.concatenate(begin), np.concatenate(end)
         doc, spans = merged(doc, begin, end)
-        return _by_document(doc, ids, keys, spans.astype(np.int32), "spans")
+        return _by_pack(rows, doc, spans.astype(np.int32), before)
     return run
 
 
@@ -378,6 +406,11 @@ def _cut(words: bool, drop_partial: bool):
     return run
 
 
+def _per_row(found: DataFrame, name: str) -> DataFrame:
+    """One row for each document; it has several only if rows repeat both id and text, in packs of their own."""
+    return found.groupBy("doc_id", "key").agg(F.collect_list(name).alias(name))
+
+
 def cut_repeats(docs: DataFrame, units: Units, solve: Solve, characters: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cuts from every text the symbols of windows that also start in a document with a smaller id.
 
@@ -393,16 +426,16 @@ def cut_repeats(docs: DataFrame, units: Units, solve: Solve, characters: bool =
     with released(spark):
         size = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         marks = named.mapInArrow(_mark(units, shards := max(1, -(-size // MARK_BYTES))), MARKED)
-        marks = marks.groupBy("shard").applyInArrow(_repeated, "doc_id long, key long, runs binary")
-        marks = written(marks.groupBy("doc_id", "key").agg(F.collect_list("runs").alias("runs")), "marks")
-        runs = marks.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
+        marks = marks.groupBy("shard").applyInArrow(_repeated, FOUND)
+        marks = written(marks.groupBy("pack").applyInArrow(_documents_of("runs", 1), "doc_id long, key long, runs binary"), "marks")
+        runs = marks.agg(F.sum(F.octet_length("runs").cast("long"))).first()[0] or 0
         length = ((units.window - units.gram + 2) / 2 + units.window) / 4
         shards = max(1, int(runs * length // SHARD_SYMBOLS) + 1)
-        segments = named.join(marks, ["doc_id", "key"]).mapInArrow(_segments(units, shards), SEGMENTS)
-        spans = segments.groupBy("shard").applyInArrow(_solved(units, solve), "doc_id long, key long, spans binary")
-        spans = written(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")), "spans")
+        segments = named.join(_per_row(marks, "runs"), ["doc_id", "key"]).mapInArrow(_segments(units, shards), SEGMENTS)
+        spans = segments.groupBy("shard").applyInArrow(_solved(units, solve), FOUND)
+        spans = written(spans.groupBy("pack").applyInArrow(_documents_of("spans", 2), "doc_id long, key long, spans binary"), "spans")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.xxhash64("text").alias("key"), "text")
-    rows = rows.join(spans, ["doc_id", "key"], "left").select("doc_id", *keep, "key", "text", "spans")
+    rows = rows.join(_per_row(spans, "spans"), ["doc_id", "key"], "left").select("doc_id", *keep, "key", "text", "spans")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in ("doc_id", *keep))
     kept = "string" if units.words or characters else "binary"
     return rows.mapInArrow(_cut(units.words, characters), f"{own}, n_symbols long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept {kept}")
