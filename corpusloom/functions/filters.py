@@ -16,17 +16,23 @@ COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
     "$gte": lambda field, value: field >= F.lit(value),
     "$lt": lambda field, value: field < F.lit(value),
     "$lte": lambda field, value: field <= F.lit(value),
-    "$in": lambda field, value: field.isin(list(value)),
-    "$nin": lambda field, value: ~F.coalesce(field.isin(list(value)), F.lit(False)),
 }
 
 Lookup = Callable[[str, Any], Column]
 
 
 def map_lookup(metadata: Column | str) -> Lookup:
-    """Fields of a string map, cast to the type of the value they are compared with."""
+    """Fields of a string map, read as the type of the value they are compared with; text of another form is no match."""
     column = F.col(metadata) if isinstance(metadata, str) else metadata
-    return lambda key, value: _as_type(F.try_element_at(column, F.lit(key)), value)
+
+    def lookup(key: str, value: Any) -> Column:
+        field = F.try_element_at(column, F.lit(key))
+        kind = _kind(value)
+        if kind == "boolean":
+            return F.when(field.isin("true", "false"), field == "true")
+        return field.try_cast("double") if kind == "number" else field
+
+    return lookup
 
 
 def column_lookup(columns: dict[str, str]) -> Lookup:
@@ -35,9 +41,23 @@ def column_lookup(columns: dict[str, str]) -> Lookup:
 
 
 def variant_lookup(variant: Column | str) -> Lookup:
-    """Typed fields of a VARIANT column."""
+    """Typed fields of a VARIANT column: a number is compared with numbers, a string with strings, a boolean with booleans.
+
+    A key is one field name, whatever characters it has.
+    """
     column = F.col(variant) if isinstance(variant, str) else variant
-    return lambda key, value: F.try_variant_get(column, f"$.{key}", _type_name(value))
+
+    def lookup(key: str, value: Any) -> Column:
+        quote = "'" if "'" not in key else '"'
+        if quote in key:
+            raise ValueError(f"a key with both kinds of quotes: {key!r}")
+        path, kind = f"$[{quote}{key}{quote}]", _kind(value)
+        stored = F.schema_of_variant(F.try_variant_get(column, path, "variant"))
+        if kind == "number":
+            return F.when(stored.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.try_variant_get(column, path, "double"))
+        return F.when(stored == kind.upper(), F.try_variant_get(column, path, kind))
+
+    return lookup
 
 
 def equals_all(filters: dict[str, Any], lookup: Lookup) -> Column:
@@ -86,25 +106,19 @@ def translate_json(filters: dict[str, Any], json: str, columns: dict[str, str])
 
 
 def _comparison(key: str, name: str, operand: Any, lookup: Lookup) -> Column:
+    if name in ("$in", "$nin"):
+        # Each element is compared as its own type.
+        found = _any(F.coalesce(lookup(key, value) == F.lit(value), F.lit(False)) for value in operand)
+        return found if name == "$in" else ~found
     if name not in COMPARISONS:
         raise ValueError(f"unknown comparison operator {name!r}")
-    sample = next(iter(operand), None) if name in ("$in", "$nin") else operand
-    return COMPARISONS[name](lookup(key, sample), operand)
+    return COMPARISONS[name](lookup(key, operand), operand)
 
 
-def _type_name(value: Any) -> str:
+def _kind(value: Any) -> str:
     if isinstance(value, bool):
         return "boolean"
-    if isinstance(value, int):
-        return "bigint"
-    if isinstance(value, float):
-        return "double"
-    return "string"
-
-
-def _as_type(field: Column, value: Any) -> Column:
-    name = _type_name(value)
-    return field if name == "string" else field.try_cast(name)
+    return "number" if isinstance(value, (int, float)) else "string"
 
 
 def _all(terms) -> Column:

@@ -1,6 +1,7 @@
 """Model hooks: functions the user supplies, applied per Arrow batch, and repeatable stand-ins.
 
-A hook *factory* takes no argument and returns the function, so that a model is made once per task:
+A hook *factory* takes no argument and returns the function. It is called once in each Python worker of a job, however many tasks
+the worker runs, so a model is loaded once per worker:
 
 * embedder: ``list[str] -> array (n, dim)``
 * pair scorer: ``(list[str] queries, list[str] texts) -> array (n,)``
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +25,25 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from corpusloom.schemas import VECTOR, ModelSpec
 
 
+_made: dict[str, object] = {}
+
+
+def made_once(token: str, factory: Callable, *settings):
+    """The function of ``factory`` in this worker. A worker keeps the four that it has made last."""
+    if token not in _made:
+        while len(_made) >= 4:
+            _made.pop(next(iter(_made)))
+        _made[token] = factory(*settings)
+    return _made[token]
+
+
+def _here():
+    """This module as the worker has imported it; functions that travel with a job bring copies of what they name."""
+    import importlib
+
+    return importlib.import_module("corpusloom.functions.hooks")
+
+
 def hashed_tokens(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
     """Stand-in embedder: a signed bag of hashed tokens of unit length."""
 
@@ -53,9 +74,10 @@ def embed_column(df: DataFrame, factory, text: str = "content", out: str = "embe
     """Add the embedding of a text column. Column names are kept; ``out`` is appended or replaced."""
     kept = [name for name in df.columns if name != out]
     schema = T.StructType([df.schema[name] for name in kept] + [T.StructField(out, VECTOR)])
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = factory()
+        embed = _here().made_once(token, factory)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             matrix = np.asarray(embed([t or "" for t in texts]), dtype=np.float32).reshape(len(texts), -1)
@@ -73,9 +95,10 @@ def score_pairs(df: DataFrame, factory, query: str = "query", text: str = "conte
     """Add a pair score, higher is better, for each (query, text) row."""
     kept = [name for name in df.columns if name != out]
     schema = T.StructType([df.schema[name] for name in kept] + [T.StructField(out, T.DoubleType())])
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = factory()
+        predict = _here().made_once(token, factory)
         for batch in batches:
             given = {name: batch.column(batch.schema.get_field_index(name)) for name in kept}
             values = predict(given[query].to_pylist(), given[text].to_pylist())
@@ -95,10 +118,11 @@ def generate(df: DataFrame, factory, spec: ModelSpec = ModelSpec(), prompt: str
     kept = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField("content", T.StringType()),
                            T.StructField("success", T.BooleanType()), T.StructField("error", T.StringType())])
+    token = uuid.uuid4().hex
     flagged = df.withColumn("__active", F.lit(True) if active is None else F.coalesce(active, F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = factory(spec)
+        model = _here().made_once(token, factory, spec)
 
         def answer(text: str | None, wanted: bool):
             if not wanted:
@@ -130,14 +154,14 @@ def generate_chat(messages: DataFrame, factory, spec: ModelSpec = ModelSpec()) -
     the model has to be given anyway, are held at a time. A call whose last message is empty is an
     error row.
     """
-    id_type = messages.schema["call_id"].dataType
+    id_type, token = messages.schema["call_id"].dataType, uuid.uuid4().hex
     schema = T.StructType([T.StructField("call_id", id_type), T.StructField("content", T.StringType()),
                            T.StructField("success", T.BooleanType()), T.StructField("error", T.StringType())])
     ordered = (messages.select("call_id", "position", "kind", "text").repartition("call_id")
                .sortWithinPartitions("call_id", "position"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = factory(spec)
+        model = _here().made_once(token, factory, spec)
 
         def answer(call) -> dict:
             call_id, history = call

@@ -32,17 +32,22 @@ class InvertedLists:
     centroids: np.ndarray
 
 
-def train_lists(docs: DataFrame, n_lists: int = N_LISTS, rows_per_list: int = 256, seed: int = 42,
-                max_iter: int = 20) -> InvertedLists:
-    """K-means centroids. Only the training is bounded in rows; every document gets a list."""
-    n = docs.count()
-    share = min(1.0, 1.2 * n_lists * rows_per_list / max(n, 1))
-    training = docs if share == 1.0 else docs.sample(share, seed)
-    vectors = training.select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=min(n_lists, max(n, 1)), seed=seed, maxIter=max_iter, initMode="random").fit(vectors)
+def train_lists(docs: DataFrame, n_lists: int = N_LISTS, seed: int = 42, max_iter: int = 20) -> InvertedLists:
+    """K-means centroids of all vectors. Let ``n_lists`` grow about as the square root of the table."""
+    vectors = docs.select(array_to_vector("embedding").alias("features"))
+    model = KMeans(k=min(n_lists, max(vectors.count(), 1)), seed=seed, maxIter=max_iter, initMode="random").fit(vectors)
     return InvertedLists(np.array(model.clusterCenters()))
 
 
+def mean_lists(docs: DataFrame, by: str) -> InvertedLists:
+    """Centroids of given groups: the mean vector of each value of ``by``, in the order of the values."""
+    cells = docs.select(by, F.posexplode("embedding").alias("cell", "value"))
+    means = cells.groupBy(by, "cell").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    # As many rows as there are groups.
+    rows = means.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("mean")).orderBy(by).collect()
+    return InvertedLists(np.array([[cell.value for cell in row["mean"]] for row in rows]))
+
+
 def nearest_lists(df: DataFrame, lists: InvertedLists, n: int = 1) -> DataFrame:
     """Add ``list_id``, one row for each of the n nearest lists. Map-side only."""
     schema = T.StructType([*df.schema.fields, T.StructField("list_id", T.IntegerType())])
@@ -116,5 +121,6 @@ def search_hashes(queries: DataFrame, docs: DataFrame, model: BucketedRandomProj
     met = join_keys(stored, asked.select("cell").distinct(), "cell", "left_semi")
     hits = cell_topk(asked, met,
                      dense.VectorKernel(metric, limits.matrix_cells), k, limits)
-    # A document met in several tables counts once; k rows per query, table and block remain here.
-    return dense.as_hits(best_per_query(hits.dropDuplicates(["query_id", "doc_id"]), k), metric, score)
+    # A document may be met in every table: first the k * tables best rows, a partial limit before the only shuffle, then one row each.
+    first = best_per_query(hits, k * model.getNumHashTables()).drop("rank")
+    return dense.as_hits(best_per_query(first.dropDuplicates(["query_id", "doc_id"]), k), metric, score)

@@ -43,7 +43,7 @@ def context_block(hits: Column) -> Column:
     """Numbered text block of an array of hits; metadata is a JSON line, left out when empty."""
 
     def entry(hit: Column) -> Column:
-        lines = [F.concat(hit["rank"].cast("string"), F.lit(". [Score: "), text.two_decimals(hit["score"]), F.lit("]")),
+        lines = [F.concat(hit["rank"].cast("string"), F.lit(". [Score: "), F.coalesce(text.two_decimals(hit["score"]), F.lit("0.00")), F.lit("]")),
                  F.concat(F.lit("   "), hit["content"]),
                  F.when(F.size(hit["metadata"]) > 0, F.concat(F.lit("   Metadata: "), F.to_json(hit["metadata"]))),
                  F.lit("")]

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.functions import scores
+from corpusloom.functions import filters, scores
 from corpusloom.operators.block_topk import block_topk, id_array
 from corpusloom.schemas import BlockLimits
 from corpusloom.session import join_keys, match_few, written
 
 
 def vector_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column of equal-length vectors as a double matrix."""
+    """A list column of equal-length vectors as a double matrix; vectors of other lengths are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(lengths) > 1 or None in lengths:
+        raise ValueError(f"vectors of one dimension are needed, found lengths {sorted(lengths, key=str)}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
@@ -51,6 +56,8 @@ class VectorKernel:
             return
         ids = id_array(docs.column(docs.schema.get_field_index("doc_id")))
         vectors = self._unit(vector_matrix(docs.column(docs.schema.get_field_index("embedding"))))
+        if vectors.shape[1] != self.queries.shape[1]:
+            raise ValueError(f"vectors of one dimension are needed, found lengths {self.queries.shape[1]} and {vectors.shape[1]}")
         step = max(1, self.matrix_cells // len(self.queries))
         found = self._found(docs)
         for start in range(0, len(ids), step):
@@ -90,12 +97,14 @@ def search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "l2", scor
     ``queries`` has ``query_id, embedding`` and ``docs`` has ``doc_id, embedding``, all vectors of one
     dimension (see ``mutate.split_by_dimension``). A filter for all queries is a plain filter on
     ``docs`` before the search, or on the result after it. When ``queries`` has a column ``filter``
-    (a string map), each query sees only the documents whose ``metadata`` equals it on every key.
+    (a string map), each query sees only the documents whose ``metadata`` equals it on every key. A query without a
+    vector has no hits; documents without a vector or an id are never hits.
     """
     scores.check_metric(metric)
     kernel = VectorKernel(metric, limits.matrix_cells)
     own_filters = "filter" in queries.columns
-    docs = docs.filter(F.col("embedding").isNotNull())
+    docs = docs.filter(F.col("embedding").isNotNull() & F.col("doc_id").isNotNull())
+    queries = queries.filter(F.col("embedding").isNotNull())
     hits = block_topk(queries.select("query_id", "embedding", *["filter"] * own_filters),
                       docs.select("doc_id", "embedding", *["metadata"] * own_filters),
                       F.size("embedding") * 8 + (F.octet_length(F.to_json("filter")) if own_filters else 0),
@@ -103,6 +112,20 @@ def search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "l2", scor
     return as_hits(hits, metric, score)
 
 
+def search_each_filter(queries: DataFrame, docs: DataFrame, lookup, k: int, metric: str = "l2", score: str = "inverse",
+                       limits: BlockLimits = BlockLimits()) -> DataFrame:
+    """Search in which every query has its own filter with operators: the column ``filter``, a JSON object (see ``filters.translate``), null for none.
+
+    Queries of one filter are searched for together, so documents are scanned once for each different filter, and only those are listed on the driver.
+    """
+    found = []
+    for row in queries.select("filter").distinct().orderBy("filter").collect():
+        own = queries.filter(F.col("filter").eqNullSafe(row["filter"])).drop("filter")
+        keep = filters.translate(json.loads(row["filter"]), lookup) if row["filter"] else F.lit(True)
+        found.append(search(own, docs.filter(keep), k, metric, score, limits))
+    return reduce(DataFrame.unionByName, found) if found else search(queries.drop("filter"), docs, k, metric, score, limits)
+
+
 def as_hits(ranked: DataFrame, metric: str, score: str) -> DataFrame:
     cost = F.col("cost")
     return ranked.select("query_id", "doc_id", "rank", scores.score(metric, score, cost).alias("score"),

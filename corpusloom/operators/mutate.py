@@ -21,24 +21,23 @@ RANGE_ROWS = 1_000_000
 def positions(df: DataFrame, order: str, out: str = "position", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add the place of each row, from 0, in the order of a unique numeric column.
 
-    Rows are numbered inside value ranges of about ``range_rows`` rows and the sizes of the ranges
-    before are added, so no task sorts the whole table.
+    Only the order column is numbered, inside value ranges of about ``range_rows`` rows, to which the sizes of the ranges
+    before are added, so no task sorts the whole table; the rows are joined last. Rows whose order is null get no place.
     """
-    n_ranges = ceil(df.count() / range_rows)
-    if n_ranges <= 1:
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
+    keys = df.select(order).filter(F.col(order).isNotNull())
+    n_ranges = max(ceil(keys.count() / range_rows), keys.sparkSession.sparkContext.defaultParallelism, 2)
     shares = [i / n_ranges for i in range(1, n_ranges)]
-    bounds = sorted(set(df.approxQuantile(order, shares, 0.25 / n_ranges)))
+    bounds = sorted(set(keys.approxQuantile(order, shares, 0.25 / n_ranges)))
     cutter = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__order", outputCol="__range")
-    ranged = cutter.transform(df.withColumn("__order", F.col(order).cast("double"))).drop("__order")
+    ranged = cutter.transform(keys.withColumn("__order", F.col(order).cast("double"))).drop("__order")
     # One row per range.
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("__range").count().select(
         "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy("__range").orderBy(order)
-    return (ranged.join(F.broadcast(offsets), "__range")
-            .withColumn(out, F.col("__offset") + F.row_number().over(inside) - 1)
-            .drop("__range", "__offset"))
+    numbered = (ranged.join(F.broadcast(offsets), "__range")
+                .select(order, (F.col("__offset") + F.row_number().over(inside) - 1).alias(out)))
+    return df.join(numbered, order, "left").select(*df.columns, out)
 
 
 def assign_ids(docs: DataFrame, policy: str = "hash", order: str | None = None, next_id: int = 0) -> DataFrame:
@@ -88,8 +87,10 @@ def append(current: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def one_per_id(batch: DataFrame, order: str, keep: str = "last") -> DataFrame:
-    """The last (or first) row of each id in a batch. Pre-aggregated before the shuffle."""
+    """The last (or first) row of each id in a batch. Pre-aggregated before the shuffle. A row without id is an error: see ``assign_ids``."""
     pick = F.max_by if keep == "last" else F.min_by
+    given = F.coalesce("doc_id", F.raise_error(F.lit("a row without doc_id; assign ids first")).cast(batch.schema["doc_id"].dataType))
+    batch = batch.withColumn("doc_id", given)
     row = F.struct(*batch.columns)
     return batch.groupBy("doc_id").agg(pick(row, F.col(order)).alias("row")).select("row.*")
 
@@ -123,16 +124,19 @@ def delete_report(current: DataFrame, ids: DataFrame) -> DataFrame:
     return requested.select("num_requested", deleted.scalar().alias("num_deleted"))
 
 
-def update(current: DataFrame, changes: DataFrame, mode: str, embedder=None) -> DataFrame:
-    """Update by id. ``changes`` has one row per id, with ``content``, ``metadata`` and ``embedding``.
+def update(current: DataFrame, changes: DataFrame, mode: str, embedder=None, order: str | None = None) -> DataFrame:
+    """Update by id. ``changes`` has ``content``, ``metadata`` and ``embedding``; of a repeated id the last row by ``order`` counts,
+    and without ``order`` a repeated id is an error.
 
     ``existing``: replace rows that exist and embed them again. ``upsert``: the same, and add the
     others. ``payload_only``: replace text and metadata and keep the old vector.
     """
     if mode not in ("existing", "upsert", "payload_only"):
         raise ValueError(f"unknown update mode {mode!r}")
-    changes = written(changes, "batch")
+    changes = written(one_per_id(changes, order).drop(order) if order else changes, "batch")
     ids = changes.select("doc_id")
+    if not order and not ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        raise ValueError("the changes repeat an id: name the column that orders them")
     untouched = join_keys(current, ids, "doc_id", "left_anti")
     if mode == "payload_only":
         touched = join_keys(current, ids, "doc_id", "left_semi").drop("content", "metadata")

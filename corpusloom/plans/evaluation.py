@@ -23,4 +23,4 @@ def run_counts(results: DataFrame) -> DataFrame:
 
 def require_success(counts: DataFrame) -> None:
     if counts.first()["n_evaluated"] == 0:
-        raise ValueError("no successful workflow runs to evaluate")
+        raise ValueError("every run failed, so there is nothing to score")

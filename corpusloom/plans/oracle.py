@@ -167,22 +167,19 @@ DOC_KEYS = "SELECT doc_id, sha256(text) AS content_key FROM documents"
 BATCH_KEYS = "SELECT doc_id, sha256(text) AS content_key FROM batch"
 NOT_IN_BATCH = "doc_id NOT IN (SELECT doc_id FROM batch)"
 NOT_IN_DOCS = "doc_id NOT IN (SELECT doc_id FROM documents)"
+GONE = "(SELECT doc_id + 10000000 FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id FROM labels WHERE toxic = 1)"
 TOXIC = "(SELECT doc_id FROM labels WHERE toxic = 1)"
 
 
-def _largest(source: str) -> tuple[str, ...]:
-    """Largest embedding cell per document of (doc_id, text). Cells without tokens are zero."""
-    return (f"etok AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM {source})",
-            *_embedding("emb", "etok", "doc_id"),
-            "largest AS (SELECT doc_id, round(max(CASE WHEN n < 64 THEN greatest(x, 0) ELSE x END), 6) AS largest_cell FROM "
-            "(SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id) AS n FROM emb) GROUP BY ALL)")
+def _updated(texts: str, vectors: str, key: str = "doc_id", *batch: str) -> str:
+    """``texts`` and ``vectors`` are the tables the text and the embedding come from. One row for each cell that is not zero."""
+    return _with(f"SELECT {key} AS doc_id, sha256(t.text) AS content_key, cell, round(x, 6) AS value FROM ({texts}) t JOIN emb USING (doc_id)",
+                 *(batch or (BATCH,)), f"vsource AS ({vectors})",
+                 f"etok AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM vsource)", *_embedding("emb", "etok", "doc_id"))
 
 
-def _updated(texts: str, vectors: str) -> str:
-    """``texts`` and ``vectors`` are the tables the text and the embedding come from."""
-    return _with("SELECT doc_id, sha256(t.text) AS content_key, coalesce(largest_cell, 0.0::DOUBLE) AS largest_cell "
-                 f"FROM ({texts}) t LEFT JOIN largest USING (doc_id)",
-                 BATCH, f"vsource AS ({vectors})", *_largest("vsource"))
+# Each row of the batch comes twice; the last one counts in an upsert, the first in an insert.
+AGAIN = (BATCH.replace("batch AS", "first_batch AS"), "batch AS (SELECT doc_id, 'again: ' || text AS text FROM first_batch)")
 
 
 EXISTING = (f"SELECT doc_id, text FROM documents WHERE {NOT_IN_BATCH} "
@@ -203,8 +200,8 @@ INVALID = "'Invalid input message'"
 
 
 def _step_errors(check: str, count: str) -> str:
-    return (f"CASE WHEN {check} = '' THEN {INVALID} WHEN length({check}) > 1500 THEN 'too long: ' || length({check}) END AS e2, "
-            f"CASE WHEN {count} = '' THEN {INVALID} WHEN length({count}) < 100 THEN 'too short' END AS e3")
+    return (f"CASE WHEN {check} = '' THEN {INVALID} WHEN NOT contains({check}, ',') THEN 'no comma in ' || length({check}) END AS e2, "
+            f"CASE WHEN {count} = '' THEN {INVALID} WHEN contains({count}, 'ing') THEN 'a gerund' END AS e3")
 
 
 SEQUENTIAL = (*REQUESTS,
@@ -215,7 +212,8 @@ PARALLEL = (*REQUESTS,
             f"{_step_errors('text', 'text')}, length(text) || ' characters' AS c3 FROM s1)")
 DONE = "CASE WHEN {} IS NULL THEN 'true' ELSE 'false' END"
 
-RAG_QUESTIONS = "asked AS (SELECT item_id, CASE WHEN length(text) < 150 THEN '' ELSE text END AS question FROM benchmark)"
+RAG_QUESTIONS = ("asked AS (SELECT item_id, text AS question FROM benchmark UNION ALL "
+                 "SELECT item_id + 1000000, '' FROM benchmark WHERE NOT contains(text, chr(10)))")
 RAG = (*RERANK, BLOCK, RAG_QUESTIONS,
        "rag AS (SELECT a.item_id AS request_id, question, question <> '' AS success, b.retrieved_info, b.num_results, "
        f"coalesce(f.text, '{NO_RESULTS}') AS answer FROM asked a LEFT JOIN block b ON b.query_id = a.item_id "
@@ -227,7 +225,7 @@ SENTENCES = (r"list_filter(list_transform(string_split_regex({}, '[.!?\n]+'), "
              r"lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')")
 EVALUATION = (
     *RAG,
-    "er AS (SELECT r.request_id AS qid, b.text AS question, r.answer, b.text AS ground_truth FROM rag r "
+    "er AS (SELECT r.request_id AS qid, b.text AS question, r.answer, split_part(b.text, '.', 1) AS ground_truth FROM rag r "
     "JOIN benchmark b ON b.item_id = r.request_id WHERE success)",
     "ctx AS (SELECT query_id AS qid, rank, text AS context FROM final JOIN er ON er.qid = query_id)",
     f"ctxtok AS (SELECT DISTINCT qid, rank, unnest({TOKENS.format('context')}) AS token FROM ctx)",
@@ -312,9 +310,8 @@ ORACLE: dict[str, str] = {
     "rerank_hook": _with(f"SELECT query_id, rank, doc_id, score, distance FROM final WHERE rank <= {TOP}",
                          *KEYWORDS, *DENSE, HYBRID_HITS, *FUSED, *OVERLAP),
     "result_summary": _with(
-        "SELECT b.item_id AS query_id, count(f.doc_id) AS num_results, true AS hybrid, true AS reranked, "
-        "round(arg_min(f.score, f.rank), 6) AS best_score, sha256(arg_min(f.text, f.rank)) AS best_key, "
-        "arg_min(f.lang, f.rank) AS best_lang FROM benchmark b LEFT JOIN final f ON f.query_id = b.item_id GROUP BY ALL", *RERANK),
+        "SELECT b.item_id AS query_id, count(f.doc_id) OVER (PARTITION BY b.item_id) AS num_results, true AS hybrid, true AS reranked, "
+        "f.rank - 1 AS place, round(f.score, 6) AS score, f.text AS content, f.lang FROM benchmark b LEFT JOIN final f ON f.query_id = b.item_id", *RERANK),
     "ingest_lines": r"""
         SELECT doc_id, line_no - 1 AS line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS content, 'lines' AS source
         FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS line,
@@ -327,7 +324,7 @@ ORACLE: dict[str, str] = {
                CASE WHEN lang <> 'en' THEN doc_id::VARCHAR ELSE sha256(text) END AS hash_id FROM documents""",
     "embed_hash": _with("SELECT doc_id, cell, round(x, 6) AS value FROM demb", DOC_TOKENS, *_embedding("demb", "dtok", "doc_id")),
     "append_rows": _with(f"{DOC_KEYS} UNION ALL {BATCH_KEYS}", BATCH),
-    "upsert": _with(f"{DOC_KEYS} WHERE {NOT_IN_BATCH} UNION ALL {BATCH_KEYS}", BATCH),
+    "upsert": _with(f"{DOC_KEYS} WHERE {NOT_IN_BATCH} UNION ALL {BATCH_KEYS}", *AGAIN),
     "insert_if_absent": _with(f"{DOC_KEYS} UNION ALL {BATCH_KEYS} WHERE {NOT_IN_DOCS}", BATCH),
     "delete_ids": f"SELECT doc_id::VARCHAR AS doc_id, sha256(text) AS content_key FROM documents WHERE doc_id NOT IN {TOXIC}",
     "delete_report": f"SELECT 2 * (SELECT count(*) FROM labels WHERE toxic = 1) AS num_requested, "
@@ -345,16 +342,32 @@ ORACLE: dict[str, str] = {
     "dim_check": "SELECT vec_id AS doc_id, label, label <> 9 AS accepted FROM embeddings",
     "collection_roundtrip": _with(
         "SELECT doc_id::VARCHAR AS doc_id, content_key FROM ("
-        f"{DOC_KEYS} WHERE {NOT_IN_BATCH} AND doc_id NOT IN {TOXIC} UNION ALL {BATCH_KEYS})", BATCH),
+        # What was deleted comes back as the first row of its id; the rest stays as the last.
+        f"{DOC_KEYS} WHERE {NOT_IN_BATCH} AND doc_id NOT IN {TOXIC} UNION ALL "
+        f"{BATCH_KEYS} WHERE doc_id NOT IN {GONE} UNION ALL SELECT doc_id, sha256(text) FROM first_batch WHERE doc_id IN {GONE})", *AGAIN),
+    "collection_append": _with(
+        "SELECT doc_id::VARCHAR AS doc_id, content_key FROM ("
+        f"{DOC_KEYS} WHERE {NOT_IN_BATCH} UNION ALL {DOC_KEYS} WHERE {NOT_IN_BATCH} AND lang = 'en' UNION ALL {BATCH_KEYS})", *AGAIN),
+    "collection_add": _with(
+        "SELECT s.doc_id, call, pos, sha256(s.text) AS content_key, cell, round(x, 6) AS value FROM stored s JOIN emb USING (doc_id)",
+        "stored AS (SELECT CASE WHEN lang <> 'en' THEN doc_id::VARCHAR ELSE 'doc_' || (row_number() OVER (ORDER BY doc_id) - 1) END AS doc_id, "
+        "1 AS call, doc_id AS pos, text FROM documents UNION ALL SELECT 'doc_' || (row_number() OVER (ORDER BY doc_id) - 1 + (SELECT count(*) FROM documents)), "
+        "2, doc_id, text FROM documents WHERE lang = 'de')",
+        f"etok AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM stored)", *_embedding("emb", "etok", "doc_id")),
+    "collection_update_existing": _updated(EXISTING, EXISTING, "doc_id::VARCHAR", *AGAIN),
+    "collection_update_upsert": _updated(UPSERTED, UPSERTED, "doc_id::VARCHAR", *AGAIN),
+    "collection_update_payload_only": _updated(EXISTING, "SELECT doc_id, text FROM documents", "doc_id::VARCHAR", *AGAIN),
     "collection_search": _with(
         "SELECT query_id, doc_id, rank, round(1.0::DOUBLE / (1.0::DOUBLE + cost), 6) AS score, cost AS distance FROM ("
         "SELECT query_id, doc_id::VARCHAR AS doc_id, cost, row_number() OVER (PARTITION BY query_id ORDER BY cost, doc_id::VARCHAR) AS rank "
         f"FROM l2 JOIN documents USING (doc_id) WHERE lang = 'en') WHERE rank <= {TOP_K}", DOC_TOKENS, QUERY_TOKENS, *DENSE),
     "context_block": _with("SELECT query_id, retrieved_info, num_results FROM block", *RERANK, BLOCK),
-    "context_split": _with("SELECT query_id, CASE WHEN num_results = 0 THEN 1 ELSE num_results + 1 END AS n_parts FROM block", *RERANK, BLOCK),
+    "context_split": _with(
+        "SELECT query_id, 0::BIGINT AS place, CASE WHEN num_results = 0 THEN '' ELSE 'Retrieved Information:' END AS part FROM block "
+        r"""UNION ALL SELECT query_id, rank, text || E'\n   Metadata: {"lang":"' || lang || '","source":"' || source || '"}' FROM final""", *RERANK, BLOCK),
     "prompt_table": _with(
-        f"""SELECT query_id, E'System: {SYSTEM_PROMPT}\\n\\nContext: {{"channel":"batch","retrieved_info":"' || num_results || """
-        """E'"}\\n\\nUser: ' || query AS prompt FROM block""", *RERANK, BLOCK),
+        f"""SELECT query_id, E'System: {SYSTEM_PROMPT}\\n\\nContext: {{"channel":"batch","retrieved_info":' || to_json(retrieved_info)::VARCHAR || """
+        """E'}\\n\\nUser: ' || query AS prompt FROM block""", *RERANK, BLOCK),
     "augment": _with(f"SELECT query_id, {_augmented()} AS augmented FROM block", *RERANK, BLOCK),
     "chat_messages": f"""
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
@@ -367,6 +380,22 @@ ORACLE: dict[str, str] = {
                || ' ' || coalesce(arg_max(text, turn) FILTER (WHERE role <> 'system'), '{SYSTEM_PROMPT}') AS content
         FROM conversations GROUP BY conv_id""",
     "history_asof": HISTORY + "conversations",
+    "history_of": "SELECT c.conv_id, max(turn) OVER (PARTITION BY conv_id) AS as_of, turn, role, text FROM conversations c",
+    "knn_ivf_labels": _with(
+        f"SELECT query_id, doc_id, rank, round(1.0::DOUBLE / (1.0::DOUBLE + cost), 6) AS score, cost AS distance FROM ranked WHERE rank <= {TOP_K}",
+        "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)",
+        "means AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(e[i]) AS m FROM (SELECT label, e, unnest(range(1, 65)) AS i FROM v) GROUP BY ALL) GROUP BY label)",
+        "near AS (SELECT vec_id, c.label AS list, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(e, m), c.label) AS n FROM v, means c)",
+        f"pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {COST['l2']} AS cost FROM near p JOIN near l ON p.list = l.list AND p.n <= 4 AND l.n = 1 "
+        "JOIN v q ON q.vec_id = p.vec_id JOIN v d ON d.vec_id = l.vec_id)",
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, doc_id) AS rank FROM pairs)"),
+    "knn_filter_operators": _knn("l2", "inverse", pairs="CASE q.vec_id % 4 WHEN 0 THEN d.label >= 3 AND d.label < 7 "
+                                 "WHEN 1 THEN d.label = 1 OR d.label > 7.5 WHEN 2 THEN d.label NOT IN (0, 2, 4) ELSE true END"),
+    "filter_typed": """
+        SELECT event_id, CASE event_id % 3 WHEN 0 THEN m + 0.5 > 10 WHEN 1 THEN m > 10 ELSE false END AS int_as_double,
+               CASE event_id % 3 WHEN 0 THEN m = 30 WHEN 1 THEN m = 10 ELSE m = 20 END AS in_mixed,
+               m = 10 AS text, false AS no_text, event_id % 2 = 0 AS flag, event_id % 10 <= 5 AS dotted, true AS absent
+        FROM (SELECT event_id, event_id % 40 AS m FROM events)""",
     "history_cleared": _with(
         HISTORY + "(SELECT c.* FROM conversations c LEFT JOIN cleared USING (conv_id) WHERE cleared_at IS NULL OR turn > cleared_at)",
         "cleared AS (SELECT conv_id, max(turn) AS cleared_at FROM conversations WHERE role = 'system' GROUP BY ALL)"),
@@ -399,8 +428,7 @@ ORACLE: dict[str, str] = {
     "eval_summary": _with(f"SELECT count(*) AS n_questions, {ROUNDED.format('avg')} FROM scores", *EVALUATION),
     "eval_runs": _with("SELECT count(*) FILTER (WHERE question <> '') AS n_evaluated, "
                        "count(*) FILTER (WHERE question = '') AS n_skipped FROM asked", RAG_QUESTIONS),
-    "stream_ingest": _with("SELECT doc_id::VARCHAR AS doc_id, content_key, largest_cell FROM stored",
-                           f"stored AS ({_updated(UPSERTED, UPSERTED)})"),
+    "stream_ingest": _updated(UPSERTED, UPSERTED, "doc_id::VARCHAR"),
     "stream_tokens": "SELECT conv_id, count(*) AS n_messages, sum(length(text))::BIGINT AS n_chars, "
                      "(sum(length(text)) // 4)::BIGINT AS est_tokens FROM conversations GROUP BY conv_id",
 }

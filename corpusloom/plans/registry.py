@@ -95,6 +95,19 @@ def knn_request_filter(spark: SparkSession, sf: str) -> DataFrame:
                                  vectors.select(F.col("vec_id").alias("doc_id"), "embedding", own.alias("metadata")), TOP_K))
 
 
+LABEL_FILTERS = ['{"label": {"$gte": 3, "$lt": 7}}', '{"$or": [{"label": 1}, {"label": {"$gt": 7.5}}]}', '{"label": {"$nin": [0, 2, "4"]}}']
+
+
+def knn_filter_operators(spark: SparkSession, sf: str) -> DataFrame:
+    """Each query has its own filter with operators, and a quarter of them none."""
+    vectors = tables.read_spread(spark, f"{sf}/embeddings.parquet", "vec_id")
+    own = F.get(F.lit(LABEL_FILTERS), (F.col("vec_id") % 4).cast("int"))
+    return _rounded(dense.search_each_filter(
+        vectors.select(F.col("vec_id").alias("query_id"), "embedding", own.alias("filter")),
+        vectors.select(F.col("vec_id").alias("doc_id"), "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata")),
+        filters.map_lookup("metadata"), TOP_K))
+
+
 def knn_threshold(spark: SparkSession, sf: str) -> DataFrame:
     queries, docs = _vectors(spark, sf)
     return _rounded(dense.above_threshold(dense.search(queries, docs, TOP_K, "cosine", "identity"), 0.3))
@@ -109,10 +122,11 @@ def _tombstones(mode: str):
     return query
 
 
-def _ivf(n_lists: int, n_probe: int):
+def _ivf(n_lists: int | None, n_probe: int):
+    """Inverted lists from k-means, or around the mean vectors of the labels."""
     def query(spark: SparkSession, sf: str) -> DataFrame:
         queries, docs = _vectors(spark, sf)
-        lists = ann.train_lists(docs, n_lists)
+        lists = ann.train_lists(docs, n_lists) if n_lists else ann.mean_lists(docs, "label")
         stored = ann.store_lists(docs, lists, new_folder(spark, "lists"))
         return _rounded(ann.search_lists(queries, stored, lists, TOP_K, n_probe))
 
@@ -138,7 +152,26 @@ def filter_operators(spark: SparkSession, sf: str) -> DataFrame:
     events = tables.read_spread(spark, f"{sf}/events.parquet", "event_id")
     keep = filters.translate_json(EVENT_FILTER, "props", {"event_type": "event_type", "value": "value"})
     number = filters.variant_lookup(F.try_parse_json("props"))("k", 0)
-    return events.filter(keep).select("event_id", "event_type", "value", number.alias("k"))
+    return events.filter(keep).select("event_id", "event_type", "value", number.cast("bigint").alias("k"))
+
+
+TYPED = {
+    "int_as_double": {"n": {"$gt": 10}}, "in_mixed": {"n": {"$in": [10, "20", 30.5]}}, "text": {"s": {"$eq": "10"}},
+    "no_text": {"s": {"$gt": 10}}, "flag": {"f": True}, "dotted": {"a.b": {"$lte": 5}}, "absent": {"zz": {"$ne": 1}},
+}
+
+
+def filter_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """Conditions of several types on JSON made of the events: numbers with and without a fraction, text, a flag, and a key with a dot."""
+    events = tables.read_spread(spark, f"{sf}/events.parquet", "event_id")
+    number = F.col("event_id") % 40
+    made = F.concat(F.lit('{"n": '), F.when(F.col("event_id") % 3 == 0, F.concat(number.cast("string"), F.lit(".5")))
+                    .when(F.col("event_id") % 3 == 1, number.cast("string")).otherwise(F.concat(F.lit('"'), number.cast("string"), F.lit('"'))),
+                    F.lit(', "s": "'), number.cast("string"), F.lit('", "f": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise('"true"'),
+                    F.lit(', "a.b": '), (F.col("event_id") % 10).cast("string"), F.lit(', "a": {"b": 1}}'))
+    look = filters.variant_lookup(F.col("doc"))
+    return events.select("event_id", F.parse_json(made).alias("doc")).select(
+        "event_id", *[F.coalesce(filters.translate(f, look), F.lit(False)).alias(name) for name, f in TYPED.items()])
 
 
 def valid_input(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,9 +281,9 @@ def rerank_hook(spark: SparkSession, sf: str) -> DataFrame:
 def result_summary(spark: SparkSession, sf: str) -> DataFrame:
     questions, hits = _reranked(spark, sf)
     table = context.summary(questions.select("query_id"), hits, hybrid=True, reranked=True)
-    best = F.try_element_at("results", F.lit(1))
-    return table.select("query_id", "num_results", "hybrid", "reranked", F.round(best["score"], 6).alias("best_score"),
-                        text.content_key(best["content"]).alias("best_key"), best["metadata"]["lang"].alias("best_lang"))
+    each = table.select("query_id", "num_results", "hybrid", "reranked", F.posexplode_outer("results").alias("place", "hit"))
+    return each.select("query_id", "num_results", "hybrid", "reranked", F.col("place").cast("bigint").alias("place"), F.round("hit.score", 6).alias("score"),
+                       F.col("hit.content").alias("content"), F.col("hit.metadata")["lang"].alias("lang"))
 
 
 # --- ingest and collection maintenance ----------------------------------------------------------
@@ -285,13 +318,19 @@ def append_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _keys(both)
 
 
+def _twice(batch: DataFrame) -> DataFrame:
+    """Every row of a batch twice, with another text and at another place."""
+    later = batch.withColumn("content", F.concat(F.lit("again: "), "content")).withColumn("pos", F.col("doc_id") + 100_000_000)
+    return batch.withColumn("pos", F.col("doc_id")).unionByName(later)
+
+
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
-    batch = _second_batch(spark, sf).withColumn("pos", F.col("doc_id"))
+    batch = _twice(_second_batch(spark, sf))
     return _keys(mutate.upsert(_documents(spark, sf), batch, "pos"))
 
 
 def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
-    batch = _second_batch(spark, sf).withColumn("pos", F.col("doc_id"))
+    batch = _twice(_second_batch(spark, sf))
     return _keys(mutate.insert_if_absent(_documents(spark, sf), batch, "pos"))
 
 
@@ -317,13 +356,18 @@ def _update(mode: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         current = _embedded_documents(spark, sf)
         changes = _second_batch(spark, sf).withColumn("embedding", F.lit(None).cast("array<float>"))
-        updated = mutate.update(current, changes, mode, EMBED)
-        return updated.select("doc_id", text.content_key(F.col("content")).alias("content_key"),
-                              F.round(F.array_max("embedding").cast("double"), 6).alias("largest_cell"))
+        return _cells(mutate.update(current, changes, mode, EMBED))
 
     return query
 
 
+def _cells(docs: DataFrame) -> DataFrame:
+    """Every non-zero cell of the vectors, beside the key of the text."""
+    cells = docs.select("doc_id", text.content_key(F.col("content")).alias("content_key"), F.posexplode("embedding").alias("cell", "value"))
+    return cells.filter("value != 0").select("doc_id", "content_key", F.col("cell").cast("bigint").alias("cell"),
+                                             F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
 def _embedded_documents(spark: SparkSession, sf: str) -> DataFrame:
     return hooks.embed_column(_documents(spark, sf), EMBED)
 
@@ -363,22 +407,53 @@ def dim_check(spark: SparkSession, sf: str) -> DataFrame:
 def collection_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Stored collection: two batches, a deletion, compaction, a third change on top of the new base."""
     collection = Collection(spark, new_folder(spark, "collection"))
-    collection.upsert(_documents(spark, sf))
-    collection.upsert(_second_batch(spark, sf))
+    collection.upsert(_documents(spark, sf), "doc_id")
+    collection.upsert(_twice(_second_batch(spark, sf)), "pos")
     collection.delete(mutate.parse_ids(_id_strings(spark, sf), "ids"))
     collection.compact()
-    collection.insert_if_absent(_second_batch(spark, sf))
+    collection.insert_if_absent(_twice(_second_batch(spark, sf)), "pos")
     return collection.load().select("doc_id", "content_key")
 
 
 def collection_search(spark: SparkSession, sf: str) -> DataFrame:
     """Documents are added to a stored collection, which is then searched under a metadata filter."""
     collection = Collection(spark, new_folder(spark, "collection"), dimension=64)
-    collection.upsert(_embedded_documents(spark, sf))
+    collection.upsert(_embedded_documents(spark, sf), "doc_id")
     keep = filters.equals_all({"lang": "en"}, filters.map_lookup("metadata"))
     return _rounded(dense.search_filtered(_embedded_questions(spark, sf), collection.load(), keep, TOP_K))
 
 
+def collection_add(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in three languages come without ids and all without vectors; the others keep theirs. A second call goes on counting."""
+    collection = Collection(spark, new_folder(spark, "collection"), dimension=64)
+    docs = _documents(spark, sf).withColumn("pos", F.col("doc_id"))
+    given = docs.withColumn("doc_id", F.when(F.col("metadata")["lang"] != "en", F.col("doc_id").cast("string")))
+    first = collection.add(given, "pos", EMBED)
+    second = collection.add(docs.filter(F.col("metadata")["lang"] == "de").drop("doc_id"), "pos", EMBED)
+    ids = first.withColumn("call", F.lit(1)).unionByName(second.withColumn("call", F.lit(2)))
+    return _cells(collection.load()).join(ids, "doc_id").select("doc_id", "call", "pos", "content_key", "cell", "value")
+
+
+def collection_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Appended copies stay beside the stored rows until their id is changed."""
+    collection = Collection(spark, new_folder(spark, "collection"))
+    docs = _documents(spark, sf)
+    collection.upsert(docs, "doc_id")
+    collection.append(docs.filter(F.col("metadata")["lang"] == "en"), "doc_id")
+    collection.upsert(_twice(_second_batch(spark, sf)), "pos")
+    return collection.load().select("doc_id", "content_key")
+
+
+def _collection_update(mode: str):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        collection = Collection(spark, new_folder(spark, "collection"), dimension=64)
+        collection.upsert(_documents(spark, sf), "doc_id", embedder=EMBED)
+        collection.update(_twice(_second_batch(spark, sf)), mode, "pos", EMBED)
+        return _cells(collection.load())
+
+    return query
+
+
 # --- contexts, prompts, conversations -----------------------------------------------------------
 
 def context_block(spark: SparkSession, sf: str) -> DataFrame:
@@ -388,15 +463,15 @@ def context_block(spark: SparkSession, sf: str) -> DataFrame:
 
 def context_split(spark: SparkSession, sf: str) -> DataFrame:
     """Contexts cut out of stored text blocks: the header, then one part per hit."""
-    blocks = context_block(spark, sf)
-    return blocks.select("query_id", F.size(context.split_block(F.col("retrieved_info"))).cast("bigint").alias("n_parts"))
+    parts = context_block(spark, sf).select("query_id", F.posexplode(context.split_block(F.col("retrieved_info"))).alias("place", "part"))
+    return parts.select("query_id", F.col("place").cast("bigint").alias("place"), "part")
 
 
 def prompt_table(spark: SparkSession, sf: str) -> DataFrame:
     questions, hits = _reranked(spark, sf)
     blocks = context.context_blocks(questions.select("query_id", "query"), hits)
     merged = context.merge_context(F.create_map(F.lit("retrieved_info"), F.lit("stale"), F.lit("channel"), F.lit("batch")),
-                                   F.col("num_results").cast("string"))
+                                   F.col("retrieved_info"))
     return blocks.select("query_id", context.prompt(F.col("query"), merged, SYSTEM_PROMPT).alias("prompt"))
 
 
@@ -430,6 +505,12 @@ def history_asof(spark: SparkSession, sf: str) -> DataFrame:
     return chat.history_asof(_messages(spark, sf).drop("role")).drop("text")
 
 
+def history_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts that the last turn of every conversation sees."""
+    messages = _messages(spark, sf)
+    return chat.history_of(chat.last_calls(messages), messages).select("conv_id", "as_of", "turn", "role", "text")
+
+
 def history_cleared(spark: SparkSession, sf: str) -> DataFrame:
     """Stored system rows mark the points at which a history was cleared."""
     messages = _messages(spark, sf)
@@ -455,9 +536,9 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
 STEPS = [
     workflow.column_step("cleaner", "clean", lambda task, _: F.lower(F.replace(task, F.lit("\n"), F.lit(" ")))),
     workflow.column_step("checker", "check", lambda task, _: F.concat(F.lit("checked: "), task),
-                         lambda task, _: F.when(F.length(task) > 1500, F.concat(F.lit("too long: "), F.length(task).cast("string")))),
+                         lambda task, _: F.when(~F.contains(task, F.lit(",")), F.concat(F.lit("no comma in "), F.length(task).cast("string")))),
     workflow.column_step("counter", "count", lambda task, _: F.concat(F.length(task).cast("string"), F.lit(" characters")),
-                         lambda task, _: F.when(F.length(task) < 100, F.lit("too short"))),
+                         lambda task, _: F.when(F.contains(task, F.lit("ing")), F.lit("a gerund"))),
 ]
 
 
@@ -481,9 +562,10 @@ def workflow_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rag(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions of fewer than 150 characters are emptied, so that some requests are invalid."""
-    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(
-        "item_id", F.when(F.length("text") < 150, "").otherwise(F.col("text")).alias("question"))
+    """Every question of the benchmark, and an empty request for each question without a line feed."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    empty = bench.filter(~F.contains("text", F.lit("\n"))).select((F.col("item_id") + 1_000_000).alias("item_id"), F.lit("").alias("question"))
+    asked = bench.select("item_id", F.col("text").alias("question")).unionByName(empty)
     return workflow.retrieve_then_generate(
         workflow.requests(asked, "item_id", "question"), _corpus(spark, sf), EMBED, hooks.first_hit(), PARAMS, lexical=True)
 
@@ -496,7 +578,9 @@ def workflow_rag(spark: SparkSession, sf: str) -> DataFrame:
 
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    golden = tables.golden(bench, "text", "text", "item_id")
+    # The truth of a question is what stands in it up to its first full stop.
+    truth = bench.withColumn("truth", F.substring_index("text", ".", 1))
+    golden = tables.golden(truth, "text", "truth", "item_id")
     rows = written(evaluation.golden_rows(golden, _rag(spark, sf)), "evaluation-rows")
     return evaluate.lexical_metrics(spread(rows, rows.count(), "question_id"), EMBED)
 
@@ -521,13 +605,12 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     waves = [_documents(spark, sf), _second_batch(spark, sf)]
     for wave in waves:
         part = wave.select(F.col("doc_id").cast("string").alias("doc_id"), "content", "metadata",
-                           F.lit(None).cast("array<float>").alias("embedding"),
-                           text.content_key(F.col("content")).alias("content_key"))
+                           F.lit(None).cast("array<float>").alias("embedding"))
         jobs.write_part(part, f"{folder}/in")
         source = jobs.file_stream(spark, f"{folder}/in", part, files_per_batch=4)
         jobs.run(jobs.ingest(source, f"{folder}/collection", f"{folder}/state", "documents", EMBED, 64))
     stored = Collection(spark, f"{folder}/collection").load()
-    return stored.select("doc_id", "content_key", F.round(F.array_max("embedding").cast("double"), 6).alias("largest_cell"))
+    return _cells(stored)
 
 
 def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -555,6 +638,15 @@ QUERIES = {
     "knn_without_deleted": _tombstones("pre"),
     "knn_ivf": _ivf(16, 4),
     "knn_ivf_all_lists": _ivf(16, 16),
+    "knn_ivf_labels": _ivf(None, 4),
+    "knn_filter_operators": knn_filter_operators,
+    "collection_add": collection_add,
+    "collection_append": collection_append,
+    "collection_update_existing": _collection_update("existing"),
+    "collection_update_upsert": _collection_update("upsert"),
+    "collection_update_payload_only": _collection_update("payload_only"),
+    "history_of": history_of,
+    "filter_typed": filter_typed,
     "knn_lsh": knn_lsh,
     "filter_operators": filter_operators,
     "valid_input": valid_input,

@@ -27,7 +27,7 @@ STEP_RESULT = T.StructType([
 
 @dataclass(frozen=True)
 class RetrievalParams:
-    """Parameters of one retrieval job."""
+    """Parameters of one retrieval job. The defaults."""
 
     top_k: int = 5
     threshold: float = 0.7
@@ -57,7 +57,7 @@ class BlockLimits:
 class ModelSpec:
     """What a generation hook is told about the model it should call."""
 
-    model_name: str = "gpt-3.5-turbo"
-    temperature: float = 0.7
-    max_tokens: int = 2000
+    model_name: str = ""
+    temperature: float | None = None
+    max_tokens: int | None = None
     system_prompt: str = ""

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Row bound below which an id table (one narrow key column) may be broadcast.
-BROADCAST_KEYS = 5_000_000
+# Bytes of keys (each with 16 more for its row) up to which an id table may be broadcast.
+BROADCAST_KEY_BYTES = 64 << 20
+KEY_OVERHEAD = 16
 # Rows of one task where each row means costly work.
 SPREAD_ROWS = 10_000
 
 
+_local_folders: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
@@ -24,10 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if spark.sparkContext not in _local_folders:
+        _local_folders[spark.sparkContext] = tempfile.mkdtemp(prefix="corpusloom-")
+    return _local_folders[spark.sparkContext]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -55,17 +62,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_count_within(df: DataFrame, bound: int) -> bool:
-    """Whether ``df`` has at most ``bound`` rows. Counts no further than the bound."""
-    return df.limit(bound + 1).count() <= bound
+def key_bytes(keys: DataFrame) -> int:
+    """Size of a table of keys, added up in the tasks that read it."""
+    size = sum((F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) for name in keys.columns), F.lit(KEY_OVERHEAD))
+    return keys.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
 
 
-def join_keys(df: DataFrame, keys: DataFrame, on: str, how: str, bound: int = BROADCAST_KEYS) -> DataFrame:
-    """Join with a key table: broadcast it when its counted size is within the bound, shuffle otherwise.
+def join_keys(df: DataFrame, keys: DataFrame, on: str, how: str, bound: int = BROADCAST_KEY_BYTES) -> DataFrame:
+    """Join with a key table: broadcast it when its measured bytes are within the bound, shuffle otherwise.
 
-    ``keys`` is read twice (count, join), so pass a written table or a plain scan.
+    ``keys`` is read twice (measure, join), so pass a written table or a plain scan.
     """
-    if row_count_within(keys, bound):
+    if key_bytes(keys) <= bound:
         keys = F.broadcast(keys)
     return df.join(keys, on, how)
 

@@ -8,14 +8,14 @@ from corpusloom.functions import text
 
 
 def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Read Parquet; a table of fewer splits than cores is spread over the cores by its key.
+    """Read Parquet; a table of fewer files than cores is dealt out evenly over the cores.
 
-    A small table may be a single row group, which one task would process alone. A large table has
-    more splits than cores and is not shuffled.
+    A small table may be a single row group, which one task would process alone. A table of many files is not shuffled. No
+    key decides where a row goes, so one long conversation or one frequent id doesn't fill one task.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def read_documents(spark: SparkSession, path: str, kind: str = "parquet", schema=None, **options: str) -> DataFrame:

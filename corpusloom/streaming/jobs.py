@@ -11,9 +11,12 @@ from corpusloom.sources.collection import Collection
 
 
 def ingest(source: DataFrame, path: str, checkpoint: str, name: str, embedder,
-           dimension: int | None = None, order: str = "content_key") -> StreamingQuery:
+           dimension: int | None = None, order: str = "arrival") -> StreamingQuery:
     """Upsert a stream of ``doc_id, content, metadata, embedding`` into the collection at ``path``.
 
+    The column ``order`` decides between versions of one id that fall into one micro-batch: an event time, or the
+    ``arrival`` that ``file_stream`` gives.
+
     Every micro-batch is one delta of the collection. A batch that is replayed after a failure is
     recognised by its number and not applied again.
     """
@@ -57,10 +60,13 @@ def run(query: StreamingQuery) -> None:
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files as a stream, with ``arrival``: time and name of the file, and the row's place in it."""
     reader = spark.readStream.schema(like.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    arrival = F.struct(F.col("_metadata.file_modification_time").alias("file_time"), F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.row_index").alias("row"))
+    return reader.parquet(path).withColumn("arrival", arrival)
 
 
 def write_part(df: DataFrame, path: str) -> None:

@@ -95,9 +95,9 @@ def test_collection_life(spark, tmp_path, rows):
     collection = Collection(spark, path)
     assert collection.load().count() == 0
     new = lambda *data: spark.createDataFrame(list(data), "doc_id string, content string")
-    collection.upsert(new(("a", "1"), ("b", "2")))
+    collection.upsert(new(("a", "1"), ("b", "2")), "content")
     collection.delete(spark.createDataFrame([("a",), ("unknown",)], "doc_id string"))
-    collection.insert_if_absent(new(("b", "ignored"), ("c", "3")))
+    collection.insert_if_absent(new(("b", "ignored"), ("c", "3")), "content")
     want = [("b", "2"), ("c", "3")]
     assert rows(collection.load(), "doc_id", "content") == want
     before = collection.load()
@@ -105,29 +105,79 @@ def test_collection_life(spark, tmp_path, rows):
     assert rows(collection.load(), "doc_id", "content") == want
     collection.compact()
     assert rows(before, "doc_id", "content") == want, "a reader keeps its version"
-    collection.upsert(new(("a", "again"), ("b", "4")))
+    collection.upsert(new(("a", "again"), ("b", "4")), "content")
     reopened = Collection(spark, path)
     assert rows(reopened.load(), "doc_id", "content") == [("a", "again"), ("b", "4"), ("c", "3")]
-    assert [e.kind for e in reopened.log()] == ["create", "delta", "delta", "delta", "merged", "base", "delta"]
+    assert [e.kind for e in reopened.log()] == ["create", "base", "delta"], "a snapshot stands for what came before the base"
     assert reopened.stats("c").first()["document_count"] == 3
     reopened.tidy(max_deltas=0)
     assert reopened.log()[-1].kind == "base"
     assert rows(reopened.load(), "doc_id", "content") == [("a", "again"), ("b", "4"), ("c", "3")]
 
 
+def test_collection_gives_ids_and_keeps_every_row(spark, tmp_path, rows):
+    collection = Collection(spark, str(tmp_path / "c"), dimension=8)
+    batch = spark.createDataFrame([(None, "x", 0), (None, "y", 1), ("mine", "old", 2), ("mine", "new", 3), (None, "x", 4)], "doc_id string, content string, pos long")
+    assert rows(collection.add(batch, "pos", EMBED), "pos", "doc_id") == [(0, "doc_0"), (1, "doc_1"), (2, "mine"), (3, "mine"), (4, "doc_4")]
+    assert rows(collection.load(), "doc_id", "content") == [("doc_0", "x"), ("doc_1", "y"), ("doc_4", "x"), ("mine", "new")]
+    assert rows(collection.add(batch.limit(1).drop("doc_id"), "pos", EMBED), "doc_id") == [("doc_5",)]
+    collection.compact()
+    assert rows(collection.add(batch.limit(1).drop("doc_id"), "pos", EMBED), "doc_id") == [("doc_6",)], "a snapshot keeps the count"
+    collection.upsert(batch.filter("doc_id is null"), "pos", embedder=EMBED)
+    assert collection.load().count() == 8, "the same text has the same hashed id"
+
+
+def test_collection_append_and_update(spark, tmp_path, rows):
+    collection = Collection(spark, str(tmp_path / "c"))
+    new = lambda *data: spark.createDataFrame(list(data), "doc_id string, content string, pos long")
+    collection.append(new(("a", "1", 0), ("b", "2", 1)), "pos")
+    collection.append(new(("a", "again", 0)), "pos")
+    assert rows(collection.load(), "doc_id", "content") == [("a", "1"), ("a", "again"), ("b", "2")]
+    collection.update(new(("a", "x", 0), ("a", "y", 1), ("z", "none", 0)), "existing", "pos", EMBED)
+    assert rows(collection.load(), "doc_id", "content", F.size("embedding")) == [("a", "y", 8), ("b", "2", None)]
+    collection.append(new(("a", "later", 0)), "pos")
+    collection.update(new(("a", "p", 0)), "payload_only", "pos")
+    collection.update(new(("z", "q", 0)), "upsert", "pos")
+    collection.compact()
+    assert rows(collection.load(), "doc_id", "content") == [("a", "p"), ("b", "2"), ("z", "q")]
+    with pytest.raises(ValueError):
+        collection.update(new(("a", "p", 0)), "other", "pos")
+
+
+def test_second_writer_of_a_version_fails(spark, tmp_path):
+    one, two = (Collection(spark, str(tmp_path / "c")) for _ in range(2))
+    log = two.log()
+    one.delete(spark.createDataFrame([("a",)], "doc_id string"))
+    with pytest.raises(Exception, match="already exists|AlreadyExists"):
+        two._commit(log, "delta", "data/x", 0)
+
+
+def test_rows_without_id_and_repeated_changes(spark):
+    current = docs(spark, ("a", "1", 0)).drop("pos")
+    with pytest.raises(Exception, match="without doc_id"):
+        mutate.upsert(current, docs(spark, (None, "x", 0)), "pos").collect()
+    changes = docs(spark, ("a", "x", 0), ("a", "y", 1))
+    with pytest.raises(ValueError, match="repeat an id"):
+        mutate.update(current, changes.drop("pos"), "existing")
+    assert [tuple(r) for r in mutate.update(current, changes, "existing", order="pos").collect()] == [("a", "y")]
+
+
 def test_replayed_batch_is_applied_once(spark, tmp_path):
     collection = Collection(spark, str(tmp_path / "c"))
     batch = spark.createDataFrame([("a", "1")], "doc_id string, content string")
-    first = collection.upsert(batch, stream="s", batch_id=0)
-    assert collection.upsert(batch, stream="s", batch_id=0) == first
+    first = collection.upsert(batch, "content", stream="s", batch_id=0)
+    assert collection.upsert(batch, "content", stream="s", batch_id=0) == first
     assert len(collection.log()) == 2
+    collection.compact()
+    collection.upsert(batch, "content", stream="s", batch_id=0)
+    assert collection.log()[-1].kind == "base", "a snapshot remembers the batch"
 
 
 def test_collection_checks_the_dimension(spark, tmp_path):
     collection = Collection(spark, str(tmp_path / "c"), dimension=2)
     bad = spark.createDataFrame([("a", "1", [1.0])], "doc_id string, content string, embedding array<float>")
     with pytest.raises(Exception, match="expected 2 values"):
-        collection.upsert(bad)
+        collection.upsert(bad, "content")
     assert Collection(spark, str(tmp_path / "c")).load().count() == 0
 
 

@@ -237,3 +237,22 @@ def test_ignores_filter_unless_asked(spark, rows):
     query = spark.createDataFrame([(0, "red")], "query_id long, query string")
     assert rows(sparse.search(query, index, 5), "doc_id") == [(1,), (2,)]
     assert rows(sparse.search(query, index, 5, docs.filter("doc_id = 2")), "doc_id") == [(2,)]
+
+
+def test_vectors_of_other_lengths_and_nulls(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, embedding array<float>")
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (None, [0.0, 1.0])], "doc_id long, embedding array<float>")
+    assert [(r.query_id, r.doc_id) for r in dense.search(queries, docs, 3).collect()] == [(1, 1)]
+    mixed = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0])], "doc_id long, embedding array<float>").coalesce(1)
+    with pytest.raises(Exception, match="one dimension"):
+        dense.search(queries, mixed, 3).collect()
+
+
+def test_no_task_counts_or_numbers_a_whole_table(spark, sf, capsys):
+    from corpusloom.operators import mutate
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mutate.positions(docs, "doc_id").explain()
+    plan = capsys.readouterr().out
+    for window in plan.split("Window")[1:]:
+        assert "SinglePartition" not in window.split("Scan parquet")[0] or "__range" in window

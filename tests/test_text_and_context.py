@@ -59,6 +59,41 @@ def test_filter_operators(spark):
             filters.translate(wrong, look)
 
 
+def test_typed_filters(spark):
+    data = [(1, '{"k": 10, "a.b": 1}', "10"), (2, '{"k": 10.5, "a": {"b": 1}}', "10.5"), (3, '{"k": "10", "it\'s": 2}', "yes"), (4, '{"k": true}', "true")]
+    df = spark.createDataFrame(data, "id long, j string, t string").select("id", F.try_parse_json("j").alias("v"), F.create_map(F.lit("k"), "t").alias("m"))
+    variant, strings = filters.variant_lookup("v"), filters.map_lookup("m")
+    ids = lambda f, look=variant: [r.id for r in df.filter(filters.translate(f, look)).orderBy("id").collect()]
+    assert (ids({"k": 10}), ids({"k": {"$gt": 10}}), ids({"k": "10"}), ids({"k": True})) == ([1], [2], [3], [4])
+    assert (ids({"k": {"$in": [10, "10"]}}), ids({"k": {"$nin": [10.5, True]}}), ids({"a.b": 1}), ids({"it's": 2})) == ([1, 3], [1, 3], [1], [3])
+    assert (ids({"k": {"$gt": 10}}, strings), ids({"k": True}, strings), ids({"k": "10"}, strings)) == ([2], [4], [1])
+
+
+def test_a_model_is_made_once_per_worker(spark):
+    def factory():
+        import os
+        import uuid
+
+        made = f"{os.getpid()}-{uuid.uuid4().hex}"
+
+        def predict(queries, texts):
+            import zlib
+
+            return [float(zlib.crc32(made.encode()))] * len(texts)
+
+        return predict
+
+    df = spark.range(64).repartition(32).select(F.lit("q").alias("query"), F.lit("t").alias("content"))
+    made = {r.score for r in hooks.score_pairs(df, factory).collect()}
+    assert len(made) <= spark.sparkContext.defaultParallelism
+
+
+def test_null_score_keeps_its_line(spark):
+    hit = spark.createDataFrame([(1, 1, 10, None, "first", {})], hits_table(spark).schema)
+    block = context.context_blocks(spark.createDataFrame([(1,)], "query_id long"), hit).first().retrieved_info
+    assert "1. [Score: 0.00]\n   first" in block
+
+
 def hits_table(spark):
     data = [(1, 2, 11, 0.5, "second", {}), (1, 1, 10, 0.125, "first", {"topic": "x"})]
     return spark.createDataFrame(data, "query_id long, rank long, doc_id long, score double, content string, metadata map<string,string>")
@@ -172,7 +207,7 @@ def test_generation_turns_failures_into_rows(spark):
 
     df = spark.createDataFrame([(1, "fine"), (2, "bad"), (3, ""), (4, None)], "id long, prompt string")
     found = {r.id: (r.content, r.success, r.error) for r in hooks.generate(df, factory).collect()}
-    assert found == {1: ("gpt-3.5-turbo: fine", True, None), 2: ("", False, "refused"),
+    assert found == {1: (": fine", True, None), 2: ("", False, "refused"),
                      3: ("", False, "Invalid input message"), 4: ("", False, "Invalid input message")}
 
 
