@@ -162,9 +162,13 @@ _loaded: dict[str, Bpe] = {}
 
 
 def _bpe(path: str) -> Bpe:
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    """The vocabulary as this worker has loaded it; a function that travels with a job has its own copy of this module's names."""
+    import importlib
+
+    here = importlib.import_module("corpusloom.llm.bpe")
+    if path not in here._loaded:
+        here._loaded[path] = here.Bpe(path)
+    return here._loaded[path]
 
 
 def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
