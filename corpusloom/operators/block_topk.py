@@ -2,11 +2,10 @@
 
 Exact search compares every query with every document of its cell. As a join that would emit all
 pairs; here a task scores one block of documents against one block of queries as a matrix and emits
-the block's best k per query only. Two physical forms give the same answer:
+the block's best k per query only:
 
-* ``broadcast_topk``: the query block is measured, and when it is within the bound it is sent to
-  every executor. Documents are scanned where they lie and never shuffled.
-* ``grid_topk``: beyond the bound both sides are cut into blocks that meet each other exactly once.
+* ``broadcast_topk``: the queries are measured and cut into blocks within the bound, each of which is sent to every executor.
+  Documents are scanned where they lie, once for each block of queries, and never shuffled.
 
 ``cell_topk`` is the same for sides that carry a cell (an inverted list, a hash bucket): only rows of
 one cell meet, and cells above the block bound, on either side, are split into such blocks, so a cell
@@ -21,6 +20,7 @@ A *kernel* turns Arrow data into costs (smaller is better, infinity is last, NaN
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from corpusloom.schemas import BlockLimits
 from corpusloom.session import written
 
-TASKS_PER_CORE = 4
 HIT_FIELDS = ("query_id", "doc_id", "cost")
 
 
@@ -95,10 +94,16 @@ def block_topk(queries: DataFrame, docs: DataFrame, payload_bytes: Column, kerne
     pass a written table when it is costly or not repeatable.
     """
     measured = queries.agg(F.count("*"), F.coalesce(F.sum(payload_bytes), F.lit(0))).first()
-    if measured[1] <= limits.broadcast_bytes:
-        hits = broadcast_topk(queries, docs, kernel, k)
-    else:
-        hits = grid_topk(queries, docs, kernel, k, limits)
+    blocks = max(1, -(-measured[1] // limits.broadcast_bytes))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [queries.filter(place == i) if blocks > 1 else queries for i in range(blocks)]
+    hits = reduce(DataFrame.union, [broadcast_topk(part, docs, kernel, k) for part in parts])
+    if limits.reduce_groups > 1:
+        # Tasks x queries x k rows would meet in the final cut: groups of tasks are cut first.
+        group = F.pmod(F.spark_partition_id(), F.lit(limits.reduce_groups))
+        window = Window.partitionBy("query_id", "group").orderBy(F.col("cost").asc_nulls_last(), "doc_id")
+        hits = hits.withColumn("group", group).withColumn("place", F.row_number().over(window))
+        hits = hits.filter(F.col("place") <= k).drop("group", "place")
     return best_per_query(hits, k)
 
 
@@ -127,18 +132,7 @@ def broadcast_topk(queries: DataFrame, docs: DataFrame, kernel, k: int) -> DataF
             query_ids = block.column("query_id").combine_chunks()
             yield from _hits(best, query_ids, doc_type).to_batches()
 
-    # Each task leaves k rows per query for the final cut, so a table of very many splits is read by
-    # fewer, longer tasks. Narrow: nothing is shuffled, and few splits stay as they are.
-    tasks = TASKS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
-    return docs.coalesce(tasks).mapInArrow(search, _hit_schema(queries, docs))
-
-
-def grid_topk(queries: DataFrame, docs: DataFrame, kernel, k: int,
-              limits: BlockLimits = BlockLimits()) -> DataFrame:
-    """Shuffled form over the whole tables: every block of documents meets every block of queries."""
-    parts = [F.lit(max(1, -(-docs.count() // limits.doc_rows))).cast("bigint").alias("n_doc_parts"),
-             F.lit(max(1, -(-queries.count() // limits.query_rows))).cast("bigint").alias("n_query_parts")]
-    return _search_blocks([], queries.select("*", *parts), docs.select("*", *parts), kernel, k)
+    return docs.mapInArrow(search, _hit_schema(queries, docs))
 
 
 def cell_topk(queries: DataFrame, docs: DataFrame, kernel, k: int,

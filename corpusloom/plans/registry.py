@@ -18,8 +18,8 @@ TOP_K = 10
 KEYWORD_K = 20
 EMBED = hooks.hashed_tokens(64)
 PARAMS = RetrievalParams(top_k=5)
-# Forces the shuffled form of the block search, in blocks far smaller than a real job would use.
-SMALL_BLOCKS = BlockLimits(broadcast_bytes=0, doc_rows=200, query_rows=30)
+# Blocks of queries far smaller than a real job would use.
+SMALL_BLOCKS = BlockLimits(broadcast_bytes=96 << 10, doc_rows=200, query_rows=30)
 SYSTEM_PROMPT = "Answer from the retrieved information only."
 
 

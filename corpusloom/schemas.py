@@ -51,6 +51,7 @@ class BlockLimits:
     doc_rows: int = 100_000          # documents of one cell handled by one task
     query_rows: int = 20_000         # queries of one cell handled by one task
     matrix_cells: int = 1 << 22      # (query, document) scores held at once inside a task
+    reduce_groups: int = 1           # groups of tasks cut to k rows per query before the final cut; about the root of the number of splits
 
 
 @dataclass(frozen=True)

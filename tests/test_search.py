@@ -14,7 +14,7 @@ from corpusloom.operators.block_topk import BestK, best_per_query, cell_topk
 from corpusloom.plans import registry
 from corpusloom.schemas import BlockLimits
 
-BLOCKS = BlockLimits(broadcast_bytes=0, doc_rows=7, query_rows=3, matrix_cells=16)
+BLOCKS = BlockLimits(broadcast_bytes=100, doc_rows=7, query_rows=3, matrix_cells=16)
 
 
 def vectors(spark, n, dim, key, seed):
@@ -256,3 +256,10 @@ def test_no_task_counts_or_numbers_a_whole_table(spark, sf, capsys):
     plan = capsys.readouterr().out
     for window in plan.split("Window")[1:]:
         assert "SinglePartition" not in window.split("Scan parquet")[0] or "__range" in window
+
+
+def test_hits_of_many_tasks_are_reduced_in_levels(spark, sf):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").repartition(12)
+    queries, docs = (table.select(F.col("vec_id").alias(name), "embedding") for name in ("query_id", "doc_id"))
+    plain, levels = (sorted(map(tuple, dense.search(queries, docs, 5, limits=limits).collect())) for limits in (BlockLimits(), BlockLimits(reduce_groups=3)))
+    assert plain == levels
