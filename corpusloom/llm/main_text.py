@@ -286,7 +286,10 @@ def variant(texts: list[str], others: list[str], rng: random.Random) -> str:
 
 def fit(pages: DataFrame, max_pages: int = TRAIN_PAGES) -> Labeller:
     """Trains on at most ``max_pages`` pages (``page_id``, ``html``), those with the smallest hashes of their ids, and two variants of each."""
-    rows = pages.select("page_id", "html").filter("length(html) > 0").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(max_pages).collect()
+    pages = pages.select("page_id", "html").filter("page_id is not null and length(html) > 0")
+    # Ids first: the html of every task's candidates would add up on the driver. At most max_pages ids are broadcast.
+    chosen = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
+    rows = pages.join(F.broadcast(chosen), "page_id").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(max_pages).collect()
     parsed = [blocks(r[1]) for r in rows]
     others = [b.text for p in parsed for b in p if len(b.text) > 3] or ["text"]
     rng, found = random.Random(1), list(parsed)
