@@ -193,7 +193,7 @@ def least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: in
     order = sa[segment[sa] >= 0]
     at = np.flatnonzero(segment[sa] >= 0)
     # The shared prefix with the window before in order is the least of all values in between.
-    low = np.minimum.reduceat(shared[sa], np.append(at[:1] * 0, at[:-1] + 1)) if len(at) else at
+    low = np.minimum.reduceat(shared[sa[:at[-1] + 1]], np.append(at[:1] * 0, at[:-1] + 1)) if len(at) else at
     low = np.minimum(low, shared[order])
     cut = np.flatnonzero(np.append(True, low[1:] < window)) if len(order) else order
     least = np.minimum.reduceat(ids[segment[order]], cut) if len(order) else ids[:0]
