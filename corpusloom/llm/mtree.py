@@ -110,7 +110,7 @@ class Tree:
         for name, kind in _KINDS.items():
             setattr(self, name, np.frombuffer(row[name], kind))
         self.leaves = row["leaves"]
-        self.exact = self.vectors.reshape(-1, row["dim"]).astype(np.float64)
+        self.exact = self.vectors.reshape(len(self.id_counts), row["dim"]).astype(np.float64)
         self.x, self.norm = _lengthened(self.exact)
         self.id_starts = np.cumsum(self.id_counts) - self.id_counts
         self.slack = 1e-9 * (1.0 + np.sqrt(self.norm))
