@@ -47,3 +47,38 @@ def test_against_brute_force(spark, awkward, no_rows):
 def test_functions_only(awkward, capsys):
     licenses.scan(awkward).explain()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", capsys.readouterr().out)
+
+
+WRAPPED = {
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")",
+            "/*\n * Permission is hereby\n * granted, free of charge,\n * to any person\r\n * obtaining a copy\n * of this software\n */"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"],
+}
+
+
+def windows(text):
+    """Largest share of each template in any window of as many words, over line breaks."""
+    w, out = words(text), {}
+    for label, template in licenses.TEMPLATES:
+        t = template.split()
+        n = max(len(set(t) & set(w[i:i + len(t)])) for i in range(max(len(w) - len(t), 0) + 1))
+        if 100 * n >= licenses.PERCENT * len(set(t)):
+            out[label] = max(out.get(label, 0.0), n / len(set(t)))
+    return out
+
+
+def test_wrapped_sentences(spark):
+    """A sentence is found wherever its lines break and wherever it starts; its words scattered over lines are none."""
+    cases = [(t, label) for label, texts in WRAPPED.items() for t in texts]
+    rows = [(" ".join(f"w{j}" for j in range(n)) + "\n" + t + "\nend " * n, label) for t, label in cases for n in (0, 1, 20, 21, 22, 23, 43, 150)]
+    rows += [("\n".join(f"{x} and more words here" for x in t.split()), None) for t, _ in cases]
+    # One word lost of sixteen is tolerated, two are not.
+    rows += [("Permission is hereby granted free of charge to any\nperson obtaining a copy of this program", "mit"),
+             ("Permission is hereby granted free of charge to any\nperson obtaining a copy of the program", None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df).collect()}
+    for i, (text, label) in enumerate(rows):
+        want = windows(text)
+        assert sorted(want) == ([label] if label else [])
+        assert got[i] == (sorted(want), max(want.values(), default=0.0)), text
