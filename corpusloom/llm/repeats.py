@@ -1,15 +1,17 @@
 """Passages that documents share: every window of symbols that also starts in a document with a smaller id.
 
-Symbols are the bytes or the words of a text. The job finds exactly the windows that repeat, in three shuffles that never
-hold a group of unbounded size:
+Symbols are the bytes or the words of a text. The job finds the windows that repeat, in three shuffles:
 
 1. Marks. Each window has a *minimum*, the smallest hash of its grams; equal windows have equal minima. Runs of windows with one
    minimum are its occurrences. Each task packs the minima of its documents into one row for each shard of hash values; a shard
    reports those that occur in two documents at least. A minimum that occurs twice inside a task's pack is reported there at
-   once and sent on only once, so a passage of a third of all documents sends one entry for each pack.
+   once and sent on only once, with the number of symbols of its runs. A shard also reports the minima whose runs have more symbols
+   than a shard of step 2 should hold.
 2. Shards. Marked runs are cut out as segments and sent to the shard of their minimum, where all equal windows meet. Inside a pack,
    equal segments are sent once with their smallest id; the others are repeats already. The shard's index (a suffix
-   array, or an FM-index) says for each window the smallest id that holds it.
+   array, or an FM-index) says for each window the smallest id that holds it. The runs of a minimum that is too large for a shard (a passage
+   shorter than a window, in many documents of different context) are sent window by window instead, to the shard of the window's own
+   hash: inside a pack a window is sent once with its smallest id, and in the shard windows are compared by 128 bits of hashes.
 3. Cuts. The runs of repeated windows go back to their documents.
 """
 
@@ -45,6 +47,11 @@ class Units:
     window: int
     gram: int
 
+    @property
+    def usual(self) -> int:
+        """Symbols of the longest run whose minimum is the hash of one gram."""
+        return 2 * self.window - self.gram
+
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all texts (bytes, or hashes of words), and the number of symbols before each text."""
         if not self.words:
@@ -93,15 +100,17 @@ class Units:
         # Smallest hashes crowd at the low end; mixed again they fall evenly on the shards.
         return mixed(h[starts]), text, number, starts, length
 
-    def content_hashes(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def content_hashes(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, second: bool = False) -> np.ndarray:
         up, down = powers(1 << max(20, int(len(symbols)).bit_length()))
         total = np.zeros(len(symbols) + 1, np.uint64)
         values = symbols if self.words else byte_values()[symbols]
+        if second:
+            values = mixed(values + np.uint64(FACTOR))
         np.cumsum(values * up[:len(symbols)], out=total[1:])
         return mixed((total[starts + lengths] - total[starts]) * down[starts] + lengths.astype(np.uint64) * MIX)
 
 
-MARKED = "shard int, kind int, minimum binary, many binary, doc binary, run binary, ids binary, keys binary, pack bigint"
+MARKED = "shard int, kind int, minimum binary, many binary, weight binary, doc binary, run binary, ids binary, keys binary, pack bigint"
 SEGMENTS = "shard int, kind int, data binary, lengths binary, hashes binary, content binary, doc binary, start binary, size binary, ids binary, keys binary, pack bigint"
 FOUND = "pack bigint, doc binary, found binary, ids binary, keys binary"
 
@@ -142,26 +151,29 @@ def _numbers(row: dict, name: str, kind: type) -> np.ndarray:
 
 def _mark(units: Units, shards: int):
     def pack(held: list[tuple], ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        value, doc, run = (np.concatenate([h[i] for h in held]) for i in range(3))
+        value, doc, run, weight = (np.concatenate([h[i] for h in held]) for i in range(4))
         order = np.argsort(value, kind="stable")
-        value, doc, run = value[order], doc[order], run[order]
+        value, doc, run, weight = value[order], doc[order], run[order], weight[order]
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
         last = np.append(first[1:], len(value)) - 1
         many = doc[first] != doc[last]
         inside = np.repeat(many, last - first + 1)
         if inside.any():
             # Known to repeat: passed through, dealt out evenly.
-            yield _batch([_packed(int(ids[doc[-1]]) % shards, 0, [None, None, run[inside].astype(np.int32)], doc[inside], ids, keys, 2)], MARKED)
+            yield _batch([_packed(int(ids[doc[-1]]) % shards, 0, [None, None, None, run[inside].astype(np.int32)], doc[inside], ids, keys, 3)], MARKED)
         send = ~inside
         send[first] = True
         flag = np.zeros(len(value), bool)
         flag[first] = many
-        value, doc, run, flag = value[send], doc[send], run[send], flag[send]
+        # Symbols of all runs that an entry stands for; 0 for one run of usual length.
+        weight = np.where(weight > units.usual, weight, 0)
+        weight[first[many]] = np.minimum(np.add.reduceat(np.maximum(weight, units.usual), first), np.iinfo(np.int32).max)[many]
+        value, doc, run, flag, weight = value[send], doc[send], run[send], flag[send], weight[send]
         shard = _shards(value, shards)
         cut = np.flatnonzero(np.diff(shard, prepend=-1))
         rows = []
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=True):
-            rows.append(_packed(shard[a], 1, [value[a:b], flag[a:b], run[a:b].astype(np.int32)], doc[a:b], ids, keys, 2))
+            rows.append(_packed(shard[a], 1, [value[a:b], flag[a:b], weight[a:b].astype(np.int32), run[a:b].astype(np.int32)], doc[a:b], ids, keys, 3))
             if len(rows) == 64:
                 yield _batch(rows, MARKED)
                 rows = []
@@ -172,8 +184,8 @@ def _mark(units: Units, shards: int):
         held, ids, keys, n, size = [], [], [], 0, 0
         for batch in pieces(batches, most=PIECE):
             symbols, first = units.symbols(*flat(column(batch, "text")))
-            value, doc, number, _, _ = units.runs(symbols, first)
-            held.append((value, doc.astype(np.int32) + np.int32(n), number.astype(np.int32)))
+            value, doc, number, _, windows = units.runs(symbols, first)
+            held.append((value, doc.astype(np.int32) + np.int32(n), number.astype(np.int32), windows + units.window - 1))
             ids.append(column(batch, "doc_id").to_numpy())
             keys.append(column(batch, "key").to_numpy())
             n, size = n + batch.num_rows, size + len(value)
@@ -204,6 +216,10 @@ def _documents_of(name: str, width: int):
     """The rows of one pack as one row for each of its documents."""
     def run(table: pa.Table) -> pa.Table:
         rows = _unpacked(table)
+        if rows[0]["pack"] is None:
+            # Minima that are too large for a shard; of no document.
+            return pa.table({"doc_id": pa.nulls(len(rows), pa.int64()), "key": pa.nulls(len(rows), pa.int64()),
+                             name: pa.array([_numbers(r, "found", np.uint64).tobytes() for r in rows], pa.binary())})
         before, ids, keys = _gathered(rows)
         doc = np.concatenate([_numbers(r, "doc", np.int32) + b for r, b in zip(rows, before, strict=False)])
         values = np.concatenate([_numbers(r, "found", np.int32).reshape(-1, width) for r in rows])
@@ -223,32 +239,40 @@ def _gathered(rows: list[dict]) -> tuple[list[int], np.ndarray, np.ndarray]:
     return before.tolist(), np.concatenate(ids), np.concatenate(keys)
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Runs of a shard whose minimum occurs in two documents at least."""
-    rows = _unpacked(table)
-    before, ids, keys = _gathered(rows)
-    doc, run = [], []
-    sent = [(r, b) for r, b in zip(rows, before, strict=False) if r["kind"]]
-    if sent:
-        value = np.concatenate([_numbers(r, "minimum", np.uint64) for r, _ in sent])
-        many = np.concatenate([_numbers(r, "many", bool) for r, _ in sent])
-        d = np.concatenate([_numbers(r, "doc", np.int32) + b for r, b in sent])
-        n = np.concatenate([_numbers(r, "run", np.int32) for r, _ in sent])
-        order = np.argsort(value, kind="stable")
-        value, many, d, n = value[order], many[order], d[order], n[order]
-        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        repeated = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | np.logical_or.reduceat(many, first)
-        keep = np.repeat(repeated, np.diff(np.append(first, len(value))))
-        doc.append(d[keep])
-        run.append(n[keep])
-    for r, b in zip(rows, before, strict=False):
-        if not r["kind"]:
-            doc.append(_numbers(r, "doc", np.int32) + b)
-            run.append(_numbers(r, "run", np.int32))
-    return _by_pack(rows, np.concatenate(doc), np.concatenate(run), before)
-
-
-def _segments(units: Units, shards: int):
+def _repeated(units: Units, most: int):
+    """Runs of a shard whose minimum occurs in two documents at least; and, in a row without pack, minima of more than ``most`` symbols."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = _unpacked(table)
+        before, ids, keys = _gathered(rows)
+        doc, number, large = [], [], np.zeros(0, np.uint64)
+        sent = [(r, b) for r, b in zip(rows, before, strict=False) if r["kind"]]
+        if sent:
+            value = np.concatenate([_numbers(r, "minimum", np.uint64) for r, _ in sent])
+            many = np.concatenate([_numbers(r, "many", bool) for r, _ in sent])
+            weight = np.concatenate([_numbers(r, "weight", np.int32) for r, _ in sent])
+            d = np.concatenate([_numbers(r, "doc", np.int32) + b for r, b in sent])
+            n = np.concatenate([_numbers(r, "run", np.int32) for r, _ in sent])
+            order = np.argsort(value, kind="stable")
+            value, many, d, n = value[order], many[order], d[order], n[order]
+            first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            repeated = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | np.logical_or.reduceat(many, first)
+            keep = np.repeat(repeated, np.diff(np.append(first, len(value))))
+            doc.append(d[keep])
+            number.append(n[keep])
+            symbols = np.add.reduceat(np.maximum(weight[order], units.usual).astype(np.int64), first)
+            large = value[first[repeated & (symbols > most)]]
+        for r, b in zip(rows, before, strict=False):
+            if not r["kind"]:
+                doc.append(_numbers(r, "doc", np.int32) + b)
+                number.append(_numbers(r, "run", np.int32))
+        out = _by_pack(rows, np.concatenate(doc), np.concatenate(number), before)
+        if len(large):
+            out = pa.concat_tables([out, pa.table([[None], [None], [_squeezed(large)], [None], [None]], schema=out.schema)])
+        return out
+    return run
+
+
+def _segments(units: Units, shards: int, large: np.ndarray):
     def pack(held: list[tuple], ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         value, content, doc, start, size, symbols = (np.concatenate([h[i] for h in held]) for i in range(6))
         begin = np.cumsum(size) - size
@@ -278,8 +302,39 @@ def _segments(units: Units, shards: int):
         if rows:
             yield _batch(rows, SEGMENTS)
 
+    def pack_windows(held: list[tuple], ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        value, second, doc, start = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.lexsort((ids[doc], second, value))
+        value, second, doc, start = value[order], second[order], doc[order], start[order]
+        first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (second[1:] != second[:-1])))
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(value))))
+        later = ids[doc] > ids[doc[first]][number]
+        if later.any():
+            by, spans = merged(doc[later], start[later], start[later] + units.window)
+            yield _batch([_packed(int(value[0] % np.uint64(shards)), 0, [None] * 4 + [spans[:, 0].astype(np.int32), (spans[:, 1] - spans[:, 0]).astype(np.int32)],
+                                  by, ids, keys, 4)], SEGMENTS)
+        shard = _shards(value, shards)
+        cut = np.flatnonzero(np.diff(shard, prepend=-1))
+        rows = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=True):
+            own = first[np.searchsorted(first, a):np.searchsorted(first, b)]
+            send = a + np.flatnonzero(~later[a:b])
+            rows.append(_packed(shard[a], 2, [second[own], None, value[own], (number[send] - number[a]).astype(np.int32), start[send].astype(np.int32), None],
+                                doc[send], ids, keys, 4))
+            if len(rows) == 64:
+                yield _batch(rows, SEGMENTS)
+                rows = []
+        if rows:
+            yield _batch(rows, SEGMENTS)
+
+    def packs(held: list[tuple], single: list[tuple], ids: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from pack(held, np.concatenate(ids), np.concatenate(keys))
+        if single:
+            yield from pack_windows(single, np.concatenate(ids), np.concatenate(keys))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, keys, n, total = [], [], [], 0, 0
+        held, single, ids, keys, n, total, n_single = [], [], [], [], 0, 0, 0
         for batch in pieces(batches, most=PIECE):
             symbols, first = units.symbols(*flat(column(batch, "text")))
             value, doc, number, start, windows = units.runs(symbols, first)
@@ -287,17 +342,24 @@ def _segments(units: Units, shards: int):
             runs = np.cumsum(np.bincount(doc, minlength=batch.num_rows))
             runs = np.concatenate([[0], runs])
             at = np.concatenate([m + runs[i] for i, m in enumerate(marks)])
+            by_window = np.isin(value[at], large)
+            if by_window.any():
+                few, at = at[by_window], at[~by_window]
+                begin, of = ranges(start[few], windows[few]), np.repeat(few, windows[few])
+                size = np.full(len(begin), units.window)
+                single.append((mixed(units.content_hashes(symbols, begin, size) ^ value[of]), units.content_hashes(symbols, begin, size, second=True),
+                               doc[of] + n, begin - first[doc[of]]))
+                n_single += len(begin)
             value, doc, start, size = value[at], doc[at], start[at], windows[at] + units.window - 1
             if len(at):
                 held.append((value, units.content_hashes(symbols, start, size), doc + n, start - first[doc], size, symbols[ranges(start, size)]))
             ids.append(column(batch, "doc_id").to_numpy())
             keys.append(column(batch, "key").to_numpy())
             n, total = n + batch.num_rows, total + int(size.sum())
-            if total * (8 if units.words else 1) >= 2 * PACK_SYMBOLS:
-                yield from pack(held, np.concatenate(ids), np.concatenate(keys))
-                held, ids, keys, n, total = [], [], [], 0, 0
-        if held:
-            yield from pack(held, np.concatenate(ids), np.concatenate(keys))
+            if total * (8 if units.words else 1) >= 2 * PACK_SYMBOLS or n_single >= PACK_RUNS:
+                yield from packs(held, single, ids, keys)
+                held, single, ids, keys, n, total, n_single = [], [], [], [], 0, 0, 0
+        yield from packs(held, single, ids, keys)
     return run
 
 
@@ -313,7 +375,24 @@ def _solved(units: Units, solve: Solve):
                 doc.append(_numbers(r, "doc", np.int32) + b)
                 begin.append(start)
                 end.append(start + _numbers(r, "size", np.int32))
-        sent = [(r, b) for r, b in zip(rows, before, strict=False) if r["kind"]]
+        single = [(r, b) for r, b in zip(rows, before, strict=False) if r["kind"] == 2]
+        if single:
+            value, second = (np.concatenate([_numbers(r, c, np.uint64) for r, _ in single]) for c in ("hashes", "data"))
+            n_content = np.cumsum([0, *(len(_numbers(r, "hashes", np.uint64)) for r, _ in single)])
+            d = np.concatenate([_numbers(r, "doc", np.int32) + b for r, b in single])
+            start = np.concatenate([_numbers(r, "start", np.int32) for r, _ in single]).astype(np.int64)
+            content = np.concatenate([_numbers(r, "content", np.int32) + c for (r, _), c in zip(single, n_content, strict=False)])
+            order = np.lexsort((second, value))
+            new = np.append(True, (value[order[1:]] != value[order[:-1]]) | (second[order[1:]] != second[order[:-1]]))
+            distinct = np.empty(len(order), np.int64)
+            distinct[order] = np.cumsum(new) - 1
+            least = np.full(int(new.sum()), np.iinfo(np.int64).max)
+            np.minimum.at(least, distinct[content], ids[d])
+            hit = least[distinct[content]] < ids[d]
+            doc.append(d[hit])
+            begin.append(start[hit])
+            end.append(start[hit] + units.window)
+        sent = [(r, b) for r, b in zip(rows, before, strict=False) if r["kind"] == 1]
         if sent:
             size = np.concatenate([_numbers(r, "lengths", np.int32) for r, _ in sent]).astype(np.int64)
             hashes = np.concatenate([_numbers(r, "hashes", np.uint64) for r, _ in sent])
@@ -426,12 +505,16 @@ def cut_repeats(docs: DataFrame, units: Units, solve: Solve, characters: bool =
     with released(spark):
         size = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         marks = named.mapInArrow(_mark(units, shards := max(1, -(-size // MARK_BYTES))), MARKED)
-        marks = marks.groupBy("shard").applyInArrow(_repeated, FOUND)
+        marks = marks.groupBy("shard").applyInArrow(_repeated(units, SHARD_SYMBOLS), FOUND)
         marks = written(marks.groupBy("pack").applyInArrow(_documents_of("runs", 1), "doc_id long, key long, runs binary"), "marks")
+        # At most one minimum for every SHARD_SYMBOLS symbols of the input.
+        large = marks.filter("doc_id is null").select("runs").collect()
+        large = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.runs, np.uint64) for r in large)])
+        marks = marks.filter("doc_id is not null")
         runs = marks.agg(F.sum(F.octet_length("runs").cast("long"))).first()[0] or 0
         length = ((units.window - units.gram + 2) / 2 + units.window) / 4
         shards = max(1, int(runs * length // SHARD_SYMBOLS) + 1)
-        segments = named.join(_per_row(marks, "runs"), ["doc_id", "key"]).mapInArrow(_segments(units, shards), SEGMENTS)
+        segments = named.join(_per_row(marks, "runs"), ["doc_id", "key"]).mapInArrow(_segments(units, shards, large), SEGMENTS)
         spans = segments.groupBy("shard").applyInArrow(_solved(units, solve), FOUND)
         spans = written(spans.groupBy("pack").applyInArrow(_documents_of("spans", 2), "doc_id long, key long, spans binary"), "spans")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.xxhash64("text").alias("key"), "text")

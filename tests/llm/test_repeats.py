@@ -59,6 +59,31 @@ def test_many_shards(spark, monkeypatch, words):
     assert got(df, words, window) == brute(rows, words, window)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_short_passage_of_many_documents(spark, monkeypatch, words):
+    """A passage shorter than a window, in every document with a context of its own, does not make one large shard."""
+    monkeypatch.setattr(repeats, "SHARD_SYMBOLS", 1_000)
+    rng = random.Random(8)
+    passage = "the quick brown fox jumps over a lazy dog ok"
+    rows = [(i, " ".join(f"{rng.randrange(10**7)}" for _ in range(12)) + f" {passage} " + " ".join(f"{rng.randrange(10**7)}" for _ in range(12))) for i in range(400)]
+    # Some repeat whole windows around it.
+    rows += [(i + 400, f"n{i} {rows[7 * i][1]} {i}m" if i % 2 else rows[7 * i][1][40:-40]) for i in range(50)]
+    rng.shuffle(rows)
+    window, inner = (13, fm_index.least_ids) if words else (50, suffix_array.least_ids)
+
+    def solve(data, lengths, ids, window):
+        if len(data) > 10_000:
+            raise MemoryError(f"{len(data)} symbols in one shard")
+        return inner(data, lengths, ids, window)
+
+    units = repeats.Units(words=words, window=window, gram=6 if words else 24)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = repeats.cut_repeats(df, units, solve).collect()
+    found = sorted(((r.doc_id, r.n_symbols, r.n_removed, [[s.first, s.last] for s in r.spans], r.kept if words else bytes(r.kept)) for r in out), key=repr)
+    assert found == brute(rows, words, window)
+    assert sum(r.n_removed for r in out) > 0
+
+
 def test_characters_stay_whole(spark):
     text = "é" * 60
     rows = [(0, "x" + text), (1, "yy" + text + "z")]
