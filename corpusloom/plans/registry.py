@@ -135,7 +135,7 @@ def _ivf(n_lists: int | None, n_probe: int):
 
 def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     queries, docs = _vectors(spark, sf)
-    return _rounded(ann.search_hashes(queries, docs, ann.train_hashes(docs, 0.1, 4), TOP_K))
+    return _rounded(ann.search_hashes(queries, docs, ann.train_hashes(docs, 0.2, 4), TOP_K))
 
 
 # --- filters ------------------------------------------------------------------------------------
@@ -636,7 +636,7 @@ QUERIES = {
     "knn_threshold": knn_threshold,
     "knn_tombstone": _tombstones("post"),
     "knn_without_deleted": _tombstones("pre"),
-    "knn_ivf": _ivf(16, 4),
+    "knn_ivf": _ivf(16, 11),
     "knn_ivf_all_lists": _ivf(16, 16),
     "knn_ivf_labels": _ivf(None, 4),
     "knn_filter_operators": knn_filter_operators,

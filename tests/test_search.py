@@ -178,6 +178,16 @@ def test_hashing(spark, sf, rows):
     assert len(set(found) & exact) / len(exact) > 0.6
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+@pytest.mark.parametrize("name", ["knn_ivf", "knn_lsh"])
+def test_recall_of_registered_searches(spark, sf, rows, name, scale):
+    folder = sf.replace("sf0.001", scale)
+    exact = set(rows(registry.QUERIES["knn_l2_score"](spark, folder), "query_id", "doc_id"))
+    found = rows(registry.QUERIES[name](spark, folder), "query_id", "doc_id")
+    assert len(found) == len(set(found))
+    assert len(set(found) & exact) / len(exact) >= 0.9
+
+
 def bm25(docs, query):
     """The public BM25 formula, restated."""
     tokens = {i: text.lower().split() for i, text in docs.items()}
