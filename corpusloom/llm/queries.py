@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, decontaminate, fm_index, language, licenses, main_text, mtree, neardup, suffix_array, toxicity
+from corpusloom.llm import bpe, decontaminate, fm_index, language, licenses, main_text, merkle, mtree, neardup, suffix_array, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -174,3 +174,58 @@ def op4_main_text(spark: SparkSession, sf: str) -> DataFrame:
     pages = _table(spark, sf, "pages")
     found = main_text.extract(pages, main_text.fit(pages))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@_query
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every document, of its language and of the whole table, with what remains of the proof after tampering."""
+    docs = _table(spark, sf, "documents")
+    tampered = (_fold("doc_id", 7) == 0) & F.col("n_chars").isNotNull()
+    rows = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
+                           {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}, tampered)
+    rows = rows.withColumn("folded_root", merkle.folded(F.coalesce("altered", "leaf"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "path.digest"), 256).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256(concat({_field('doc_id')}, {_field('source')}, {_field('lang')}, {_field(n_chars)}, {_field('text')}))"
+
+
+# The CRC-32 of a decimal number, bit by bit.
+_BITS = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: list_transform(range(8), lambda k: (ascii(x) >> k) & 1)))"
+_CRC32 = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {_BITS}), lambda c, b: xor(c >> 1, CASE WHEN xor(c & 1, b) = 1 THEN 3988292384 ELSE 0 END)))"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of all levels of the trees of a table (t, i, d, n): nodes with the same t, numbered from 0, their digests, and how many there are."""
+    return f"""{name} AS (SELECT 0 AS l, t, i, d, n FROM {leaves} UNION ALL
+           SELECT l + 1, t, i // 2, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY l, t, i // 2)"""
+
+
+ORACLE["op12_merkle"] = f"""
+WITH RECURSIVE r AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS altered FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+      dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM r),
+x AS (SELECT t, i, leaf AS d, n FROM b),
+{_tree('low', 'x')},
+y AS (SELECT 0 AS t, t AS i, d, count(*) OVER () AS n FROM low WHERE n = 1),
+{_tree('high', 'y')},
+p AS (SELECT b.t, b.i, m.l AS step, m.i & 1 AS odd, o.d FROM b JOIN low m ON m.t = b.t AND m.i = b.i >> m.l AND m.n > 1
+      LEFT JOIN low o ON o.t = m.t AND o.l = m.l AND o.i = xor(m.i, 1)
+      UNION ALL
+      SELECT b.t, b.i, 100 + m.l AS step, m.i & 1 AS odd, o.d FROM b JOIN high m ON m.i = b.t >> m.l AND m.n > 1
+      LEFT JOIN high o ON o.l = m.l AND o.i = xor(m.i, 1)),
+q AS (SELECT *, row_number() OVER (PARTITION BY t, i ORDER BY step) AS k FROM p),
+f AS (SELECT t, i, 0 AS k, coalesce(altered, leaf) AS d FROM b UNION ALL
+      SELECT f.t, f.i, f.k + 1, sha256(CASE WHEN odd = 1 THEN q.d || f.d ELSE f.d || coalesce(q.d, '') END) FROM f JOIN q ON q.t = f.t AND q.i = f.i AND q.k = f.k + 1),
+z AS (SELECT t, i, arg_max(d, k) AS folded FROM f GROUP BY t, i),
+w AS (SELECT t, i, string_agg(d, '' ORDER BY k) AS proof FROM q GROUP BY t, i)
+SELECT doc_id, leaf, y.d AS subroot, h.d AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root, folded = h.d AS verified
+FROM b JOIN y ON y.i = b.t JOIN (SELECT d FROM high WHERE n = 1) h ON true JOIN z ON z.t = b.t AND z.i = b.i LEFT JOIN w ON w.t = b.t AND w.i = b.i
+"""

@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_all_are_registered():
-    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_pipeline_stages(spark, sf):
