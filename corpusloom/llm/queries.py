@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, decontaminate, fm_index, language, licenses, main_text, merkle, mtree, neardup, suffix_array, toxicity
+from corpusloom.llm import bpe, decontaminate, fm_index, language, licenses, main_text, merkle, mtree, neardup, suffix_array, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -229,3 +229,15 @@ w AS (SELECT t, i, string_agg(d, '' ORDER BY k) AS proof FROM q GROUP BY t, i)
 SELECT doc_id, leaf, y.d AS subroot, h.d AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root, folded = h.d AS verified
 FROM b JOIN y ON y.i = b.t JOIN (SELECT d FROM high WHERE n = 1) h ON true JOIN z ON z.t = b.t AND z.i = b.i LEFT JOIN w ON w.t = b.t AND w.i = b.i
 """
+
+
+#: Host and path rules; fixed values.
+URL_RULES = [url_filter.Rule("com", "/", "allow"), url_filter.Rule("example.com", "/en/", "block"), url_filter.Rule("www.example.com", "/en/", "allow"),
+             url_filter.Rule("net", "/es/", "block"), url_filter.Rule("net", "/fr/", "block")]
+
+
+@_query
+def op13_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on the URL of every page: the longest rule's, else that of a classifier trained on a small labelled table."""
+    model = url_filter.fit(url_filter.labelled_urls(spark))
+    return url_filter.judge(_table(spark, sf, "pages"), URL_RULES, model)
