@@ -125,10 +125,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS, share: float = 0.2, steps: int = 400, penalty: float = 1e-4) -> Model:
+def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS, share: float = 0.2, steps: int = 400, penalty: float = 3e-5) -> Model:
     """Fits on at most ``max_rows`` rows of ``labelled`` (``url``, ``blocked`` 0 or 1), those with the smallest hashes of their URLs.
 
-    The rows are weighted as if ``share`` of them were blocked, since a labelled table holds more bad URLs than a crawl: a URL of unknown n-grams is allowed.
+    A labelled table holds more bad URLs than a crawl, so its rows are weighted as if ``share`` of them were blocked, and the intercept is held at the log odds of that
+    share: a URL of n-grams that the table does not know gets ``share`` as its score.
 
     Rows with another label, or without ``url``, are passed over; of a repeated URL the largest label counts. Without labels of both kinds the score is the
     one label there is, or 0 without any.
@@ -136,23 +137,22 @@ def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS, share: float = 0.2, ste
     rows = (labelled.select("url", F.col("blocked").cast("int").alias("blocked")).filter("url is not null and blocked in (0, 1)").groupBy("url").agg(F.max("blocked").alias("blocked"))
             .orderBy(F.xxhash64("url"), "url").limit(max_rows).select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "blocked").toArrow())
     label = rows["blocked"].to_numpy().astype(float)
-    w = np.zeros((1 << BITS) + 1)
+    weights = np.zeros(1 << BITS)
     if not 0 < label.sum() < len(label):
-        return Model(w[:-1], 60.0 if label.sum() else -60.0)
+        return Model(weights, 60.0 if label.sum() else -60.0)
     row, index, value = features(rows["host"].combine_chunks(), rows["path"].combine_chunks())
     used, local = np.unique(index, return_inverse=True)
-    w = np.zeros(len(used) + 1)
+    w, intercept = np.zeros(len(used)), float(np.log(share / (1 - share)))
     m, v = np.zeros_like(w), np.zeros_like(w)
     weight = np.where(label == 1, share / label.sum(), (1 - share) / (1 - label).sum())
     for step in range(1, steps + 1):
-        z = np.bincount(row, value * w[local], len(label)) + w[-1]
+        z = np.bincount(row, value * w[local], len(label)) + intercept
         error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - label) * weight
-        g = np.append(np.bincount(local, value * error[row], len(used)) + penalty * w[:-1], error.sum())
+        g = np.bincount(local, value * error[row], len(used)) + penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    weights = np.zeros(1 << BITS)
-    weights[used] = w[:-1]
-    return Model(weights, float(w[-1]))
+    weights[used] = w
+    return Model(weights, intercept)
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], model: Model, threshold: float = 0.5, keep: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -332,5 +332,12 @@ http://m.brothers.test/en/744
 
 
 def labelled_urls(spark) -> DataFrame:
-    rows = [(u, 1) for u in BLOCKED.split()] + [(u, 0) for u in USUAL.split()]
+    """``url`` and ``blocked`` of the table above. Hosts also come with paths of the other kind, so that a path's shape alone says little."""
+    kinds = BLOCKED.split(), USUAL.split()
+    rows = []
+    for own, other, blocked in (kinds[0], kinds[1], 1), (kinds[1], kinds[0], 0):
+        for i, url in enumerate(own):
+            rows.append((url, blocked))
+            for shift in (0, 17, 31):
+                rows.append(("/".join(url.split("/")[:3] + other[(i + shift) % len(other)].split("/")[3:]), blocked))
     return spark.createDataFrame(rows, "url string, blocked int")
