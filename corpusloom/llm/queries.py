@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, decontaminate, fm_index, language, licenses, main_text, merkle, mtree, neardup, suffix_array, toxicity, url_filter
+from corpusloom.llm import bpe, codebooks, decontaminate, fm_index, language, licenses, main_text, merkle, mtree, neardup, suffix_array, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -241,3 +241,35 @@ def op13_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict on the URL of every page: the longest rule's, else that of a classifier trained on a small labelled table."""
     model = url_filter.fit(url_filter.labelled_urls(spark))
     return url_filter.judge(_table(spark, sf, "pages"), URL_RULES, model)
+
+
+@_query
+def op11_codebooks(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of every vector in eight codebooks of sixteen entries, with their errors."""
+    return codebooks.compress(_table(spark, sf, "embeddings").withColumnRenamed("embedding", "vector"))
+
+
+def _codebook_sql(rounds: int) -> str:
+    """Rounds of assigning parts to entries and moving the entries, one after the other; components of a part are one row each."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT r, p, arg_min(e, k) AS e, min(s) AS s FROM (SELECT *, row_number() OVER (PARTITION BY r, p ORDER BY s, e) AS k FROM (
+            SELECT z.r, z.p, c.e, sum((z.x - c.x) * (z.x - c.x)) AS s FROM z JOIN c{n} c ON z.p = c.p AND z.i = c.i GROUP BY ALL)) GROUP BY r, p)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (SELECT c.p, c.e, c.i, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (
+            SELECT a.p, a.e, z.i, (sum(z.x) - ((sum(z.x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM a{n} a JOIN z ON z.r = a.r AND z.p = a.p GROUP BY ALL) m
+            ON m.p = c.p AND m.e = c.e AND m.i = c.i)""")
+    return ",\n".join(steps)
+
+
+ORACLE["op11_codebooks"] = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, embedding FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+z AS MATERIALIZED (SELECT r, (i - 1) * 8 // n AS p, i, x FROM (SELECT r, len(embedding) AS n, generate_subscripts(embedding, 1) AS i,
+                   unnest(list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS HUGEINT))) AS x FROM v)),
+c0 AS (SELECT p, r AS e, i, x FROM z WHERE r < 16),
+{_codebook_sql(codebooks.ROUNDS)},
+w AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(s) AS BIGINT) AS error FROM a{codebooks.ROUNDS} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM c{codebooks.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN w USING (r) JOIN h ON true
+"""
