@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import mtree
@@ -12,7 +13,7 @@ def brute(rows, k):
     out = []
     for q, v in sorted({(i, tuple(v)) for i, v in good if i % 50 == 0}):
         found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))
-        out += [(q, n, i, -s) for n, (s, i) in enumerate(found[:k], 1)]
+        out += [(q, n, i, min(max(-s, -2**63), 2**63 - 1)) for n, (s, i) in enumerate(found[:k], 1)]
     return sorted(out)
 
 
@@ -22,11 +23,12 @@ def got(df, k):
 
 
 def table(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as rank", "3 as vector").repartition(3)
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as score", "2 as rank", "3 as vector").repartition(3)
 
 
 def test_clusters_ties_and_copies(spark, monkeypatch):
-    monkeypatch.setattr(mtree, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(mtree, "TOGETHER", 7)
+    monkeypatch.setattr(mtree, "TREE_ROWS", 300)
     rng = np.random.default_rng(3)
     centers = rng.normal(0, 1, (6, 8))
     rows = [(i, (centers[i % 6] + rng.normal(0, 0.1, 8)).astype(np.float32).tolist()) for i in range(900)]
@@ -54,9 +56,29 @@ def test_bounds_pass_over_entries():
     taken = []
     tree._take = lambda who, entries, *rest, f=tree._take: (taken.append(len(who) * len(entries)), f(who, entries, *rest))
     who, vec, score = tree.search(x[:50].astype(float), np.arange(50), 5)
+    score = np.array(score)
     assert sum(taken) < 50 * 4000 / 4
     for q in range(50):
         s = x @ x[q].astype(np.int64)
         s[q] = -10**9
         want = sorted(zip(-s, range(4000), strict=True))[:5]
         assert [(-a, b) for a, b in zip(score[who == q], vec[who == q], strict=True)] == [(int(a), b) for a, b in want]
+
+
+@pytest.mark.parametrize("large", [40_000.0, 3e5, 1e7, 3e38, 1e300])
+def test_large_components(spark, monkeypatch, large):
+    """Finite components of any size take part, as queries and as candidates; products that differ only in their last digits are told apart."""
+    monkeypatch.setattr(mtree, "TREE_ROWS", 200)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(0, 1, 6).tolist()) for i in range(260)]
+    rows += [(1000 + i, (rng.normal(0, 1, 6) * rng.choice([1, large, large / 7])).tolist()) for i in range(160)]
+    rows += [(2000 + i, [large, 1.0 + i / 256, 0.0, 0.0, 0.0, -large]) for i in range(60)]
+    assert got(table(spark, rows), 5) == brute(rows, 5)
+
+
+def test_queries_stay_off_the_driver(spark):
+    """One scan of the trees in the plan, however many queries there are, and none of them in a closure."""
+    rows = [(i, [float(i % 13), float(i % 7)]) for i in range(4000)]
+    vectors = table(spark, rows).select("vec_id", mtree.quantised(F.col("embedding")).alias("vector"))
+    plan = mtree.top_k(mtree.build(vectors), vectors, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 2 and "LocalTableScan" not in plan
