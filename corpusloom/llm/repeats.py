@@ -9,9 +9,9 @@ Symbols are the bytes or the words of a text. The job finds the windows that rep
    than a shard of step 2 should hold.
 2. Shards. Marked runs are cut out as segments and sent to the shard of their minimum, where all equal windows meet. Inside a pack,
    equal segments are sent once with their smallest id; the others are repeats already. The shard's index (a suffix
-   array, or an FM-index) says for each window the smallest id that holds it. The runs of a minimum that is too large for a shard (a passage
-   shorter than a window, in many documents of different context) are sent window by window instead, to the shard of the window's own
-   hash: inside a pack a window is sent once with its smallest id, and in the shard windows are compared by 128 bits of hashes.
+   array, or an FM-index) says for each window the smallest id that holds it. Each window of the runs of a minimum that is too large for a shard (a passage
+   shorter than a window, in many documents of different context) is a segment of its own, sent to the shard of the window's hash and solved there like others.
+   Hashes only bring segments together: equal ones are found by comparing their symbols.
 3. Cuts. The runs of repeated windows go back to their documents.
 """
 
@@ -100,16 +100,35 @@ class Units:
         # Smallest hashes crowd at the low end; mixed again they fall evenly on the shards.
         return mixed(h[starts]), text, number, starts, length
 
-    def content_hashes(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, second: bool = False) -> np.ndarray:
+    def content_hashes(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Hashes that equal segments share; who needs equality compares the symbols too (``same_content``)."""
         up, down = powers(1 << max(20, int(len(symbols)).bit_length()))
         total = np.zeros(len(symbols) + 1, np.uint64)
         values = symbols if self.words else byte_values()[symbols]
-        if second:
-            values = mixed(values + np.uint64(FACTOR))
         np.cumsum(values * up[:len(symbols)], out=total[1:])
         return mixed((total[starts + lengths] - total[starts]) * down[starts] + lengths.astype(np.uint64) * MIX)
 
 
+def same_content(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Segments in an order in which equal ones stand together, ``new`` where a hash differs from the one before: numbers of their groups, none of which holds two contents."""
+    first = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    lead = first[number]
+    other = np.flatnonzero((lead != np.arange(len(new))) & (size == size[lead]))
+    equal = symbols[ranges(begin[other], size[other])] == symbols[ranges(begin[lead[other]], size[other])]
+    wrong = size != size[lead]
+    if len(other):
+        wrong[other] = ~np.logical_and.reduceat(equal, np.cumsum(size[other]) - size[other])
+    if wrong.any():
+        # Different contents of one hash: their groups are made anew by the symbols themselves.
+        known: dict[tuple[int, bytes], int] = {}
+        for i in np.flatnonzero(np.isin(number, number[wrong])).tolist():
+            key = int(lead[i]), symbols[begin[i]:begin[i] + size[i]].tobytes()
+            number[i] = known.setdefault(key, -1 - len(known))
+        number = np.unique(number, return_inverse=True)[1]
+    return number
+
+
 MARKED = "shard int, kind int, minimum binary, many binary, weight binary, doc binary, run binary, ids binary, keys binary, pack bigint"
 SEGMENTS = "shard int, kind int, data binary, lengths binary, hashes binary, content binary, doc binary, start binary, size binary, ids binary, keys binary, pack bigint"
 FOUND = "pack bigint, doc binary, found binary, ids binary, keys binary"
@@ -244,7 +263,7 @@ def _repeated(units: Units, most: int):
     def run(table: pa.Table) -> pa.Table:
         rows = _unpacked(table)
         before, ids, keys = _gathered(rows)
-        doc, number, large = [], [], np.zeros(0, np.uint64)
+        doc, number, large = [], [], np.zeros((0, 2), np.uint64)
         sent = [(r, b) for r, b in zip(rows, before, strict=False) if r["kind"]]
         if sent:
             value = np.concatenate([_numbers(r, "minimum", np.uint64) for r, _ in sent])
@@ -260,7 +279,8 @@ def _repeated(units: Units, most: int):
             doc.append(d[keep])
             number.append(n[keep])
             symbols = np.add.reduceat(np.maximum(weight[order], units.usual).astype(np.int64), first)
-            large = value[first[repeated & (symbols > most)]]
+            heavy = repeated & (symbols > most)
+            large = np.stack([value[first[heavy]], symbols[heavy].astype(np.uint64)], 1)
         for r, b in zip(rows, before, strict=False):
             if not r["kind"]:
                 doc.append(_numbers(r, "doc", np.int32) + b)
@@ -279,7 +299,11 @@ def _segments(units: Units, shards: int, large: np.ndarray):
         content = mixed(content ^ mixed(value + size.astype(np.uint64)))
         order = np.lexsort((ids[doc], content, value))
         value, content, doc, start, size, begin = (x[order] for x in (value, content, doc, start, size, begin))
-        first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (content[1:] != content[:-1])))
+        number = same_content(symbols, begin, size, np.append(True, (value[1:] != value[:-1]) | (content[1:] != content[:-1])))
+        if (number[1:] < number[:-1]).any():
+            order = np.lexsort((ids[doc], number, value))
+            value, content, doc, start, size, begin, number = (x[order] for x in (value, content, doc, start, size, begin, number))
+        first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
         number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(value))))
         later = ids[doc] > ids[doc[first]][number]
         if later.any():
@@ -302,39 +326,8 @@ def _segments(units: Units, shards: int, large: np.ndarray):
         if rows:
             yield _batch(rows, SEGMENTS)
 
-    def pack_windows(held: list[tuple], ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        value, second, doc, start = (np.concatenate([h[i] for h in held]) for i in range(4))
-        order = np.lexsort((ids[doc], second, value))
-        value, second, doc, start = value[order], second[order], doc[order], start[order]
-        first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (second[1:] != second[:-1])))
-        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(value))))
-        later = ids[doc] > ids[doc[first]][number]
-        if later.any():
-            by, spans = merged(doc[later], start[later], start[later] + units.window)
-            yield _batch([_packed(int(value[0] % np.uint64(shards)), 0, [None] * 4 + [spans[:, 0].astype(np.int32), (spans[:, 1] - spans[:, 0]).astype(np.int32)],
-                                  by, ids, keys, 4)], SEGMENTS)
-        shard = _shards(value, shards)
-        cut = np.flatnonzero(np.diff(shard, prepend=-1))
-        rows = []
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=True):
-            own = first[np.searchsorted(first, a):np.searchsorted(first, b)]
-            send = a + np.flatnonzero(~later[a:b])
-            rows.append(_packed(shard[a], 2, [second[own], None, value[own], (number[send] - number[a]).astype(np.int32), start[send].astype(np.int32), None],
-                                doc[send], ids, keys, 4))
-            if len(rows) == 64:
-                yield _batch(rows, SEGMENTS)
-                rows = []
-        if rows:
-            yield _batch(rows, SEGMENTS)
-
-    def packs(held: list[tuple], single: list[tuple], ids: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if held:
-            yield from pack(held, np.concatenate(ids), np.concatenate(keys))
-        if single:
-            yield from pack_windows(single, np.concatenate(ids), np.concatenate(keys))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, single, ids, keys, n, total, n_single = [], [], [], [], 0, 0, 0
+        held, ids, keys, n, total = [], [], [], 0, 0
         for batch in pieces(batches, most=PIECE):
             symbols, first = units.symbols(*flat(column(batch, "text")))
             value, doc, number, start, windows = units.runs(symbols, first)
@@ -343,26 +336,40 @@ def _segments(units: Units, shards: int, large: np.ndarray):
             runs = np.concatenate([[0], runs])
             at = np.concatenate([m + runs[i] for i, m in enumerate(marks)])
             by_window = np.isin(value[at], large)
-            if by_window.any():
-                few, at = at[by_window], at[~by_window]
-                begin, of = ranges(start[few], windows[few]), np.repeat(few, windows[few])
-                size = np.full(len(begin), units.window)
-                single.append((mixed(units.content_hashes(symbols, begin, size) ^ value[of]), units.content_hashes(symbols, begin, size, second=True),
-                               doc[of] + n, begin - first[doc[of]]))
-                n_single += len(begin)
-            value, doc, start, size = value[at], doc[at], start[at], windows[at] + units.window - 1
-            if len(at):
-                held.append((value, units.content_hashes(symbols, start, size), doc + n, start - first[doc], size, symbols[ranges(start, size)]))
+            few, at = at[by_window], at[~by_window]
+            # A window of a run that is dealt by window is a segment of its own.
+            begin, of = ranges(start[few], windows[few]), np.repeat(few, windows[few])
+            place = [(value[at], doc[at], start[at], windows[at] + units.window - 1)]
+            if len(few):
+                width = np.full(len(begin), units.window)
+                place.append((mixed(units.content_hashes(symbols, begin, width) ^ value[of]), doc[of], begin, width))
+            for v, d, s, size in place:
+                for a, b in _stretches(size):
+                    own = slice(a, b)
+                    held.append((v[own], units.content_hashes(symbols, s[own], size[own]), d[own] + n, s[own] - first[d[own]], size[own], symbols[ranges(s[own], size[own])]))
+                    total += int(size[own].sum())
+                    if total * (8 if units.words else 1) >= 2 * PACK_SYMBOLS:
+                        yield from pack(held, np.concatenate([*ids, column(batch, "doc_id").to_numpy()]), np.concatenate([*keys, column(batch, "key").to_numpy()]))
+                        held, total = [], 0
             ids.append(column(batch, "doc_id").to_numpy())
             keys.append(column(batch, "key").to_numpy())
-            n, total = n + batch.num_rows, total + int(size.sum())
-            if total * (8 if units.words else 1) >= 2 * PACK_SYMBOLS or n_single >= PACK_RUNS:
-                yield from packs(held, single, ids, keys)
-                held, single, ids, keys, n, total, n_single = [], [], [], [], 0, 0, 0
-        yield from packs(held, single, ids, keys)
+            n += batch.num_rows
+            if not held:
+                ids, keys, n = [], [], 0
+        if held:
+            yield from pack(held, np.concatenate(ids), np.concatenate(keys))
     return run
 
 
+def _stretches(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive segments of about ``PACK_SYMBOLS`` symbols together."""
+    total, start = np.cumsum(size), 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PACK_SYMBOLS, "right")))
+        yield start, end
+        start = end
+
+
 def _solved(units: Units, solve: Solve):
     """Spans of symbols to be cut, of a shard's segments."""
     def run(table: pa.Table) -> pa.Table:
@@ -375,23 +382,6 @@ def _solved(units: Units, solve: Solve):
                 doc.append(_numbers(r, "doc", np.int32) + b)
                 begin.append(start)
                 end.append(start + _numbers(r, "size", np.int32))
-        single = [(r, b) for r, b in zip(rows, before, strict=False) if r["kind"] == 2]
-        if single:
-            value, second = (np.concatenate([_numbers(r, c, np.uint64) for r, _ in single]) for c in ("hashes", "data"))
-            n_content = np.cumsum([0, *(len(_numbers(r, "hashes", np.uint64)) for r, _ in single)])
-            d = np.concatenate([_numbers(r, "doc", np.int32) + b for r, b in single])
-            start = np.concatenate([_numbers(r, "start", np.int32) for r, _ in single]).astype(np.int64)
-            content = np.concatenate([_numbers(r, "content", np.int32) + c for (r, _), c in zip(single, n_content, strict=False)])
-            order = np.lexsort((second, value))
-            new = np.append(True, (value[order[1:]] != value[order[:-1]]) | (second[order[1:]] != second[order[:-1]]))
-            distinct = np.empty(len(order), np.int64)
-            distinct[order] = np.cumsum(new) - 1
-            least = np.full(int(new.sum()), np.iinfo(np.int64).max)
-            np.minimum.at(least, distinct[content], ids[d])
-            hit = least[distinct[content]] < ids[d]
-            doc.append(d[hit])
-            begin.append(start[hit])
-            end.append(start[hit] + units.window)
         sent = [(r, b) for r, b in zip(rows, before, strict=False) if r["kind"] == 1]
         if sent:
             size = np.concatenate([_numbers(r, "lengths", np.int32) for r, _ in sent]).astype(np.int64)
@@ -402,14 +392,13 @@ def _solved(units: Units, solve: Solve):
             content = np.concatenate([_numbers(r, "content", np.int32) + c for (r, _), c in zip(sent, n_content, strict=False)])
             data = np.concatenate([_numbers(r, "data", np.uint64 if units.words else np.uint8) for r, _ in sent])
             order = np.argsort(hashes, kind="stable")
-            new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])
+            at = np.cumsum(size) - size
             distinct = np.empty(len(order), np.int64)
-            distinct[order] = np.cumsum(new) - 1
-            chosen = order[new]
+            distinct[order] = same_content(data, at[order], size[order], np.append(True, hashes[order[1:]] != hashes[order[:-1]]))
+            chosen = np.unique(distinct, return_index=True)[1]
             content = distinct[content]
             least = np.full(len(chosen), np.iinfo(np.int64).max)
             np.minimum.at(least, content, ids[d])
-            at = np.cumsum(size) - size
             data, size = data[ranges(at[chosen], size[chosen])], size[chosen]
             smallest = solve(data, size, least, units.window)
             windows = size - units.window + 1
@@ -507,13 +496,14 @@ def cut_repeats(docs: DataFrame, units: Units, solve: Solve, characters: bool =
         marks = named.mapInArrow(_mark(units, shards := max(1, -(-size // MARK_BYTES))), MARKED)
         marks = marks.groupBy("shard").applyInArrow(_repeated(units, SHARD_SYMBOLS), FOUND)
         marks = written(marks.groupBy("pack").applyInArrow(_documents_of("runs", 1), "doc_id long, key long, runs binary"), "marks")
-        # At most one minimum for every SHARD_SYMBOLS symbols of the input.
-        large = marks.filter("doc_id is null").select("runs").collect()
-        large = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.runs, np.uint64) for r in large)])
+        # At most one minimum, with the symbols of its runs, for every SHARD_SYMBOLS symbols of the input.
+        found = marks.filter("doc_id is null").select("runs").collect()
+        found = np.concatenate([np.zeros((0, 2), np.uint64), *(np.frombuffer(r.runs, np.uint64).reshape(-1, 2) for r in found)])
+        large, by_window = found[:, 0], float(found[:, 1].sum()) * (units.window - units.gram + 1) / units.usual * units.window
         marks = marks.filter("doc_id is not null")
         runs = marks.agg(F.sum(F.octet_length("runs").cast("long"))).first()[0] or 0
         length = ((units.window - units.gram + 2) / 2 + units.window) / 4
-        shards = max(1, int(runs * length // SHARD_SYMBOLS) + 1)
+        shards = max(1, int((runs * length + by_window) // SHARD_SYMBOLS) + 1)
         segments = named.join(_per_row(marks, "runs"), ["doc_id", "key"]).mapInArrow(_segments(units, shards, large), SEGMENTS)
         spans = segments.groupBy("shard").applyInArrow(_solved(units, solve), FOUND)
         spans = written(spans.groupBy("pack").applyInArrow(_documents_of("spans", 2), "doc_id long, key long, spans binary"), "spans")

@@ -3,8 +3,7 @@
 Suffixes are classed as smaller (S) or larger (L) than the next one. Leftmost S substrings (LMS) are sorted by
 inducing from their first characters, named, and the string of names is sorted in the same way; then all
 suffixes are induced from the sorted LMS suffixes, in time linear in the text. Inducing goes bucket by bucket, and what a
-bucket hands on is one numpy step. A reduced string with so many names that its buckets would hold a handful
-of suffixes each is sorted by prefix doubling instead.
+bucket hands on is one numpy step; a string of so many names that its buckets hold a handful of suffixes each is induced one suffix at a time.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ from pyspark.sql import DataFrame
 from corpusloom.llm.batches import ranges, words8
 from corpusloom.llm.repeats import Units, cut_repeats
 
-# Mean size of a bucket from which inducing beats doubling.
-BUCKET = 300
+# Mean size of a bucket from which inducing it as a whole beats one suffix at a time.
+BUCKET = 100
 
 
 def ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +53,36 @@ def smaller(t: np.ndarray) -> np.ndarray:
 
 def _induce(t: np.ndarray, lms: np.ndarray, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """All suffixes in the order that the order of the given LMS suffixes leads to; ``starts``: first place of each character's bucket."""
+    return (_induce_buckets if len(t) >= BUCKET * len(starts) else _induce_each)(t, lms, s, starts)
+
+
+def _induce_each(t: np.ndarray, lms: np.ndarray, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    # Lists are faster than arrays for single items.
+    n = len(t)
+    smaller_before, character_before = [False, *s[:-1].tolist()], [0, *t[:-1].tolist()]
+    sa = [-1] * n
+    tail = starts[1:].tolist()
+    for i, c in zip(reversed(lms.tolist()), reversed(t[lms].tolist()), strict=True):
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = starts[:-1].tolist()
+    for at in range(n):
+        i = sa[at]
+        if i > 0 and not smaller_before[i]:
+            c = character_before[i]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = starts[1:].tolist()
+    for at in range(n - 1, -1, -1):
+        i = sa[at]
+        if i > 0 and smaller_before[i]:
+            c = character_before[i]
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    return np.array(sa, np.int32)
+
+
+def _induce_buckets(t: np.ndarray, lms: np.ndarray, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n = len(t)
     sa = np.empty(n, np.int32)
     n_lms = np.bincount(t[lms], minlength=len(starts) - 1)
@@ -135,10 +164,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     names = int(reduced.max()) + 1
     if names == len(lms):
         order = np.argsort(reduced)
-    elif len(lms) >= BUCKET * names:
-        order = suffix_array(reduced)
     else:
-        order = doubled(reduced)
+        order = suffix_array(reduced)
     return _induce(t, lms[order], s, starts)
 
 

@@ -84,6 +84,31 @@ def test_short_passage_of_many_documents(spark, monkeypatch, words):
     assert sum(r.n_removed for r in out) > 0
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_patterns_that_polynomials_do_not_tell_apart(spark, words):
+    """Words and texts of Thue-Morse patterns differ, and so do those of any length around the sizes that are hashed in one piece."""
+    long = [thue_morse(n, a, b) for n in (7, 8, 9, 16, 255, 256, 257, 512, 1024, 2048) for a, b in (("x", "y"), ("y", "x"))]
+    rows = [(i, " ".join([w, *(f"w{j}" for j in range(12))])) for i, w in enumerate(long)]
+    rows += [(100 + i, " ".join(thue_morse(600, *p))) for i, p in enumerate(("xy", "yx"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    window = 13 if words else 50
+    assert got(df, words, window) == brute(rows, words, window)
+
+
+def test_equal_hashes_of_different_contents(monkeypatch):
+    """Segments that share a hash only are told apart by their symbols."""
+    segments = [b"aaaa", b"bbbb", b"aaaa", b"cc", b"bbbb", b"cc", b"dd"]
+    symbols = np.frombuffer(b"".join(segments), np.uint8)
+    size = np.array([len(x) for x in segments])
+    number = repeats.same_content(symbols, np.cumsum(size) - size, size, np.array([True, False, False, False, False, False, True]))
+    assert len(set(number.tolist())) == 4
+    assert all((number[i] == number[j]) == (segments[i] == segments[j]) for i in range(7) for j in range(7))
+
+
 def test_characters_stay_whole(spark):
     text = "é" * 60
     rows = [(0, "x" + text), (1, "yy" + text + "z")]
