@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier of character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A feature is an n-gram of three to six bytes of the text in lower case, present or not. Its value is the log ratio of
-its smoothed document rates in toxic and other training texts, so n-grams that tell nothing are near zero whatever
-weight they get. A logistic regression over the features of the largest, best supported ratios gives the score.
+A feature is an n-gram of three to six characters of the text in lower case (A-Z), present or not. Its value is the log ratio of
+its smoothed document rates in toxic and other training texts. Every n-gram that stands in enough training texts and whose rates differ
+enough is a feature, however many there are; a logistic regression over them gives the score.
 """
 
 from __future__ import annotations
@@ -14,42 +14,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.batches import column, flat, pieces, words8
+from corpusloom.llm.batches import column, pieces
 
 ORDERS = (3, 4, 5, 6)
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hashes of their ids.
 TRAIN_ROWS = 5_000
-FEATURES = 4_096
+#: Training texts that an n-gram must stand in, and the least size of its log ratio; both are thresholds, not caps.
 LEAST_SUPPORT = 4
+LEAST_RATIO = 1.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
-FILTER_BITS = 20
+FILTER_BITS = 24
 
 
-def _byte_table() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint8)
-    table[ord("A"):ord("Z") + 1] += 32
-    table[[9, 10, 11, 12, 13]] = 32
-    return table
+SPACES = (9, 10, 11, 12, 13)
 
 
-TABLE = _byte_table()
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, A-Z in lower case and white space as blanks, and the offsets of each; a null counts as empty."""
+    raw = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts.to_pylist()]
+    data = np.frombuffer(b"".join(raw), np.uint32).copy()
+    data[(data >= ord("A")) & (data <= ord("Z"))] += 32
+    data[np.isin(data, SPACES)] = 32
+    return data, np.cumsum([0, *(len(r) // 4 for r in raw)])
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the n-grams as numbers, and the positions at which they begin. Texts are edged with a space."""
+    """For each order: the n-grams as hashes of 64 bits, and the positions at which they begin. Texts are edged with a space."""
     n = len(offsets) - 1
-    out = np.full(len(data) + 2 * n, 32, np.uint8)
-    data = TABLE[data]
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        out[a + 2 * i + 1:b + 2 * i + 1] = data[a:b]
-    eight = words8(out)[:-1]
+    out = np.full(len(data) + 2 * n, 32, np.uint64)
+    out[np.arange(len(data)) + 2 * np.repeat(np.arange(n), np.diff(offsets)) + 1] = data
     ends = offsets[1:] + 2 * np.arange(1, n + 1)
-    for order in ORDERS:
-        whole = np.ones(len(out), bool)
-        for back in range(1, order):
-            whole[np.maximum(ends - back, 0)] = False
-        at = np.flatnonzero(whole)
-        yield (eight[at] & np.uint64((1 << 8 * order) - 1)) | np.uint64(order << 56), at
+    h = out.copy()
+    for order in range(2, max(ORDERS) + 1):
+        h = h[:-1] * MIX + out[order - 1:] if len(h) else h
+        if order in ORDERS:
+            whole = np.ones(len(h), bool)
+            for back in range(1, order):
+                whole[(ends - back)[ends - back < len(h)]] = False
+            at = np.flatnonzero(whole)
+            gram = (h[at] ^ (h[at] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(order)
+            yield gram ^ (gram >> np.uint64(32)), at
 
 
 def documents_of(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -86,7 +90,7 @@ class Model:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        data, offsets = flat(column(batch, "text"))
+        data, offsets = characters(column(batch, "text"))
         toxic = column(batch, "toxic").to_numpy(zero_copy_only=False)
         for gram, at in grams(data, offsets):
             doc = documents_of(at, offsets)
@@ -103,7 +107,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(hits), pa.array(rows)], ["gram", "toxic", "rows"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
+def ratios(rows: DataFrame, n: int, n_toxic: int, least_support: int, least_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams in order, and the log ratio of each, of ``rows`` (``text``, ``toxic``), of which there are ``n`` and ``n_toxic`` toxic ones."""
+    seen = rows.mapInArrow(_counts, "gram long, toxic long, rows long").groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum("rows").alias("r"))
+    ratio = F.log((F.col("t") + 1) / (n_toxic + 1)) - F.log((F.col("r") - F.col("t") + 1) / (n - n_toxic + 1))
+    # The n-grams of at most max_rows texts that stand in several of them.
+    best = (seen.filter(F.col("r") >= least_support).withColumn("ratio", ratio).filter(F.abs("ratio") >= least_ratio).select("gram", "ratio").toArrow())
+    gram, ratio = best["gram"].to_numpy().view(np.uint64), best["ratio"].to_numpy()
+    order = np.argsort(gram)
+    return gram[order], ratio[order]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, least_support: int = LEAST_SUPPORT, least_ratio: float = LEAST_RATIO) -> Model:
     """Fits on at most ``max_rows`` rows of ``labels`` (``doc_id``, ``toxic`` 0 or 1), a bounded sample by hash of the id.
 
     Labels that are null or neither 0 nor 1, ids that are null, and rows without a text are passed over; of a repeated id the
@@ -113,19 +128,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, features
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     # At most max_rows pairs of numbers are broadcast.
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    n, n_toxic = chosen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_toxic < n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 60.0 if n and n_toxic == n else -60.0)
-    seen = rows.mapInArrow(_counts, "gram long, toxic long, rows long").groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum("rows").alias("r"))
-    ratio = F.log((F.col("t") + 1) / (n_toxic + 1)) - F.log((F.col("r") - F.col("t") + 1) / (n - n_toxic + 1))
-    best = (seen.filter(F.col("r") >= LEAST_SUPPORT).withColumn("ratio", ratio)
-            .orderBy(F.desc(F.abs("ratio") * F.sqrt("r")), "gram").limit(features).select("gram", "ratio").toPandas())
-    order = np.argsort(best["gram"].to_numpy().view(np.uint64))
-    model = Model(best["gram"].to_numpy().view(np.uint64)[order], best["ratio"].to_numpy()[order], 0.0)
+    model = Model(*ratios(rows, n, n_toxic, least_support, least_ratio), 0.0)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            doc, feature = model.present(*flat(column(batch, "text")))
+            doc, feature = model.present(*characters(column(batch, "text")))
             sort = np.argsort(doc, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature[sort].astype(np.int32)))
@@ -160,7 +170,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1) of the whole ``text``; one row per row. Null counts as an empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=1 << 20):
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(model.score(*flat(column(batch, "text"))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(model.score(*characters(column(batch, "text"))))], ["doc_id", "score"])
 
     docs = docs.select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -170,7 +180,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and ``toxicity_score``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=1 << 20):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(*flat(column(batch, "text"))))], [*batch.schema.names, "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(*characters(column(batch, "text"))))], [*batch.schema.names, "toxicity_score"])
 
     from pyspark.sql.types import DoubleType, StructType
 

@@ -34,6 +34,33 @@ def test_toxicity_of_awkward_rows(spark, awkward, no_rows):
     assert kept.columns == [*awkward.columns, "toxicity_score"] and kept.count() == len(awkward_rows())
 
 
+def plain_grams(text):
+    """Distinct n-grams of three to six characters of an edged text."""
+    text = " " + "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in "\t\n\v\f\r" else c for c in text or "") + " "
+    return {text[i:i + n] for n in (3, 4, 5, 6) for i in range(len(text) - n + 1)}
+
+
+def test_toxicity_by_hand(spark):
+    """Ratios of all supported n-grams, and the features of each text, against plain sets of characters."""
+    texts = ["Dreadful Ring", "dreadful\tring!", "a ring", "über 東京東京", "東京東京 x", "x", "", "\U0001f600\U0001f600 ring", "dreadful 東京東京"] * 3
+    rows = [(i, t, int("readful" in t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    n_toxic = sum(r[2] for r in rows)
+    counts = {}
+    for _, t, toxic in rows:
+        for g in plain_grams(t):
+            hits, all_ = counts.get(g, (0, 0))
+            counts[g] = hits + toxic, all_ + 1
+    want = {g: np.log((t + 1) / (n_toxic + 1)) - np.log((r - t + 1) / (len(rows) - n_toxic + 1)) for g, (t, r) in counts.items() if r >= 4}
+    want = {g: v for g, v in want.items() if abs(v) >= 0.5}
+    gram, ratio = toxicity.ratios(df, len(rows), n_toxic, 4, 0.5)
+    assert np.allclose(np.sort(ratio), sorted(want.values()))
+    model = toxicity.Model(gram, ratio, -0.25)
+    for r in toxicity.score(df, model).collect():
+        z = sum(want.get(g, 0.0) for g in plain_grams(texts[r.doc_id])) - 0.25
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity_learns_words_and_not_length(spark):
     rng = np.random.default_rng(4)
     plain = ["river", "stone", "cloud", "garden", "window", "paper", "silver", "mountain"]

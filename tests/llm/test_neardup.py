@@ -66,6 +66,14 @@ def test_groups_of_near_copies(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), 2) == brute(rows, 2)
 
 
+def test_patterned_words_are_told_apart(spark):
+    def pattern(n, a, b):
+        return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+    rows = [(i, " ".join([pattern(n, *p), "one", "two"])) for i, (n, p) in enumerate((n, p) for n in (8, 256, 512, 1024, 2048) for p in ("xy", "yx"))]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 2) == brute(rows, 2)
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     least = neardup.least_matches(0.8)
     assert least[0] <= 0 and all(0.5 * n < m < 0.8 * n for n, m in zip(range(96, 289, 32), least[3:], strict=True))
