@@ -4,8 +4,9 @@ Exact search compares every query with every document of its cell. As a join tha
 pairs; here a task scores one block of documents against one block of queries as a matrix and emits
 the block's best k per query only:
 
-* ``broadcast_topk``: the queries are measured and cut into blocks within the bound, each of which is sent to every executor.
-  Documents are scanned where they lie, once for each block of queries, and never shuffled.
+* ``broadcast_topk``: queries whose measured bytes are within the bound go to every executor. Documents are scanned where they lie.
+* ``paired_topk``: a larger query table is dealt to bounded parts of the documents as rows of one plan: a task takes in the
+  documents of a part and then its queries, batch by batch. No query passes through the driver, and each table is scanned once.
 
 ``cell_topk`` is the same for sides that carry a cell (an inverted list, a hash bucket): only rows of
 one cell meet, and cells above the block bound, on either side, are split into such blocks, so a cell
@@ -14,17 +15,17 @@ that holds a third of all rows becomes many tasks of bounded size.
 A final window keeps k rows per query; its input is k rows per query and block.
 
 A *kernel* turns Arrow data into costs (smaller is better, infinity is last, NaN is excluded):
-``load(queries)`` takes the query block, ``costs(documents)`` yields ``(ids, matrix)``.
+``load(queries)`` takes the query block, ``costs(documents)`` yields ``(ids, matrix)``; see ``Kernel``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.schemas import BlockLimits
 from corpusloom.session import written
@@ -52,6 +53,11 @@ class BestK:
             if self.pending > max(1 << 18, 2 * self.n_rows * self.k):
                 self.merge()
 
+    def take(self, row: int, ids: np.ndarray, cost: np.ndarray) -> None:
+        """Candidates of one query."""
+        self.parts.append((np.full(len(ids), row), cost, ids))
+        self.pending += len(ids)
+
     def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
             return np.empty(0, int), np.empty(0), np.empty(0, int)
@@ -66,38 +72,58 @@ class BestK:
         return rows, cost, ids
 
 
+class Kernel:
+    """Best k of a block of queries over documents that are held in memory."""
+
+    def hold(self, docs: list[pa.RecordBatch]) -> None:
+        self.held = docs
+
+    def best(self, queries: pa.Table, k: int) -> BestK:
+        self.load(queries)
+        best = BestK(queries.num_rows, k)
+        for batch in self.held:
+            for ids, cost in self.costs(batch):
+                best.offer(ids, cost)
+        return best
+
+
 def id_array(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
     return values.astype("U") if values.dtype == object else values
 
 
-def _hits(best: BestK, query_ids: pa.Array, doc_type: pa.DataType) -> pa.Table:
+def hit_table(best: BestK, query_ids: pa.Array, doc_type: pa.DataType) -> pa.Table:
     rows, cost, ids = best.merge()
     doc_ids = pa.array(ids.tolist() if ids.dtype.kind == "U" else ids, type=doc_type)
     cost = pa.array(cost, mask=np.isinf(cost))
     return pa.table([query_ids.take(pa.array(rows)), doc_ids, cost], names=list(HIT_FIELDS))
 
 
-def _hit_schema(queries: DataFrame, docs: DataFrame) -> T.StructType:
+def hit_schema(queries: DataFrame, docs: DataFrame) -> T.StructType:
     return T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("doc_id", docs.schema["doc_id"].dataType),
+        T.StructField("doc_id", docs.schema["doc_id"].dataType if "doc_id" in docs.columns else docs.schema["ids"].dataType.elementType),
         T.StructField("cost", T.DoubleType()),
     ])
 
 
-def block_topk(queries: DataFrame, docs: DataFrame, payload_bytes: Column, kernel, k: int,
+def block_topk(queries: DataFrame, docs: DataFrame, payload_bytes: Column, kernel: Kernel, k: int,
                limits: BlockLimits = BlockLimits()) -> DataFrame:
     """Best k documents per query over the whole document table: ``query_id, doc_id, rank, cost``.
 
-    ``payload_bytes`` is the size of one query row. The query table is read twice (measure, ship):
-    pass a written table when it is costly or not repeatable.
+    ``payload_bytes`` is the size of one row of either side. The query table is read twice (measure, ship), and so are
+    the documents if the queries are too many for a broadcast: pass written tables when they are costly or not repeatable.
     """
-    measured = queries.agg(F.count("*"), F.coalesce(F.sum(payload_bytes), F.lit(0))).first()
-    blocks = max(1, -(-measured[1] // limits.broadcast_bytes))
-    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [queries.filter(place == i) if blocks > 1 else queries for i in range(blocks)]
-    hits = reduce(DataFrame.union, [broadcast_topk(part, docs, kernel, k) for part in parts])
+    size = queries.agg(F.coalesce(F.sum(payload_bytes), F.lit(0))).first()[0]
+    if size <= limits.broadcast_bytes:
+        hits = broadcast_topk(queries, docs, kernel, k)
+    else:
+        shared = [c for c in docs.columns if c in queries.columns]
+        n_docs, doc_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(payload_bytes if shared else F.lit(0)), F.lit(0))).first()
+        n_parts = max(1, -(-n_docs // limits.doc_rows), -(-doc_bytes // limits.doc_bytes))
+        # No key decides the part, so copies of one id don't fill one task.
+        parts = docs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(n_parts)))
+        hits = paired_topk(queries, parts, n_parts, kernel, k, limits)
     if limits.reduce_groups > 1:
         # Tasks x queries x k rows would meet in the final cut: groups of tasks are cut first.
         group = F.pmod(F.spark_partition_id(), F.lit(limits.reduce_groups))
@@ -115,7 +141,48 @@ def best_per_query(hits: DataFrame, k: int) -> DataFrame:
             .select("query_id", "doc_id", "rank", "cost"))
 
 
-def broadcast_topk(queries: DataFrame, docs: DataFrame, kernel, k: int) -> DataFrame:
+def paired_topk(queries: DataFrame, docs: DataFrame, n_parts: int, kernel: Kernel, k: int, limits: BlockLimits) -> DataFrame:
+    """Every query against every ``part`` (0 to ``n_parts`` - 1) of the documents, which a task must be able to hold.
+
+    Returns up to k rows per query and part.
+    """
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))
+    asked = queries.withColumn("part", F.explode(parts)).withColumn("__asked", F.lit(True))
+    both = docs.withColumn("__asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    both = both.repartition(n_parts, "part").sortWithinPartitions("part", "__asked")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, docs, ready = None, [], False
+        for batch in batches:
+            for at, asking, rows in _stretches(batch, limits.query_rows):
+                if at != part:
+                    part, docs, ready = at, [], False
+                if not asking:
+                    docs.append(rows)
+                    continue
+                if not ready:
+                    kernel.hold(docs)
+                    ready = True
+                if docs:
+                    table = pa.Table.from_batches([rows])
+                    yield from hit_table(kernel.best(table, k), table.column("query_id").combine_chunks(), doc_type).to_batches()
+
+    doc_type = to_arrow_type(docs.schema["doc_id"].dataType) if "doc_id" in docs.columns else to_arrow_type(docs.schema["ids"].dataType.elementType)
+    return both.mapInArrow(search, hit_schema(queries, docs))
+
+
+def _stretches(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """Consecutive rows of one part that are all documents, or up to ``most`` queries."""
+    asked = batch.column(batch.schema.get_field_index("__asked")).to_numpy(zero_copy_only=False)
+    key = batch.column(batch.schema.get_field_index("part")).to_numpy() * 2 + asked
+    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+        step = most if asked[a] else b - a
+        for start in range(a, b, max(step, 1)):
+            yield int(key[a]) // 2, bool(asked[a]), batch.slice(start, min(step, b - start))
+
+
+def broadcast_topk(queries: DataFrame, docs: DataFrame, kernel: Kernel, k: int) -> DataFrame:
     """Map-side form. The caller has checked that the query block is small."""
     table = queries.toArrow()
     shared = queries.sparkSession.sparkContext.broadcast(table)
@@ -130,9 +197,9 @@ def broadcast_topk(queries: DataFrame, docs: DataFrame, kernel, k: int) -> DataF
                 best.offer(ids, cost)
         if doc_type is not None:
             query_ids = block.column("query_id").combine_chunks()
-            yield from _hits(best, query_ids, doc_type).to_batches()
+            yield from hit_table(best, query_ids, doc_type).to_batches()
 
-    return docs.mapInArrow(search, _hit_schema(queries, docs))
+    return docs.mapInArrow(search, hit_schema(queries, docs))
 
 
 def cell_topk(queries: DataFrame, docs: DataFrame, kernel, k: int,
@@ -171,11 +238,11 @@ def _search_blocks(cell: list[str], queries: DataFrame, docs: DataFrame, kernel,
             for batch in doc_table.combine_chunks().to_batches():
                 for ids, cost in kernel.costs(batch):
                     best.offer(ids, cost)
-        return _hits(best, query_ids, doc_type)
+        return hit_table(best, query_ids, doc_type)
 
     keys = [*cell, "doc_part", "query_part"]
     return (doc_blocks.groupBy(*keys).cogroup(query_blocks.groupBy(*keys))
-            .applyInArrow(search, _hit_schema(queries, docs)))
+            .applyInArrow(search, hit_schema(queries, docs)))
 
 
 def _large_cells(side: DataFrame, bound: int, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import filters, scores
-from corpusloom.operators.block_topk import block_topk, id_array
+from corpusloom.operators.block_topk import Kernel, block_topk, id_array
 from corpusloom.schemas import BlockLimits
 from corpusloom.session import join_keys, match_few, written
 
@@ -28,7 +28,7 @@ def vector_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-class VectorKernel:
+class VectorKernel(Kernel):
     """Costs of one query block against document vectors, rounded to six decimals.
 
     Copies of a vector tie exactly after rounding, so the cut at k does not depend on how the rows

@@ -285,6 +285,10 @@ ORACLE: dict[str, str] = {
     "bm25_term_stats": _with("SELECT token, df, round(idf, 6) AS idf FROM idf", DOC_TOKENS, *IDF),
     "bm25_topk": _with(f"SELECT query_id, doc_id, rank, score FROM bm_ranked WHERE rank <= {KEYWORD_K}", *KEYWORDS),
     "bm25_blocks": _with(f"SELECT query_id, doc_id, rank, score FROM bm_ranked WHERE rank <= {KEYWORD_K}", *KEYWORDS),
+    "bm25_updated": _with(
+        f"SELECT query_id, doc_id, rank, score FROM bm_ranked WHERE rank <= {KEYWORD_K}",
+        BATCH, f"present AS (SELECT * FROM ({UPSERTED}) WHERE doc_id NOT IN {TOXIC})",
+        *[part.replace("FROM documents", "FROM present") for part in KEYWORDS]),
     "bm25_filtered": _with(
         "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank "
         "FROM bm JOIN documents USING (doc_id) WHERE score > 0 AND lang = 'en' "

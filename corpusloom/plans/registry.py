@@ -199,9 +199,19 @@ def _bm25(limits: BlockLimits = BlockLimits()):
 
 
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _documents(spark, sf)
-    keep = docs.filter(filters.equals_all({"lang": "en"}, filters.map_lookup("metadata")))
-    return sparse.search(_questions(spark, sf), sparse.build_index(docs), KEYWORD_K, keep).drop("distance")
+    return sparse.search(_questions(spark, sf), sparse.build_index(_documents(spark, sf)), KEYWORD_K,
+                         lambda metadata: filters.equals_all({"lang": "en"}, filters.map_lookup(metadata))).drop("distance")
+
+
+def bm25_updated(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that follows an upsert of changed and added documents, and then a deletion of the toxic ones."""
+    docs, batch = _documents(spark, sf), written(_second_batch(spark, sf), "batch")
+    replaced = docs.join(batch.select("doc_id"), "doc_id", "left_semi")
+    index = sparse.update_index(sparse.build_index(docs), replaced, batch)
+    toxic = _labels(spark, sf).filter("toxic = 1").select("doc_id")
+    current = docs.join(batch.select("doc_id"), "doc_id", "left_anti").unionByName(batch)
+    index = sparse.update_index(index, current.join(toxic, "doc_id", "left_semi"), docs.limit(0))
+    return sparse.search(_questions(spark, sf), index, KEYWORD_K).drop("distance")
 
 
 # --- fusion, reranking, retrieval ---------------------------------------------------------------
@@ -252,7 +262,7 @@ def hybrid_two_backends(spark: SparkSession, sf: str) -> DataFrame:
 
 def hybrid_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """The filter holds for the vector source only; keyword hits may bring other documents back."""
-    keep = filters.equals_all({"lang": "de"}, filters.map_lookup("metadata"))
+    keep = lambda metadata: filters.equals_all({"lang": "de"}, filters.map_lookup(metadata))
     return _flat_hits(retrieve(_embedded_questions(spark, sf), _corpus(spark, sf), PARAMS, keep=keep))
 
 
@@ -654,6 +664,7 @@ QUERIES = {
     "bm25_topk": _bm25(),
     "bm25_blocks": _bm25(SMALL_BLOCKS),
     "bm25_filtered": bm25_filtered,
+    "bm25_updated": bm25_updated,
     "rrf_fuse": rrf_fuse,
     "dense_topk": dense_topk,
     "hybrid_topk": hybrid_topk,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -42,29 +43,29 @@ def attach_documents(hits: DataFrame, documents: DataFrame, columns: list[str])
     return written(found, "hit-documents")
 
 
-def candidates(queries: DataFrame, corpus: Corpus, params: RetrievalParams, keep: Column | None = None,
+def candidates(queries: DataFrame, corpus: Corpus, params: RetrievalParams, keep: Callable[[Column], Column] | None = None,
                k: int | None = None, limits: BlockLimits = BlockLimits()) -> tuple[DataFrame, int]:
     """Hits of every active source with ``list_idx``, and the number of lists.
 
-    The metadata filter applies to vector search; keyword search follows it only when asked to.
+    The filter is a condition on the metadata map. It applies to vector search; keyword search follows it only when asked to.
     """
     k = k or params.candidate_k
 
     def allowed(table: DataFrame) -> DataFrame:
-        return table if keep is None else table.filter(keep)
+        return table if keep is None else table.filter(keep(F.col("metadata")))
 
     lists = [dense.search(queries, allowed(corpus.vectors), k, params.metric, params.score, limits)]
     if corpus.secondary is not None:
         second = allowed(corpus.secondary)
         lists.append(dense.search(queries, second, k, params.secondary_metric, "identity", limits))
     if corpus.keywords is not None:
-        only = allowed(corpus.vectors) if keep is not None and params.bm25_respects_filter else None
+        only = keep if params.bm25_respects_filter else None
         lists.append(sparse.search(queries, corpus.keywords, k, only, limits))
     return fusion.union_lists(lists), len(lists)
 
 
 def retrieve(queries: DataFrame, corpus: Corpus, params: RetrievalParams = RetrievalParams(),
-             scorer=None, lexical: bool = False, keep: Column | None = None,
+             scorer=None, lexical: bool = False, keep: Callable[[Column], Column] | None = None,
              limits: BlockLimits = BlockLimits()) -> DataFrame:
     """Final hits of ``query_id, query, embedding``: ``query_id, rank, doc_id, score, distance, content,
     metadata``.

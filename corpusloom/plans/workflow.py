@@ -129,7 +129,7 @@ def step_log(results: DataFrame) -> DataFrame:
 
 def retrieve_then_generate(df: DataFrame, corpus: Corpus, embedder, generator, params: RetrievalParams = RetrievalParams(),
                            spec: ModelSpec = ModelSpec(), scorer=None, lexical: bool = False,
-                           keep: Column | None = None, agents: tuple[str, str] = ("retriever", "generator"),
+                           keep: Callable[[Column], Column] | None = None, agents: tuple[str, str] = ("retriever", "generator"),
                            compat: bool = False, limits: BlockLimits = BlockLimits()) -> DataFrame:
     """Retrieval, then generation with the retrieved text in the context.
 

@@ -48,7 +48,8 @@ class BlockLimits:
     """Memory bounds of the block search."""
 
     broadcast_bytes: int = 64 << 20  # query block that may be sent to every executor
-    doc_rows: int = 100_000          # documents of one cell handled by one task
+    doc_rows: int = 100_000          # documents of one cell or part handled by one task
+    doc_bytes: int = 64 << 20        # the same, of a part, in bytes
     query_rows: int = 20_000         # queries of one cell handled by one task
     matrix_cells: int = 1 << 22      # (query, document) scores held at once inside a task
     reduce_groups: int = 1           # groups of tasks cut to k rows per query before the final cut; about the root of the number of splits

@@ -269,7 +269,7 @@ def test_hybrid_merges_equal_contents(spark, rows):
 
 def test_keyword_hits_pass_the_filter(spark, rows):
     params = RetrievalParams(top_k=5)
-    keep = F.col("metadata")["kind"] == "b"
+    keep = lambda metadata: metadata["kind"] == "b"
     question, full = ask(spark, "decoder token"), corpus(spark)
     assert (3,) in rows(retrieve(question, full, params, keep=keep), "doc_id")
     strict = RetrievalParams(top_k=5, bm25_respects_filter=True)

@@ -242,11 +242,101 @@ def test_term_vectors(spark):
 
 
 def test_ignores_filter_unless_asked(spark, rows):
-    docs = spark.createDataFrame([(1, "red"), (2, "red fox"), (3, "sky"), (4, "sea"), (5, "sun")], "doc_id long, content string")
+    docs = spark.createDataFrame([(1, "red", {"k": "a"}), (2, "red fox", {"k": "b"}), (3, "sky", {}), (4, "sea", None), (5, "sun", {"k": "b"})],
+                                 "doc_id long, content string, metadata map<string,string>")
     index = sparse.build_index(docs)
     query = spark.createDataFrame([(0, "red")], "query_id long, query string")
     assert rows(sparse.search(query, index, 5), "doc_id") == [(1,), (2,)]
-    assert rows(sparse.search(query, index, 5, docs.filter("doc_id = 2")), "doc_id") == [(2,)]
+    keep = lambda metadata: F.try_element_at(metadata, F.lit("k")) == "b"
+    for limits in (BlockLimits(), BLOCKS):
+        assert rows(sparse.search(query, index, 5, keep, limits), "doc_id") == [(2,)]
+    with pytest.raises(ValueError):
+        sparse.search(query, sparse.build_index(docs.drop("metadata")), 5, keep)
+
+
+def skewed_texts(n, seed=4):
+    """Texts of common words, with rare ones that crowd in some of them."""
+    rng = np.random.default_rng(seed)
+    return {i: " ".join(["the"] * int(rng.integers(1, 9)) + [f"c{rng.integers(20)}" for _ in range(rng.integers(5, 60))] + (["rare"] * int(rng.integers(1, 6)) if 300 < i < 340 else []) + [f"u{i}"]) for i in range(n)}
+
+
+def part_of(index):
+    return index.postings.drop("metadata").toArrow().combine_chunks().to_batches()
+
+
+def test_ranges_below_the_kth_score_are_skipped(spark):
+    """Over one large part most blocks of postings are passed over, and the scores are those of all documents."""
+    texts = skewed_texts(3000)
+    index = sparse.build_index(spark.createDataFrame(list(texts.items()), "doc_id long, content string").coalesce(1))
+    assert index.n_parts > 1
+    sparse.SMALL_PART, before = 10_000, sparse.SMALL_PART
+    try:
+        index = sparse.build_index(spark.createDataFrame(list(texts.items()), "doc_id long, content string").coalesce(1))
+    finally:
+        sparse.SMALL_PART = before
+    assert index.n_parts == 1
+    queries = spark.createDataFrame([(0, "the rare"), (1, "rare"), (2, "the c1 c2"), (3, "nothing")], "query_id long, query string")
+    weighted = sparse.query_vectors(queries, index).orderBy("query_id").toArrow()
+    kernel = sparse.TermKernel(index.avgdl)
+    kernel.hold(part_of(index))
+    kernel.best(weighted.slice(0, 2), 10)
+    assert kernel.n_skipped > kernel.n_read
+    found, cost, ids = kernel.best(weighted, 10).merge()
+    for at, query_id in enumerate(weighted.column("query_id").to_pylist()):
+        text = {0: "the rare", 1: "rare", 2: "the c1 c2"}[query_id]
+        want = sorted(((-round(s, 6), d) for d, s in bm25(texts, text).items() if round(s, 6) > 0))[:10]
+        assert list(zip(cost[found == at].tolist(), ids[found == at].tolist(), strict=True)) == want
+
+
+def test_only_asked_tokens_are_read(spark):
+    index = sparse.build_index(spark.createDataFrame(list(skewed_texts(200).items()), "doc_id long, content string"))
+    query = spark.createDataFrame([(0, "rare c3")], "query_id long, query string")
+    plan = sparse.search(query, index, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(token" in plan and "terms" not in plan
+
+
+def test_more_tokens_than_are_listed(spark, rows, monkeypatch):
+    index = sparse.build_index(spark.createDataFrame(list(skewed_texts(300).items()), "doc_id long, content string"))
+    queries = spark.createDataFrame([(i, f"the c{i} rare") for i in range(20)], "query_id long, query string")
+    want = rows(sparse.search(queries, index, 5), "query_id", "doc_id", "rank", "score")
+    monkeypatch.setattr(sparse, "LISTED_TOKENS", 3)
+    assert rows(sparse.search(queries, index, 5), "query_id", "doc_id", "rank", "score") == want
+    assert rows(sparse.search(queries, index, 5, limits=BLOCKS), "query_id", "doc_id", "rank", "score") == want
+
+
+def test_an_index_follows_changes(spark, rows):
+    """After insertions, replacements and deletions, some of them twice, statistics and hits are those of a new index."""
+    kind = "doc_id string, content string"
+    texts = {f"d{i}": t for i, t in skewed_texts(400).items()}
+    table = lambda some: spark.createDataFrame(list(some.items()), kind)
+    index = sparse.build_index(table(texts))
+    for step in range(3):
+        gone = {i: texts[i] for i in list(texts)[step * 7:step * 7 + 60]}
+        new = {i: f"rare changed{step} the c1" for i in list(gone)[::2]} | {f"n{step}-{i}": f"the rare c{i} new{step}" for i in range(30)}
+        gone |= {i: texts[i] for i in new if i in texts}
+        index = sparse.update_index(index, table(gone), table(new))
+        texts = {i: t for i, t in texts.items() if i not in gone} | new
+    again = sparse.build_index(table(texts))
+    assert (index.n_docs, index.n_tokens, round(index.avg_idf, 9)) == (again.n_docs, again.n_tokens, round(again.avg_idf, 9))
+    assert rows(index.frequencies, "token", "df") == rows(again.frequencies, "token", "df")
+    queries = spark.createDataFrame([(0, "rare"), (1, "the c1 changed1"), (2, "new2 c7")], "query_id long, query string")
+    assert rows(sparse.search(queries, index, 20), "query_id", "doc_id", "rank", "score") == rows(sparse.search(queries, again, 20), "query_id", "doc_id", "rank", "score")
+
+
+def test_empty_keyword_index(spark):
+    queries = spark.createDataFrame([(0, "a")], "query_id long, query string")
+    empty = spark.createDataFrame([], "doc_id long, content string")
+    assert sparse.search(queries, sparse.build_index(empty), 3).count() == 0
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "a")], "doc_id long, content string")
+    assert sparse.search(queries.limit(0), sparse.build_index(docs), 3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["knn_l2_blocks", "bm25_blocks"])
+def test_large_query_tables_stay_off_the_driver(spark, sf, name):
+    """One scan of each side, whatever the number of blocks, and no broadcast of queries."""
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan and "FlatMapCoGroups" not in plan
+    assert plan.split("Initial Plan")[-1].count("Scan parquet") <= 3
 
 
 def test_vectors_of_other_lengths_and_nulls(spark):
