@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import filters, hooks, text
@@ -662,7 +664,7 @@ QUERIES = {
     "valid_input": valid_input,
     "bm25_term_stats": bm25_term_stats,
     "bm25_topk": _bm25(),
-    "bm25_blocks": _bm25(SMALL_BLOCKS),
+    "bm25_blocks": _bm25(replace(SMALL_BLOCKS, broadcast_bytes=1 << 10)),
     "bm25_filtered": bm25_filtered,
     "bm25_updated": bm25_updated,
     "rrf_fuse": rrf_fuse,
