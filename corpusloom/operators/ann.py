@@ -1,7 +1,8 @@
 """Approximate vector search: inverted lists around k-means centroids, and random-projection hashing.
 
 Both only choose which cells a query visits. Ranking inside the cells is exact and shared with the
-exact search, and cells of any size are split into bounded blocks there.
+exact search, and cells of any size are split into bounded blocks there. Inverted lists know their radius, so that a search can also go on
+until no list that is left can hold a nearer vector.
 """
 
 from __future__ import annotations
@@ -11,10 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.operators import dense
 from corpusloom.operators.block_topk import best_per_query, cell_topk
@@ -25,6 +25,10 @@ from corpusloom.session import join_keys, written
 N_LISTS = 100
 
 
+# Vectors per list that the centroids are trained on.
+SAMPLE = 64
+
+
 @dataclass(frozen=True)
 class InvertedLists:
     """Centroids, one per list: lists x dimension doubles, bounded by the number of lists."""
@@ -32,11 +36,19 @@ class InvertedLists:
     centroids: np.ndarray
 
 
-def train_lists(docs: DataFrame, n_lists: int = N_LISTS, seed: int = 42, max_iter: int = 20) -> InvertedLists:
-    """K-means centroids of all vectors. Let ``n_lists`` grow about as the square root of the table."""
-    vectors = docs.select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=min(n_lists, max(vectors.count(), 1)), seed=seed, maxIter=max_iter, initMode="random").fit(vectors)
-    return InvertedLists(np.array(model.clusterCenters()))
+def train_lists(docs: DataFrame, n_lists: int = N_LISTS, seed: int = 42, max_iter: int = 10) -> InvertedLists:
+    """K-means centroids of a sample: the ``SAMPLE`` vectors per list with the smallest hashes of their ids. Let ``n_lists`` grow about as the square root of the table."""
+    vectors = docs.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding")
+    rows = vectors.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(SAMPLE * n_lists).select("embedding").toArrow()
+    x = dense.vector_matrix(rows.column("embedding")) if rows.num_rows else np.zeros((1, 1))
+    centroids = x[np.random.default_rng(seed).permutation(len(x))[:n_lists]].copy()
+    for _ in range(max_iter):
+        nearest = ((centroids ** 2).sum(1) - 2.0 * x @ centroids.T).argmin(1)
+        count = np.bincount(nearest, minlength=len(centroids))
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, nearest, x)
+        centroids[count > 0] = sums[count > 0] / count[count > 0, None]
+    return InvertedLists(centroids)
 
 
 def mean_lists(docs: DataFrame, by: str) -> InvertedLists:
@@ -79,6 +91,10 @@ def store_lists(docs: DataFrame, lists: InvertedLists, path: str) -> DataFrame:
     return docs.sparkSession.read.schema(assigned.schema).parquet(path)
 
 
+def _payload() -> Column:
+    return F.size("embedding") * 8 + 16
+
+
 def search_lists(queries: DataFrame, docs: DataFrame, lists: InvertedLists, k: int, n_probe: int,
                  metric: str = "l2", score: str = "inverse",
                  limits: BlockLimits = BlockLimits()) -> DataFrame:
@@ -87,13 +103,82 @@ def search_lists(queries: DataFrame, docs: DataFrame, lists: InvertedLists, k: i
     Stored lists (``store_lists``) that no query probes are not read: they are pruned partitions.
     """
     probes = written(nearest_lists(queries.select("query_id", "embedding"), lists, n_probe), "probes")
+    hits = _search_probed(probes, docs, k, metric, limits)
+    return dense.as_hits(best_per_query(hits, k), metric, score)
+
+
+def _search_probed(probes: DataFrame, docs: DataFrame, k: int, metric: str, limits: BlockLimits) -> DataFrame:
     # At most one number per list, and the centroids of all lists are on the driver already.
     probed = [row.list_id for row in probes.select("list_id").distinct().collect()]
     candidates = docs.select("doc_id", "embedding", "list_id").filter(F.col("list_id").isin(probed))
-    hits = cell_topk(probes.withColumnRenamed("list_id", "cell"),
-                     candidates.withColumnRenamed("list_id", "cell"),
-                     dense.VectorKernel(metric, limits.matrix_cells), k, limits)
-    return dense.as_hits(best_per_query(hits, k), metric, score)
+    return cell_topk(probes.withColumnRenamed("list_id", "cell"), candidates.withColumnRenamed("list_id", "cell"),
+                     dense.VectorKernel(metric, limits.matrix_cells), k, _payload(), limits)
+
+
+def list_radii(docs: DataFrame, lists: InvertedLists) -> np.ndarray:
+    """Largest distance of a vector from the centroid of its list; minus infinity for a list without vectors."""
+    centroids, as_matrix = lists.centroids, dense.vector_matrix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        radius = np.full(len(centroids), -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                x, own = as_matrix(batch.column(0)), batch.column(1).to_numpy()
+                np.maximum.at(radius, own, np.sqrt(((x - centroids[own]) ** 2).sum(1)))
+        found = np.flatnonzero(radius >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(radius[found])], ["list_id", "radius"])
+
+    rows = docs.select("embedding", F.col("list_id").cast("int")).mapInArrow(run, "list_id int, radius double")
+    radii = np.full(len(centroids), -np.inf)
+    for row in rows.groupBy("list_id").agg(F.max("radius").alias("radius")).collect():
+        radii[row.list_id] = row.radius
+    return radii
+
+
+def search_all_lists(queries: DataFrame, docs: DataFrame, lists: InvertedLists, k: int, metric: str = "l2", score: str = "inverse",
+                     limits: BlockLimits = BlockLimits(), first: int = 1, growth: int = 4, log: list[int] | None = None) -> DataFrame:
+    """Exact top-k by ``l2`` or ``euclid``: the lists of a query are visited in the order of the least distance that a vector in them can have.
+
+    Rounds of ``first``, then ``growth`` times as many lists go on until the next list's least distance is above the distance of the k-th hit so far; a query that is done drops out.
+    ``docs`` carries ``list_id``, as ``store_lists`` leaves it. ``log`` takes the number of (query, list) visits of each round.
+    """
+    if metric not in ("l2", "euclid"):
+        raise ValueError(f"no bound for the metric {metric!r}")
+    radii, centroids, as_matrix = list_radii(docs, lists), lists.centroids, dense.vector_matrix
+    own = written(queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding"), "queries")
+    kinds = own.schema["query_id"].dataType.simpleString(), own.schema["embedding"].dataType.simpleString()
+    state, hits, done, n = own.withColumn("worst", F.lit(float("inf"))), None, 0, first
+    while done < len(centroids):
+        def visits(batches: Iterator[pa.RecordBatch], done: int = done, n: int = n) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = as_matrix(batch.column(1))
+                distance = np.sqrt(np.maximum((x ** 2).sum(1)[:, None] + (centroids ** 2).sum(1) - 2.0 * x @ centroids.T, 0))
+                least = np.where(radii >= 0, np.maximum(distance - radii, 0), np.inf)
+                # Lists that must hold any nearest vectors first: equal bounds go by the distance of the centroid.
+                order = np.lexsort((distance, least))[:, done:done + n]
+                bound = np.take_along_axis(least, order, 1)
+                worst = batch.column(2).to_numpy()
+                worst = np.sqrt(worst + 1e-6) if metric == "l2" else worst + 1e-6
+                row, place = np.nonzero(np.isfinite(bound) & (bound <= (worst * (1 + 1e-9) + 1e-9)[:, None]))
+                taken = batch.select([0, 1]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(order[row, place].astype(np.int32))], ["query_id", "embedding", "list_id"])
+
+        probes = written(state.mapInArrow(visits, f"query_id {kinds[0]}, embedding {kinds[1]}, list_id int"), "probes")
+        count = probes.count()
+        if log is not None:
+            log.append(count)
+        if not count:
+            break
+        more = _search_probed(probes, docs, k, metric, limits)
+        hits = written(best_per_query(more if hits is None else more.unionByName(hits.drop("rank")), k), "nearest")
+        worst = hits.filter(F.col("rank") == k).select("query_id", F.col("cost").alias("worst"))
+        state = own.join(worst, "query_id", "left").select("query_id", "embedding", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+        done, n = done + n, n * growth
+    if hits is None:
+        hits = best_per_query(_search_probed(probes, docs, k, metric, limits), k)
+    return dense.as_hits(hits, metric, score)
 
 
 def train_hashes(docs: DataFrame, bucket_length: float, n_tables: int,
@@ -119,8 +204,7 @@ def search_hashes(queries: DataFrame, docs: DataFrame, model: BucketedRandomProj
     stored = hash_cells(docs.select("doc_id", "embedding"), model)
     # Documents in cells without a query are dropped before anything is shuffled.
     met = join_keys(stored, asked.select("cell").distinct(), "cell", "left_semi")
-    hits = cell_topk(asked, met,
-                     dense.VectorKernel(metric, limits.matrix_cells), k, limits)
+    hits = cell_topk(asked, met, dense.VectorKernel(metric, limits.matrix_cells), k, _payload(), limits)
     # A document may be met in every table: first the k * tables best rows, a partial limit before the only shuffle, then one row each.
     first = best_per_query(hits, k * model.getNumHashTables()).drop("rank")
     return dense.as_hits(best_per_query(first.dropDuplicates(["query_id", "doc_id"]), k), metric, score)

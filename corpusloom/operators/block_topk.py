@@ -21,6 +21,7 @@ A *kernel* turns Arrow data into costs (smaller is better, infinity is last, NaN
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -202,12 +203,15 @@ def broadcast_topk(queries: DataFrame, docs: DataFrame, kernel: Kernel, k: int)
     return docs.mapInArrow(search, hit_schema(queries, docs))
 
 
-def cell_topk(queries: DataFrame, docs: DataFrame, kernel, k: int,
+def cell_topk(queries: DataFrame, docs: DataFrame, kernel, k: int, payload_bytes: Column | None = None,
               limits: BlockLimits = BlockLimits()) -> DataFrame:
-    """Shuffled form inside each shared ``cell``, large cells split into bounded blocks.
+    """Search inside each shared ``cell``. Returns up to k rows per query and task or block; finish with ``best_per_query``.
 
-    Returns up to k rows per query and block; finish with ``best_per_query``.
+    Queries whose bytes are within the bound go to every executor, with the cells that each of them visits, and documents stay where they lie. Otherwise both
+    sides are shuffled by cell, large cells split into bounded blocks. ``queries`` is read twice: pass a written table.
     """
+    if payload_bytes is not None and queries.agg(F.coalesce(F.sum(payload_bytes), F.lit(0))).first()[0] <= limits.broadcast_bytes:
+        return broadcast_cells(queries, docs, kernel, k)
     # At most one row per doc_rows documents, and per query_rows queries.
     large_docs = F.broadcast(_large_cells(docs, limits.doc_rows, "n_doc_parts"))
     large_queries = F.broadcast(_large_cells(queries, limits.query_rows, "n_query_parts"))
@@ -216,6 +220,34 @@ def cell_topk(queries: DataFrame, docs: DataFrame, kernel, k: int,
     return _search_blocks(["cell"], *split, kernel, k)
 
 
+def broadcast_cells(queries: DataFrame, docs: DataFrame, kernel, k: int) -> DataFrame:
+    """Map-side form for a query block that is small, with one row for each cell that a query visits."""
+    shared = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value.combine_chunks()
+        own = block.column("cell").to_numpy()
+        found: dict[int, tuple] = {}
+        doc_type = None
+        for batch in batches:
+            doc_type = batch.schema.field("doc_id").type
+            cells = batch.column(batch.schema.get_field_index("cell")).to_numpy()
+            for cell in np.unique(cells).tolist():
+                if cell not in found:
+                    asked = block.take(pa.array(np.flatnonzero(own == cell)))
+                    found[cell] = (copy(kernel), BestK(asked.num_rows, k), asked)
+                    if asked.num_rows:
+                        found[cell][0].load(asked)
+                held, best, asked = found[cell]
+                if asked.num_rows:
+                    for ids, cost in held.costs(batch.take(pa.array(np.flatnonzero(cells == cell)))):
+                        best.offer(ids, cost)
+        for _, best, asked in found.values():
+            yield from hit_table(best, asked.column("query_id").combine_chunks(), doc_type).to_batches()
+
+    return docs.mapInArrow(search, hit_schema(queries, docs))
+
+
 def _search_blocks(cell: list[str], queries: DataFrame, docs: DataFrame, kernel, k: int) -> DataFrame:
     """Cut both sides into their parts, repeat each row for the parts of the other side, and search
     the blocks."""

@@ -1,6 +1,6 @@
 """SQL equivalents of the registered queries, over the same tables and whole texts.
 
-Queries without an entry are approximate (``knn_ivf``, ``knn_lsh``); tests check their recall.
+The query without an entry is approximate (``knn_lsh``); tests check its recall.
 """
 
 from __future__ import annotations
@@ -273,6 +273,7 @@ ORACLE: dict[str, str] = {
     "knn_threshold": _knn("cosine", "similarity", after="0.0 - cost >= 0.3"),
     "knn_tombstone": _knn("l2", "inverse", after=f"doc_id NOT IN {DELETED}"),
     "knn_without_deleted": _knn("l2", "inverse", docs=f"(SELECT * FROM v WHERE vec_id NOT IN {DELETED})"),
+    "knn_ivf": _knn("l2", "inverse"),
     "knn_ivf_all_lists": _knn("l2", "inverse"),
     "filter_operators": """
         SELECT event_id, event_type, value, k FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events)

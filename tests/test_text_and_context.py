@@ -247,4 +247,4 @@ def test_raise_error_reaches_the_driver(spark):
 
 def test_registry_and_oracle_agree_on_names():
     from corpusloom.plans.oracle import ORACLE
-    assert set(ORACLE) == set(registry.QUERIES) - {"knn_ivf", "knn_lsh"}
+    assert set(ORACLE) == set(registry.QUERIES) - {"knn_lsh"}
