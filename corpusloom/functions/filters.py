@@ -1,11 +1,17 @@
-"""Metadata filters as columns."""
+"""Metadata filters as columns, and as tests of whole batches when every request has its own."""
 
 from __future__ import annotations
 
+import json
+import operator
+import re
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 # The operator names of the public filter dialects.
@@ -30,7 +36,9 @@ def map_lookup(metadata: Column | str) -> Lookup:
         kind = _kind(value)
         if kind == "boolean":
             return F.when(field.isin("true", "false"), field == "true")
-        return field.try_cast("double") if kind == "number" else field
+        # Doubles hold whole numbers up to 2**53.
+        exact = isinstance(value, int) and abs(value) > 1 << 53
+        return field.try_cast("decimal(38,9)" if exact else "double") if kind == "number" else field
 
     return lookup
 
@@ -87,6 +95,70 @@ def translate(filters: dict[str, Any], lookup: Lookup) -> Column:
     return _all(terms)
 
 
+class Matcher:
+    """Filters with operators of many requests (JSON objects, null or empty for none), tested against batches of string maps.
+
+    The meaning is that of ``translate`` over ``map_lookup``. Each different filter is tested once for a batch, and each condition once for each
+    different value of its field.
+    """
+
+    NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+    ORDER = {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
+
+    def __init__(self, filters: list[str | None]):
+        different = sorted({f for f in filters if f})
+        place = {f: i for i, f in enumerate(different)}
+        #: Place of each request's filter among the masks, -1 for none.
+        self.place = np.array([place[f] if f else -1 for f in filters], np.int64)
+        self.filters = [json.loads(f) for f in different]
+
+    def masks(self, metadata: pa.Array) -> np.ndarray:
+        """One row for each different filter, one column for each map."""
+        self.fields: dict[str, tuple[list[str | None], np.ndarray]] = {}
+        self.metadata = metadata
+        return np.array([self._test(f) for f in self.filters], bool).reshape(len(self.filters), len(metadata))
+
+    def _test(self, filters: dict[str, Any]) -> np.ndarray:
+        mask = np.ones(len(self.metadata), bool)
+        for key, value in filters.items():
+            if key in ("$and", "$or"):
+                parts = [self._test(part) for part in value]
+                mask &= (reduce(np.logical_and, parts, np.ones(len(mask), bool)) if key == "$and" else reduce(np.logical_or, parts, np.zeros(len(mask), bool)))
+            elif key.startswith("$"):
+                raise ValueError(f"unknown logical operator {key!r}")
+            else:
+                for name, operand in (value.items() if isinstance(value, dict) else [("$eq", value)]):
+                    mask &= self._compare(key, name, operand)
+        return mask
+
+    def _compare(self, key: str, name: str, operand: Any) -> np.ndarray:
+        if key not in self.fields:
+            field = pc.map_lookup(self.metadata, pa.scalar(key), "first").dictionary_encode()
+            # The last value stands for a missing key.
+            self.fields[key] = [*field.dictionary.to_pylist(), None], field.indices.fill_null(len(field.dictionary)).to_numpy()
+        values, codes = self.fields[key]
+        return np.array([self._holds(v, name, operand) for v in values], bool)[codes]
+
+    def _holds(self, text: str | None, name: str, operand: Any) -> bool:
+        if name in ("$in", "$nin"):
+            return any(self._holds(text, "$eq", one) for one in operand) == (name == "$in")
+        if name not in COMPARISONS:
+            raise ValueError(f"unknown comparison operator {name!r}")
+        if operand is None:
+            return name == "$ne" and text is not None
+        kind = _kind(operand)
+        value = text if kind == "string" or text is None else {"true": True, "false": False}.get(text) if kind == "boolean" else self._number(text)
+        if name in ("$eq", "$ne"):
+            return (value is not None and value == operand) == (name == "$eq")
+        return value is not None and self.ORDER[name](value, operand)
+
+    def _number(self, text: str) -> int | float | None:
+        text = text.strip()
+        if not self.NUMBER.fullmatch(text):
+            return None
+        return int(text) if text.lstrip("+-").isdigit() else float(text)
+
+
 def translate_json(filters: dict[str, Any], json: str, columns: dict[str, str]) -> Column:
     """A filter dictionary over a JSON column and promoted columns.
 

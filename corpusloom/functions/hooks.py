@@ -37,7 +37,7 @@ def made_once(token: str, factory: Callable, *settings):
     return _made[token]
 
 
-def _here():
+def here():
     """This module as the worker has imported it; functions that travel with a job bring copies of what they name."""
     import importlib
 
@@ -77,7 +77,7 @@ def embed_column(df: DataFrame, factory, text: str = "content", out: str = "embe
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = _here().made_once(token, factory)
+        embed = here().made_once(token, factory)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             matrix = np.asarray(embed([t or "" for t in texts]), dtype=np.float32).reshape(len(texts), -1)
@@ -98,7 +98,7 @@ def score_pairs(df: DataFrame, factory, query: str = "query", text: str = "conte
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = _here().made_once(token, factory)
+        predict = here().made_once(token, factory)
         for batch in batches:
             given = {name: batch.column(batch.schema.get_field_index(name)) for name in kept}
             values = predict(given[query].to_pylist(), given[text].to_pylist())
@@ -122,7 +122,7 @@ def generate(df: DataFrame, factory, spec: ModelSpec = ModelSpec(), prompt: str
     flagged = df.withColumn("__active", F.lit(True) if active is None else F.coalesce(active, F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _here().made_once(token, factory, spec)
+        model = here().made_once(token, factory, spec)
 
         def answer(text: str | None, wanted: bool):
             if not wanted:
@@ -161,7 +161,7 @@ def generate_chat(messages: DataFrame, factory, spec: ModelSpec = ModelSpec()) -
                .sortWithinPartitions("call_id", "position"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _here().made_once(token, factory, spec)
+        model = here().made_once(token, factory, spec)
 
         def answer(call) -> dict:
             call_id, history = call

@@ -33,9 +33,13 @@ def two_decimals(value: Column) -> Column:
     return F.replace(F.format_number(value, 2), F.lit(","), F.lit(""))
 
 
+# Fixed value: characters that count as one token.
+CHARS_PER_TOKEN = 4
+
+
 def token_estimate(characters: Column) -> Column:
     """Four characters a token, rounded down after the sum."""
-    return F.floor(characters / 4).cast("bigint")
+    return F.floor(characters / CHARS_PER_TOKEN).cast("bigint")
 
 
 def is_valid_input(text: Column) -> Column:

@@ -108,20 +108,19 @@ def hit_schema(queries: DataFrame, docs: DataFrame) -> T.StructType:
     ])
 
 
-def block_topk(queries: DataFrame, docs: DataFrame, payload_bytes: Column, kernel: Kernel, k: int,
+def block_topk(queries: DataFrame, docs: DataFrame, query_bytes: Column, doc_bytes: Column, kernel: Kernel, k: int,
                limits: BlockLimits = BlockLimits()) -> DataFrame:
     """Best k documents per query over the whole document table: ``query_id, doc_id, rank, cost``.
 
-    ``payload_bytes`` is the size of one row of either side. The query table is read twice (measure, ship), and so are
+    ``query_bytes`` and ``doc_bytes`` are the sizes of one row of each side. The query table is read twice (measure, ship), and so are
     the documents if the queries are too many for a broadcast: pass written tables when they are costly or not repeatable.
     """
-    size = queries.agg(F.coalesce(F.sum(payload_bytes), F.lit(0))).first()[0]
+    size = queries.agg(F.coalesce(F.sum(query_bytes), F.lit(0))).first()[0]
     if size <= limits.broadcast_bytes:
         hits = broadcast_topk(queries, docs, kernel, k)
     else:
-        shared = [c for c in docs.columns if c in queries.columns]
-        n_docs, doc_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(payload_bytes if shared else F.lit(0)), F.lit(0))).first()
-        n_parts = max(1, -(-n_docs // limits.doc_rows), -(-doc_bytes // limits.doc_bytes))
+        n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(doc_bytes), F.lit(0))).first()
+        n_parts = max(1, -(-n_docs // limits.doc_rows), -(-size // limits.doc_bytes))
         # No key decides the part, so copies of one id don't fill one task.
         parts = docs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(n_parts)))
         hits = paired_topk(queries, parts, n_parts, kernel, k, limits)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions import filters, scores
 from corpusloom.operators.block_topk import Kernel, block_topk, id_array
@@ -42,7 +40,8 @@ class VectorKernel(Kernel):
         self.queries = self._unit(vector_matrix(queries.column("embedding")))
         self.squares = (self.queries ** 2).sum(axis=1)
         asked = queries.column("filter").to_pylist() if "filter" in queries.column_names else []
-        asked = [dict(pairs or ()) for pairs in asked]
+        self.matcher = filters.Matcher(asked) if asked and pa.types.is_string(queries.schema.field("filter").type) else None
+        asked = [] if self.matcher else [dict(pairs or ()) for pairs in asked]
         # Per key: the values asked for, and each query's place among them (-1: no condition).
         self.conditions = {}
         for key in sorted({key for pairs in asked for key in pairs}):
@@ -60,8 +59,15 @@ class VectorKernel(Kernel):
             raise ValueError(f"vectors of one dimension are needed, found lengths {self.queries.shape[1]} and {vectors.shape[1]}")
         step = max(1, self.matrix_cells // len(self.queries))
         found = self._found(docs)
+        allowed = None
+        if self.matcher:
+            # The last row is for queries without a filter.
+            masks = self.matcher.masks(docs.column(docs.schema.get_field_index("metadata")))
+            allowed = np.concatenate([masks, np.ones((1, len(ids)), bool)])[self.matcher.place]
         for start in range(0, len(ids), step):
             cost = self._cost(vectors[start:start + step])
+            if allowed is not None:
+                cost[~allowed[:, start:start + step]] = np.nan
             for wanted, given in found:
                 cost[(wanted >= 0)[:, None] & (wanted[:, None] != given[None, start:start + step])] = np.nan
             yield ids[start:start + step], cost
@@ -96,9 +102,9 @@ def search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "l2", scor
 
     ``queries`` has ``query_id, embedding`` and ``docs`` has ``doc_id, embedding``, all vectors of one
     dimension (see ``mutate.split_by_dimension``). A filter for all queries is a plain filter on
-    ``docs`` before the search, or on the result after it. When ``queries`` has a column ``filter``
-    (a string map), each query sees only the documents whose ``metadata`` equals it on every key. A query without a
-    vector has no hits; documents without a vector or an id are never hits.
+    ``docs`` before the search, or on the result after it. When ``queries`` has a column ``filter``,
+    each query sees only the documents whose ``metadata`` passes: a string map asks for equality on every key, a JSON object may have operators (see
+    ``filters.translate``). All filters are tested in the one scan of the documents. A query without a vector has no hits; documents without a vector or an id are never hits.
     """
     scores.check_metric(metric)
     kernel = VectorKernel(metric, limits.matrix_cells)
@@ -107,23 +113,13 @@ def search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "l2", scor
     queries = queries.filter(F.col("embedding").isNotNull())
     hits = block_topk(queries.select("query_id", "embedding", *["filter"] * own_filters),
                       docs.select("doc_id", "embedding", *["metadata"] * own_filters),
-                      F.size("embedding") * 8 + (F.octet_length(F.to_json("filter")) if own_filters else 0),
-                      kernel, k, limits)
+                      F.size("embedding") * 8 + (F.coalesce(F.octet_length(_text(queries)), F.lit(0)) if own_filters else 0), F.size("embedding") * 8, kernel, k, limits)
     return as_hits(hits, metric, score)
 
 
-def search_each_filter(queries: DataFrame, docs: DataFrame, lookup, k: int, metric: str = "l2", score: str = "inverse",
-                       limits: BlockLimits = BlockLimits()) -> DataFrame:
-    """Search in which every query has its own filter with operators: the column ``filter``, a JSON object (see ``filters.translate``), null for none.
-
-    Queries of one filter are searched for together, so documents are scanned once for each different filter, and only those are listed on the driver.
-    """
-    found = []
-    for row in queries.select("filter").distinct().orderBy("filter").collect():
-        own = queries.filter(F.col("filter").eqNullSafe(row["filter"])).drop("filter")
-        keep = filters.translate(json.loads(row["filter"]), lookup) if row["filter"] else F.lit(True)
-        found.append(search(own, docs.filter(keep), k, metric, score, limits))
-    return reduce(DataFrame.unionByName, found) if found else search(queries.drop("filter"), docs, k, metric, score, limits)
+def _text(queries: DataFrame) -> Column:
+    column = F.col("filter")
+    return column if isinstance(queries.schema["filter"].dataType, T.StringType) else F.to_json(column)
 
 
 def as_hits(ranked: DataFrame, metric: str, score: str) -> DataFrame:

@@ -141,6 +141,8 @@ def update(current: DataFrame, changes: DataFrame, mode: str, embedder=None, ord
     if mode == "payload_only":
         touched = join_keys(current, ids, "doc_id", "left_semi").drop("content", "metadata")
         fresh = touched.join(changes.select("doc_id", "content", "metadata"), "doc_id")
+        if "content_key" in current.columns:
+            fresh = fresh.withColumn("content_key", text.content_key(F.col("content")))
     else:
         if mode == "existing":
             changes = match_few(changes, current, "doc_id", "left_semi")

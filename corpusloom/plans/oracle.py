@@ -6,7 +6,7 @@ The query without an entry is approximate (``knn_lsh``); tests check its recall.
 from __future__ import annotations
 
 from corpusloom.operators.context import DEFAULT_TEMPLATE, NO_RESULTS
-from corpusloom.plans.registry import KEYWORD_K, PARAMS, SYSTEM_PROMPT, TOP_K
+from corpusloom.plans.registry import CONTEXT_TOKENS, KEYWORD_K, PARAMS, SYSTEM_PROMPT, TOP_K
 
 TOP, CANDIDATES = PARAMS.top_k, PARAMS.candidate_k
 
@@ -192,6 +192,13 @@ SOFAR = "(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AN
 HISTORY = (f"SELECT conv_id, turn, count(*) OVER {SOFAR} AS n_messages, "
            f"(sum(length(text)) OVER {SOFAR})::BIGINT AS n_chars FROM ")
 
+SEEN = ("SELECT {0}, c.turn AS as_of, n_messages, n_chars, m.turn, m.role, m.text FROM (SELECT {0}, turn, count(*) OVER w AS n_messages, (sum(length(text)) OVER w)::BIGINT AS n_chars "
+        "FROM {1} WINDOW w AS (PARTITION BY {0} ORDER BY turn)) c JOIN {1} m USING ({0}) WHERE m.turn <= c.turn")
+CALLS = ("spoken AS (SELECT *, greatest(length(text), 1) AS size, sum(greatest(length(text), 1)) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM conversations WHERE role <> 'system')",)
+REPLY = ("SELECT c.conv_id::VARCHAR || '-' || c.turn::VARCHAR AS call_id, c.text <> '' AS success, CASE WHEN c.text = '' THEN 'Invalid input message' END AS error, "
+         "CASE WHEN c.text = '' THEN '' ELSE '1/' || count(*) FILTER (WHERE m.role <> 'assistant') || '/' || count(*) FILTER (WHERE m.role = 'assistant') || ' ' || c.text END AS content "
+         "FROM spoken c JOIN spoken m ON m.conv_id = c.conv_id AND m.turn <= c.turn AND ({}) WHERE c.role = 'user' GROUP BY c.conv_id, c.turn, c.text")
+
 # --- workflows ----------------------------------------------------------------------------------
 
 REQUESTS = ("req AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS request_id, text FROM conversations)",
@@ -379,13 +386,20 @@ ORACLE: dict[str, str] = {
                CASE WHEN role = 'assistant' THEN 'ai' ELSE 'human' END AS kind, text
         FROM conversations WHERE role <> 'system'
         UNION ALL SELECT DISTINCT conv_id, 0, 'system', '{SYSTEM_PROMPT}' FROM conversations""",
-    "chat_replies": f"""
-        SELECT conv_id AS call_id, true AS success, NULL::VARCHAR AS error,
-               '1/' || count(*) FILTER (WHERE role NOT IN ('system', 'assistant')) || '/' || count(*) FILTER (WHERE role = 'assistant')
-               || ' ' || coalesce(arg_max(text, turn) FILTER (WHERE role <> 'system'), '{SYSTEM_PROMPT}') AS content
-        FROM conversations GROUP BY conv_id""",
-    "history_asof": HISTORY + "conversations",
+    "chat_replies": _with(REPLY.format("true"), *CALLS),
+    "chat_replies_bounded": _with(REPLY.format(f"c.total - m.total + m.size <= {4 * CONTEXT_TOKENS} OR m.turn = c.turn"), *CALLS),
+    "history_asof": SEEN.format("conv_id", "conversations"),
     "history_of": "SELECT c.conv_id, max(turn) OVER (PARTITION BY conv_id) AS as_of, turn, role, text FROM conversations c",
+    "history_now": _with("SELECT c.conv_id, turn, role, text FROM conversations c LEFT JOIN cleared USING (conv_id) WHERE cleared_at IS NULL OR turn > cleared_at",
+                         "cleared AS (SELECT conv_id, max(turn) AS cleared_at FROM conversations WHERE role = 'system' GROUP BY ALL)"),
+    "eval_judged": _with(f"SELECT question_id, {ROUNDED.format('').replace('round((faithfulness), 6)', 'CASE WHEN length(question) % 5 <> 0 THEN round(faithfulness, 6) END')} "
+                         "FROM scores JOIN (SELECT qid AS question_id, question FROM er) USING (question_id)", *EVALUATION),
+    "eval_refused": _with(
+        "SELECT 'statement' AS kind, NULL AS error, count(*) AS n, sum(v)::BIGINT AS n_accepted FROM averd JOIN er USING (qid) WHERE length(question) % 5 <> 0 HAVING count(*) > 0 "
+        "UNION ALL SELECT 'statement', 'refused', count(*), NULL FROM er WHERE length(question) % 5 = 0 HAVING count(*) > 0 "
+        "UNION ALL SELECT 'sentence', NULL, count(*), sum(v) FROM gverd HAVING count(*) > 0 "
+        "UNION ALL SELECT 'context', NULL, count(*), sum(coalesce(v, 0)) FROM (SELECT DISTINCT qid, rank FROM ctx) LEFT JOIN cverd USING (qid, rank) HAVING count(*) > 0 "
+        f"UNION ALL SELECT 'question', NULL, count(*), sum((answer = '{NO_RESULTS}')::INT) FROM asent JOIN er USING (qid) HAVING count(*) > 0", *EVALUATION),
     "knn_ivf_labels": _with(
         f"SELECT query_id, doc_id, rank, round(1.0::DOUBLE / (1.0::DOUBLE + cost), 6) AS score, cost AS distance FROM ranked WHERE rank <= {TOP_K}",
         "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)",
@@ -394,6 +408,7 @@ ORACLE: dict[str, str] = {
         f"pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {COST['l2']} AS cost FROM near p JOIN near l ON p.list = l.list AND p.n <= 4 AND l.n = 1 "
         "JOIN v q ON q.vec_id = p.vec_id JOIN v d ON d.vec_id = l.vec_id)",
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, doc_id) AS rank FROM pairs)"),
+    "knn_own_filters": _knn("l2", "inverse", pairs="(d.label > q.vec_id % 7 + 2 OR d.vec_id < q.vec_id) AND d.vec_id <> q.vec_id"),
     "knn_filter_operators": _knn("l2", "inverse", pairs="CASE q.vec_id % 4 WHEN 0 THEN d.label >= 3 AND d.label < 7 "
                                  "WHEN 1 THEN d.label = 1 OR d.label > 7.5 WHEN 2 THEN d.label NOT IN (0, 2, 4) ELSE true END"),
     "filter_typed": """
@@ -401,9 +416,9 @@ ORACLE: dict[str, str] = {
                CASE event_id % 3 WHEN 0 THEN m = 30 WHEN 1 THEN m = 10 ELSE m = 20 END AS in_mixed,
                m = 10 AS text, false AS no_text, event_id % 2 = 0 AS flag, event_id % 10 <= 5 AS dotted, true AS absent
         FROM (SELECT event_id, event_id % 40 AS m FROM events)""",
-    "history_cleared": _with(
-        HISTORY + "(SELECT c.* FROM conversations c LEFT JOIN cleared USING (conv_id) WHERE cleared_at IS NULL OR turn > cleared_at)",
-        "cleared AS (SELECT conv_id, max(turn) AS cleared_at FROM conversations WHERE role = 'system' GROUP BY ALL)"),
+    "history_cleared": _with(SEEN.format("conv_id, epoch", "spoken"),
+                             "spoken AS (SELECT *, (SELECT count(DISTINCT s.turn) FROM conversations s WHERE s.role = 'system' AND s.conv_id = c.conv_id AND s.turn < c.turn) AS epoch "
+                             "FROM conversations c)"),
     "token_estimate": f"SELECT conv_id, turn, n_chars, n_chars // 4 AS est_tokens FROM ({HISTORY} conversations)",
     "token_totals": "SELECT conv_id, count(*) AS n_messages, sum(length(text))::BIGINT AS n_chars, "
                     "(sum(length(text)) // 4)::BIGINT AS est_tokens FROM conversations GROUP BY conv_id",

@@ -10,10 +10,9 @@ from corpusloom.functions import filters, hooks, text
 from corpusloom.operators import ann, chat, context, dense, evaluate, fusion, mutate, sparse
 from corpusloom.plans import evaluation, workflow
 from corpusloom.plans.retrieve import Corpus, attach_documents, retrieve
-from corpusloom.schemas import BlockLimits, RetrievalParams
+from corpusloom.schemas import BlockLimits, ModelSpec, RetrievalParams
 from corpusloom.session import new_folder, spread, written
-from corpusloom.sources import tables
-from corpusloom.sources.collection import Collection
+from corpusloom.sources import collection, tables
 from corpusloom.streaming import jobs
 
 TOP_K = 10
@@ -23,6 +22,7 @@ PARAMS = RetrievalParams(top_k=5)
 # Blocks of queries far smaller than a real job would use.
 SMALL_BLOCKS = BlockLimits(broadcast_bytes=96 << 10, doc_rows=200, query_rows=30)
 SYSTEM_PROMPT = "Answer from the retrieved information only."
+CONTEXT_TOKENS = 200
 
 
 # --- tables -------------------------------------------------------------------------------------
@@ -104,10 +104,18 @@ def knn_filter_operators(spark: SparkSession, sf: str) -> DataFrame:
     """Each query has its own filter with operators, and a quarter of them none."""
     vectors = tables.read_spread(spark, f"{sf}/embeddings.parquet", "vec_id")
     own = F.get(F.lit(LABEL_FILTERS), (F.col("vec_id") % 4).cast("int"))
-    return _rounded(dense.search_each_filter(
+    return _rounded(dense.search(
         vectors.select(F.col("vec_id").alias("query_id"), "embedding", own.alias("filter")),
-        vectors.select(F.col("vec_id").alias("doc_id"), "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata")),
-        filters.map_lookup("metadata"), TOP_K))
+        vectors.select(F.col("vec_id").alias("doc_id"), "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata")), TOP_K))
+
+
+def knn_own_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every query has a filter that no other one has."""
+    vectors = tables.read_spread(spark, f"{sf}/embeddings.parquet", "vec_id")
+    own = F.format_string('{"$or": [{"label": {"$gt": %d}}, {"id": {"$lt": %d}}], "id": {"$ne": %d}}', F.col("vec_id") % 7 + 2, F.col("vec_id"), F.col("vec_id"))
+    known = F.create_map(F.lit("label"), F.col("label").cast("string"), F.lit("id"), F.col("vec_id").cast("string"))
+    return _rounded(dense.search(vectors.select(F.col("vec_id").alias("query_id"), "embedding", own.alias("filter")),
+                                 vectors.select(F.col("vec_id").alias("doc_id"), "embedding", known.alias("metadata")), TOP_K))
 
 
 def knn_threshold(spark: SparkSession, sf: str) -> DataFrame:
@@ -423,52 +431,58 @@ def dim_check(spark: SparkSession, sf: str) -> DataFrame:
     return status[0].unionByName(status[1])
 
 
+def _version(docs: DataFrame) -> DataFrame:
+    """Documents stored as a version of a collection."""
+    return collection.save(docs, new_folder(docs.sparkSession, "collection"))
+
+
+def _batch(docs: DataFrame, embedder=None, **options) -> DataFrame:
+    """A completed batch, in the order of ``pos``."""
+    docs = docs if "pos" in docs.columns else docs.withColumn("pos", F.col("doc_id"))
+    return collection.complete(docs, "pos", embedder, **options)
+
+
 def collection_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored collection: two batches, a deletion, compaction, a third change on top of the new base."""
-    collection = Collection(spark, new_folder(spark, "collection"))
-    collection.upsert(_documents(spark, sf), "doc_id")
-    collection.upsert(_twice(_second_batch(spark, sf)), "pos")
-    collection.delete(mutate.parse_ids(_id_strings(spark, sf), "ids"))
-    collection.compact()
-    collection.insert_if_absent(_twice(_second_batch(spark, sf)), "pos")
-    return collection.load().select("doc_id", "content_key")
+    """Versions of a stored collection: two batches, a deletion, and a third change."""
+    again = _batch(_twice(_second_batch(spark, sf)))
+    current = _version(_batch(_documents(spark, sf)))
+    current = _version(mutate.upsert(current, again, "pos"))
+    current = _version(mutate.delete(current, mutate.parse_ids(_id_strings(spark, sf), "ids")))
+    current = _version(mutate.insert_if_absent(current, again, "pos"))
+    return current.select("doc_id", "content_key")
 
 
 def collection_search(spark: SparkSession, sf: str) -> DataFrame:
     """Documents are added to a stored collection, which is then searched under a metadata filter."""
-    collection = Collection(spark, new_folder(spark, "collection"), dimension=64)
-    collection.upsert(_embedded_documents(spark, sf), "doc_id")
+    stored = _version(_batch(_documents(spark, sf), EMBED, dimension=64))
     keep = filters.equals_all({"lang": "en"}, filters.map_lookup("metadata"))
-    return _rounded(dense.search_filtered(_embedded_questions(spark, sf), collection.load(), keep, TOP_K))
+    return _rounded(dense.search_filtered(_embedded_questions(spark, sf), stored, keep, TOP_K))
 
 
 def collection_add(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in three languages come without ids and all without vectors; the others keep theirs. A second call goes on counting."""
-    collection = Collection(spark, new_folder(spark, "collection"), dimension=64)
     docs = _documents(spark, sf).withColumn("pos", F.col("doc_id"))
     given = docs.withColumn("doc_id", F.when(F.col("metadata")["lang"] != "en", F.col("doc_id").cast("string")))
-    first = collection.add(given, "pos", EMBED)
-    second = collection.add(docs.filter(F.col("metadata")["lang"] == "de").drop("doc_id"), "pos", EMBED)
-    ids = first.withColumn("call", F.lit(1)).unionByName(second.withColumn("call", F.lit(2)))
-    return _cells(collection.load()).join(ids, "doc_id").select("doc_id", "call", "pos", "content_key", "cell", "value")
+    first = written(_batch(given, EMBED, ids="counter", dimension=64), "batch")
+    second = written(_batch(docs.filter(F.col("metadata")["lang"] == "de").drop("doc_id"), EMBED, ids="counter", next_id=first.count(), dimension=64), "batch")
+    stored = _version(mutate.upsert(_version(mutate.one_per_id(first, "pos")), second, "pos"))
+    ids = [batch.select("pos", "doc_id", F.lit(call).alias("call")) for call, batch in ((1, first), (2, second))]
+    return _cells(stored).join(ids[0].unionByName(ids[1]), "doc_id").select("doc_id", "call", "pos", "content_key", "cell", "value")
 
 
 def collection_append(spark: SparkSession, sf: str) -> DataFrame:
     """Appended copies stay beside the stored rows until their id is changed."""
-    collection = Collection(spark, new_folder(spark, "collection"))
     docs = _documents(spark, sf)
-    collection.upsert(docs, "doc_id")
-    collection.append(docs.filter(F.col("metadata")["lang"] == "en"), "doc_id")
-    collection.upsert(_twice(_second_batch(spark, sf)), "pos")
-    return collection.load().select("doc_id", "content_key")
+    current = _version(_batch(docs))
+    current = _version(mutate.append(current, _batch(docs.filter(F.col("metadata")["lang"] == "en")).drop("pos")))
+    current = _version(mutate.upsert(current, _batch(_twice(_second_batch(spark, sf))), "pos"))
+    return current.select("doc_id", "content_key")
 
 
 def _collection_update(mode: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        collection = Collection(spark, new_folder(spark, "collection"), dimension=64)
-        collection.upsert(_documents(spark, sf), "doc_id", embedder=EMBED)
-        collection.update(_twice(_second_batch(spark, sf)), mode, "pos", EMBED)
-        return _cells(collection.load())
+        current = _version(_batch(_documents(spark, sf), EMBED, dimension=64))
+        return _cells(_version(mutate.update(current, _batch(_twice(_second_batch(spark, sf))), mode, EMBED, order="pos")))
 
     return query
 
@@ -514,14 +528,27 @@ def replying(spec):
 
 
 def chat_replies(spark: SparkSession, sf: str) -> DataFrame:
-    """A reply to the last turn of every conversation."""
+    """A reply to every turn of a user, from all that was said before it."""
     messages = _messages(spark, sf)
-    calls = chat.last_calls(messages).withColumn("call_id", F.col("conv_id"))
-    return hooks.generate_chat(chat.call_messages(calls, messages, SYSTEM_PROMPT), replying)
+    return chat.replies(chat.all_calls(messages, "user"), messages, replying, ModelSpec(system_prompt=SYSTEM_PROMPT))
+
+
+def chat_replies_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a model that holds no more than the last part of a conversation."""
+    messages = _messages(spark, sf)
+    return chat.replies(chat.all_calls(messages, "user"), messages, replying, ModelSpec(system_prompt=SYSTEM_PROMPT, context_tokens=CONTEXT_TOKENS))
+
+
+def _history(messages: DataFrame, *conversation: str) -> DataFrame:
+    """What every turn sees: one row for each visible message, with the size of the whole."""
+    calls = chat.all_calls(messages, conversation=conversation)
+    sizes = chat.history_asof(messages, conversation).select(*conversation, F.col("turn").alias("as_of"), "n_messages", "n_chars")
+    seen = chat.history_of(calls, messages, conversation)
+    return seen.join(sizes, [*conversation, "as_of"]).select(*conversation, "as_of", "n_messages", "n_chars", "turn", "role", "text")
 
 
 def history_asof(spark: SparkSession, sf: str) -> DataFrame:
-    return chat.history_asof(_messages(spark, sf).drop("role")).drop("text")
+    return _history(_messages(spark, sf), "conv_id")
 
 
 def history_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -531,10 +558,17 @@ def history_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def history_cleared(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored system rows mark the points at which a history was cleared."""
+    """Stored system rows mark the points at which a history was cleared: what every turn sees since the last clear before it."""
     messages = _messages(spark, sf)
     clears = messages.filter("role = 'system'").select("conv_id", F.col("turn").alias("cleared_at"))
-    return chat.history_asof(chat.since_clear(messages, clears).drop("role")).drop("text")
+    return _history(written(chat.epochs(messages, clears), "epochs"), "conv_id", "epoch")
+
+
+def history_now(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every conversation after its last clear."""
+    messages = _messages(spark, sf)
+    clears = messages.filter("role = 'system'").select("conv_id", F.col("turn").alias("cleared_at"))
+    return chat.since_clear(messages, clears)
 
 
 def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
@@ -595,12 +629,16 @@ def workflow_rag(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("request_id", "success", "answer", "retrieved_context", F.array_join(log, ";").alias("log"), "error")
 
 
-def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
+def _evaluation_rows(spark: SparkSession, sf: str) -> DataFrame:
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     # The truth of a question is what stands in it up to its first full stop.
     truth = bench.withColumn("truth", F.substring_index("text", ".", 1))
     golden = tables.golden(truth, "text", "truth", "item_id")
-    rows = written(evaluation.golden_rows(golden, _rag(spark, sf)), "evaluation-rows")
+    return written(evaluation.golden_rows(golden, _rag(spark, sf)), "evaluation-rows")
+
+
+def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _evaluation_rows(spark, sf)
     return evaluate.lexical_metrics(spread(rows, rows.count(), "question_id"), EMBED)
 
 
@@ -612,6 +650,34 @@ def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.means(_evaluated(spark, sf)).select("n_questions", *[F.round(m, 6).alias(m) for m in evaluate.METRICS])
 
 
+def doubting(spec):
+    """A judge that refuses to look at the statements of some answers."""
+    ask = evaluate.token_judge()(spec)
+
+    def judge(kind: str, row: dict) -> list[tuple[str, int]]:
+        if kind == "statement" and len(row["question"]) % 5 == 0:
+            raise RuntimeError("refused")
+        return ask(kind, row)
+
+    return judge
+
+
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = _evaluation_rows(spark, sf)
+    return rows, written(evaluate.judge(spread(rows, rows.count(), "question_id"), doubting), "verdicts")
+
+
+def eval_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """The four metrics from the verdicts of a judge hook."""
+    return evaluate.judged_metrics(*_judged(spark, sf), EMBED).select("question_id", *[F.round(m, 6).alias(m) for m in evaluate.METRICS])
+
+
+def eval_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts by kind, with the calls that failed."""
+    verdicts = _judged(spark, sf)[1]
+    return verdicts.groupBy("kind", "error").agg(F.count("*").alias("n"), F.sum(F.col("verdict").cast("bigint")).alias("n_accepted"))
+
+
 def eval_runs(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.run_counts(_rag(spark, sf))
 
@@ -628,8 +694,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
         jobs.write_part(part, f"{folder}/in")
         source = jobs.file_stream(spark, f"{folder}/in", part, files_per_batch=4)
         jobs.run(jobs.ingest(source, f"{folder}/collection", f"{folder}/state", "documents", EMBED, 64))
-    stored = Collection(spark, f"{folder}/collection").load()
-    return _cells(stored)
+    return _cells(jobs.latest(spark, f"{folder}/collection"))
 
 
 def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -659,6 +724,7 @@ QUERIES = {
     "knn_ivf_all_lists": _ivf(16, 16),
     "knn_ivf_labels": _ivf(None, 4),
     "knn_filter_operators": knn_filter_operators,
+    "knn_own_filters": knn_own_filters,
     "collection_add": collection_add,
     "collection_append": collection_append,
     "collection_update_existing": _collection_update("existing"),
@@ -705,8 +771,10 @@ QUERIES = {
     "augment": augment,
     "chat_messages": chat_messages,
     "chat_replies": chat_replies,
+    "chat_replies_bounded": chat_replies_bounded,
     "history_asof": history_asof,
     "history_cleared": history_cleared,
+    "history_now": history_now,
     "token_estimate": token_estimate,
     "token_totals": token_totals,
     "workflow_sequential": workflow_sequential,
@@ -716,6 +784,8 @@ QUERIES = {
     "eval_metrics": eval_metrics,
     "eval_summary": eval_summary,
     "eval_runs": eval_runs,
+    "eval_judged": eval_judged,
+    "eval_refused": eval_refused,
     "stream_ingest": stream_ingest,
     "stream_tokens": stream_tokens,
 }

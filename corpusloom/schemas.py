@@ -63,3 +63,4 @@ class ModelSpec:
     temperature: float | None = None
     max_tokens: int | None = None
     system_prompt: str = ""
+    context_tokens: int | None = None  # estimated tokens of a conversation that one call may hold

@@ -1,233 +1,42 @@
-"""A stored document collection: Parquet folders and a log of commits.
+"""Document collections as plain Parquet folders, one for each version.
 
-A change writes only its own rows (a *delta*): replaced documents, or ids marked as deleted; or rows that are
-appended and replace nothing. Reading drops what later deltas replace from the base and the appended rows and adds the latest
-delta rows, so neither a change nor a read shuffles the base while the deltas are small; their keys are measured before
-they are broadcast. ``compact`` folds all into a new base and writes a snapshot of the log, from which later reads start.
-
-A folder counts only once its log entry is there. An entry is one file that is created exclusively, so of two writers of one
-version the second fails (on a file system whose create is exclusive, as HDFS; on others keep to one writer). A failed job leaves no
-version and a repeated micro-batch is recognised. Nothing is overwritten, hence a reader never loses the version it reads.
+A caller names the folders: it loads one version, changes it with ``operators.mutate`` and saves the result under another name, so a reader never
+loses the version it reads. Ids, content keys and vectors are completed by ``complete`` before a batch is merged.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import mutate
 from corpusloom.schemas import DOCUMENT_SCHEMA
-from corpusloom.session import BROADCAST_KEY_BYTES, key_bytes, match_few, written
-
-ROW_SCHEMA = T.StructType([*DOCUMENT_SCHEMA.fields, T.StructField("deleted", T.BooleanType()),
-                           T.StructField("version", T.LongType())])
-
-LOG_SCHEMA = T.StructType([
-    T.StructField("version", T.LongType()),
-    T.StructField("kind", T.StringType()),      # create, base, delta, merged, append
-    T.StructField("folder", T.StringType()),
-    T.StructField("n_rows", T.LongType()),
-    T.StructField("dimension", T.IntegerType()),
-    T.StructField("stream", T.StringType()),
-    T.StructField("batch_id", T.LongType()),
-    T.StructField("next_id", T.LongType()),     # where counted ids go on
-])
-
-
-class Collection:
-    """A named collection below a folder that all executors share."""
-
-    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
-        log = self.log()
-        if not log:
-            self._commit(log, "create", "", 0, dimension=dimension)
-            log = self.log()
-        self.dimension = log[0].dimension
-
-    def log(self) -> list[Row]:
-        """Commits in order, one row each: those of the last snapshot, and the later ones."""
-        names = self._names("log")
-        snapshot = max((int(name) for name in self._names("snapshot")), default=-1)
-        paths = [f"{self.path}/snapshot/{snapshot:012d}"] if snapshot >= 0 else []
-        paths += [f"{self.path}/log/{name}" for name in names if int(name) > snapshot]
-        entries = self.spark.read.schema(LOG_SCHEMA).json(paths).collect() if paths else []
-        return sorted(entries, key=lambda entry: entry.version)
-
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _names(self, folder: str) -> list[str]:
-        files, path = self._file(folder)
-        return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
-
-    def _create(self, name: str, rows: list[dict]) -> None:
-        files, path = self._file(name)
-        out = files.create(path, False)
-        out.write(bytearray("".join(json.dumps(row) + "\n" for row in rows), "utf-8"))
-        out.close()
-
-    def load(self) -> DataFrame:
-        """The current documents; an empty table when nothing was added."""
-        log = self.log()
-        base, deltas = self._parts(log)
-        added = [e for e in log if e.kind == "append" and (base is None or e.version > base.version)]
-        current = self._read([e.folder for e in [base, *added] if e])
-        if deltas:
-            latest = self._latest(deltas)
-            keys = self._read([e.folder for e in deltas]).groupBy("doc_id").agg(F.max("version").alias("changed_at"))
-            if key_bytes(keys) <= BROADCAST_KEY_BYTES:
-                keys = F.broadcast(keys)
-            kept = current.join(keys, "doc_id", "left").filter("changed_at is null or changed_at < version").drop("changed_at")
-            current = kept.unionByName(latest.filter(~F.col("deleted")))
-        return current.select(*DOCUMENT_SCHEMA.fieldNames())
-
-    def _parts(self, log: list[Row]) -> tuple[Row | None, list[Row]]:
-        """The last base and the deltas on top of it; a merged delta replaces those before it."""
-        base = next((e for e in reversed(log) if e.kind == "base"), None)
-        later = [e for e in log if base is None or e.version > base.version]
-        merged = max((e.version for e in later if e.kind == "merged"), default=-1)
-        return base, [e for e in later if e.kind in ("delta", "merged") and e.version >= merged]
-
-    def _latest(self, deltas: list[Row]) -> DataFrame:
-        changed = self._read([e.folder for e in deltas])
-        row = F.max_by(F.struct(*changed.columns), "version").alias("row")
-        return changed.groupBy("doc_id").agg(row).select("row.*")
-
-    def upsert(self, docs: DataFrame, order: str, stream: str | None = None, batch_id: int | None = None,
-               embedder=None, ids: str = "hash") -> int:
-        """Add or replace documents. Of a repeated id in the batch the last row by ``order`` counts.
-
-        Rows without an id get one by the policy ``ids`` (see ``mutate.assign_ids``), rows without a vector one from ``embedder``.
-        """
-        log = self.log()
-        done = [e.version for e in log if stream is not None and e.stream == stream and e.batch_id is not None and e.batch_id >= batch_id]
-        if done:
-            return done[0]
-        batch, next_id = self._complete(log, docs, order, embedder, ids)
-        return self._write_delta(log, mutate.one_per_id(batch, order), stream, batch_id, next_id=next_id)
-
-    def insert_if_absent(self, docs: DataFrame, order: str, embedder=None, ids: str = "hash") -> int:
-        """Add documents whose id is new; of a repeated id in the batch the first row counts."""
-        log = self.log()
-        batch, next_id = self._complete(log, docs, order, embedder, ids)
-        new = mutate.one_per_id(batch, order, "first")
-        return self._write_delta(log, match_few(written(new, "batch"), self.load(), "doc_id", "left_anti"), next_id=next_id)
-
-    def add(self, docs: DataFrame, order: str, embedder=None, ids: str = "counter") -> DataFrame:
-        """Add documents and return ``order, doc_id`` of each row: ids assigned, vectors filled, given ids replaced if they exist."""
-        log = self.log()
-        batch, next_id = self._complete(log, docs, order, embedder, ids)
-        batch = written(batch, "batch")
-        self._write_delta(log, mutate.one_per_id(batch, order), next_id=next_id)
-        return batch.select(order, "doc_id")
-
-    def append(self, docs: DataFrame, order: str, embedder=None, ids: str = "counter") -> int:
-        """Add all rows beside what is there; a repeated id stays searchable twice, until an upsert or a deletion of it."""
-        log = self.log()
-        batch, next_id = self._complete(log, docs, order, embedder, ids)
-        return self._write_delta(log, batch, next_id=next_id, kind="append")
-
-    def update(self, changes: DataFrame, mode: str, order: str, embedder=None) -> int:
-        """Update by id; see ``mutate.update`` for the modes. Only the changed rows are written."""
-        if mode not in ("existing", "upsert", "payload_only"):
-            raise ValueError(f"unknown update mode {mode!r}")
-        log = self.log()
-        changes = written(mutate.one_per_id(changes.withColumn("doc_id", F.col("doc_id").cast("string")), order), "batch")
-        if mode != "upsert":
-            changes = match_few(changes, self.load(), "doc_id", "left_semi")
-        if mode == "payload_only":
-            # The changes are the short side; the vectors come from one scan of what is stored.
-            stored = match_few(self.load().select("doc_id", "embedding"), changes, "doc_id", "left_semi")
-            changes = changes.drop("embedding").join(stored.groupBy("doc_id").agg(F.first("embedding").alias("embedding")), "doc_id")
-            embedder = None
-        batch, _ = self._complete(log, changes, order, embedder, "hash")
-        return self._write_delta(log, batch)
-
-    def delete(self, ids: DataFrame) -> int:
-        gone = ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
-        return self._write_delta(self.log(), gone, deleted=True)
-
-    def compact(self) -> int:
-        """Fold all deltas into a new base. Rewrites the collection."""
-        log = self.log()
-        version = F.lit(log[-1].version + 1).cast("bigint").alias("version")
-        done = self._write(log, "base", self.load().select("*", F.lit(False).alias("deleted"), version))
-        self._snapshot(self.log())
-        return done
-
-    def _snapshot(self, log: list[Row]) -> None:
-        """What later reads need of the log up to its last base: the dimension, that base, the last batch of each stream, the next id."""
-        base, _ = self._parts(log)
-        streams = {e.stream: e for e in log if e.stream is not None and e.version < base.version}
-        first = log[0].asDict() | {"kind": "create", "next_id": max((e.next_id or 0 for e in log), default=0)}
-        seen = [e.asDict() | {"kind": "seen"} for e in streams.values()]
-        later = [e.asDict() for e in log if e.version >= base.version]
-        self._create(f"snapshot/{log[-1].version:012d}", [first, *seen, *later])
-
-    def merge_deltas(self) -> int:
-        """Fold the deltas into one. Rewrites only them."""
-        log = self.log()
-        return self._write(log, "merged", self._latest(self._parts(log)[1]))
 
-    def tidy(self, max_deltas: int = 50, max_share: float = 0.25) -> None:
-        """Merge the deltas when there are many; compact when they hold a good share of the rows, so
-        that each row is rewritten only a few times however many batches arrive."""
-        base, deltas = self._parts(self.log())
-        if len(deltas) <= max_deltas:
-            return
-        if sum(e.n_rows for e in deltas) > max_share * (base.n_rows if base else 0):
-            self.compact()
-        else:
-            self.merge_deltas()
 
-    def stats(self, name: str, index_type: str = "flat") -> DataFrame:
-        return mutate.stats(self.load(), name, index_type)
+def save(docs: DataFrame, path: str) -> DataFrame:
+    """Write one version and read it back."""
+    named = [(F.col(f.name) if f.name in docs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENT_SCHEMA.fields]
+    docs.select(*named).write.parquet(path)
+    return load(docs.sparkSession, path)
 
-    def _complete(self, log: list[Row], docs: DataFrame, order: str, embedder, ids: str) -> tuple[DataFrame, int | None]:
-        next_id = max((e.next_id or 0 for e in log), default=0)
-        filled = docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.lit(None).cast("string"))
-        if ids == "counter":
-            filled = written(filled, "batch")
-            n_rows = filled.count()
-        filled = mutate.assign_ids(filled, ids, order, next_id)
-        filled = filled.withColumn("content_key", text.content_key(F.col("content")))
-        for field in DOCUMENT_SCHEMA.fields:
-            value = F.col(field.name) if field.name in filled.columns else F.lit(None)
-            filled = filled.withColumn(field.name, value.cast(field.dataType))
-        if embedder is not None:
-            filled = mutate.fill_embeddings(filled, embedder)
-        if self.dimension is not None:
-            filled = mutate.require_dimension(filled, self.dimension)
-        filled = filled.select(*dict.fromkeys([*DOCUMENT_SCHEMA.fieldNames(), order]))
-        return filled, next_id + n_rows if ids == "counter" else None
 
-    def _write_delta(self, log: list[Row], rows: DataFrame, stream: str | None = None,
-                     batch_id: int | None = None, deleted: bool = False, next_id: int | None = None, kind: str = "delta") -> int:
-        named = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                 for f in DOCUMENT_SCHEMA.fields]
-        stamped = rows.select(*named, F.lit(deleted).alias("deleted"),
-                              F.lit(log[-1].version + 1).cast("bigint").alias("version"))
-        return self._write(log, kind, stamped, stream, batch_id, next_id)
+def load(spark: SparkSession, path: str | None) -> DataFrame:
+    """One version of a collection; without a folder an empty one."""
+    return spark.read.schema(DOCUMENT_SCHEMA).parquet(path) if path else spark.createDataFrame([], DOCUMENT_SCHEMA)
 
-    def _write(self, log: list[Row], kind: str, rows: DataFrame, stream: str | None = None,
-               batch_id: int | None = None, next_id: int | None = None) -> int:
-        folder = f"data/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{folder}")
-        return self._commit(log, kind, folder, self._read([folder]).count(), stream, batch_id, next_id=next_id)
 
-    def _read(self, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], ROW_SCHEMA)
-        return self.spark.read.schema(ROW_SCHEMA).parquet(*[f"{self.path}/{folder}" for folder in folders])
+def complete(docs: DataFrame, order: str, embedder=None, ids: str = "hash", next_id: int = 0, dimension: int | None = None) -> DataFrame:
+    """A batch in the columns of a collection, and ``order``: ids by a policy (see ``mutate.assign_ids``), content keys, vectors for rows without one.
 
-    def _commit(self, log: list[Row], kind: str, folder: str, n_rows: int, stream: str | None = None,
-                batch_id: int | None = None, dimension: int | None = None, next_id: int | None = None) -> int:
-        version = log[-1].version + 1 if log else 0
-        values = (version, kind, folder, n_rows, dimension, stream, batch_id, next_id)
-        self._create(f"log/{version:012d}", [dict(zip(LOG_SCHEMA.fieldNames(), values))])
-        return version
+    With ``dimension`` a vector of another length is an error.
+    """
+    filled = docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.lit(None).cast("string"))
+    filled = mutate.assign_ids(filled, ids, order, next_id).withColumn("content_key", text.content_key(F.col("content")))
+    for field in DOCUMENT_SCHEMA.fields:
+        value = F.col(field.name) if field.name in filled.columns else F.lit(None)
+        filled = filled.withColumn(field.name, value.cast(field.dataType))
+    if embedder is not None:
+        filled = mutate.fill_embeddings(filled, embedder)
+    if dimension is not None:
+        filled = mutate.require_dimension(filled, dimension)
+    return filled.select(*dict.fromkeys([*DOCUMENT_SCHEMA.fieldNames(), order]))

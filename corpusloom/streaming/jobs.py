@@ -7,50 +7,62 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions import text
 from corpusloom.operators import mutate
-from corpusloom.sources.collection import Collection
+from corpusloom.session import join_keys, written
+from corpusloom.sources import collection
 
 
 def ingest(source: DataFrame, path: str, checkpoint: str, name: str, embedder,
            dimension: int | None = None, order: str = "arrival") -> StreamingQuery:
-    """Upsert a stream of ``doc_id, content, metadata, embedding`` into the collection at ``path``.
+    """Upsert a stream of ``doc_id, content, metadata, embedding`` into a collection: one version below ``path`` for each micro-batch, named by its number.
 
     The column ``order`` decides between versions of one id that fall into one micro-batch: an event time, or the
-    ``arrival`` that ``file_stream`` gives.
-
-    Every micro-batch is one delta of the collection. A batch that is replayed after a failure is
-    recognised by its number and not applied again.
+    ``arrival`` that ``file_stream`` gives. A batch that is replayed after a failure starts from the version before it and writes the same one again.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        collection = Collection(batch.sparkSession, path, dimension)
-        embedded = mutate.fill_embeddings(batch, embedder)
-        collection.upsert(embedded, order, stream=name, batch_id=batch_id)
-        collection.tidy()
+        before = collection.load(batch.sparkSession, version(path, batch_id - 1) if batch_id else None)
+        rows = collection.complete(batch, order, embedder, dimension=dimension)
+        mutate.upsert(before, rows, order).write.mode("overwrite").parquet(version(path, batch_id))
 
     return (source.writeStream.foreachBatch(apply).queryName(name)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def version(path: str, batch_id: int) -> str:
+    return f"{path}/version={batch_id}"
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last version below ``path``; the others are partitions that are not read."""
+    versions = spark.read.parquet(path)
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == last).drop("version")
+
+
 def token_totals(messages: DataFrame) -> DataFrame:
     """Running totals per conversation. The state keeps one row per conversation for ever."""
     return messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def stream_token_totals(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the changed totals of each micro-batch to its own folder, so that a replay replaces it."""
+    """Current totals of all conversations, one version for each micro-batch: the totals that have changed replace those of the version before, which is all that is read.
+
+    A replayed batch writes its own version again.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        changed = written(batch, "changed-totals")
+        if batch_id:
+            before = batch.sparkSession.read.schema(batch.schema).parquet(version(path, batch_id - 1))
+            changed = join_keys(before, changed.select("conv_id"), "conv_id", "left_anti").unionByName(changed)
+        changed.write.mode("overwrite").parquet(version(path, batch_id))
 
     return (token_totals(messages).writeStream.outputMode("update").foreachBatch(apply)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def latest_totals(spark: SparkSession, path: str) -> DataFrame:
-    totals = spark.read.parquet(path)
-    row = F.max_by(F.struct("n_messages", "n_chars"), "batch").alias("row")
-    return totals.groupBy("conv_id").agg(row).select(
-        "conv_id", "row.n_messages", "row.n_chars", text.token_estimate(F.col("row.n_chars")).alias("est_tokens"))
+    return latest(spark, path).withColumn("est_tokens", text.token_estimate(F.col("n_chars")))
 
 
 def run(query: StreamingQuery) -> None:

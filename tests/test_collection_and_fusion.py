@@ -9,7 +9,7 @@ from corpusloom.functions import hooks
 from corpusloom.operators import fusion, mutate, rerank, sparse
 from corpusloom.plans.retrieve import Corpus, retrieve
 from corpusloom.schemas import RetrievalParams
-from corpusloom.sources.collection import Collection
+from corpusloom.sources import collection
 
 EMBED = hooks.hashed_tokens(8)
 
@@ -90,66 +90,47 @@ def test_dimension_and_stats(spark):
     assert tuple(mutate.stats(df, "n").first()) == ("n", 3, 2, 2, "flat", "parquet")
 
 
-def test_collection_life(spark, tmp_path, rows):
-    path = str(tmp_path / "c")
-    collection = Collection(spark, path)
-    assert collection.load().count() == 0
-    new = lambda *data: spark.createDataFrame(list(data), "doc_id string, content string")
-    collection.upsert(new(("a", "1"), ("b", "2")), "content")
-    collection.delete(spark.createDataFrame([("a",), ("unknown",)], "doc_id string"))
-    collection.insert_if_absent(new(("b", "ignored"), ("c", "3")), "content")
-    want = [("b", "2"), ("c", "3")]
-    assert rows(collection.load(), "doc_id", "content") == want
-    before = collection.load()
-    collection.merge_deltas()
-    assert rows(collection.load(), "doc_id", "content") == want
-    collection.compact()
-    assert rows(before, "doc_id", "content") == want, "a reader keeps its version"
-    collection.upsert(new(("a", "again"), ("b", "4")), "content")
-    reopened = Collection(spark, path)
-    assert rows(reopened.load(), "doc_id", "content") == [("a", "again"), ("b", "4"), ("c", "3")]
-    assert [e.kind for e in reopened.log()] == ["create", "base", "delta"], "a snapshot stands for what came before the base"
-    assert reopened.stats("c").first()["document_count"] == 3
-    reopened.tidy(max_deltas=0)
-    assert reopened.log()[-1].kind == "base"
-    assert rows(reopened.load(), "doc_id", "content") == [("a", "again"), ("b", "4"), ("c", "3")]
-
-
-def test_collection_gives_ids_and_keeps_every_row(spark, tmp_path, rows):
-    collection = Collection(spark, str(tmp_path / "c"), dimension=8)
-    batch = spark.createDataFrame([(None, "x", 0), (None, "y", 1), ("mine", "old", 2), ("mine", "new", 3), (None, "x", 4)], "doc_id string, content string, pos long")
-    assert rows(collection.add(batch, "pos", EMBED), "pos", "doc_id") == [(0, "doc_0"), (1, "doc_1"), (2, "mine"), (3, "mine"), (4, "doc_4")]
-    assert rows(collection.load(), "doc_id", "content") == [("doc_0", "x"), ("doc_1", "y"), ("doc_4", "x"), ("mine", "new")]
-    assert rows(collection.add(batch.limit(1).drop("doc_id"), "pos", EMBED), "doc_id") == [("doc_5",)]
-    collection.compact()
-    assert rows(collection.add(batch.limit(1).drop("doc_id"), "pos", EMBED), "doc_id") == [("doc_6",)], "a snapshot keeps the count"
-    collection.upsert(batch.filter("doc_id is null"), "pos", embedder=EMBED)
-    assert collection.load().count() == 8, "the same text has the same hashed id"
-
-
-def test_collection_append_and_update(spark, tmp_path, rows):
-    collection = Collection(spark, str(tmp_path / "c"))
-    new = lambda *data: spark.createDataFrame(list(data), "doc_id string, content string, pos long")
-    collection.append(new(("a", "1", 0), ("b", "2", 1)), "pos")
-    collection.append(new(("a", "again", 0)), "pos")
-    assert rows(collection.load(), "doc_id", "content") == [("a", "1"), ("a", "again"), ("b", "2")]
-    collection.update(new(("a", "x", 0), ("a", "y", 1), ("z", "none", 0)), "existing", "pos", EMBED)
-    assert rows(collection.load(), "doc_id", "content", F.size("embedding")) == [("a", "y", 8), ("b", "2", None)]
-    collection.append(new(("a", "later", 0)), "pos")
-    collection.update(new(("a", "p", 0)), "payload_only", "pos")
-    collection.update(new(("z", "q", 0)), "upsert", "pos")
-    collection.compact()
-    assert rows(collection.load(), "doc_id", "content") == [("a", "p"), ("b", "2"), ("z", "q")]
+def test_collection_versions(spark, tmp_path, rows):
+    """Each change is a version of its own; a reader keeps the one it reads."""
+    new = lambda *data: collection.complete(docs(spark, *data), "pos")
+    assert collection.load(spark, None).count() == 0
+    one = collection.save(mutate.upsert(collection.load(spark, None), new(("a", "1", 0), ("b", "2", 1)), "pos"), str(tmp_path / "1"))
+    two = collection.save(mutate.delete(one, spark.createDataFrame([("a",), ("unknown",)], "doc_id string")), str(tmp_path / "2"))
+    three = collection.save(mutate.insert_if_absent(two, new(("b", "ignored", 0), ("c", "3", 1)), "pos"), str(tmp_path / "3"))
+    four = collection.save(mutate.upsert(three, new(("a", "again", 0), ("b", "4", 1)), "pos"), str(tmp_path / "4"))
+    assert [rows(v, "doc_id", "content") for v in (one, two, three, four)] == [
+        [("a", "1"), ("b", "2")], [("b", "2")], [("b", "2"), ("c", "3")], [("a", "again"), ("b", "4"), ("c", "3")]]
+    assert rows(collection.load(spark, str(tmp_path / "2")), "doc_id") == [("b",)]
+    assert mutate.stats(four, "c").first()["document_count"] == 3
+
+
+def test_batches_get_ids_and_keep_every_row(spark, tmp_path, rows):
+    batch = docs(spark, (None, "x", 0), (None, "y", 1), ("mine", "old", 2), ("mine", "new", 3), (None, "x", 4))
+    first = collection.complete(batch, "pos", EMBED, ids="counter", dimension=8)
+    assert rows(first, "pos", "doc_id") == [(0, "doc_0"), (1, "doc_1"), (2, "mine"), (3, "mine"), (4, "doc_4")]
+    stored = collection.save(mutate.one_per_id(first, "pos"), str(tmp_path / "1"))
+    assert rows(stored, "doc_id", "content") == [("doc_0", "x"), ("doc_1", "y"), ("doc_4", "x"), ("mine", "new")]
+    assert rows(collection.complete(batch.limit(1).drop("doc_id"), "pos", EMBED, ids="counter", next_id=5), "doc_id") == [("doc_5",)]
+    hashed = collection.complete(batch.filter("doc_id is null"), "pos", EMBED)
+    assert mutate.upsert(stored, hashed, "pos").count() == 6, "the same text has the same hashed id"
+
+
+def test_appended_and_updated_versions(spark, tmp_path, rows):
+    new = lambda *data: collection.complete(docs(spark, *data), "pos")
+    both = mutate.append(collection.save(new(("a", "1", 0), ("b", "2", 1)), str(tmp_path / "1")), new(("a", "again", 0)).drop("pos"))
+    assert rows(both, "doc_id", "content") == [("a", "1"), ("a", "again"), ("b", "2")]
+    changed = mutate.update(both, new(("a", "x", 0), ("a", "y", 1), ("z", "none", 0)), "existing", EMBED, order="pos")
+    assert rows(changed, "doc_id", "content", F.size("embedding")) == [("a", "y", 8), ("b", "2", None)]
+    kept = mutate.update(changed, new(("a", "p", 0)), "payload_only", order="pos")
+    assert rows(kept.filter("doc_id = 'a'"), "content", F.size("embedding"), "content_key") == [("p", 8, new(("a", "p", 0)).first().content_key)]
     with pytest.raises(ValueError):
-        collection.update(new(("a", "p", 0)), "other", "pos")
+        mutate.update(both, new(("a", "p", 0)), "other")
 
 
-def test_second_writer_of_a_version_fails(spark, tmp_path):
-    one, two = (Collection(spark, str(tmp_path / "c")) for _ in range(2))
-    log = two.log()
-    one.delete(spark.createDataFrame([("a",)], "doc_id string"))
-    with pytest.raises(Exception, match="already exists|AlreadyExists"):
-        two._commit(log, "delta", "data/x", 0)
+def test_batches_are_checked_for_their_dimension(spark, tmp_path):
+    bad = spark.createDataFrame([("a", "1", [1.0], 0)], "doc_id string, content string, embedding array<float>, pos long")
+    with pytest.raises(Exception, match="expected 2 values"):
+        collection.save(collection.complete(bad, "pos", dimension=2), str(tmp_path / "1"))
 
 
 def test_rows_without_id_and_repeated_changes(spark):
@@ -162,25 +143,6 @@ def test_rows_without_id_and_repeated_changes(spark):
     assert [tuple(r) for r in mutate.update(current, changes, "existing", order="pos").collect()] == [("a", "y")]
 
 
-def test_replayed_batch_is_applied_once(spark, tmp_path):
-    collection = Collection(spark, str(tmp_path / "c"))
-    batch = spark.createDataFrame([("a", "1")], "doc_id string, content string")
-    first = collection.upsert(batch, "content", stream="s", batch_id=0)
-    assert collection.upsert(batch, "content", stream="s", batch_id=0) == first
-    assert len(collection.log()) == 2
-    collection.compact()
-    collection.upsert(batch, "content", stream="s", batch_id=0)
-    assert collection.log()[-1].kind == "base", "a snapshot remembers the batch"
-
-
-def test_collection_checks_the_dimension(spark, tmp_path):
-    collection = Collection(spark, str(tmp_path / "c"), dimension=2)
-    bad = spark.createDataFrame([("a", "1", [1.0])], "doc_id string, content string, embedding array<float>")
-    with pytest.raises(Exception, match="expected 2 values"):
-        collection.upsert(bad, "content")
-    assert Collection(spark, str(tmp_path / "c")).load().count() == 0
-
-
 HITS = "query_id long, list_idx int, rank long, doc_id long, content_key string, distance double"
 
 

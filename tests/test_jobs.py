@@ -14,7 +14,6 @@ from corpusloom.plans.oracle import ORACLE
 from corpusloom.plans.retrieve import Corpus
 from corpusloom.schemas import ModelSpec, RetrievalParams
 from corpusloom.sources import tables
-from corpusloom.sources.collection import Collection
 from corpusloom.streaming import jobs
 
 
@@ -144,23 +143,52 @@ def test_lexical_judge(spark):
     assert (found[2].faithfulness, found[2].answer_relevancy, found[2].context_precision, found[2].context_recall) == (0.0, 0.0, 0.0, 0.0)
 
 
+def test_judge_hook(spark):
+    """Verdicts of every kind become rows, failures too, and a failed kind gives no metric."""
+    data = [(1, "do cats purr", "Cats purr. Zebras fly high!", ["Cats purr at night.", "Other"], "Cats purr"),
+            (2, "boom", "a b", ["a"], "a"), (3, "odd", "a", ["a"], "a"), (4, "nothing", "", [""], "")]
+    rows = spark.createDataFrame(data, "question_id long, question string, answer string, contexts array<string>, ground_truth string").repartition(2)
+
+    def factory(spec):
+        ask = evaluate.token_judge()(spec)
+
+        def judge(kind, row):
+            if row["question"] == "boom" and kind != "context":
+                raise RuntimeError(f"no {kind}")
+            return [("a", 7)] if row["question"] == "odd" and kind == "sentence" else ask(kind, row)
+
+        return judge
+
+    verdicts = evaluate.judge(rows, factory)
+    found = {(r.question_id, r.kind, r.idx): (r.text, r.verdict, r.error) for r in verdicts.collect()}
+    assert found[1, "statement", 0] == ("Cats purr", 1, None) and found[1, "statement", 1] == ("Zebras fly high", 0, None)
+    assert found[2, "statement", None] == (None, None, "no statement") and found[3, "sentence", None][2] == "a verdict is 0 or 1"
+    scores = {r.question_id: r for r in evaluate.judged_metrics(rows, verdicts, hooks.hashed_tokens(64)).collect()}
+    lexical = {r.question_id: r for r in evaluate.lexical_metrics(rows, hooks.hashed_tokens(64)).collect()}
+    assert scores[1] == lexical[1]
+    assert (scores[2].faithfulness, scores[2].answer_relevancy, scores[2].context_recall, scores[2].context_precision) == (None, None, None, 1.0)
+    assert (scores[3].context_recall, scores[3].faithfulness, scores[4].faithfulness) == (None, 1.0, None)
+
+
 def test_stream_replaces_and_resumes(spark, tmp_path, rows):
     part = lambda *data: spark.createDataFrame(list(data), "doc_id string, content string, metadata map<string,string>, embedding array<float>, content_key string")
     inbox, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
     for wave in (part(("a", "one", None, None, "1"), ("b", "two", None, [], "2")), part(("a", "three", None, [1.0] * 8, "3"))):
         jobs.write_part(wave.coalesce(1), inbox)
         jobs.run(jobs.ingest(jobs.file_stream(spark, inbox, wave), out, state, "s", hooks.hashed_tokens(8), 8))
-    assert rows(Collection(spark, out).load(), "doc_id", "content", F.size("embedding")) == [("a", "three", 8), ("b", "two", 8)]
-    assert [e.batch_id for e in Collection(spark, out).log()] == [None, 0, 1]
+    assert rows(jobs.latest(spark, out), "doc_id", "content", F.size("embedding")) == [("a", "three", 8), ("b", "two", 8)]
+    assert rows(spark.read.parquet(jobs.version(out, 0)), "doc_id", "content") == [("a", "one"), ("b", "two")]
 
 
 def test_stream_totals_over_batches(spark, tmp_path, rows):
     inbox, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
-    for text in ("abc", "defgh"):
-        wave = spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")
+    for conv, text in ((1, "abc"), (2, "x"), (1, "defgh")):
+        wave = spark.createDataFrame([(conv, 0, "user", text)], "conv_id long, turn long, role string, text string")
         jobs.write_part(wave.coalesce(1), inbox)
         jobs.run(jobs.stream_token_totals(jobs.file_stream(spark, inbox, wave), out, state))
-    assert rows(jobs.latest_totals(spark, out), "conv_id", "n_messages", "n_chars", "est_tokens") == [(1, 2, 8, 2)]
+    assert rows(jobs.latest_totals(spark, out), "conv_id", "n_messages", "n_chars", "est_tokens") == [(1, 2, 8, 2), (2, 1, 1, 0)]
+    plan = jobs.latest_totals(spark, out)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(version" in plan, "earlier versions are not read"
 
 
 @pytest.fixture(scope="module")

@@ -1,5 +1,8 @@
 """Text functions, filters, contexts, prompts and conversations."""
 
+import json
+
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import filters, hooks, text
 from corpusloom.operators import chat, context
 from corpusloom.plans import registry
+from corpusloom.schemas import ModelSpec
 from corpusloom.sources import tables
 
 
@@ -175,6 +179,85 @@ def test_running_totals_across_parts(spark, monkeypatch):
     assert found[(29, 29)] == (1, 1)
 
 
+def by_hand(messages, epoch=lambda conv, turn: 0, bound=None):
+    """(conv, as_of, turn) of all that every turn sees."""
+    out = []
+    for conv, as_of, *_ in messages:
+        own = sorted(m for m in messages if m[0] == conv and m[1] <= as_of and epoch(conv, m[1]) == epoch(conv, as_of))
+        left = bound
+        for _, turn, _, text in reversed(own):
+            if bound is not None:
+                left -= max(len(text), 1)
+                if left < 0 and turn != as_of:
+                    break
+            out.append((conv, as_of, turn))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bound", [None, 1, 12, 40, 10_000])
+def test_what_every_call_sees(spark, rows, monkeypatch, bound):
+    """A long conversation over many parts, a short one, empty texts, and one text that alone is above the bound."""
+    monkeypatch.setattr(chat, "PART_TURNS", 6)
+    data = [(1, t, "user" if t % 2 else "assistant", "a" * (t * 7 % 11)) for t in range(45)] + [(2, 3, "user", "b" * 60), (2, 9, "user", ""), (3, 100, "user", "c")]
+    table = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)
+    calls = chat.all_calls(table)
+    assert calls.select("call_id").distinct().count() == len(data)
+    found = chat.history_of(calls, table, context_chars=bound)
+    assert rows(found, "conv_id", "as_of", "turn") == sorted(by_hand(data, bound=bound), key=repr)
+    assert chat.all_calls(table, "user").count() == sum(m[2] == "user" for m in data)
+
+
+def test_calls_see_their_own_epoch(spark, rows, monkeypatch):
+    monkeypatch.setattr(chat, "PART_TURNS", 5)
+    data = [(c, t, "user", f"{t}") for c in (1, 2) for t in range(30)]
+    table = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    marks = {(1, 4), (1, 4), (1, 11), (1, 29), (2, -1), (9, 3)}
+    clears = spark.createDataFrame([*marks, (1, 4)], "conv_id long, cleared_at long")
+    epoch = lambda conv, turn: sum(c == conv and at < turn for c, at in marks)
+    told = chat.epochs(table, clears)
+    assert rows(told, "conv_id", "turn", "epoch") == sorted(((c, t, epoch(c, t)) for c, t, *_ in data), key=repr)
+    seen = chat.history_of(chat.all_calls(told, conversation=("conv_id", "epoch")), told, ("conv_id", "epoch"))
+    assert rows(seen, "conv_id", "as_of", "turn") == sorted(by_hand(data, epoch), key=repr)
+
+
+def test_histories_do_not_meet_by_conversation_alone(spark):
+    table = messages(spark)
+    for bound in (None, 20):
+        plan = chat.history_of(chat.all_calls(table), table, context_chars=bound)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.split("\n") if "Join " in line]
+        assert joins and all("__part" in line or "__place" in line or "as_of" in line for line in joins)
+
+
+def test_a_model_with_a_short_context(spark):
+    data = [(1, t, "user" if t % 2 == 0 else "assistant", f"message {t:03d}") for t in range(21)]
+    table = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    found = {r.call_id: r.content for r in chat.replies(chat.all_calls(table, "user"), table, lambda spec: lambda history: " ".join(t for _, t in history),
+                                                         ModelSpec(system_prompt="S", context_tokens=9)).collect()}
+    assert found["1-20"] == "S message 018 message 019 message 020" and found["1-0"] == "S message 000" and len(found) == 11
+
+
+FILTERS = [{"n": 5}, {"n": {"$gt": 4.5, "$lte": "9"}}, {"n": {"$ne": 5}}, {"n": {"$in": [1, "5", 7.5, True]}}, {"n": {"$nin": [1, "5"]}}, {"s": "a"}, {"s": {"$gte": "a", "$lt": "c"}},
+           {"f": True}, {"f": {"$ne": False}}, {"$or": [{"n": {"$lt": 2}}, {"$and": [{"s": "b"}, {"f": False}]}]}, {"$or": []}, {"$and": []}, {}, {"absent": {"$ne": 1}}, {"absent": 1},
+           {"n": {"$eq": None}}, {"n": {"$ne": None}}, {"n": 9007199254740993}, {"n": {"$gt": -1e3}}, {"s": {"$nin": []}}]
+
+
+def test_batch_filters_mean_what_columns_mean(spark):
+    """Every filter, tested on Arrow batches and translated to a column."""
+    maps = [{"n": n, "s": s, "f": f} for n, s, f in [("5", "a", "true"), ("5.0", "b", "false"), ("1", "c", "x"), (" 7.5 ", "", "true"), ("abc", "a", ""), ("9007199254740993", "b", "false"),
+                                                     ("9007199254740992", "z", "true"), ("-2e2", "a", "TRUE")]] + [{}, None, {"s": "b"}]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(maps)], "id long, m map<string,string>").coalesce(1)
+    matcher = filters.Matcher([json.dumps(f) for f in FILTERS] + [None, ""])
+    table = df.orderBy("id").toArrow()
+    masks = matcher.masks(table.column("m").combine_chunks())
+    assert matcher.place[-2:].tolist() == [-1, -1]
+    for i, f in enumerate(FILTERS):
+        want = [r.id for r in df.filter(filters.translate(f, filters.map_lookup("m"))).orderBy("id").collect()]
+        assert np.flatnonzero(masks[matcher.place[i]]).tolist() == want, f
+    for wrong in ({"n": {"$near": 1}}, {"$not": []}):
+        with pytest.raises(ValueError):
+            filters.Matcher([json.dumps(wrong)]).masks(table.column("m").combine_chunks())
+
+
 def test_token_estimate_rounds_after_the_sum(spark, rows):
     data = [(1, 0, "user", "abc"), (1, 1, "user", "abc"), (1, 2, "user", "abc")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
