@@ -4,8 +4,9 @@ A page is cut into blocks of text at block-level tags. Each block has a vector:
 words, and a few measures (length, links, punctuation, place). A bidirectional LSTM, written in numpy, reads the blocks of a page in
 order and says of each whether it belongs to the article, with the whole page as context.
 
-The labeller is trained on a bounded sample of the pages, labelled by the meaning of the tags around each block, and on
-variants of them: their articles in other containers, between menus, notices, forms, comments and adverts filled with texts of other pages.
+The labeller is trained on a bounded sample of the pages and on variants of them: their articles in other containers, between menus, notices, forms, comments and
+adverts filled with texts of other pages. A variant's labels are known because it was built; the given pages' come from the meaning of the tags around each block. In many variants
+the containers say nothing (a plain ``div``, a table cell, made-up names, none at all), so that length, links, punctuation and what stands around a block must decide.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +28,12 @@ from corpusloom.llm.shingles import word_bounds, word_hashes
 
 #: Pages that the labeller is trained on, those with the smallest hashes of their ids.
 TRAIN_PAGES = 200
-PATH, WORDS, MEASURES, HIDDEN = 256, 32, 6, 24
+PATH, WORDS, MEASURES, HIDDEN = 256, 32, 8, 24
 INPUT = PATH + WORDS + MEASURES
-STEPS, BATCH, LONGEST = 160, 16, 96
+STEPS, BATCH, LONGEST = 320, 16, 96
+VARIANTS = 4
+#: Stands before the texts of a variant's article (a private character, removed again).
+MARK = "\ue000"
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|title|object)\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
@@ -37,6 +42,8 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup "
                    "time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+NESTING = frozenset("div ul section article".split())
+CLOSING = NESTING | frozenset("p li option tr td th dt dd h1 h2 h3 footer".split())
 # Words in tags, classes and ids that tell what a part of a page is.
 OTHER = frozenset("ad ads advert advertisement advertising alert aside banner breadcrumb breadcrumbs button comment comments consent cookie cookies copyright "
                   "dialog disclaimer discussion footer form head legal login masthead menu modal nav navbar navigation newsletter notice notification pagination popup "
@@ -44,10 +51,24 @@ OTHER = frozenset("ad ads advert advertisement advertising alert aside banner br
 ARTICLE = frozenset("article main content post entry story".split())
 
 
+class Path:
+    """The tags above a block, as a link to the one above and what all of them add up to; a deep page costs no more than a flat one."""
+
+    __slots__ = ("tag", "buckets", "words", "inside", "other")
+
+    def __init__(self, above: Path | None, tag: str, own: tuple[str, ...]):
+        self.tag, self.words = tag, ((above.words if above else ()) + own)[-2:]
+        self.buckets = (above.buckets if above else 0) | word_buckets(own)
+        self.inside, self.other = (above.inside, above.other) if above else (False, False)
+        for word in own:
+            self.other |= word in OTHER or word == "header" and not self.inside
+            self.inside |= word in ARTICLE
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
+    def __init__(self, path: Path | None, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -57,12 +78,24 @@ def tag_words(tag: str, own: str) -> tuple[str, ...]:
     return (tag, *re.findall(r"[a-z]+", named))
 
 
+@lru_cache(maxsize=20_000)
+def word_buckets(words: tuple[str, ...], kind: str = "") -> int:
+    """The buckets of words, as bits of one number."""
+    bits = 0
+    for word in words:
+        bits |= 1 << zlib.crc32((kind + word).encode()) % PATH
+    return bits
+
+
 def blocks(page: str) -> list[Block]:
     """Texts between block-level tags, references decoded, white space made one space; empty ones are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Path] = []
+    # Places of the block-level tags in the stack, and how often each tag is open.
+    outer: list[int] = []
+    is_open: Counter[str] = Counter()
     parts: list[str] = []
-    linked, at, path = 0, 0, ()
+    linked, at, path = 0, 0, None
 
     def flush() -> None:
         nonlocal linked
@@ -77,12 +110,19 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, path
         if raw:
             if not parts:
-                path = tuple(w for _, words in stack for w in words)
+                path = stack[-1] if stack else None
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
-            if any(t == "a" for t, _ in stack):
+            if is_open["a"]:
                 linked += len(raw)
 
+    def close() -> str:
+        gone = stack.pop().tag
+        is_open[gone] -= 1
+        if outer and outer[-1] == len(stack):
+            outer.pop()
+        return gone
+
     for m in TOKEN.finditer(page):
         say(page[at:m.start()])
         at = m.end()
@@ -96,20 +136,21 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if m["end"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if is_open[tag]:
+                while close() != tag:
                     pass
         elif tag not in VOID and not m["own"].endswith("/>"):
-            if tag in ("p", "li", "option", "tr", "td", "th", "dt", "dd") or not stack or tag in ("h1", "h2", "h3", "div", "ul", "article", "section", "footer"):
+            if outer and tag in CLOSING:
                 # An open paragraph ends where a block begins, and an open item where its like begins.
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag and tag not in ("div", "ul", "section", "article") or stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+                last = stack[outer[-1]].tag
+                if last == "p" or last == tag and tag not in NESTING:
+                    for _ in range(len(stack) - outer[-1]):
+                        close()
             own = m["own"]
-            stack.append((tag, tag_words(tag, own[:-1] if "=" in own else "")))
+            if tag not in INLINE:
+                outer.append(len(stack))
+            stack.append(Path(stack[-1] if stack else None, tag, tag_words(tag, own[:-1] if "=" in own else "")))
+            is_open[tag] += 1
     say(page[at:])
     flush()
     return out
@@ -130,30 +171,28 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
     bucket = (word_hashes(data, starts, ends, lower=True) >> np.uint64(59)).astype(np.int64)
     x[:, PATH:PATH + WORDS] = np.bincount(of * WORDS + bucket, minlength=len(flat) * WORDS).reshape(-1, WORDS) / np.maximum(n_words, 1)[:, None]
     for i, b in enumerate(flat):
-        x[i, path_buckets(b.path)] = 1
+        if b.path:
+            x[i, :PATH] = path_bits(b.path.buckets, b.path.words)
     size = np.diff(offsets)
+    sentence = np.array([b.text[-1] in ".!?\"'”»)" for b in flat], np.float32)
+    heading = np.array([b.path is not None and b.path.tag in ("h1", "h2", "h3", "h4") for b in flat], np.float32)
     marks = np.add.reduceat(np.append(np.isin(data, np.frombuffer(b".,;:!?", np.uint8)), False).astype(np.int64), offsets[:-1])
     place = np.concatenate([np.linspace(0, 1, len(p)) for p in pages])
-    measures = [np.log1p(size) / 8, np.array([b.linked for b in flat]) / np.maximum(size, 1), marks / np.maximum(size, 1) * 5, np.log1p(n_words) / 6, place, place ** 0]
+    measures = [np.log1p(size) / 8, np.array([b.linked for b in flat]) / np.maximum(size, 1), marks / np.maximum(size, 1) * 5, np.log1p(n_words) / 6, place, sentence, heading, place ** 0]
     x[:, PATH + WORDS:] = np.stack(measures, 1)
     return x
 
 
 @lru_cache(maxsize=20_000)
-def path_buckets(path: tuple[str, ...]) -> list[int]:
+def path_bits(buckets: int, last: tuple[str, ...]) -> np.ndarray:
     """Buckets of all words of a path, and of the last two by themselves."""
-    words = {*path, *(f"last {w}" for w in path[-2:])}
-    return sorted({zlib.crc32(w.encode()) % PATH for w in words})
+    bits = (buckets | word_buckets(last, "last ")).to_bytes(PATH // 8, "little")
+    return np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(np.float32)
 
 
-def meaning(path: tuple[str, ...]) -> int:
+def meaning(path: Path | None) -> int:
     """1 if the tags around a block say that it is part of an article."""
-    inside = False
-    for word in path:
-        if word in OTHER or word == "header" and not inside:
-            return 0
-        inside |= word in ARTICLE
-    return int(inside)
+    return int(path is not None and path.inside and not path.other)
 
 
 class Labeller:
@@ -255,6 +294,9 @@ class Labeller:
 _CLASSES = sorted(OTHER - {"aside", "button", "footer", "form", "head", "nav", "select", "textarea"})
 _CONTAINERS = ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main-content">{}</div>',
                '<div class="post">{}</div>', '<div class="entry-content">{}</div>', '<section class="story">{}</section>', "<article><header><h1>{h}</h1></header>{}</article>"]
+# Containers whose names say nothing; {n} is a made-up name.
+_NEUTRAL = ["<div>{}</div>", "<div>{}</div>", "<div><div>{}</div></div>", "{}", "{}", '<div class="{n}">{}</div>', '<div id="{n}">{}</div>', '<div class="{n} {n}"><div class="{n}">{}</div></div>',
+            "<table><tr><td>{}</td></tr></table>", '<table class="{n}"><tr><td class="{n}">{}</td></tr></table>', "<section>{}</section>", '<div id="{n}"><section class="{n}">{}</section></div>']
 _BEFORE = ["<header><h2>{}</h2><p>{}</p></header>", '<div id="header"><p>{}</p></div>', '<nav><ul><li><a href="/x">{}</a></li><li><a href="/y">{}</a></li></ul></nav>',
            '<div class="menu"><a href="/x">{}</a></div>', '<div class="cookie-notice"><p>{}</p></div>', '<div class="notice">{}</div>', '<aside><p>{}</p></aside>',
            '<div class="sidebar"><h3>{}</h3><p>{}</p></div>', '<div class="ad">{}</div>', '<div class="banner"><p>{}</p></div>', '<ul class="breadcrumb"><li>{}</li></ul>']
@@ -262,44 +304,75 @@ _AFTER = ['<section id="comments"><h3>{}</h3><div class="comment"><p>{}</p></div
           '<aside class="related"><ul><li><a href="/z">{}</a></li></ul></aside>', '<form class="newsletter"><p>{}</p><button>{}</button></form>', "<form><label>{}</label></form>",
           "<footer><p>{}</p></footer>", "<footer>&copy; {}</footer>", '<div id="footer">{}</div>', '<div class="advert"><p>{}</p></div>', '<div class="share">{}</div>',
           '<div class="sidebar">{}</div>', '<div class="social"><a href="/s">{}</a></div>']
-
 _ANYWHERE = ['<div class="{c}"><p>{}</p></div>', '<div class="{c}">{}</div>', '<section class="{c}"><h3>{}</h3><p>{}</p></section>', '<div id="{c}"><p>{}</p><p>{}</p></div>',
              '<div class="page-{c}"><ul><li>{}</li></ul></div>', '<div role="{c}">{}</div>'] * 2
+# Menus and footers that are told by what they hold.
+_LINKS = ["<ul>{l}</ul>", "<div><ul>{l}</ul></div>", "<div>{a}</div>", "<p>{a}</p>", '<div class="{n}"><ul>{l}</ul></div>', "<table><tr><td>{a}</td></tr></table>", "<ol>{l}</ol>"]
+_ENDS = ["<div>&copy; {y} {s}</div>", "<p>&copy; {y} {s}</p>", '<div class="{n}">Copyright {y} {s}</div>', "<div><p>&copy; {s}</p><p>{a}</p></div>", "<p>{a}</p>", "<div><ul>{l}</ul></div>"]
+
 
+def variant(texts: list[str], others: list[str], rng: random.Random) -> tuple[list[Block], np.ndarray]:
+    """Blocks and labels of a page around paragraphs of an article, with parts of other kinds filled with other texts."""
+    def name(_=None) -> str:
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) + rng.choice(["", "-x", "_1", "-wrap", "-text", "-body", "-col", "-page", "-inner"])
+
+    def short() -> str:
+        words = rng.choice(others).split()
+        at = rng.randrange(len(words))
+        return html.escape(" ".join(words[at:at + rng.randrange(1, 5)]))
+
+    def link() -> str:
+        return f'<a href="/{rng.randrange(99)}">{short()}</a>'
 
-def variant(texts: list[str], others: list[str], rng: random.Random) -> str:
-    """A page around paragraphs of an article, with parts of other kinds filled with other texts."""
     def fill(pattern: str) -> str:
-        pattern = pattern.replace("{c}", rng.choice(_CLASSES))
+        pattern = pattern.replace("{c}", rng.choice(_CLASSES)).replace("{y}", str(rng.randrange(1995, 2030))).replace("{s}", short())
+        pattern = pattern.replace("{l}", "".join(f"<li>{link()}</li>" for _ in range(rng.randrange(2, 9)))).replace("{a}", rng.choice([" ", " | ", " &middot; "]).join(link() for _ in range(rng.randrange(2, 9))))
+        pattern = re.sub(r"\{n\}", name, pattern)
         return re.sub(r"\{\}", lambda _: html.escape(rng.choice(others)[:rng.choice([20, 60, 200, 1000])]), pattern)
 
-    inner = [f"<h1>{html.escape(texts[0][:60])}</h1>"]
+    plain = rng.random() < 0.5
+    title = MARK + html.escape(texts[0][:60])
+    inner = [f"<h1>{title}</h1>"] if rng.random() < 0.6 else []
     for text in texts:
-        inner.append(f"<p>{html.escape(text)}</p>")
+        if rng.random() < 0.15:
+            inner.append(f"<p>{MARK}{short()}</p>")
+        inner.append(f"<p>{MARK}{html.escape(text)}</p>" if rng.random() < 0.95 else f"<div>{MARK}{html.escape(text)}</div>")
+        if rng.random() < 0.05:
+            inner.append(f"<h2>{MARK}{html.escape(rng.choice(texts)[:40])}</h2>")
         if rng.random() < 0.1:
             inner.append(fill(rng.choice(['<div class="ad">{}</div>', "<aside>{}</aside>", '<div class="newsletter"><p>{}</p></div>'])))
-    body = rng.choice(_CONTAINERS).replace("{h}", html.escape(texts[0][:60])).replace("{}", "".join(inner))
-    before = [fill(p) for p in rng.sample(_BEFORE + _ANYWHERE, rng.randrange(7))]
-    after = [fill(p) for p in rng.sample(_AFTER + _ANYWHERE, rng.randrange(8))]
-    return f"<html><body>{''.join(before)}{body}{''.join(after)}</body></html>"
+    body = re.sub(r"\{n\}", name, rng.choice(_NEUTRAL if plain else _CONTAINERS)).replace("{h}", title).replace("{}", "".join(inner))
+    kinds = (_LINKS * 2 + _BEFORE, _ENDS * 3 + _LINKS + _AFTER) if plain else (_BEFORE + _ANYWHERE + _LINKS, _AFTER + _ANYWHERE + _ENDS)
+    before = [fill(p) for p in rng.sample(kinds[0], rng.randrange(4 if plain else 7))]
+    after = [fill(p) for p in rng.sample(kinds[1], rng.randrange(4 if plain else 8))]
+    page = f"<html><body>{''.join(before)}{body}{''.join(after)}</body></html>"
+    if plain and rng.random() < 0.5:
+        page = re.sub("<body>(.*)</body>", lambda m: f'<body><div id="{name()}">{m[1]}</div></body>', page, flags=re.S)
+    found = blocks(page)
+    label = np.array([MARK in b.text for b in found], int)
+    for b in found:
+        b.text = b.text.replace(MARK, "")
+    keep = [i for i, b in enumerate(found) if b.text]
+    return [found[i] for i in keep], label[keep]
 
 
 def fit(pages: DataFrame, max_pages: int = TRAIN_PAGES) -> Labeller:
-    """Trains on at most ``max_pages`` pages (``page_id``, ``html``), those with the smallest hashes of their ids, and two variants of each."""
+    """Trains on at most ``max_pages`` pages (``page_id``, ``html``), those with the smallest hashes of their ids, and ``VARIANTS`` variants of each."""
     pages = pages.select("page_id", "html").filter("page_id is not null and length(html) > 0")
     # Ids first: the html of every task's candidates would add up on the driver. At most max_pages ids are broadcast.
     chosen = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
     rows = pages.join(F.broadcast(chosen), "page_id").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(max_pages).collect()
     parsed = [blocks(r[1]) for r in rows]
     others = [b.text for p in parsed for b in p if len(b.text) > 3] or ["text"]
-    rng, found = random.Random(1), list(parsed)
+    rng = random.Random(1)
+    found = [(p, np.array([meaning(b.path) for b in p])) for p in parsed if p]
     for page in parsed or [[]]:
-        texts = [b.text for b in page if meaning(b.path)] or others[:3]
-        for _ in range(2):
-            found.append(blocks(variant(texts, others, rng)))
-    found = [p for p in found if p]
+        texts = [b.text.replace(MARK, "") or "text" for b in page if meaning(b.path)] or others[:3]
+        for _ in range(VARIANTS):
+            at = rng.randrange(len(texts))
+            found.append(variant(texts[at:at + rng.randrange(1, 30)], others, rng))
     labeller = Labeller.fresh()
-    labeller.train([(vectors([p]), np.array([meaning(b.path) for b in p])) for p in found])
+    labeller.train([(vectors([p]), label) for p, label in found if p])
     return labeller
 
 

@@ -129,6 +129,52 @@ def test_main_text(spark, sf):
         assert said[r.page_id].split() == html.unescape(want).split()
 
 
+UNSEEN = ["<article>{}</article>", "<div>{}</div>", '<div class="article-body">{}</div>', '<table><tr><td>{}</td></tr></table>', '<div id="page-wrap">{}</div>', '<div class="text">{}</div>', "{}",
+          '<div class="col-8 lg"><div class="prose">{}</div></div>', '<section id="s1">{}</section>', '<div class="blog-inner"><div>{}</div></div>']
+
+
+def test_articles_in_unseen_containers(spark, sf):
+    """What an article is must be told by its content: plain paragraphs between a bar of links and a footer, in containers that the training never names."""
+    pages = spark.read.parquet(f"{folder(sf)}/pages.parquet")
+    model = main_text.fit(pages)
+    rng = np.random.default_rng(3)
+    words = "winter river the of and market stone a light in morning walked over bridge to town it was old people came from hills".split()
+
+    def sentence():
+        return " ".join(rng.choice(words, rng.integers(6, 20))).capitalize() + rng.choice([".", ".", "!", "?"])
+
+    kept = wanted = extra = others = 0
+    for n in range(60):
+        paragraphs = [" ".join(sentence() for _ in range(rng.integers(1, 6))) for _ in range(6)]
+        title = f"<h1>{sentence()[:-1]}</h1>" if n % 3 else ""
+        body = UNSEEN[n % len(UNSEEN)].replace("{}", title + "".join(f"<p>{p}</p>" for p in paragraphs))
+        bar = "".join(f'<li><a href="/{w}">{w.capitalize()}</a></li>' for w in rng.choice(words, 6))
+        page = f"<html><body><ul>{bar}</ul>{body}<div>&copy; 2024 Old Town</div></body></html>"
+        found = main_text.blocks(page)
+        keep = model.scores(main_text.vectors([found]), np.array([len(found)])) >= 0.5
+        for b, k in zip(found, keep, strict=True):
+            if b.text in paragraphs:
+                wanted, kept = wanted + 1, kept + k
+            elif b.linked or "©" in b.text:
+                others, extra = others + 1, extra + k
+    assert wanted == 360 and kept >= 0.95 * wanted, kept
+    assert others == 420 and extra <= 0.05 * others, extra
+
+
+def test_deep_pages_cost_no_more_than_flat_ones():
+    import time
+
+    for deep in ("<div>", "<b>", "<div><p>", "<b><p></p>", '<section class="x">', "<a>"):
+        seconds = []
+        for n in (5_000, 40_000):
+            start = time.perf_counter()
+            found = main_text.blocks(deep * n + "text" + "</div></p></b>" * n)
+            main_text.vectors([found])
+            seconds.append(time.perf_counter() - start)
+            assert found[-1].text == "text"
+        assert seconds[1] < 30 * seconds[0] + 1
+
+
 def test_gradients():
     model = main_text.Labeller.fresh()
     pages = [main_text.blocks(PAGE), main_text.blocks("<p>a</p><p>b</p>")]
