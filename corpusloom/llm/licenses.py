@@ -1,9 +1,8 @@
 """License texts in documents: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a document, or a window of as many consecutive words as the template has, wherever lines break; both are taken as
-sets of words. A block matches a template if it holds at least a given share of the template's words. Windows are looked for in
-documents of several lines: overlapping stretches of two chunks hold every window, and each window of a stretch that passes the
-filters as a whole is verified by itself. Template words are ordered by their frequency in the whole corpus, rarest first. A block that
+A block is a window of as many consecutive words as the template has, wherever lines break (a shorter document is one block), taken as a
+set of words. A block matches a template if it holds at least a given share of the template's words. Overlapping stretches of two chunks hold every window, and each window of a
+stretch that passes the filters as a whole is verified by itself. Template words are ordered by their frequency in the whole corpus, rarest first. A block that
 reaches the threshold must hold one of the first few (the prefix), must have enough words (length), and what is left of both
 sets behind the first common word must suffice (position). What passes is verified on the full sets. DataFrame functions only.
 """
@@ -63,12 +62,12 @@ def phrase_places(words: Column, n_words: Column, phrases: Sequence[tuple[str, s
 
 
 def _stretches(docs: DataFrame, sets: Sequence[tuple[str, list[str], int]], prefix: Sequence[str], vocabulary: Sequence[str], percent: int) -> DataFrame:
-    """Stretches of words that hold every window over a line break: ``doc_id``, ``key``, ``block`` (set of words), ``words`` (in order).
+    """Stretches of words that hold every window: ``doc_id``, ``key``, ``block`` (set of words), ``words`` (in order).
 
     Only documents that hold enough words of some template are cut.
     """
     size = max(n for _, _, n in sets)
-    docs = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("key"), F.translate(plain(F.col("text")), UPPER, LOWER).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("key"), F.translate(plain(F.col("text")), UPPER, LOWER).alias("text"))
     # An exploded array of one element is computed once, however often it is used.
     docs = docs.select("*", F.explode(F.array(F.array_intersect(F.split("text", " ", -1), F.lit(vocabulary)))).alias("held"))
     enough = F.lit(False)
@@ -82,7 +81,7 @@ def _stretches(docs: DataFrame, sets: Sequence[tuple[str, list[str], int]], pref
 
 
 def matching_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``key`` (hash of the text), ``label``, ``score`` (largest share of the template's words) of every matching line and stretch of words."""
+    """``doc_id``, ``key`` (hash of the text), ``label``, ``score`` (largest share of the template's words) of every matching stretch of words."""
     spark = docs.sparkSession
     sets = [(label, sorted(set(text.split(" "))), len(text.split(" "))) for label, text in templates]
     vocabulary = sorted({w for _, words, _ in sets for w in words})
@@ -100,9 +99,7 @@ def matching_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     least = min(r[3] for r in rows)
     table = F.broadcast(spark.createDataFrame(rows, "label string, template array<string>, width int, need int, place int, word string"))
     # Only blocks with a prefix word and enough words go on.
-    lines = (docs.select("doc_id", "text", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("block"))
-             .select("doc_id", F.xxhash64("text").alias("key"), _words(plain(F.col("block"))).alias("block"), F.lit(None).cast("array<string>").alias("words")))
-    blocks = lines.unionByName(_stretches(docs, sets, prefix, vocabulary, percent)).filter((F.size("block") >= least) & F.arrays_overlap("block", F.lit(prefix)))
+    blocks = _stretches(docs, sets, prefix, vocabulary, percent).filter((F.size("block") >= least) & F.arrays_overlap("block", F.lit(prefix)))
     known = F.create_map(*(x for w in vocabulary for x in (F.lit(w), F.lit(rank[w]))))
     blocks = blocks.withColumn("known", F.array_sort(F.transform(F.array_intersect("block", F.lit(vocabulary)), lambda w: known[w])))
     pairs = blocks.withColumn("word", F.explode(F.array_intersect("block", F.lit(prefix)))).join(table, "word")
@@ -112,14 +109,14 @@ def matching_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("width") + 1, F.lit(1)))
     window = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("width")), F.col("template")))))
     pairs = pairs.select("doc_id", "key", "label", "need", F.size("template").alias("size"),
-                         F.explode(F.array(F.when(F.col("words").isNull(), whole).otherwise(window))).alias("common"))
+                         F.explode(F.array(window)).alias("common"))
     return pairs.filter("common >= need").select("doc_id", "key", "label", (F.col("common") / F.col("size")).alias("score"))
 
 
 def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``n_words``, ``n_base`` (places of all phrases), ``first_word``, ``last_word``
     (smallest and largest start, null without a place), ``base_labels`` and ``labels`` (arrays, sorted), ``score``: 1 if a phrase
-    stands in the text, else the largest share of a template's words in a matching line or window, else 0.
+    stands in the text, else the largest share of a template's words in a matching window, else 0.
 
     A null or empty text has no words. Rows that repeat an id are scanned each by itself, and so are rows without id. Other columns are ignored.
     """

@@ -123,7 +123,7 @@ def op6_fm_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def op8_licenses(spark: SparkSession, sf: str) -> DataFrame:
-    """License phrases of every document, and labels of the templates that its lines hold."""
+    """License phrases of every document, and labels of the templates that its windows of words hold."""
     found = licenses.scan(_table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"),
                         F.concat_ws(",", "labels").alias("labels"), "score")
@@ -139,9 +139,10 @@ p AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_values(license
 h AS (SELECT r, i - 1 AS i, label
       FROM (SELECT r, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, p WHERE len(w) >= len(p)) WHERE w[i:i + len(p) - 1] = p),
 b AS (SELECT r, count(*) AS n, min(i) AS f, max(i) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY r),
-t AS (SELECT label, list_distinct(string_split(words, ' ')) AS t FROM (VALUES {_values(licenses.TEMPLATES)}) AS x(label, words)),
-s AS (SELECT r, list_distinct(regexp_extract_all({_LOWER}, '{_WORDS}')) AS s FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d)),
-m AS (SELECT r, label, len(list_intersect(s, t)) / len(t) AS share FROM s, t WHERE 100 * len(list_intersect(s, t)) >= {licenses.PERCENT} * len(t)),
+t AS (SELECT label, list_distinct(string_split(words, ' ')) AS t, len(string_split(words, ' ')) AS n FROM (VALUES {_values(licenses.TEMPLATES)}) AS x(label, words)),
+s AS (SELECT r, w, label, t, n FROM d, t WHERE 100 * len(list_intersect(list_distinct(w), t)) >= {licenses.PERCENT} * len(t)),
+m AS (SELECT r, label, len(list_intersect(w[i:i + n - 1], t)) / len(t) AS share FROM (SELECT *, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) AS i FROM s)
+      WHERE 100 * len(list_intersect(w[i:i + n - 1], t)) >= {licenses.PERCENT} * len(t)),
 a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM m UNION SELECT r, label FROM h) GROUP BY r),
 k AS (SELECT r, max(share) AS share FROM m GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word,
