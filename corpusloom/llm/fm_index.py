@@ -1,20 +1,21 @@
 """Word passages that documents share, by matching statistics over a compressed FM-index of each shard.
 
 The index holds the Burrows-Wheeler transform of the shard's segments as a wavelet tree of packed bits, one array of
-bits per binary digit of the word codes with counts at every 64th place, and the smallest id of each suffix in order. Every segment
-is streamed against it from its last word to its first: a backward step extends the match by one word to
-the left; when the match has reached the threshold its interval is reported, and before the next step it is cut back by one word at its
-right end, to the interval of its parent.
+bits per binary digit of the word codes with counts at every 64th place, the common prefixes of neighbours in order, and the id of each suffix. Runs of
+documents are streamed against it from their last word to their first: a backward step extends the match by one word to
+the left; where no suffix goes on like that, the match is cut by a word at its right end, to its parent interval by the common prefixes, until one does. Each
+step gives the length of the longest match from there on, as far as the threshold, and its interval; intervals that reach the threshold are reported, and the match goes on one word shorter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.batches import ranges
 from corpusloom.llm.repeats import Units, cut_repeats
-from corpusloom.llm.shingles import sequence_hashes
 from corpusloom.llm.suffix_array import doubled
 
 SEPARATOR = 1
@@ -46,6 +47,69 @@ class Wavelet:
         return self._down(symbol, at) - self.start[symbol]
 
 
+class Index:
+    """Suffixes of a text of small numbers, ordered by their first ``depth`` symbols."""
+
+    def __init__(self, text: np.ndarray, size: int, depth: int):
+        self.size, self.depth = size, depth
+        self.sa = doubled(text, depth)
+        self.tree = Wavelet(text[self.sa - 1], size)
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
+        # Common prefix of each suffix with the one before, up to the depth.
+        self.shared = np.zeros(len(text), np.int64)
+        live = np.arange(1, len(text))
+        for done in range(depth):
+            a, b = self.sa[live - 1] + done, self.sa[live] + done
+            inside = (a < len(text)) & (b < len(text))
+            live = live[inside][text[a[inside]] == text[b[inside]]]
+            self.shared[live] = done + 1
+        self.cuts: dict[int, np.ndarray] = {}
+
+    def parent(self, low: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Interval of the first ``length`` symbols of the suffixes at ``low``."""
+        first, end = np.empty_like(low), np.empty_like(low)
+        for n in np.unique(length).tolist():
+            if n not in self.cuts:
+                self.cuts[n] = np.append(np.flatnonzero(self.shared < n), len(self.sa)) if n else np.array([0, len(self.sa)])
+            own = length == n
+            at = np.searchsorted(self.cuts[n], low[own], "right")
+            first[own], end[own] = self.cuts[n][at - 1], self.cuts[n][at]
+        return first, end
+
+    def matching_statistics(self, text: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Streams runs of ``text`` from right to left, all in step: number of the run, place in it, length of the longest match from there on (at most the depth), and its interval.
+
+        Symbols that the index does not know are numbers from ``size`` on.
+        """
+        live = np.arange(len(begins))
+        low, high, length = np.zeros(len(begins), np.int64), np.full(len(begins), len(self.sa)), np.zeros(len(begins), np.int64)
+        for step in range(int(lengths.max()) if len(lengths) else 0):
+            going = lengths[live] > step
+            if not going.all():
+                live, low, high, length = live[going], low[going], high[going], length[going]
+            at = lengths[live] - 1 - step
+            symbol = text[begins[live] + at]
+            full = length == self.depth
+            if full.any():
+                length[full] -= 1
+                low[full], high[full] = self.parent(low[full], length[full])
+            open_ = np.flatnonzero(symbol < self.size)
+            unknown = symbol >= self.size
+            low[unknown], high[unknown], length[unknown] = 0, len(self.sa), 0
+            while len(open_):
+                both = self.tree.rank(np.tile(symbol[open_], 2), np.concatenate([low[open_], high[open_]])) + np.tile(self.below[symbol[open_]], 2)
+                found = both[:len(open_)] < both[len(open_):]
+                hit = open_[found]
+                low[hit], high[hit] = both[:len(open_)][found], both[len(open_):][found]
+                length[hit] += 1
+                open_ = open_[~found]
+                # A symbol that stands nowhere in the text ends all matches.
+                open_ = open_[length[open_] > 0]
+                length[open_] -= 1
+                low[open_], high[open_] = self.parent(low[open_], length[open_])
+            yield live, at, length.copy(), low.copy(), high.copy()
+
+
 def least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
     """For every window of every segment, the smallest id of all segments that hold the same words.
 
@@ -57,37 +121,15 @@ def least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: in
     text = np.full(int((lengths + 1).sum()) + 1, SEPARATOR, np.int64)
     text[ranges(begins, lengths)] = code + SEPARATOR + 1
     text[-1] = 0
-    size = len(known) + SEPARATOR + 1
-    # Ordered by their first symbols, as far as patterns of a window's length can tell.
-    sa = doubled(text, window)
-    tree = Wavelet(text[sa - 1], size)
-    below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
-    # Where the suffixes that share their first window - 1 symbols begin and end.
-    padded = np.concatenate([text.astype(np.uint64), np.arange(size, size + window, dtype=np.uint64)])
-    short = sequence_hashes(padded, window - 1)[:len(text)][sa] if window > 1 else np.zeros(len(text), np.uint64)
-    cut = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
-    rows = np.diff(np.append(cut, len(text)))
-    parent_low, parent_high = np.repeat(cut, rows), np.repeat(cut + rows, rows)
+    index = Index(text, len(known) + SEPARATOR + 1, window)
     segment = np.append(np.repeat(np.arange(n), lengths + 1), n)
-    id_at = np.append(ids, np.iinfo(np.int64).max)[segment[sa]]
-
+    id_at = np.append(ids, np.iinfo(np.int64).max)[segment[index.sa]]
     windows = lengths - window + 1
     first = np.cumsum(windows) - windows
     low_of, high_of = np.zeros(int(windows.sum()), np.int64), np.zeros(int(windows.sum()), np.int64)
-    live = np.arange(n)
-    low, high = np.zeros(n, np.int64), np.full(n, len(text))
-    for step in range(int(lengths.max()) if n else 0):
-        if step and len(live) and (lengths[live] <= step).any():
-            going = lengths[live] > step
-            live, low, high = live[going], low[going], high[going]
-        symbol = text[begins[live] + lengths[live] - 1 - step]
-        if step >= window:
-            low, high = parent_low[low], parent_high[low]
-        both = tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-        low, high = below[symbol] + both[:len(live)], below[symbol] + both[len(live):]
-        if step >= window - 1:
-            at = first[live] + lengths[live] - 1 - step
-            low_of[at], high_of[at] = low, high
+    for run, at, length, low, high in index.matching_statistics(text, begins, lengths):
+        reached = length >= window
+        low_of[first[run[reached]] + at[reached]], high_of[first[run[reached]] + at[reached]] = low[reached], high[reached]
     starts, which = np.unique(low_of, return_inverse=True)
     ends = np.zeros(len(starts), np.int64)
     ends[which] = high_of

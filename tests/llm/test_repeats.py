@@ -157,3 +157,16 @@ def test_wavelet_ranks():
     tree = fm_index.Wavelet(sequence, 11)
     for at in (0, 1, 64, 128, 499, 500):
         assert tree.rank(np.arange(11), np.full(11, at)).tolist() == [int((sequence[:at] == c).sum()) for c in range(11)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(2, 4), min_size=1, max_size=40), st.lists(st.integers(2, 6), min_size=1, max_size=20), st.integers(1, 7))
+def test_matching_statistics(symbols, run, depth):
+    """Lengths and intervals of runs that the index need not hold, against plain search."""
+    text = np.array([*symbols, 1, 0])
+    index = fm_index.Index(text, 5, depth)
+    for _, at, length, low, high in index.matching_statistics(np.array(run), np.array([0]), np.array([len(run)])):
+        rest, own = run[at[0]:], symbols
+        want = max(n for n in range(min(depth, len(rest)) + 1) if not n or any(own[i:i + n] == rest[:n] for i in range(len(own))))
+        places = sorted(i for i in range(len(text)) if text[i:i + want].tolist() == rest[:want])
+        assert length[0] == want and sorted(index.sa[low[0]:high[0]].tolist()) == places
