@@ -51,13 +51,9 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, np.int64)
-    full = lengths > 0
-    starts, lengths = starts[full], lengths[full]
-    steps = np.ones(total, np.int64)
-    ends = np.cumsum(lengths)
-    steps[0] = starts[0]
-    steps[ends[:-1]] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
-    return np.cumsum(steps)
+    out = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    out += np.arange(total)
+    return out
 
 
 def words8(data: np.ndarray) -> np.ndarray:

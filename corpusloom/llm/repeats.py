@@ -36,6 +36,9 @@ PACK_SYMBOLS = 4 << 20
 MARK_BYTES = 16 << 20
 SHARD_SYMBOLS = 1 << 19
 PIECE = 1 << 20
+CHUNK = 1 << 14
+# Symbols from which two segments are compared by themselves.
+LONG = 1024
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
@@ -64,6 +67,9 @@ class Units:
         n, g = len(symbols) - self.window + 1, self.gram
         if n <= 0:
             return np.zeros(0, np.uint64)
+        if n > CHUNK:
+            # In stretches whose hashes stay in a core's cache.
+            return np.concatenate([self.minima(symbols[a:a + CHUNK + self.window - 1]) for a in range(0, n, CHUNK)])
         m = len(symbols) - g + 1
         parts = ([symbols[i:i + m] for i in range(g)] if self.words else [words8(symbols)[i:i + m] for i in range(0, g, 8)])
         h = np.zeros(m, np.uint64)
@@ -115,10 +121,8 @@ def same_content(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, new:
     number = np.cumsum(new) - 1
     lead = first[number]
     other = np.flatnonzero((lead != np.arange(len(new))) & (size == size[lead]))
-    equal = symbols[ranges(begin[other], size[other])] == symbols[ranges(begin[lead[other]], size[other])]
     wrong = size != size[lead]
-    if len(other):
-        wrong[other] = ~np.logical_and.reduceat(equal, np.cumsum(size[other]) - size[other])
+    wrong[other] = ~_equal(symbols, begin[other], begin[lead[other]], size[other])
     if wrong.any():
         # Different contents of one hash: their groups are made anew by the symbols themselves.
         known: dict[tuple[int, bytes], int] = {}
@@ -129,6 +133,24 @@ def same_content(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, new:
     return number
 
 
+def _equal(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the segments from ``a`` and from ``b`` on hold the same symbols; bytes are compared by eights."""
+    out = np.ones(len(a), bool)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(symbols[a[i]:a[i] + size[i]], symbols[b[i]:b[i] + size[i]])
+    live = np.flatnonzero(size <= LONG)
+    wide = symbols.itemsize == 1
+    values, step, done = words8(symbols) if wide else symbols, 8 if wide else 1, 0
+    while len(live):
+        # The last eight bytes of a segment may overlap those before.
+        at = np.minimum(done, size[live] - step) if wide else done
+        equal = values[a[live] + at] == values[b[live] + at]
+        out[live[~equal]] = False
+        done += step
+        live = live[equal & (size[live] > done)]
+    return out
+
+
 MARKED = "shard int, kind int, minimum binary, many binary, weight binary, doc binary, run binary, ids binary, keys binary, pack bigint"
 SEGMENTS = "shard int, kind int, data binary, lengths binary, hashes binary, content binary, doc binary, start binary, size binary, ids binary, keys binary, pack bigint"
 FOUND = "pack bigint, doc binary, found binary, ids binary, keys binary"

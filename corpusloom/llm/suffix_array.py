@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.batches import ranges, words8
+from corpusloom.llm.batches import words8
 from corpusloom.llm.repeats import Units, cut_repeats
 
 # Mean size of a bucket from which inducing it as a whole beats one suffix at a time.
@@ -57,31 +57,60 @@ def _induce(t: np.ndarray, lms: np.ndarray, s: np.ndarray, starts: np.ndarray) -
 
 
 def _induce_each(t: np.ndarray, lms: np.ndarray, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    # Lists are faster than arrays for single items.
+    # Lists are faster than arrays for single items. For each suffix the character of its predecessor, if that is larger (or smaller) than it, else -1; the
+    # last entry stands for places that are not filled yet.
     n = len(t)
-    smaller_before, character_before = [False, *s[:-1].tolist()], [0, *t[:-1].tolist()]
+    before, small = np.concatenate([[-1], t[:-1], [-1]]), np.concatenate([[False], s[:-1], [False]])
+    larger_before, smaller_before = np.where(small, -1, before).tolist(), np.where(small, before, -1).tolist()
     sa = [-1] * n
     tail = starts[1:].tolist()
     for i, c in zip(reversed(lms.tolist()), reversed(t[lms].tolist()), strict=True):
         tail[c] -= 1
         sa[tail[c]] = i
     head = starts[:-1].tolist()
-    for at in range(n):
-        i = sa[at]
-        if i > 0 and not smaller_before[i]:
-            c = character_before[i]
+    # Both loops meet the suffixes that they place further on.
+    for i in sa:
+        c = larger_before[i]
+        if c >= 0:
             sa[head[c]] = i - 1
             head[c] += 1
     tail = starts[1:].tolist()
-    for at in range(n - 1, -1, -1):
-        i = sa[at]
-        if i > 0 and smaller_before[i]:
-            c = character_before[i]
+    for i in reversed(sa):
+        c = smaller_before[i]
+        if c >= 0:
             tail[c] -= 1
             sa[tail[c]] = i - 1
     return np.array(sa, np.int32)
 
 
+def _sorted_substrings(t: np.ndarray, lms: np.ndarray, s: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LMS substrings in order, and whether each equals the one before: by their characters and classes, a few at a time, ties by the next few.
+
+    Takes the place of a first round of inducing in strings of so many names that most substrings differ in their first characters.
+    """
+    bits = int(t.max()).bit_length() + 1
+    each = max(1, 62 // bits)
+    symbol = np.append(t.astype(np.int64) * 2 + s, 0)
+    order, group, done = np.arange(len(lms)), np.zeros(len(lms), np.int64), 0
+    tied = order.copy()
+    while len(tied):
+        key = np.zeros(len(tied), np.int64)
+        for k in range(done, done + each):
+            inside = k < length[order[tied]]
+            key = (key << bits) | np.where(inside, symbol[np.minimum(lms[order[tied]] + k, len(t))], 0)
+        by = np.lexsort((key, group[tied]))
+        order[tied] = order[tied[by]]
+        key, own = key[by], group[tied]
+        new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
+        # A group is named by its first place.
+        group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
+        done += each
+        same = np.append(group[1:] == group[:-1], False)
+        same[1:] |= same[:-1].copy()
+        tied = np.flatnonzero(same & (length[order] > done))
+    return order, np.append(False, group[1:] == group[:-1])
+
+
 def _induce_buckets(t: np.ndarray, lms: np.ndarray, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n = len(t)
     sa = np.empty(n, np.int32)
@@ -144,22 +173,27 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     s = smaller(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]).astype(np.int32) + 1
     starts = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=size))])
-    first = _induce(t, lms, s, starts)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    found = first[is_lms[first]].astype(np.int64)
-    length = np.zeros(n, np.int32)
-    length[lms] = np.diff(np.append(lms, n - 1)) + 1
-    a, b = found[:-1], found[1:]
-    same = length[a] == length[b]
-    pair, done = np.flatnonzero(same), 0
-    while len(pair):
-        equal = t[a[pair] + done] == t[b[pair] + done]
-        same[pair[~equal]] = False
-        done += 1
-        pair = pair[equal & (length[a[pair]] > done)]
+    length = np.diff(np.append(lms, n - 1)) + 1
     name = np.zeros(n, np.int64)
-    name[found[1:]] = np.cumsum(~same)
+    if n >= BUCKET * size:
+        first = _induce(t, lms, s, starts)
+        is_lms = np.zeros(n, bool)
+        is_lms[lms] = True
+        found = first[is_lms[first]].astype(np.int64)
+        size_of = np.zeros(n, np.int32)
+        size_of[lms] = length
+        a, b = found[:-1], found[1:]
+        same = size_of[a] == size_of[b]
+        pair, done = np.flatnonzero(same), 0
+        while len(pair):
+            equal = t[a[pair] + done] == t[b[pair] + done]
+            same[pair[~equal]] = False
+            done += 1
+            pair = pair[equal & (size_of[a[pair]] > done)]
+        name[found[1:]] = np.cumsum(~same)
+    else:
+        order, same = _sorted_substrings(t, lms, s, length)
+        name[lms[order]] = np.cumsum(~same) - 1
     reduced = name[lms]
     names = int(reduced.max()) + 1
     if names == len(lms):
@@ -176,14 +210,14 @@ def permuted_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     position the value is one less than at the position before.
     """
     n = len(sa)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     start = (before <= 0) | (at == 0)
     start[1:] |= data[:-1] != data[np.maximum(before[1:] - 1, 0)]
     i = np.flatnonzero(start & (before >= 0))
-    j, eight = before[i], words8(data)
-    shared = np.zeros(n, np.int64)
+    j, eight = before[i].astype(np.int64), words8(data)
+    shared = np.zeros(n, np.int32)
     live = np.arange(len(i))
     done = np.zeros(len(i), np.int64)
     while len(live):
@@ -204,21 +238,27 @@ def least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: in
     ``data``: the segments' bytes one after the other; ``ids``: each segment's id; each segment has at least one window.
     """
     n = len(lengths)
-    text = np.zeros(len(data) + n + 1, np.int64)
-    begins = np.cumsum(lengths + 1) - (lengths + 1)
-    text[ranges(begins, lengths)] = data.astype(np.int64) + 2
-    text[begins + lengths] = 1
-    sa = suffix_array(text.astype(np.int16))
+    ends = np.cumsum(lengths + 1) - 1
+    inside = np.ones(len(data) + n + 1, bool)
+    inside[ends], inside[-1] = False, False
+    text = np.zeros(len(inside), np.int16)
+    text[inside] = data
+    text[inside] += 2
+    text[ends] = 1
+    sa = suffix_array(text)
     # Bytes that no UTF-8 text holds stand for the separators and the end.
     raw = np.full(len(text), 0xFF, np.uint8)
-    raw[ranges(begins, lengths)] = data
+    raw[inside] = data
     raw[-1] = 0xFE
     shared = permuted_prefixes(raw, sa)
+    # The segment of each window; -1 where none starts.
     segment = np.full(len(text), -1, np.int64)
-    windows = ranges(begins, lengths - window + 1)
-    segment[windows] = np.repeat(np.arange(n), lengths - window + 1)
-    order = sa[segment[sa] >= 0]
+    segment[:-1] = np.repeat(np.arange(n), lengths + 1)
+    for back in range(window):
+        segment[ends - back] = -1
+    windows = np.flatnonzero(segment >= 0)
     at = np.flatnonzero(segment[sa] >= 0)
+    order = sa[at]
     # The shared prefix with the window before in order is the least of all values in between.
     low = np.minimum.reduceat(shared[sa[:at[-1] + 1]], np.append(at[:1] * 0, at[:-1] + 1)) if len(at) else at
     low = np.minimum(low, shared[order])
