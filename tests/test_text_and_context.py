@@ -78,18 +78,17 @@ def test_a_model_is_made_once_per_worker(spark):
         import os
         import uuid
 
-        made = f"{os.getpid()}-{uuid.uuid4().hex}"
+        made = uuid.uuid4().int % 2 ** 20
 
         def predict(queries, texts):
-            import zlib
-
-            return [float(zlib.crc32(made.encode()))] * len(texts)
+            return [os.getpid() * 2.0 ** 20 + made] * len(texts)
 
         return predict
 
     df = spark.range(64).repartition(32).select(F.lit("q").alias("query"), F.lit("t").alias("content"))
     made = {r.score for r in hooks.score_pairs(df, factory).collect()}
-    assert len(made) <= spark.sparkContext.defaultParallelism
+    # Spark may start more workers than it has threads; each of them makes one.
+    assert len({int(score // 2 ** 20) for score in made}) == len(made)
 
 
 def test_null_score_keeps_its_line(spark):
