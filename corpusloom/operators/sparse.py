@@ -228,26 +228,21 @@ class TermKernel(Kernel):
                 self.allowed[np.array(r["gone"])] = False
         lists = table.filter(pa.array(~own)).combine_chunks()
         self.vocabulary = lists.column("token").combine_chunks() if lists.num_rows else pa.array([], pa.string())
-        self.lists: list[tuple | None] = [None] * lists.num_rows
-        if lists.num_rows:
-            docs_of = lists.column("docs").combine_chunks()
-            self.ends = np.cumsum([0, *pc.list_value_length(docs_of).to_pylist()])
-            self.docs, self.tfs = docs_of.flatten().to_numpy(), lists.column("tfs").combine_chunks().flatten().to_numpy()
-
-    def _list(self, token: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Documents of a token and their shares; of each range first posting, postings, and the largest share."""
-        if self.lists[token] is None:
-            doc = self.docs[self.ends[token]:self.ends[token + 1]]
-            tf = self.tfs[self.ends[token]:self.ends[token + 1]].astype(np.float64)
-            share = tf / (tf + self.norm[doc])
-            of = doc // RANGE
-            present, first = np.unique(of, return_index=True)
-            n_ranges = -(-len(self.ids) // RANGE)
-            start, count, most = np.zeros(n_ranges, np.int64), np.zeros(n_ranges, np.int64), np.zeros(n_ranges)
-            start[present], count[present] = first, np.diff(np.append(first, len(doc)))
-            most[present] = np.maximum.reduceat(share, first)
-            self.lists[token] = doc, share, start, count, most
-        return self.lists[token]
+        self.n_ranges = -(-len(self.ids) // RANGE)
+        if not lists.num_rows:
+            return
+        docs_of = lists.column("docs").combine_chunks()
+        counts = pc.list_value_length(docs_of).to_numpy()
+        self.docs, tf = docs_of.flatten().to_numpy(), lists.column("tfs").combine_chunks().flatten().to_numpy().astype(np.float64)
+        self.share = tf / (tf + self.norm[self.docs])
+        # A cell holds the postings of one token in one range: token, range, first posting, postings, largest share.
+        token = np.repeat(np.arange(len(counts)), counts)
+        cell = token * self.n_ranges + self.docs // RANGE
+        self.first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        self.count = np.diff(np.append(self.first, len(cell)))
+        self.range = self.docs[self.first] // RANGE
+        self.most = np.maximum.reduceat(self.share, self.first)
+        self.cells = np.searchsorted(token[self.first], np.arange(len(counts) + 1))
 
     def best(self, queries: pa.Table, k: int) -> BestK:
         best = BestK(queries.num_rows, k)
@@ -259,33 +254,40 @@ class TermKernel(Kernel):
             own = slice(int(ends[q]), int(ends[q + 1]))
             there = known[own] >= 0
             if there.any():
-                score, doc = self._top([(self._list(t), w) for t, w in zip(known[own][there].tolist(), weights[own][there].tolist(), strict=True)], k)
+                score, doc = self._top(known[own][there], weights[own][there], k)
                 best.take(q, self.ids[doc], -score)
         return best
 
-    def _top(self, lists: list[tuple[tuple, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """start, start + 1, ... for every count."""
+        return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+    def _top(self, tokens: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores and numbers of the best k documents of one query."""
-        bound = sum(max(w, 0.0) * most for (*_, most), w in lists)
+        n_cells = self.cells[tokens + 1] - self.cells[tokens]
+        cells, weight = self._spread(self.cells[tokens], n_cells), np.repeat(weights, n_cells)
+        range_of = self.range[cells]
+        bound = np.bincount(range_of, np.maximum(weight, 0.0) * self.most[cells], self.n_ranges)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
+        place = np.full(self.n_ranges, -1)
         score, doc, bar = np.zeros(0), np.zeros(0, np.int64), 0.0
         for at in range(0, len(order), self.STEP):
             # Scores are rounded: a range may still give one that is rounded up to the bar.
             ranges = order[at:at + self.STEP]
             ranges = ranges[bound[ranges] >= bar - 1e-6]
-            self.n_skipped += sum(int((count[order[at:]] > 0).sum()) for (_, _, _, count, _), _ in lists) if not len(ranges) else 0
             if not len(ranges):
+                self.n_skipped += int(np.isin(range_of, order[at:]).sum())
                 break
-            cell = np.full(len(bound), -1)
-            cell[ranges] = np.arange(len(ranges))
-            total = np.zeros(len(ranges) * RANGE)
-            for (docs, share, start, count, _), w in lists:
-                used = ranges[count[ranges] > 0]
-                self.n_read += len(used)
-                if len(used):
-                    place = np.repeat(start[used] - np.concatenate([[0], np.cumsum(count[used])[:-1]]), count[used]) + np.arange(int(count[used].sum()))
-                    found = docs[place]
-                    total += np.bincount(cell[found // RANGE] * RANGE + found % RANGE, w * share[place], len(total))
+            place[:] = -1
+            place[ranges] = np.arange(len(ranges))
+            used = place[range_of] >= 0
+            own = cells[used]
+            self.n_read += len(own)
+            at_posting = self._spread(self.first[own], self.count[own])
+            found = self.docs[at_posting]
+            total = np.bincount(place[found // RANGE] * RANGE + found % RANGE, np.repeat(weight[used], self.count[own]) * self.share[at_posting], len(ranges) * RANGE)
             total = np.round(total, 6)
             hit = np.flatnonzero(total > 0)
             found = ranges[hit // RANGE] * RANGE + hit % RANGE
