@@ -2,13 +2,16 @@
 
 Both only choose which cells a query visits. Ranking inside the cells is exact and shared with the
 exact search, and cells of any size are split into bounded blocks there. Inverted lists know their radius, so that a search can also go on
-until no list that is left can hold a nearer vector.
+until no list that is left can hold a nearer vector. Hashing comes with random projections of Spark's own, one bucket a table, and with given
+projections in whole numbers, of which a query probes several neighbouring buckets.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -202,9 +205,78 @@ def search_hashes(queries: DataFrame, docs: DataFrame, model: BucketedRandomProj
     """Top-k among the documents that share a bucket with the query in some hash table."""
     asked = written(hash_cells(queries.select("query_id", "embedding"), model), "query-cells")
     stored = hash_cells(docs.select("doc_id", "embedding"), model)
+    return dense.as_hits(_search_tables(asked, stored, model.getNumHashTables(), k, metric, limits), metric, score)
+
+
+def _search_tables(asked: DataFrame, stored: DataFrame, n_tables: int, k: int, metric: str, limits: BlockLimits) -> DataFrame:
     # Documents in cells without a query are dropped before anything is shuffled.
     met = join_keys(stored, asked.select("cell").distinct(), "cell", "left_semi")
     hits = cell_topk(asked, met, dense.VectorKernel(metric, limits.matrix_cells), k, _payload(), limits)
     # A document may be met in every table: first the k * tables best rows, a partial limit before the only shuffle, then one row each.
-    first = best_per_query(hits, k * model.getNumHashTables()).drop("rank")
-    return dense.as_hits(best_per_query(first.dropDuplicates(["query_id", "doc_id"]), k), metric, score)
+    first = best_per_query(hits, k * n_tables).drop("rank")
+    return best_per_query(first.dropDuplicates(["query_id", "doc_id"]), k)
+
+
+@dataclass(frozen=True)
+class Projections:
+    """Projections onto vectors of signs, several for each table; a bucket is ``width`` wide.
+
+    A component x counts as floor(``scale`` * x), so buckets are exact whole numbers that any engine can repeat. Sums must stay below 2 ** 53;
+    vectors beyond that, and those with components that are not finite, have no cell.
+    """
+
+    signs: np.ndarray  # tables x projections x dimension
+    width: int
+    scale: int = 4096
+
+
+def sign_projections(dimension: int, n_tables: int, n_projections: int, width: int) -> Projections:
+    """The sign of a component is + where the md5 of ``table,projection,component`` (from 0) starts with a hexadecimal digit below 8."""
+    def sign(*place: int) -> int:
+        return 1 if hashlib.md5(",".join(map(str, place)).encode()).hexdigest()[0] < "8" else -1
+
+    signs = [[[sign(t, p, d) for d in range(dimension)] for p in range(n_projections)] for t in range(n_tables)]
+    return Projections(np.array(signs), width)
+
+
+def probe_cells(df: DataFrame, given: Projections, n_probe: int = 1) -> DataFrame:
+    """One row for each table and probe, with the ``cell``: the own bucket and, for ``n_probe`` above 1, the nearest ones around it.
+
+    A neighbour differs by -1, 0 or 1 in each projection; its distance is the sum of the squared distances to the borders that are crossed.
+    Ties go to the smaller steps, first projection first.
+    """
+    n_tables, n_projections, dimension = given.signs.shape
+    steps = np.array(list(product((-1, 0, 1), repeat=n_projections)))
+    if not 1 <= n_probe <= len(steps):
+        raise ValueError(f"between 1 and {len(steps)} probes are possible, not {n_probe}")
+    planes, as_matrix = given.signs.reshape(-1, dimension).T.astype(np.float64), dense.vector_matrix
+    schema = T.StructType([*df.schema.fields, T.StructField("__table", T.IntegerType()), T.StructField("__bucket", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = np.floor(as_matrix(batch.column(batch.schema.get_field_index("embedding"))) * given.scale)
+            taken = np.flatnonzero(np.abs(whole).sum(1) < 2.0 ** 53)
+            place = (whole[taken] @ planes).astype(np.int64).reshape(len(taken), n_tables, 1, n_projections)
+            bucket = place // given.width
+            left = place - bucket * given.width
+            if n_probe > 1:
+                cost = np.where(steps < 0, left ** 2, np.where(steps > 0, (given.width - left) ** 2, 0)).sum(3)
+                bucket = bucket + steps[np.argsort(cost, axis=2, kind="stable")[:, :, :n_probe]]
+            repeated = batch.take(pa.array(np.repeat(taken, n_tables * n_probe)))
+            tables = np.tile(np.repeat(np.arange(n_tables, dtype=np.int32), n_probe), len(taken))
+            flat = bucket.reshape(-1)
+            buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n_projections, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*repeated.columns, pa.array(tables), buckets], names=[*repeated.schema.names, "__table", "__bucket"])
+
+    found = df.filter(F.col("embedding").isNotNull()).mapInArrow(run, schema)
+    return found.select(*df.columns, F.xxhash64("__table", "__bucket").alias("cell"))
+
+
+def search_probes(queries: DataFrame, docs: DataFrame, given: Projections, k: int, n_probe: int, metric: str = "l2", score: str = "inverse",
+                  limits: BlockLimits = BlockLimits()) -> DataFrame:
+    """Top-k among the documents whose bucket is one of the ``n_probe`` that a query probes in each table."""
+    asked = written(probe_cells(queries.select("query_id", "embedding"), given, n_probe), "query-cells")
+    stored = probe_cells(docs.select("doc_id", "embedding"), given)
+    return dense.as_hits(_search_tables(asked, stored, len(given.signs), k, metric, limits), metric, score)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from copy import copy
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.schemas import BlockLimits
-from corpusloom.session import written
+from corpusloom.session import planned_splits, written
 
 HIT_FIELDS = ("query_id", "doc_id", "cost")
+# Splits of the documents from which hits are reduced in levels.
+LEVELLED_SPLITS = 64
 
 
 class BestK:
@@ -124,9 +127,13 @@ def block_topk(queries: DataFrame, docs: DataFrame, query_bytes: Column, doc_byt
         # No key decides the part, so copies of one id don't fill one task.
         parts = docs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(n_parts)))
         hits = paired_topk(queries, parts, n_parts, kernel, k, limits)
-    if limits.reduce_groups > 1:
+    groups = limits.reduce_groups
+    if groups is None:
+        splits = planned_splits(docs)
+        groups = ceil(splits ** 0.5) if splits >= LEVELLED_SPLITS else 1
+    if groups > 1:
         # Tasks x queries x k rows would meet in the final cut: groups of tasks are cut first.
-        group = F.pmod(F.spark_partition_id(), F.lit(limits.reduce_groups))
+        group = F.pmod(F.spark_partition_id(), F.lit(groups))
         window = Window.partitionBy("query_id", "group").orderBy(F.col("cost").asc_nulls_last(), "doc_id")
         hits = hits.withColumn("group", group).withColumn("place", F.row_number().over(window))
         hits = hits.filter(F.col("place") <= k).drop("group", "place")

@@ -7,10 +7,12 @@ changes is usually small beside the collection, and its ids are broadcast only w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions import hooks, text
 from corpusloom.session import join_keys, match_few, written
@@ -19,25 +21,49 @@ RANGE_ROWS = 1_000_000
 
 
 def positions(df: DataFrame, order: str, out: str = "position", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Add the place of each row, from 0, in the order of a unique numeric column.
+    """Add the place of each row, from 0, in the order of a unique column of any type that sorts.
 
-    Only the order column is numbered, inside value ranges of about ``range_rows`` rows, to which the sizes of the ranges
-    before are added, so no task sorts the whole table; the rows are joined last. Rows whose order is null get no place.
+    Two passes: the keys alone give the bounds of ranges of about ``range_rows`` rows and the sizes of these (one number for each range on
+    the driver); then the rows go to their ranges, are sorted there and numbered as they pass. Rows move once and nothing is joined. ``df`` is read three
+    times, so pass a written table or a plain scan. Rows whose order is null get no place and do not move.
     """
-    keys = df.select(order).filter(F.col(order).isNotNull())
+    keys = df.select(F.col(order).alias("key")).filter(F.col("key").isNotNull())
     n_ranges = max(ceil(keys.count() / range_rows), keys.sparkSession.sparkContext.defaultParallelism, 2)
-    shares = [i / n_ranges for i in range(1, n_ranges)]
-    bounds = sorted(set(keys.approxQuantile(order, shares, 0.25 / n_ranges)))
-    cutter = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__order", outputCol="__range")
-    ranged = cutter.transform(keys.withColumn("__order", F.col(order).cast("double"))).drop("__order")
-    # One row per range.
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__range").count().select(
-        "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("__range").orderBy(order)
-    numbered = (ranged.join(F.broadcast(offsets), "__range")
-                .select(order, (F.col("__offset") + F.row_number().over(inside) - 1).alias(out)))
-    return df.join(numbered, order, "left").select(*df.columns, out)
+    sampled = keys.repartitionByRange(n_ranges, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("key"))
+    # One key per range; the first range is open below.
+    bounds = sampled.select("key").distinct().orderBy("key").toArrow().column("key").to_numpy()[1:]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(batch.schema.get_field_index(order)).to_numpy(zero_copy_only=False)
+            found = np.searchsorted(bounds, key, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "__range"])
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        schema = T.StructType([*rows.schema.fields, T.StructField("__range", T.IntegerType())])
+        return rows.filter(F.col(order).isNotNull()).mapInArrow(place, schema)
+
+    sizes = np.zeros(len(bounds) + 1, np.int64)
+    for row in ranged(df.select(order)).groupBy("__range").count().collect():
+        sizes[row["__range"]] = row["count"]
+    offsets = np.cumsum(sizes) - sizes
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index("__range")).to_numpy()
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, int)
+            numbers = np.empty(len(own), np.int64)
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=False):
+                start = seen.get(int(own[a]), int(offsets[own[a]]))
+                numbers[a:b] = np.arange(start, start + b - a)
+                seen[int(own[a])] = start + b - a
+            yield batch.drop_columns(["__range"]).append_column(out, pa.array(numbers))
+
+    sorted_rows = ranged(df).repartition(n_ranges, "__range").sortWithinPartitions("__range", order)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
+    numbered = sorted_rows.mapInArrow(number, schema)
+    return numbered.unionByName(df.filter(F.col(order).isNull()).withColumn(out, F.lit(None).cast("long")))
 
 
 def assign_ids(docs: DataFrame, policy: str = "hash", order: str | None = None, next_id: int = 0) -> DataFrame:

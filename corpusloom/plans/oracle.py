@@ -1,12 +1,12 @@
 """SQL equivalents of the registered queries, over the same tables and whole texts.
 
-The query without an entry is approximate (``knn_lsh``); tests check its recall.
+The query without an entry is approximate with projections of Spark's own (``knn_lsh``); tests check its recall.
 """
 
 from __future__ import annotations
 
 from corpusloom.operators.context import DEFAULT_TEMPLATE, NO_RESULTS
-from corpusloom.plans.registry import CONTEXT_TOKENS, KEYWORD_K, PARAMS, SYSTEM_PROMPT, TOP_K
+from corpusloom.plans.registry import CONTEXT_TOKENS, KEYWORD_K, MULTIPROBE, N_PROBES, PARAMS, SYSTEM_PROMPT, TOP_K
 
 TOP, CANDIDATES = PARAMS.top_k, PARAMS.candidate_k
 
@@ -41,6 +41,30 @@ def _knn(metric: str, score: str, docs: str = "v", pairs: str = "true", after: s
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, doc_id) AS rank FROM pairs)")
 
 
+def _multiprobe(n_tables: int, n_projections: int, width: int) -> str:
+    """Buckets of whole numbers, the probed ones in the order of the borders crossed."""
+    names = [f"b{p}" for p in range(n_projections)]
+    distance = " + ".join(f"CASE s{p} WHEN -1 THEN r{p} * r{p} WHEN 1 THEN ({width} - r{p}) * ({width} - r{p}) ELSE 0 END" for p in range(n_projections))
+    return _with(
+        f"SELECT query_id, doc_id, rank, {SCORE['inverse']} AS score, cost AS distance FROM ranked WHERE rank <= {TOP_K}",
+        "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
+        f"signs AS (SELECT t, p, d, CASE WHEN substr(md5(t || ',' || p || ',' || d), 1, 1) < '8' THEN 1 ELSE -1 END AS sign "
+        f"FROM range({n_tables}) a(t), range({n_projections}) b(p), range(64) c(d))",
+        "cells AS (SELECT vec_id, generate_subscripts(e, 1) - 1 AS d, floor(unnest(e) * 4096)::BIGINT AS x FROM v)",
+        "places AS (SELECT vec_id, t, p, sum(sign * x)::BIGINT AS place FROM cells JOIN signs USING (d) GROUP BY ALL)",
+        f"floors AS (SELECT *, floor(place / {width})::BIGINT AS b FROM places)",
+        "own AS (SELECT vec_id, t, " + ", ".join(
+            f"max(b) FILTER (WHERE p = {p}) AS b{p}, max(place - b * {width}) FILTER (WHERE p = {p}) AS r{p}" for p in range(n_projections))
+        + " FROM floors GROUP BY ALL)",
+        "steps AS (SELECT * FROM " + ", ".join(f"(VALUES (-1), (0), (1)) x{p}(s{p})" for p in range(n_projections)) + ")",
+        "probes AS (SELECT vec_id, t, " + ", ".join(f"b{p} + s{p} AS b{p}" for p in range(n_projections))
+        + f", row_number() OVER (PARTITION BY vec_id, t ORDER BY {distance}, " + ", ".join(f"s{p}" for p in range(n_projections))
+        + ") AS place FROM own, steps)",
+        f"pairs AS (SELECT DISTINCT q.vec_id AS query_id, d.vec_id AS doc_id FROM probes q JOIN own d USING (t, {', '.join(names)}) WHERE q.place <= {N_PROBES})",
+        f"costs AS (SELECT query_id, doc_id, {COST['l2']} AS cost FROM pairs JOIN v q ON q.vec_id = query_id JOIN v d ON d.vec_id = doc_id)",
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, doc_id) AS rank FROM costs)")
+
+
 DELETED = "(SELECT doc_id FROM labels WHERE toxic = 1)"
 
 # --- keyword search -----------------------------------------------------------------------------
@@ -282,6 +306,7 @@ ORACLE: dict[str, str] = {
     "knn_without_deleted": _knn("l2", "inverse", docs=f"(SELECT * FROM v WHERE vec_id NOT IN {DELETED})"),
     "knn_ivf": _knn("l2", "inverse"),
     "knn_ivf_all_lists": _knn("l2", "inverse"),
+    "knn_multiprobe": _multiprobe(**MULTIPROBE),
     "filter_operators": """
         SELECT event_id, event_type, value, k FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events)
         WHERE k >= 10 AND k < 90 AND (event_type IN ('click', 'error') OR value > 15.0) AND k NOT IN (13, 42) AND k <> 77 AND value > 0.5""",

@@ -16,6 +16,8 @@ from corpusloom.sources import collection, tables
 from corpusloom.streaming import jobs
 
 TOP_K = 10
+MULTIPROBE = {"n_tables": 8, "n_projections": 3, "width": 4096}
+N_PROBES = 13
 KEYWORD_K = 20
 EMBED = hooks.hashed_tokens(64)
 PARAMS = RetrievalParams(top_k=5)
@@ -155,6 +157,11 @@ def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ann.search_hashes(queries, docs, ann.train_hashes(docs, 0.2, 4), TOP_K))
 
 
+def knn_multiprobe(spark: SparkSession, sf: str) -> DataFrame:
+    queries, docs = _vectors(spark, sf)
+    return _rounded(ann.search_probes(queries, docs, ann.sign_projections(64, **MULTIPROBE), TOP_K, N_PROBES))
+
+
 # --- filters ------------------------------------------------------------------------------------
 
 EVENT_FILTER = {
@@ -733,6 +740,7 @@ QUERIES = {
     "history_of": history_of,
     "filter_typed": filter_typed,
     "knn_lsh": knn_lsh,
+    "knn_multiprobe": knn_multiprobe,
     "filter_operators": filter_operators,
     "valid_input": valid_input,
     "bm25_term_stats": bm25_term_stats,

@@ -41,6 +41,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def planned_splits(df: DataFrame) -> int:
+    """About how many tasks a scan of ``df`` has, by the planner's own estimate of its size; no data and no list of files is read for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(1, -(-size // most))
+
+
 def spread(df: DataFrame, n_rows: int, *keys: str) -> DataFrame:
     """Repartition narrow rows before costly work on each of them.
 

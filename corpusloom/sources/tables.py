@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text
+from corpusloom.session import planned_splits
 
 
 def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Read Parquet; a table of fewer files than cores is dealt out evenly over the cores.
+    """Read Parquet; a table too small to give every core one split of its own is dealt out evenly over the cores.
 
-    A small table may be a single row group, which one task would process alone. A table of many files is not shuffled. No
+    Such a table may be a single row group, which one task would process alone, and has at most ``spark.sql.files.maxPartitionBytes`` to move
+    for each core. A larger one is split by the scan, however few its files are, and not shuffled. No
     key decides where a row goes, so one long conversation or one frequent id doesn't fill one task.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if planned_splits(df) > cores else df.repartition(cores)
 
 
 def read_documents(spark: SparkSession, path: str, kind: str = "parquet", schema=None, **options: str) -> DataFrame:

@@ -24,6 +24,26 @@ def test_positions_without_one_big_sort(spark, rows):
     assert sorted(found) == [(i * 7 - 300, i) for i in range(1000)]
 
 
+@pytest.mark.parametrize("key", ["cast(1000 - id as string)", "timestamp_seconds(5000 - id)", "cast(id * id as decimal(12, 2))", "cast(id / 3 as double)",
+                                 "cast(id as int)", "make_dt_interval(0, 0, 0, id)"])
+def test_positions_of_any_order(spark, key):
+    """Keys of other types, a null key, a map beside them; no join, and rows move once."""
+    df = spark.range(400).repartition(5).select(F.expr(f"if(id = 7, null, {key})").alias("key"), F.create_map(F.lit("a"), F.col("id")).alias("metadata"))
+    placed = mutate.positions(df, "key", range_rows=30)
+    wanted = [r.key for r in df.filter("key is not null").orderBy("key").collect()]
+    assert [r.key for r in placed.filter("position is not null").orderBy("position").collect()] == wanted
+    assert sorted(r.position for r in placed.filter("key is not null").collect()) == list(range(399))
+    assert [r.metadata["a"] for r in placed.filter("position is null").collect()] == [7]
+    plan = placed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and plan.count("hashpartitioning") == 1
+
+
+def test_positions_of_few_and_of_no_rows(spark):
+    for n in (0, 1, 3):
+        found = mutate.positions(spark.range(n).withColumnRenamed("id", "key"), "key").collect()
+        assert sorted(r.position for r in found) == list(range(n))
+
+
 def test_id_policies(spark, rows):
     batch = docs(spark, (None, "a", 0), ("mine", "b", 1), ("", "a", 2))
     named = lambda *a, **k: [r.doc_id for r in mutate.assign_ids(batch, *a, **k).orderBy("pos").collect()]

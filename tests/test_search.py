@@ -1,5 +1,6 @@
 """Vector and keyword search against plain restatements of the formulas."""
 
+import itertools
 import math
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.functions import scores
 from corpusloom.operators import ann, dense, sparse
 from corpusloom.operators.block_topk import BestK, best_per_query, cell_topk
@@ -366,6 +368,56 @@ def test_empty_keyword_index(spark):
     assert sparse.search(queries.limit(0), sparse.build_index(docs), 3).count() == 0
 
 
+def test_probed_buckets_by_brute_force(spark, sf, rows):
+    """Cells of whole numbers: the nearest neighbours of a bucket, in every table; recall against the exact search."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    queries, docs = (table.select(F.col("vec_id").alias(name), "embedding") for name in ("query_id", "doc_id"))
+    given = ann.sign_projections(64, 4, 2, 3000)
+    found = {}
+    for r in ann.search_probes(queries.filter("query_id < 20"), docs, given, 500, 4).collect():
+        found.setdefault(r.query_id, set()).add(r.doc_id)
+    vectors = {r.vec_id: np.floor(np.array(r.embedding, float) * 4096).astype(int) for r in table.collect()}
+    places = {i: given.signs @ v for i, v in vectors.items()}
+    for q in range(20):
+        met = set()
+        for t in range(4):
+            own, left = np.divmod(places[q][t], 3000)
+            around = sorted((sum(0 if s == 0 else (r if s < 0 else 3000 - r) ** 2 for s, r in zip(step, left.tolist())), step)
+                            for step in itertools.product((-1, 0, 1), repeat=2))[:4]
+            cells = {tuple((own + step).tolist()) for _, step in around}
+            met |= {i for i, place in places.items() if tuple((place[t] // 3000).tolist()) in cells}
+        assert found[q] == met
+    exact = set(rows(dense.search(queries, docs, 10), "query_id", "doc_id"))
+    probed = set(rows(registry.QUERIES["knn_multiprobe"](spark, sf), "query_id", "doc_id"))
+    assert len(exact & probed) >= 0.9 * len(exact)
+
+
+def test_probed_buckets_of_awkward_vectors(spark):
+    kind = "doc_id long, embedding array<double>"
+    docs = spark.createDataFrame([(1, [0.5, 0.5]), (2, None), (3, [float("nan"), 0.0]), (4, [1e300, 0.0]), (5, [0.5, 0.5])], kind)
+    queries = docs.withColumnRenamed("doc_id", "query_id")
+    given = ann.sign_projections(2, 3, 1, 100)
+    assert sorted((r.query_id, r.doc_id) for r in ann.search_probes(queries, docs, given, 5, 3).collect()) == [(1, 1), (1, 5), (5, 1), (5, 5)]
+    assert ann.search_probes(queries.limit(0), docs, given, 5, 2).count() == 0
+    with pytest.raises(ValueError):
+        ann.probe_cells(docs, given, 4)
+
+
+def test_only_small_tables_are_dealt_out(spark, sf):
+    from corpusloom.sources import tables
+
+    path = f"{sf}/documents.parquet"
+    assert "RoundRobinPartitioning" in tables.read_spread(spark, path, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2kb")
+    try:
+        assert "RoundRobinPartitioning" not in tables.read_spread(spark, path, "doc_id")._jdf.queryExecution().executedPlan().toString()
+        vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+        plan = dense.search(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 3)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("spark_partition_id" in plan.lower()) == (session.planned_splits(vectors) >= 64)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize("name", ["knn_l2_blocks", "bm25_blocks"])
 def test_large_query_tables_stay_off_the_driver(spark, sf, name):
     """One scan of each side, whatever the number of blocks, and no broadcast of queries."""
