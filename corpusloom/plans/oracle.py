@@ -287,6 +287,12 @@ EVALUATION = (
     "context_recall FROM er LEFT JOIN faith USING (qid) LEFT JOIN relevancy USING (qid) LEFT JOIN precision_ USING (qid) "
     "LEFT JOIN recall USING (qid))",
 )
+# The same against the first reply of the conversation with the question's number.
+REPLIES = tuple(
+    part.replace("split_part(b.text, '.', 1)", "coalesce(c.reply, '')").replace(
+        "b.item_id = r.request_id", "b.item_id = r.request_id LEFT JOIN replies c ON c.conv_id = b.item_id")
+    for part in ("replies AS (SELECT conv_id, min(struct_pack(turn := turn, reply := text)).reply AS reply FROM conversations WHERE role = 'assistant' GROUP BY ALL)",
+                 *EVALUATION))
 ROUNDED = ", ".join(f"round({{0}}({m}), 6) AS {m}" for m in (
     "faithfulness", "answer_relevancy", "context_precision", "context_recall"))
 
@@ -382,6 +388,7 @@ ORACLE: dict[str, str] = {
         # What was deleted comes back as the first row of its id; the rest stays as the last.
         f"{DOC_KEYS} WHERE {NOT_IN_BATCH} AND doc_id NOT IN {TOXIC} UNION ALL "
         f"{BATCH_KEYS} WHERE doc_id NOT IN {GONE} UNION ALL SELECT doc_id, sha256(text) FROM first_batch WHERE doc_id IN {GONE})", *AGAIN),
+    "collection_buckets": _with(f"SELECT doc_id::VARCHAR AS doc_id, content_key FROM ({DOC_KEYS} WHERE {NOT_IN_BATCH} UNION ALL {BATCH_KEYS})", *AGAIN),
     "collection_append": _with(
         "SELECT doc_id::VARCHAR AS doc_id, content_key FROM ("
         f"{DOC_KEYS} WHERE {NOT_IN_BATCH} UNION ALL {DOC_KEYS} WHERE {NOT_IN_BATCH} AND lang = 'en' UNION ALL {BATCH_KEYS})", *AGAIN),
@@ -470,6 +477,7 @@ ORACLE: dict[str, str] = {
         "CASE WHEN success THEN 'retriever:retrieve:true;generator:generate:true' ELSE 'retriever:retrieve:false' END AS log, "
         f"CASE WHEN NOT success THEN {INVALID} END AS error FROM rag", *RAG),
     "eval_metrics": _with(f"SELECT question_id, {ROUNDED.format('')} FROM scores", *EVALUATION),
+    "eval_replies": _with(f"SELECT question_id, {ROUNDED.format('')} FROM scores", *REPLIES),
     "eval_summary": _with(f"SELECT count(*) AS n_questions, {ROUNDED.format('avg')} FROM scores", *EVALUATION),
     "eval_runs": _with("SELECT count(*) FILTER (WHERE question <> '') AS n_evaluated, "
                        "count(*) FILTER (WHERE question = '') AS n_skipped FROM asked", RAG_QUESTIONS),

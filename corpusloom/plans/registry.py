@@ -18,6 +18,7 @@ from corpusloom.streaming import jobs
 TOP_K = 10
 MULTIPROBE = {"n_tables": 8, "n_projections": 3, "width": 4096}
 N_PROBES = 13
+N_BUCKETS = 8
 KEYWORD_K = 20
 EMBED = hooks.hashed_tokens(64)
 PARAMS = RetrievalParams(top_k=5)
@@ -486,6 +487,14 @@ def collection_append(spark: SparkSession, sf: str) -> DataFrame:
     return current.select("doc_id", "content_key")
 
 
+def collection_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches merged into versions whose rows lie in buckets by id."""
+    current = collection.save_buckets(_batch(_documents(spark, sf)), new_folder(spark, "buckets"), N_BUCKETS)
+    for _ in range(2):
+        current = collection.merge_buckets(current, _batch(_twice(_second_batch(spark, sf))), new_folder(spark, "buckets"), N_BUCKETS, "pos")
+    return current.select("doc_id", "content_key")
+
+
 def _collection_update(mode: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         current = _version(_batch(_documents(spark, sf), EMBED, dimension=64))
@@ -636,16 +645,21 @@ def workflow_rag(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("request_id", "success", "answer", "retrieved_context", F.array_join(log, ";").alias("log"), "error")
 
 
-def _evaluation_rows(spark: SparkSession, sf: str) -> DataFrame:
+def _evaluation_rows(spark: SparkSession, sf: str, replies: bool = False) -> DataFrame:
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    # The truth of a question is what stands in it up to its first full stop.
-    truth = bench.withColumn("truth", F.substring_index("text", ".", 1))
+    if replies:
+        # The truth of a question is the first reply of the conversation with its number; without one it is empty.
+        first = (_messages(spark, sf).filter("role = 'assistant'").groupBy("conv_id").agg(F.min(F.struct("turn", "text"))["text"].alias("reply")))
+        truth = bench.join(first, F.col("item_id") == F.col("conv_id"), "left").withColumn("truth", F.coalesce("reply", F.lit("")))
+    else:
+        # The truth of a question is what stands in it up to its first full stop.
+        truth = bench.withColumn("truth", F.substring_index("text", ".", 1))
     golden = tables.golden(truth, "text", "truth", "item_id")
     return written(evaluation.golden_rows(golden, _rag(spark, sf)), "evaluation-rows")
 
 
-def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _evaluation_rows(spark, sf)
+def _evaluated(spark: SparkSession, sf: str, replies: bool = False) -> DataFrame:
+    rows = _evaluation_rows(spark, sf, replies)
     return evaluate.lexical_metrics(spread(rows, rows.count(), "question_id"), EMBED)
 
 
@@ -653,6 +667,11 @@ def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _evaluated(spark, sf).select("question_id", *[F.round(m, 6).alias(m) for m in evaluate.METRICS])
 
 
+def eval_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics against truths that are no part of the questions."""
+    return _evaluated(spark, sf, replies=True).select("question_id", *[F.round(m, 6).alias(m) for m in evaluate.METRICS])
+
+
 def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.means(_evaluated(spark, sf)).select("n_questions", *[F.round(m, 6).alias(m) for m in evaluate.METRICS])
 
@@ -735,6 +754,7 @@ QUERIES = {
     "collection_add": collection_add,
     "collection_append": collection_append,
     "collection_update_existing": _collection_update("existing"),
+    "collection_buckets": collection_buckets,
     "collection_update_upsert": _collection_update("upsert"),
     "collection_update_payload_only": _collection_update("payload_only"),
     "history_of": history_of,
@@ -790,6 +810,7 @@ QUERIES = {
     "workflow_log": workflow_log,
     "workflow_rag": workflow_rag,
     "eval_metrics": eval_metrics,
+    "eval_replies": eval_replies,
     "eval_summary": eval_summary,
     "eval_runs": eval_runs,
     "eval_judged": eval_judged,

@@ -18,6 +18,22 @@ def docs(spark, *rows):
     return spark.createDataFrame(list(rows), "doc_id string, content string, pos long")
 
 
+def test_a_batch_meets_buckets_without_moving_them(spark, tmp_path, rows):
+    stored = docs(spark, *[(f"d{i}", f"old {i}", i) for i in range(60)], ("d3", "copy", 60), (None, "no id", 61))
+    current = collection.save_buckets(stored.drop("pos"), str(tmp_path / "v0"), 4)
+    batch = docs(spark, ("d3", "first", 0), ("d3", "last", 1), ("new", "added", 2), ("d59", "", 3))
+    merged = collection.merge_buckets(current, batch, str(tmp_path / "v1"), 4, "pos")
+    wanted = sorted([(f"d{i}", f"old {i}") for i in range(59) if i != 3] + [("d3", "last"), ("new", "added"), ("d59", ""), (None, "no id")], key=repr)
+    assert rows(merged, "doc_id", "content") == wanted
+    again = collection.load_buckets(spark, str(tmp_path / "v1"), 4)
+    assert rows(again, "doc_id", "content") == wanted
+    assert rows(collection.merge_buckets(again, batch.limit(0), str(tmp_path / "v2"), 4, "pos"), "doc_id", "content") == wanted
+    kept = again.join(batch.select("doc_id").hint("merge"), "doc_id", "left_anti")
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    stored_side = plan[:plan.index("Scan ExistingRDD")] if plan.index("Bucketed: true") < plan.index("Scan ExistingRDD") else plan[plan.index("Scan ExistingRDD"):]
+    assert plan.count("Exchange") == 1 and "Exchange" not in stored_side.split("Bucketed: true")[0]
+
+
 def test_positions_without_one_big_sort(spark, rows):
     df = spark.range(0, 1000).select((F.col("id") * 7 - 300).alias("key"))
     found = rows(mutate.positions(df, "key", range_rows=90), "key", "position")
