@@ -165,7 +165,8 @@ def _packed(shard: int, kind: int, arrays: list[np.ndarray | None], doc: np.ndar
     """One row; documents are renumbered to those that the row speaks of."""
     used, local = np.unique(doc, return_inverse=True)
     arrays = [*arrays[:at], local.astype(np.int32), *arrays[at:]]
-    pack = int(mixed(np.array([int(ids[0]) % (1 << 63) * 3 + len(ids)], np.uint64) ^ keys[:1].view(np.uint64)).view(np.int64)[0])
+    # Unsigned numbers wrap, so any id will do, negative and very large ones too.
+    pack = int(mixed((ids[:1].view(np.uint64) * np.uint64(3) + np.uint64(len(ids))) ^ keys[:1].view(np.uint64)).view(np.int64)[0])
     return [int(shard), kind, *(None if x is None else _squeezed(x) for x in arrays), _squeezed(ids[used]), _squeezed(keys[used]), pack]
 
 
@@ -442,6 +443,7 @@ def merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     """Spans of each document in order, with those that touch or overlap made one: document, and (begin, end)."""
     if not len(doc):
         return doc, np.zeros((0, 2), np.int64)
+    doc = doc.astype(np.int64)  # offsets are the product of documents and symbols
     order = np.lexsort((begin, doc))
     doc, begin, end = doc[order], begin[order], end[order]
     # The farthest end so far within the document: documents are kept apart by an offset.

@@ -99,6 +99,24 @@ def test_patterns_that_polynomials_do_not_tell_apart(spark, words):
     assert got(df, words, window) == brute(rows, words, window)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_ids_of_any_sign_and_size(spark, words):
+    rng = random.Random(4)
+    rows = [(i - 30, " ".join(f"{rng.randrange(10**6)}" for _ in range(30))) for i in range(40)]
+    rows += [(i, rows[k][1] + " tail") for k, i in enumerate((-2**63, 2**63 - 1, -10**18, 7 * 10**18, 2**62))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    window = 13 if words else 50
+    assert got(df, words, window) == brute(rows, words, window)
+
+
+def test_spans_of_many_long_documents():
+    """Spans of different documents stay apart where documents times symbols exceed 32 bits."""
+    doc = np.arange(5_000, dtype=np.int32)
+    begin = np.full(5_000, 900_000)
+    own, spans = repeats.merged(doc, begin, begin + 50)
+    assert own.tolist() == doc.tolist() and (spans == [900_000, 900_050]).all()
+
+
 def test_equal_hashes_of_different_contents(monkeypatch):
     """Segments that share a hash only are told apart by their symbols."""
     segments = [b"aaaa", b"bbbb", b"aaaa", b"cc", b"bbbb", b"cc", b"dd"]
