@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,27 @@ if hasattr(ctypes.CDLL(None), "mallopt"):
     ctypes.CDLL(None).mallopt(-3, 1 << 18)
 
 
+@contextmanager
+def reused_memory():
+    """Inside, freed memory is kept for the next arrays: with many arrays of some MB, one after the other, mapping each anew costs more than the work on it.
+
+    At the end it goes back to the system.
+    """
+    library = ctypes.CDLL(None)
+    if not (hasattr(library, "mallopt") and hasattr(library, "malloc_trim")):
+        yield
+        return
+    # M_MMAP_THRESHOLD at its largest, and M_TRIM_THRESHOLD.
+    library.mallopt(-3, 32 << 20)
+    library.mallopt(-1, 256 << 20)
+    try:
+        yield
+    finally:
+        library.mallopt(-3, 1 << 18)
+        library.mallopt(-1, 1 << 17)
+        library.malloc_trim(ctypes.c_size_t(0))
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and the offsets of each; a null counts as empty."""
     if texts.null_count:

@@ -1,9 +1,8 @@
-"""Suffix arrays by induced sorting, and their permuted common prefixes, for the text of one shard.
+"""Suffix arrays by prefix doubling, and their permuted common prefixes, for the text of one shard.
 
-Suffixes are classed as smaller (S) or larger (L) than the next one. Leftmost S substrings (LMS) are sorted by
-inducing from their first characters, named, and the string of names is sorted in the same way; then all
-suffixes are induced from the sorted LMS suffixes, in time linear in the text. Inducing goes bucket by bucket, and what a
-bucket hands on is one numpy step; a string of so many names that its buckets hold a handful of suffixes each is induced one suffix at a time.
+Suffixes are sorted by as many first symbols as one number holds beside a position. What is tied is sorted again by the ranks of the suffixes that begin where
+the sorted prefix ends, which doubles it in each round; only tied suffixes take part, so a round costs less the more of the order is known, and a periodic text
+needs as many rounds as the logarithm of its length.
 """
 
 from __future__ import annotations
@@ -11,17 +10,17 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.batches import words8
+from corpusloom.llm.batches import reused_memory, words8
 from corpusloom.llm.repeats import Units, cut_repeats
 
-# Mean size of a bucket from which inducing it as a whole beats one suffix at a time.
+# Keys from which sorting numbers that carry their position beats an indirect sort.
 BUCKET = 100
 
 
 def ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in the order of their keys (of so many bits), and the keys in order. Sorting numbers that carry their position is faster than an indirect sort."""
     place = int(len(key)).bit_length()
-    if bits + place > 63:
+    if bits + place > 63 or len(key) < BUCKET:
         order = np.argsort(key, kind="stable")
         return order, key[order]
     both = np.sort((key << place) | np.arange(len(key)))
@@ -43,164 +42,33 @@ def doubled(t: np.ndarray, depth: int | None = None) -> np.ndarray:
             return order
 
 
-def smaller(t: np.ndarray) -> np.ndarray:
-    """Whether each suffix is smaller than the next; a run of equal characters is as its end."""
-    n = len(t)
-    ends = np.append(np.flatnonzero(t[1:] != t[:-1]), n - 1)
-    of_run = np.append(t[ends[:-1]] < t[ends[:-1] + 1], True)
-    return np.repeat(of_run, np.diff(ends, prepend=-1))
-
-
-def _induce(t: np.ndarray, lms: np.ndarray, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """All suffixes in the order that the order of the given LMS suffixes leads to; ``starts``: first place of each character's bucket."""
-    return (_induce_buckets if len(t) >= BUCKET * len(starts) else _induce_each)(t, lms, s, starts)
-
-
-def _induce_each(t: np.ndarray, lms: np.ndarray, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    # Lists are faster than arrays for single items. For each suffix the character of its predecessor, if that is larger (or smaller) than it, else -1; the
-    # last entry stands for places that are not filled yet.
-    n = len(t)
-    before, small = np.concatenate([[-1], t[:-1], [-1]]), np.concatenate([[False], s[:-1], [False]])
-    larger_before, smaller_before = np.where(small, -1, before).tolist(), np.where(small, before, -1).tolist()
-    sa = [-1] * n
-    tail = starts[1:].tolist()
-    for i, c in zip(reversed(lms.tolist()), reversed(t[lms].tolist()), strict=True):
-        tail[c] -= 1
-        sa[tail[c]] = i
-    head = starts[:-1].tolist()
-    # Both loops meet the suffixes that they place further on.
-    for i in sa:
-        c = larger_before[i]
-        if c >= 0:
-            sa[head[c]] = i - 1
-            head[c] += 1
-    tail = starts[1:].tolist()
-    for i in reversed(sa):
-        c = smaller_before[i]
-        if c >= 0:
-            tail[c] -= 1
-            sa[tail[c]] = i - 1
-    return np.array(sa, np.int32)
-
-
-def _sorted_substrings(t: np.ndarray, lms: np.ndarray, s: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """LMS substrings in order, and whether each equals the one before: by their characters and classes, a few at a time, ties by the next few.
-
-    Takes the place of a first round of inducing in strings of so many names that most substrings differ in their first characters.
-    """
-    bits = int(t.max()).bit_length() + 1
-    each = max(1, 62 // bits)
-    symbol = np.append(t.astype(np.int64) * 2 + s, 0)
-    order, group, done = np.arange(len(lms)), np.zeros(len(lms), np.int64), 0
-    tied = order.copy()
-    while len(tied):
-        key = np.zeros(len(tied), np.int64)
-        for k in range(done, done + each):
-            inside = k < length[order[tied]]
-            key = (key << bits) | np.where(inside, symbol[np.minimum(lms[order[tied]] + k, len(t))], 0)
-        by = np.lexsort((key, group[tied]))
-        order[tied] = order[tied[by]]
-        key, own = key[by], group[tied]
-        new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
-        # A group is named by its first place.
-        group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
-        done += each
-        same = np.append(group[1:] == group[:-1], False)
-        same[1:] |= same[:-1].copy()
-        tied = np.flatnonzero(same & (length[order] > done))
-    return order, np.append(False, group[1:] == group[:-1])
-
-
-def _induce_buckets(t: np.ndarray, lms: np.ndarray, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    n = len(t)
-    sa = np.empty(n, np.int32)
-    n_lms = np.bincount(t[lms], minlength=len(starts) - 1)
-    by = np.argsort(t[lms], kind="stable")
-    lms = lms[by]
-    lms_at = np.cumsum(n_lms) - n_lms
-    head, tail = starts[:-1].copy(), starts[1:].copy()
-
-    def group(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        c = t[p]
-        order = np.argsort(c, kind="stable")
-        p, c = p[order], c[order]
-        first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        count = np.diff(np.append(first, len(p)))
-        return p, c[first], count, np.arange(len(p)) - np.repeat(first, count)
-
-    def hand_up(items: np.ndarray) -> None:
-        p = items[items > 0] - 1
-        p = p[~s[p]]
-        if len(p):
-            p, c, count, at = group(p)
-            sa[np.repeat(head[c], count) + at] = p
-            head[c] += count
-
-    used = np.flatnonzero(np.diff(starts)).tolist()
-    for c in used:
-        done = int(starts[c])
-        while done < head[c]:
-            done, items = int(head[c]), sa[done:head[c]]
-            hand_up(items)
-        if n_lms[c]:
-            hand_up(lms[lms_at[c]:lms_at[c] + n_lms[c]])
-
-    def hand_down(items: np.ndarray) -> None:
-        p = items[items > 0] - 1
-        p = p[s[p]]
-        if len(p):
-            p, c, count, at = group(p)
-            sa[np.repeat(tail[c], count) - 1 - at] = p
-            tail[c] -= count
-
-    tail[t[n - 1]] -= 1
-    sa[tail[t[n - 1]]] = n - 1
-    for c in reversed(used):
-        done = int(starts[c + 1])
-        while tail[c] < done:
-            done, items = int(tail[c]), sa[tail[c]:done][::-1]
-            hand_down(items)
-        hand_down(sa[starts[c]:head[c]][::-1])
-    return sa
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Positions of all suffixes in order. ``t``: small numbers, the last one smaller than all others and found only there."""
     n = len(t)
-    if n < 3:
-        return np.argsort(t, kind="stable")
-    size = int(t.max()) + 1
-    s = smaller(t)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]).astype(np.int32) + 1
-    starts = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=size))])
-    length = np.diff(np.append(lms, n - 1)) + 1
-    name = np.zeros(n, np.int64)
-    if n >= BUCKET * size:
-        first = _induce(t, lms, s, starts)
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        found = first[is_lms[first]].astype(np.int64)
-        size_of = np.zeros(n, np.int32)
-        size_of[lms] = length
-        a, b = found[:-1], found[1:]
-        same = size_of[a] == size_of[b]
-        pair, done = np.flatnonzero(same), 0
-        while len(pair):
-            equal = t[a[pair] + done] == t[b[pair] + done]
-            same[pair[~equal]] = False
-            done += 1
-            pair = pair[equal & (size_of[a[pair]] > done)]
-        name[found[1:]] = np.cumsum(~same)
-    else:
-        order, same = _sorted_substrings(t, lms, s, length)
-        name[lms[order]] = np.cumsum(~same) - 1
-    reduced = name[lms]
-    names = int(reduced.max()) + 1
-    if names == len(lms):
-        order = np.argsort(reduced)
-    else:
-        order = suffix_array(reduced)
-    return _induce(t, lms[order], s, starts)
+    used = np.zeros(int(t.max()) + 1, bool)
+    used[t] = True
+    code = np.cumsum(used)[t]
+    bits, place = int(code.max()).bit_length(), n.bit_length()
+    depth = max(1, (62 - place) // bits)
+    padded = np.concatenate([code, np.zeros(depth, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(depth):
+        key = (key << bits) | padded[k:k + n]
+    order, key = ordered(key, depth * bits)
+    # A suffix has the first place of those that are tied with it as its rank.
+    rank, tied = np.empty(n, np.int64), np.arange(n)
+    while True:
+        new = np.append(True, key[1:] != key[:-1])
+        rank[order[tied]] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
+        tied = tied[~(new & np.append(new[1:], True))]
+        if not len(tied):
+            return order.astype(np.int32)
+        # No tied suffix ends within ``depth`` symbols: the last symbol is found once.
+        at = order[tied]
+        group = np.cumsum(np.append(False, rank[at[1:]] != rank[at[:-1]]))
+        by, key = ordered((group << place) | rank[at + depth], int(group[-1]).bit_length() + place)
+        order[tied] = at[by]
+        depth *= 2
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -237,6 +105,11 @@ def least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: in
 
     ``data``: the segments' bytes one after the other; ``ids``: each segment's id; each segment has at least one window.
     """
+    with reused_memory():
+        return _least_ids(data, lengths, ids, window)
+
+
+def _least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
     n = len(lengths)
     ends = np.cumsum(lengths + 1) - 1
     inside = np.ones(len(data) + n + 1, bool)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -117,6 +118,16 @@ def test_spans_of_many_long_documents():
     assert own.tolist() == doc.tolist() and (spans == [900_000, 900_050]).all()
 
 
+def test_periodic_texts_take_few_rounds():
+    """A shard that is one period over and over is sorted in seconds, not in minutes."""
+    t = np.append(np.tile(np.array([5, 6, 7], np.int16), 150_000), 0).astype(np.int16)
+    start = time.process_time()
+    sa = suffix_array.suffix_array(t)
+    assert time.process_time() - start < 10
+    n = len(t) - 1
+    assert sa.tolist() == [n, *range(n - 3, -1, -3), *range(n - 2, -1, -3), *range(n - 1, -1, -3)]
+
+
 def test_equal_hashes_of_different_contents(monkeypatch):
     """Segments that share a hash only are told apart by their symbols."""
     segments = [b"aaaa", b"bbbb", b"aaaa", b"cc", b"bbbb", b"cc", b"dd"]
