@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import operator
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -98,59 +99,119 @@ def translate(filters: dict[str, Any], lookup: Lookup) -> Column:
 class Matcher:
     """Filters with operators of many requests (JSON objects, null or empty for none), tested against batches of string maps.
 
-    The meaning is that of ``translate`` over ``map_lookup``. Each different filter is tested once for a batch, and each condition once for each
-    different value of its field.
+    The meaning is that of ``translate`` over ``map_lookup``. Filters that differ in their numbers and strings only are tested together: a value of a field is
+    looked up once among the sorted operands of a condition, and its place there is compared with that of each filter's own operand. A condition
+    without an order is tested once for each different value of its field.
     """
 
     NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
-    ORDER = {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
 
     def __init__(self, filters: list[str | None]):
         different = sorted({f for f in filters if f})
         place = {f: i for i, f in enumerate(different)}
         #: Place of each request's filter among the masks, -1 for none.
         self.place = np.array([place[f] if f else -1 for f in filters], np.int64)
-        self.filters = [json.loads(f) for f in different]
-
-    def masks(self, metadata: pa.Array) -> np.ndarray:
-        """One row for each different filter, one column for each map."""
-        self.fields: dict[str, tuple[list[str | None], np.ndarray]] = {}
-        self.metadata = metadata
-        return np.array([self._test(f) for f in self.filters], bool).reshape(len(self.filters), len(metadata))
-
-    def _test(self, filters: dict[str, Any]) -> np.ndarray:
-        mask = np.ones(len(self.metadata), bool)
+        alike: dict[tuple, tuple[list[int], list[list]]] = {}
+        for i, f in enumerate(different):
+            operands: list = []
+            members, rows = alike.setdefault(self._shape(json.loads(f), operands), ([], []))
+            members.append(i)
+            rows.append(operands)
+        #: Filters of one shape: the shape, their places, and of each condition the different operands in order and each filter's place among them.
+        self.shapes = [(shape, np.array(members), [self._ordered(column) for column in zip(*rows, strict=True)]) for shape, (members, rows) in alike.items()]
+        self.n_different = len(different)
+
+    @staticmethod
+    def _ordered(operands: tuple) -> tuple[list, np.ndarray]:
+        known = sorted(set(operands))
+        place = {operand: i for i, operand in enumerate(known)}
+        return known, np.array([place[operand] for operand in operands], np.int32)[:, None]
+
+    def _shape(self, filters: dict[str, Any], operands: list) -> tuple:
+        terms = []
         for key, value in filters.items():
             if key in ("$and", "$or"):
-                parts = [self._test(part) for part in value]
-                mask &= (reduce(np.logical_and, parts, np.ones(len(mask), bool)) if key == "$and" else reduce(np.logical_or, parts, np.zeros(len(mask), bool)))
+                terms.append((key, *(self._shape(part, operands) for part in value)))
             elif key.startswith("$"):
                 raise ValueError(f"unknown logical operator {key!r}")
             else:
                 for name, operand in (value.items() if isinstance(value, dict) else [("$eq", value)]):
-                    mask &= self._compare(key, name, operand)
-        return mask
+                    if name not in COMPARISONS and name not in ("$in", "$nin"):
+                        raise ValueError(f"unknown comparison operator {name!r}")
+                    if name in COMPARISONS and operand == operand and not isinstance(operand, bool) and isinstance(operand, (int, float, str)):
+                        terms.append(("place", key, name, _kind(operand), len(operands)))
+                        operands.append(operand)
+                    else:
+                        terms.append(("value", key, name, json.dumps(operand)))
+        return ("$and", *terms)
 
-    def _compare(self, key: str, name: str, operand: Any) -> np.ndarray:
+    def masks(self, metadata: pa.Array) -> np.ndarray:
+        """One row for each different filter, one column for each map."""
+        self.bind(metadata)
+        return self.rows(0, len(metadata))
+
+    def bind(self, metadata: pa.Array) -> None:
+        """Looks up the fields of a batch, of which ``rows`` then tests stretches."""
+        self.metadata = metadata
+        self.fields: dict[str, tuple[list[str | None], np.ndarray]] = {}
+        self.found: dict[tuple, Any] = {}
+
+    def rows(self, start: int, stop: int) -> np.ndarray:
+        """The masks of the maps from ``start`` to ``stop``."""
+        out = np.empty((self.n_different, stop - start), bool)
+        for i, (shape, members, _) in enumerate(self.shapes):
+            out[members] = self._test(shape, i, slice(start, stop))
+        return out
+
+    def _test(self, shape: tuple, i: int, part: slice) -> np.ndarray:
+        kind, *terms = shape
+        if kind == "place":
+            return self._compare(i, *terms, part)
+        if kind == "value":
+            return self._compare_values(*terms)[None, part]
+        each = [self._test(term, i, part) for term in terms]
+        width = part.stop - part.start
+        return reduce(np.logical_and, each, np.ones((1, width), bool)) if kind == "$and" else reduce(np.logical_or, each, np.zeros((1, width), bool))
+
+    def _compare(self, i: int, key: str, name: str, kind: str, slot: int, part: slice) -> np.ndarray:
+        known, own = self.shapes[i][2][slot]
+        if (i, slot) not in self.found:
+            values, codes = self._field(key)
+            typed = [v if kind == "string" or v is None else self._number(v) for v in values]
+            self.found[i, slot] = [np.array(x)[codes] for x in (
+                [v is not None for v in typed], [0 if v is None else bisect_left(known, v) for v in typed], [0 if v is None else bisect_right(known, v) for v in typed])]
+        # Operands from ``left`` to before ``right`` equal the value.
+        given, left, right = (x[None, part] for x in self.found[i, slot])
+        if name in ("$eq", "$ne"):
+            equal = given & (left <= own) & (own < right)
+            return equal if name == "$eq" else ~equal
+        holds = {"$gt": lambda: left > own, "$gte": lambda: right > own, "$lt": lambda: right <= own, "$lte": lambda: left <= own}[name]()
+        return given & holds
+
+    def _compare_values(self, key: str, name: str, operand: str) -> np.ndarray:
+        if (key, name, operand) not in self.found:
+            values, codes = self._field(key)
+            given = json.loads(operand)
+            self.found[key, name, operand] = np.array([self._holds(v, name, given) for v in values], bool)[codes]
+        return self.found[key, name, operand]
+
+    def _field(self, key: str) -> tuple[list[str | None], np.ndarray]:
         if key not in self.fields:
             field = pc.map_lookup(self.metadata, pa.scalar(key), "first").dictionary_encode()
             # The last value stands for a missing key.
             self.fields[key] = [*field.dictionary.to_pylist(), None], field.indices.fill_null(len(field.dictionary)).to_numpy()
-        values, codes = self.fields[key]
-        return np.array([self._holds(v, name, operand) for v in values], bool)[codes]
+        return self.fields[key]
 
     def _holds(self, text: str | None, name: str, operand: Any) -> bool:
         if name in ("$in", "$nin"):
             return any(self._holds(text, "$eq", one) for one in operand) == (name == "$in")
-        if name not in COMPARISONS:
-            raise ValueError(f"unknown comparison operator {name!r}")
         if operand is None:
             return name == "$ne" and text is not None
         kind = _kind(operand)
         value = text if kind == "string" or text is None else {"true": True, "false": False}.get(text) if kind == "boolean" else self._number(text)
         if name in ("$eq", "$ne"):
             return (value is not None and value == operand) == (name == "$eq")
-        return value is not None and self.ORDER[name](value, operand)
+        return value is not None and {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}[name](value, operand)
 
     def _number(self, text: str) -> int | float | None:
         text = text.strip()

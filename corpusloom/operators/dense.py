@@ -59,15 +59,14 @@ class VectorKernel(Kernel):
             raise ValueError(f"vectors of one dimension are needed, found lengths {self.queries.shape[1]} and {vectors.shape[1]}")
         step = max(1, self.matrix_cells // len(self.queries))
         found = self._found(docs)
-        allowed = None
         if self.matcher:
-            # The last row is for queries without a filter.
-            masks = self.matcher.masks(docs.column(docs.schema.get_field_index("metadata")))
-            allowed = np.concatenate([masks, np.ones((1, len(ids)), bool)])[self.matcher.place]
+            self.matcher.bind(docs.column(docs.schema.get_field_index("metadata")))
         for start in range(0, len(ids), step):
             cost = self._cost(vectors[start:start + step])
-            if allowed is not None:
-                cost[~allowed[:, start:start + step]] = np.nan
+            if self.matcher:
+                # The last row is for queries without a filter. Masks are as many cells as costs, so they are made for the same stretch of documents.
+                masks = self.matcher.rows(start, min(start + step, len(ids)))
+                cost[np.concatenate([~masks, np.zeros((1, cost.shape[1]), bool)])[self.matcher.place]] = np.nan
             for wanted, given in found:
                 cost[(wanted >= 0)[:, None] & (wanted[:, None] != given[None, start:start + step])] = np.nan
             yield ids[start:start + step], cost

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -330,3 +331,21 @@ def test_raise_error_reaches_the_driver(spark):
 def test_registry_and_oracle_agree_on_names():
     from corpusloom.plans.oracle import ORACLE
     assert set(ORACLE) == set(registry.QUERIES) - {"knn_lsh"}
+
+
+def test_many_different_filters():
+    """Filters that differ in their operands only are tested together, exactly, and in any stretches of a batch."""
+    import time
+
+    n, m = 4_000, 3_000
+    asked = ['{"$or": [{"label": {"$gt": %d}}, {"id": {"$lt": %d}}], "id": {"$ne": %d}}' % (i % 7 + 2, i, i) for i in range(n)]
+    maps = pa.array([[("label", str(i % 10)), ("id", str(i))] for i in range(m)], pa.map_(pa.string(), pa.string()))
+    start = time.process_time()
+    matcher = filters.Matcher(asked)
+    matcher.bind(maps)
+    masks = np.concatenate([matcher.rows(a, min(a + 700, m)) for a in range(0, m, 700)], 1)[matcher.place]
+    assert time.process_time() - start < 20
+    i, d = np.arange(n)[:, None], np.arange(m)[None, :]
+    assert (masks == (((d % 10 > i % 7 + 2) | (d < i)) & (d != i))).all()
+    big = filters.Matcher([json.dumps({"id": {"$gt": 2**53}}), json.dumps({"id": 2**53 + 1})])
+    assert big.masks(pa.array([[("id", str(2**53 + 1))], [("id", str(2**53))], None], maps.type))[big.place].tolist() == [[True, False, False], [True, False, False]]
