@@ -118,7 +118,7 @@ def block_topk(queries: DataFrame, docs: DataFrame, query_bytes: Column, doc_byt
     ``query_bytes`` and ``doc_bytes`` are the sizes of one row of each side. The query table is read twice (measure, ship), and so are
     the documents if the queries are too many for a broadcast: pass written tables when they are costly or not repeatable.
     """
-    size = queries.agg(F.coalesce(F.sum(query_bytes), F.lit(0))).first()[0]
+    n_queries, size = queries.agg(F.count("*"), F.coalesce(F.sum(query_bytes), F.lit(0))).first()
     if size <= limits.broadcast_bytes:
         hits = broadcast_topk(queries, docs, kernel, k)
     else:
@@ -126,7 +126,9 @@ def block_topk(queries: DataFrame, docs: DataFrame, query_bytes: Column, doc_byt
         n_parts = max(1, -(-n_docs // limits.doc_rows), -(-size // limits.doc_bytes))
         # No key decides the part, so copies of one id don't fill one task.
         parts = docs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(n_parts)))
-        hits = paired_topk(queries, parts, n_parts, kernel, k, limits)
+        # Comparisons grow with the square of the input; the number of tasks grows with them, so that each one's share stays bounded.
+        n_blocks = max(1, -(-n_queries * -(-n_docs // n_parts) // limits.task_pairs))
+        hits = paired_topk(queries, parts, n_parts, kernel, k, limits, n_blocks)
     groups = limits.reduce_groups
     if groups is None:
         splits = planned_splits(docs)
@@ -148,15 +150,22 @@ def best_per_query(hits: DataFrame, k: int) -> DataFrame:
             .select("query_id", "doc_id", "rank", "cost"))
 
 
-def paired_topk(queries: DataFrame, docs: DataFrame, n_parts: int, kernel: Kernel, k: int, limits: BlockLimits) -> DataFrame:
+def paired_topk(queries: DataFrame, docs: DataFrame, n_parts: int, kernel: Kernel, k: int, limits: BlockLimits, n_blocks: int = 1) -> DataFrame:
     """Every query against every ``part`` (0 to ``n_parts`` - 1) of the documents, which a task must be able to hold.
 
-    Returns up to k rows per query and part.
+    With ``n_blocks`` a part meets the queries in so many tasks, each of which has a block of them. Returns up to k rows per query and part.
     """
     parts = F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))
     asked = queries.withColumn("part", F.explode(parts)).withColumn("__asked", F.lit(True))
-    both = docs.withColumn("__asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
-    both = both.repartition(n_parts, "part").sortWithinPartitions("part", "__asked")
+    docs_in = docs.withColumn("__asked", F.lit(False))
+    if n_blocks > 1:
+        blocks = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
+        docs_in = docs_in.withColumn("__block", F.explode(blocks)).withColumn("part", F.col("part") * n_blocks + F.col("__block")).drop("__block")
+        # No key decides the block, so copies of one id don't fill one task.
+        asked = (queries.withColumn("__block", F.pmod(F.monotonically_increasing_id(), F.lit(n_blocks))).withColumn("part", F.explode(parts))
+                 .withColumn("part", F.col("part") * n_blocks + F.col("__block")).drop("__block").withColumn("__asked", F.lit(True)))
+    both = docs_in.unionByName(asked, allowMissingColumns=True)
+    both = both.repartition(n_parts * n_blocks, "part").sortWithinPartitions("part", "__asked")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, docs, ready = None, [], False

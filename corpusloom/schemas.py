@@ -52,6 +52,7 @@ class BlockLimits:
     doc_bytes: int = 64 << 20        # the same, of a part, in bytes
     query_rows: int = 20_000         # queries of one cell handled by one task
     matrix_cells: int = 1 << 22      # (query, document) scores held at once inside a task
+    task_pairs: int = 1 << 32        # (query, document) scores of one part that one task makes, one after the other
     reduce_groups: int | None = None  # groups of tasks cut to k rows per query before the final cut; None: the root of the number of splits, from 64 splits on
 
 

@@ -450,3 +450,36 @@ def test_hits_of_many_tasks_are_reduced_in_levels(spark, sf):
     queries, docs = (table.select(F.col("vec_id").alias(name), "embedding") for name in ("query_id", "doc_id"))
     plain, levels = (sorted(map(tuple, dense.search(queries, docs, 5, limits=limits).collect())) for limits in (BlockLimits(), BlockLimits(reduce_groups=3)))
     assert plain == levels
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_tasks_of_the_exact_search_have_bounded_pairs(spark, own):
+    """Queries that are too many for a broadcast are dealt in blocks, so a task makes a bounded number of comparisons, with the same hits."""
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(300)]
+    docs = spark.createDataFrame(data + data[:20], "doc_id long, embedding array<float>").withColumn("metadata", F.create_map(F.lit("id"), F.col("doc_id").cast("string")))
+    queries = spark.createDataFrame(data, "query_id long, embedding array<float>")
+    if own:
+        queries = queries.withColumn("filter", F.when(F.col("query_id") % 4 > 0, F.format_string('{"id": {"$lt": %d}}', F.col("query_id"))))
+    want = dense.search(queries, docs, 5)
+    limits = BlockLimits(broadcast_bytes=0, doc_rows=100, query_rows=7, task_pairs=3_000)
+    kernel_hold, kernel_best = dense.VectorKernel.hold, dense.VectorKernel.best
+
+    class Counted(dense.VectorKernel):
+        def hold(self, held):
+            self.pairs = 0
+            kernel_hold(self, held)
+
+        def best(self, asked, k):
+            self.pairs += asked.num_rows * sum(b.num_rows for b in self.held)
+            if self.pairs > 6_000:
+                raise MemoryError(f"{self.pairs} comparisons in one task")
+            return kernel_best(self, asked, k)
+
+    dense.VectorKernel, before = Counted, dense.VectorKernel
+    try:
+        found = dense.search(queries, docs, 5, limits=limits)
+    finally:
+        dense.VectorKernel = before
+    columns = ("query_id", "rank", "distance", "doc_id")
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
