@@ -20,11 +20,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.schemas import VECTOR, ModelSpec
 
 
+# Text of a batch that is embedded at once, tokens whose cells the stand-in keeps, and characters of the longest such token.
+BATCH_BYTES = 1 << 20
+KNOWN_TOKENS = 1 << 16
+KNOWN_LENGTH = 64
+
 _made: dict[str, object] = {}
 
 
@@ -53,15 +59,20 @@ def hashed_tokens(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarra
         def cell(token: str) -> tuple[int, float]:
             if token not in known:
                 digest = hashlib.md5(token.encode()).hexdigest()
-                known[token] = (int(digest[:8], 16) % dim, 1.0 if digest[8] < "8" else -1.0)
+                made = (int(digest[:8], 16) % dim, 1.0 if digest[8] < "8" else -1.0)
+                if len(token) > KNOWN_LENGTH:
+                    return made
+                if len(known) >= KNOWN_TOKENS:
+                    known.clear()
+                known[token] = made
             return known[token]
 
         def embed(texts: list[str]) -> np.ndarray:
-            cells = [[cell(token) for token in text.lower().split()] for text in texts]
-            rows = np.repeat(np.arange(len(texts)), [len(c) for c in cells])
-            flat = np.array([pair for c in cells for pair in c]).reshape(-1, 2)
-            counts = np.bincount(rows * dim + flat[:, 0].astype(int), flat[:, 1], len(texts) * dim)
-            counts = counts.astype(np.float64).reshape(len(texts), dim)  # integers when there is no token
+            counts = np.zeros((len(texts), dim))
+            for row, text in enumerate(texts):
+                # The tokens of one text at a time.
+                cells = np.array([cell(token) for token in text.lower().split()]).reshape(-1, 2)
+                counts[row] = np.bincount(cells[:, 0].astype(int), cells[:, 1], dim)
             norm = np.sqrt((counts ** 2).sum(axis=1, keepdims=True))
             return np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
 
@@ -70,15 +81,29 @@ def hashed_tokens(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarra
     return factory
 
 
+def bounded(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``BATCH_BYTES`` of text: texts are long, and a batch of Spark's holds thousands of them. A longer text is a batch of its own."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy().astype(np.int64)
+        ends, start = np.cumsum(size), 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BATCH_BYTES, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def embed_column(df: DataFrame, factory, text: str = "content", out: str = "embedding") -> DataFrame:
-    """Add the embedding of a text column. Column names are kept; ``out`` is appended or replaced."""
+    """Add the embedding of a text column. Column names are kept; ``out`` is appended or replaced.
+
+    The embedder gets batches of bounded text, however long the texts are.
+    """
     kept = [name for name in df.columns if name != out]
     schema = T.StructType([df.schema[name] for name in kept] + [T.StructField(out, VECTOR)])
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = here().made_once(token, factory)
-        for batch in batches:
+        for batch in bounded(batches, text):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             matrix = np.asarray(embed([t or "" for t in texts]), dtype=np.float32).reshape(len(texts), -1)
             offsets = np.arange(len(texts) + 1, dtype=np.int32) * matrix.shape[1]

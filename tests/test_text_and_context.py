@@ -349,3 +349,21 @@ def test_many_different_filters():
     assert (masks == (((d % 10 > i % 7 + 2) | (d < i)) & (d != i))).all()
     big = filters.Matcher([json.dumps({"id": {"$gt": 2**53}}), json.dumps({"id": 2**53 + 1})])
     assert big.masks(pa.array([[("id", str(2**53 + 1))], [("id", str(2**53))], None], maps.type))[big.place].tolist() == [[True, False, False], [True, False, False]]
+
+
+def test_embedding_batches_are_bounded(spark):
+    """An embedder never gets more than a bounded amount of text at once, and the stand-in keeps a bounded number of tokens."""
+    def factory():
+        return lambda texts: np.array([[len(texts), sum(map(len, texts))] for _ in texts])
+
+    df = spark.range(0, 3_000, 1, 1).select("id", F.repeat(F.lit("word "), 400).alias("content"))
+    df = df.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * (3 << 20))], "id long, content string")).coalesce(1)
+    found = {r.id: r.embedding for r in hooks.embed_column(df, factory).collect()}
+    assert len(found) == 3_003
+    assert all(size <= hooks.BATCH_BYTES or n == 1 for n, size in found.values())
+    embed = hooks.hashed_tokens(8)()
+    for part in range(3):
+        embed([" ".join(f"t{part}x{i}" for i in range(hooks.KNOWN_TOKENS // 2 + 10)) + " " + "y" * 100])
+    known = next(c.cell_contents for f in (embed,) for c in f.__closure__ if callable(c.cell_contents)).__closure__
+    known = next(c.cell_contents for c in known if isinstance(c.cell_contents, dict))
+    assert len(known) <= hooks.KNOWN_TOKENS and "y" * 100 not in known
