@@ -29,8 +29,9 @@ K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-# Documents of a part and of a range; parts below the first size that still use all cores.
+# Documents of a part, their text (a task holds the terms of a part, several times the text), and documents of a range; parts below the first size that still use all cores.
 PART_DOCS = 16_384
+PART_BYTES = 8 << 20
 SMALL_PART = 512
 RANGE = 128
 # Distinct tokens that a search hands to the scan as a list.
@@ -60,8 +61,9 @@ def term_vectors(docs: DataFrame) -> DataFrame:
 def _postings(docs: DataFrame, first_part: int) -> tuple[DataFrame, int]:
     """Rows of new parts from ``first_part`` on (``part, token, df, docs, tfs, ids, metadata``), and the number of parts after them."""
     docs = docs.select("doc_id", "content", *["metadata"] * ("metadata" in docs.columns))
-    n_docs, cores = docs.count(), docs.sparkSession.sparkContext.defaultParallelism
-    n_parts = max(1, -(-n_docs // PART_DOCS), min(2 * cores, -(-n_docs // SMALL_PART)))
+    n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("content").cast("bigint")), F.lit(0))).first()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    n_parts = max(1, -(-n_docs // PART_DOCS), -(-size // PART_BYTES), min(2 * cores, -(-n_docs // SMALL_PART)))
     part = F.pmod(F.monotonically_increasing_id(), F.lit(n_parts)) + first_part
     vectors = term_vectors(docs.withColumn("part", part))
     ids = docs.schema["doc_id"].dataType

@@ -367,3 +367,12 @@ def test_embedding_batches_are_bounded(spark):
     known = next(c.cell_contents for f in (embed,) for c in f.__closure__ if callable(c.cell_contents)).__closure__
     known = next(c.cell_contents for c in known if isinstance(c.cell_contents, dict))
     assert len(known) <= hooks.KNOWN_TOKENS and "y" * 100 not in known
+
+
+def test_index_parts_hold_bounded_text(spark):
+    from corpusloom.operators import sparse
+
+    df = spark.range(0, 40, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("some words "), 100_000), F.col("id").cast("string")).alias("content"))
+    index = sparse.build_index(df)
+    assert index.n_parts >= 40 * 1_100_000 // sparse.PART_BYTES and index.n_docs == 40
+    assert {r.token: r.df for r in index.frequencies.collect()} == {"some": 40, "words": 40} | {str(i): 1 for i in range(40)}
