@@ -4,7 +4,8 @@ Exact search compares every query with every document of its cell. As a join tha
 pairs; here a task scores one block of documents against one block of queries as a matrix and emits
 the block's best k per query only:
 
-* ``broadcast_topk``: queries whose measured bytes are within the bound go to every executor. Documents are scanned where they lie.
+* ``broadcast_topk``: queries whose measured bytes are within the bound go to every executor. Documents are scanned where they lie; a task
+  takes in a bounded number of them and then meets the queries block by block.
 * ``paired_topk``: a larger query table is dealt to bounded parts of the documents as rows of one plan: a task takes in the
   documents of a part and then its queries, batch by batch. No query passes through the driver, and each table is scanned once.
 
@@ -47,10 +48,12 @@ class BestK:
         self.pending = 0
 
     def offer(self, ids: np.ndarray, cost: np.ndarray) -> None:
-        bar = self.bar
-        if cost.shape[1] > self.k:
-            bar = np.fmin(bar, np.partition(cost, self.k - 1, axis=1)[:, self.k - 1])
-        rows, cols = np.nonzero(cost <= bar[:, None])
+        near = cost <= self.bar[:, None]
+        if cost.shape[1] > self.k and np.count_nonzero(near) > self.n_rows * self.k:
+            # The k-th cost of any block is a bound of the k-th of all.
+            self.bar = np.fmin(self.bar, np.partition(cost, self.k - 1, axis=1)[:, self.k - 1])
+            near = cost <= self.bar[:, None]
+        rows, cols = np.nonzero(near)
         if len(rows):
             self.parts.append((rows, cost[rows, cols], ids[cols]))
             self.pending += len(rows)
@@ -120,7 +123,7 @@ def block_topk(queries: DataFrame, docs: DataFrame, query_bytes: Column, doc_byt
     """
     n_queries, size = queries.agg(F.count("*"), F.coalesce(F.sum(query_bytes), F.lit(0))).first()
     if size <= limits.broadcast_bytes:
-        hits = broadcast_topk(queries, docs, kernel, k)
+        hits = broadcast_topk(queries, docs, kernel, k, limits)
     else:
         n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(doc_bytes), F.lit(0))).first()
         n_parts = max(1, -(-n_docs // limits.doc_rows), -(-size // limits.doc_bytes))
@@ -198,26 +201,38 @@ def _stretches(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, bool, pa
             yield int(key[a]) // 2, bool(asked[a]), batch.slice(start, min(step, b - start))
 
 
-def broadcast_topk(queries: DataFrame, docs: DataFrame, kernel: Kernel, k: int) -> DataFrame:
-    """Map-side form. The caller has checked that the query block is small."""
-    table = queries.toArrow()
-    shared = queries.sparkSession.sparkContext.broadcast(table)
+def broadcast_topk(queries: DataFrame, docs: DataFrame, kernel: Kernel, k: int, limits: BlockLimits = BlockLimits()) -> DataFrame:
+    """Map-side form. The caller has checked that the query block is small. Returns up to k rows per query and stretch of documents that a task holds."""
+    shared = queries.sparkSession.sparkContext.broadcast(queries.toArrow().combine_chunks())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value.combine_chunks()
-        kernel.load(block)
-        best, doc_type = BestK(block.num_rows, k), None
-        for batch in batches:
-            doc_type = batch.schema.field("doc_id").type
-            for ids, cost in kernel.costs(batch):
-                best.offer(ids, cost)
-        if doc_type is not None:
-            query_ids = block.column("query_id").combine_chunks()
-            yield from hit_table(best, query_ids, doc_type).to_batches()
+        block = shared.value
+        for held in _held(batches, limits):
+            doc_type = held[0].schema.field("doc_id").type
+            kernel.hold(held)
+            for start in range(0, block.num_rows, limits.query_rows):
+                asked = block.slice(start, limits.query_rows)
+                yield from hit_table(kernel.best(asked, k), asked.column("query_id").combine_chunks(), doc_type).to_batches()
 
     return docs.mapInArrow(search, hit_schema(queries, docs))
 
 
+def _held(batches: Iterator[pa.RecordBatch], limits: BlockLimits) -> Iterator[list[pa.RecordBatch]]:
+    """Consecutive documents that a task may hold; as doubles their vectors take twice the bytes that they have here."""
+    held, n_rows, size = [], 0, 0
+    for batch in batches:
+        step = max(1, min(limits.doc_rows, limits.doc_bytes // 2 * batch.num_rows // max(batch.nbytes, 1)))
+        for start in range(0, batch.num_rows, step):
+            rows = batch.slice(start, step)
+            if held and (n_rows + rows.num_rows > limits.doc_rows or 2 * (size + rows.nbytes) > limits.doc_bytes):
+                yield held
+                held, n_rows, size = [], 0, 0
+            held.append(rows)
+            n_rows, size = n_rows + rows.num_rows, size + rows.nbytes
+    if held:
+        yield held
+
+
 def cell_topk(queries: DataFrame, docs: DataFrame, kernel, k: int, payload_bytes: Column | None = None,
               limits: BlockLimits = BlockLimits()) -> DataFrame:
     """Search inside each shared ``cell``. Returns up to k rows per query and task or block; finish with ``best_per_query``.

@@ -14,6 +14,9 @@ from corpusloom.operators.block_topk import Kernel, block_topk, id_array
 from corpusloom.schemas import BlockLimits
 from corpusloom.session import join_keys, match_few, written
 
+# Scores that are computed at once, in the processor's cache.
+CACHED_CELLS = 1 << 17
+
 
 def vector_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of equal-length vectors as a double matrix; vectors of other lengths are an error."""
@@ -35,6 +38,21 @@ class VectorKernel(Kernel):
 
     def __init__(self, metric: str, matrix_cells: int):
         self.metric, self.matrix_cells = metric, matrix_cells
+        self.known: dict[int, tuple] | None = None
+
+    def hold(self, docs: list[pa.RecordBatch]) -> None:
+        super().hold(docs)
+        self.known = {}
+
+    def _read(self, docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, vectors and their squares; of documents that are held they are kept for the next block of queries."""
+        if self.known is not None and id(docs) in self.known:
+            return self.known[id(docs)]
+        vectors = self._unit(vector_matrix(docs.column(docs.schema.get_field_index("embedding"))))
+        read = id_array(docs.column(docs.schema.get_field_index("doc_id"))), vectors, (vectors ** 2).sum(axis=1)
+        if self.known is not None:
+            self.known[id(docs)] = read
+        return read
 
     def load(self, queries: pa.Table) -> None:
         self.queries = self._unit(vector_matrix(queries.column("embedding")))
@@ -53,8 +71,7 @@ class VectorKernel(Kernel):
     def costs(self, docs: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not docs.num_rows or not len(self.queries):
             return
-        ids = id_array(docs.column(docs.schema.get_field_index("doc_id")))
-        vectors = self._unit(vector_matrix(docs.column(docs.schema.get_field_index("embedding"))))
+        ids, vectors, squares = self._read(docs)
         if vectors.shape[1] != self.queries.shape[1]:
             raise ValueError(f"vectors of one dimension are needed, found lengths {self.queries.shape[1]} and {vectors.shape[1]}")
         step = max(1, self.matrix_cells // len(self.queries))
@@ -62,7 +79,7 @@ class VectorKernel(Kernel):
         if self.matcher:
             self.matcher.bind(docs.column(docs.schema.get_field_index("metadata")))
         for start in range(0, len(ids), step):
-            cost = self._cost(vectors[start:start + step])
+            cost = self._cost(vectors[start:start + step], squares[start:start + step])
             if self.matcher:
                 # The last row is for queries without a filter. Masks are as many cells as costs, so they are made for the same stretch of documents.
                 masks = self.matcher.rows(start, min(start + step, len(ids)))
@@ -85,14 +102,25 @@ class VectorKernel(Kernel):
         with np.errstate(invalid="ignore", divide="ignore"):
             return vectors / np.sqrt((vectors ** 2).sum(axis=1, keepdims=True))
 
-    def _cost(self, vectors: np.ndarray) -> np.ndarray:
-        products = self.queries @ vectors.T
-        if self.metric in ("cosine", "dot"):
-            cost = 0.0 - np.round(products, 6)
-            return np.where(np.isnan(cost), np.inf, cost)  # a zero vector has no cosine: ranked last
-        squares = self.squares[:, None] + (vectors ** 2).sum(axis=1)[None, :] - 2.0 * products
-        squares = np.maximum(squares, 0.0)
-        return np.round(np.sqrt(squares) if self.metric == "euclid" else squares, 6)
+    def _cost(self, vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
+        cost = np.empty((len(self.queries), len(vectors)))
+        step = max(1, CACHED_CELLS // max(len(vectors), 1))
+        for start in range(0, len(cost), step):
+            # In place, a few rows at a time: a matrix is the largest thing that a task makes, and each of these passes would fetch it from memory.
+            block, products = cost[start:start + step], self.queries[start:start + step] @ vectors.T
+            if self.metric in ("cosine", "dot"):
+                np.round(products, 6, out=products)
+                np.subtract(0.0, products, out=block)
+                block[np.isnan(block)] = np.inf  # a zero vector has no cosine: ranked last
+                continue
+            products *= 2.0
+            np.add(self.squares[start:start + step, None], own[None, :], out=block)
+            block -= products
+            np.maximum(block, 0.0, out=block)
+            if self.metric == "euclid":
+                np.sqrt(block, out=block)
+            np.round(block, 6, out=block)
+        return cost
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "l2", score: str = "inverse",

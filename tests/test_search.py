@@ -483,3 +483,32 @@ def test_tasks_of_the_exact_search_have_bounded_pairs(spark, own):
         dense.VectorKernel = before
     columns = ("query_id", "rank", "distance", "doc_id")
     assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_a_broadcast_meets_the_documents_in_blocks(spark, monkeypatch, own):
+    """Queries that fit a broadcast are searched in blocks of bounded size, against a bounded number of documents at a time."""
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(300)]
+    docs = spark.createDataFrame(data + data[:20], "doc_id long, embedding array<float>").withColumn("metadata", F.create_map(F.lit("id"), F.col("doc_id").cast("string"))).coalesce(1)
+    queries = spark.createDataFrame(data, "query_id long, embedding array<float>")
+    if own:
+        queries = queries.withColumn("filter", F.when(F.col("query_id") % 4 > 0, F.format_string('{"id": {"$lt": %d}}', F.col("query_id"))))
+    columns = ("query_id", "rank", "doc_id", "distance")
+    want = sorted(map(tuple, dense.search(queries, docs, 5).select(*columns).collect()))
+    kernel_load, kernel_hold = dense.VectorKernel.load, dense.VectorKernel.hold
+
+    class Bounded(dense.VectorKernel):
+        def load(self, asked):
+            if asked.num_rows > 40:
+                raise MemoryError(f"{asked.num_rows} queries at once")
+            kernel_load(self, asked)
+
+        def hold(self, held):
+            if not 0 < sum(b.num_rows for b in held) <= 100:
+                raise MemoryError("too many documents at once")
+            kernel_hold(self, held)
+
+    monkeypatch.setattr(dense, "VectorKernel", Bounded)
+    found = dense.search(queries, docs, 5, limits=BlockLimits(doc_rows=100, query_rows=40))
+    assert sorted(map(tuple, found.select(*columns).collect())) == want
