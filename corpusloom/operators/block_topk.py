@@ -7,7 +7,8 @@ the block's best k per query only:
 * ``broadcast_topk``: queries whose measured bytes are within the bound go to every executor. Documents are scanned where they lie; a task
   takes in a bounded number of them and then meets the queries block by block.
 * ``paired_topk``: a larger query table is dealt to bounded parts of the documents as rows of one plan: a task takes in the
-  documents of a part and then its queries, batch by batch. No query passes through the driver, and each table is scanned once.
+  documents of a part and then its queries, batch by batch. No query passes through the driver, and each table is scanned once. Queries are
+  copied to a fixed number of parts, whatever the size of the table, until parts are as large as a task may hold.
 
 ``cell_topk`` is the same for sides that carry a cell (an inverted list, a hash bucket): only rows of
 one cell meet, and cells above the block bound, on either side, are split into such blocks, so a cell
@@ -126,7 +127,8 @@ def block_topk(queries: DataFrame, docs: DataFrame, query_bytes: Column, doc_byt
         hits = broadcast_topk(queries, docs, kernel, k, limits)
     else:
         n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(doc_bytes), F.lit(0))).first()
-        n_parts = max(1, -(-n_docs // limits.doc_rows), -(-size // limits.doc_bytes))
+        # Every query goes to every part: with parts of a fixed number of rows the copies would grow with the square of the input.
+        n_parts = max(1, min(-(-n_docs // limits.doc_rows), limits.query_copies), -(-size // limits.doc_bytes))
         # No key decides the part, so copies of one id don't fill one task.
         parts = docs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(n_parts)))
         # Comparisons grow with the square of the input; the number of tasks grows with them, so that each one's share stays bounded.

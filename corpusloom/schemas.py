@@ -48,8 +48,9 @@ class BlockLimits:
     """Memory bounds of the block search."""
 
     broadcast_bytes: int = 64 << 20  # query block that may be sent to every executor
-    doc_rows: int = 100_000          # documents of one cell or part handled by one task
-    doc_bytes: int = 64 << 20        # the same, of a part, in bytes
+    doc_rows: int = 100_000          # documents of one cell or part handled by one task; a part may have more where queries would be copied too often
+    doc_bytes: int = 64 << 20        # bytes of the documents of a part, always kept
+    query_copies: int = 24           # parts that a query is sent to, unless more are needed to keep doc_bytes
     query_rows: int = 20_000         # queries of one cell handled by one task
     matrix_cells: int = 1 << 22      # (query, document) scores held at once inside a task
     task_pairs: int = 1 << 32        # (query, document) scores of one part that one task makes, one after the other

@@ -485,6 +485,28 @@ def test_tasks_of_the_exact_search_have_bounded_pairs(spark, own):
     assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
 
 
+def test_copies_of_queries_do_not_grow_with_the_documents(spark, monkeypatch):
+    """Beyond a broadcast, queries go to a fixed number of parts; more parts are made only to keep their bytes."""
+    from corpusloom.operators import block_topk
+
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(900)]
+    docs = spark.createDataFrame(data + data[:20], "doc_id long, embedding array<float>")
+    queries = spark.createDataFrame(data[:300], "query_id long, embedding array<float>")
+    parts, paired = [], block_topk.paired_topk
+
+    def counted(queries, docs, n_parts, *rest):
+        parts.append(n_parts)
+        return paired(queries, docs, n_parts, *rest)
+
+    monkeypatch.setattr(block_topk, "paired_topk", counted)
+    columns = ("query_id", "rank", "doc_id", "distance")
+    want = sorted(map(tuple, dense.search(queries, docs, 5).select(*columns).collect()))
+    for limits in (BlockLimits(broadcast_bytes=0, doc_rows=10, query_rows=7), BlockLimits(broadcast_bytes=0, doc_rows=10, query_rows=7, doc_bytes=920 * 32 // 40)):
+        assert sorted(map(tuple, dense.search(queries, docs, 5, limits=limits).select(*columns).collect())) == want
+    assert parts == [24, 40]
+
+
 @pytest.mark.parametrize("own", [False, True])
 def test_a_broadcast_meets_the_documents_in_blocks(spark, monkeypatch, own):
     """Queries that fit a broadcast are searched in blocks of bounded size, against a bounded number of documents at a time."""
