@@ -60,7 +60,8 @@ def positions(df: DataFrame, order: str, out: str = "position", range_rows: int
                 seen[int(own[a])] = start + b - a
             yield batch.drop_columns(["__range"]).append_column(out, pa.array(numbers))
 
-    sorted_rows = ranged(df).repartition(n_ranges, "__range").sortWithinPartitions("__range", order)
+    # A range is a task: by a hash several ranges would share one, and others stay empty.
+    sorted_rows = ranged(df).repartitionById(n_ranges, F.col("__range")).sortWithinPartitions("__range", order)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
     numbered = sorted_rows.mapInArrow(number, schema)
     return numbered.unionByName(df.filter(F.col(order).isNull()).withColumn(out, F.lit(None).cast("long")))

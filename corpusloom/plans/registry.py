@@ -398,8 +398,16 @@ def _update(mode: str):
 
 def _cells(docs: DataFrame) -> DataFrame:
     """Every non-zero cell of the vectors, beside the key of the text."""
-    cells = docs.select("doc_id", text.content_key(F.col("content")).alias("content_key"), F.posexplode("embedding").alias("cell", "value"))
-    return cells.filter("value != 0").select("doc_id", "content_key", F.col("cell").cast("bigint").alias("cell"),
+    return _keyed_cells(_keyed_vectors(docs))
+
+
+def _keyed_vectors(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text.content_key(F.col("content")).alias("content_key"), "embedding")
+
+
+def _keyed_cells(vectors: DataFrame, *more: str) -> DataFrame:
+    cells = vectors.select("doc_id", "content_key", *more, F.posexplode("embedding").alias("cell", "value"))
+    return cells.filter("value != 0").select("doc_id", "content_key", *more, F.col("cell").cast("bigint").alias("cell"),
                                              F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
@@ -475,7 +483,8 @@ def collection_add(spark: SparkSession, sf: str) -> DataFrame:
     second = written(_batch(docs.filter(F.col("metadata")["lang"] == "de").drop("doc_id"), EMBED, ids="counter", next_id=first.count(), dimension=64), "batch")
     stored = _version(mutate.upsert(_version(mutate.one_per_id(first, "pos")), second, "pos"))
     ids = [batch.select("pos", "doc_id", F.lit(call).alias("call")) for call, batch in ((1, first), (2, second))]
-    return _cells(stored).join(ids[0].unionByName(ids[1]), "doc_id").select("doc_id", "call", "pos", "content_key", "cell", "value")
+    # Joined before vectors become a row for each cell.
+    return _keyed_cells(_keyed_vectors(stored).join(ids[0].unionByName(ids[1]), "doc_id"), "call", "pos").select("doc_id", "call", "pos", "content_key", "cell", "value")
 
 
 def collection_append(spark: SparkSession, sf: str) -> DataFrame:

@@ -208,3 +208,20 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert sorted(names) == columns
     want = [tuple(row[names.index(c)] for c in columns) for row in cursor.fetchall()]
     assert sorted(map(tuple, found.select(*columns).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_vectors_become_cells_after_the_join(spark, sf):
+    """The join of stored rows with their batches moves a vector once, not a row for each of its cells."""
+    plan = registry.QUERIES["collection_add"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Join ")
+
+
+def test_a_task_numbers_one_range(spark):
+    """Ranges are dealt one to a task: no task has several while others have none."""
+    from corpusloom.operators import mutate
+
+    df = spark.range(16_000).withColumn("key", F.col("id") * 7 % 16_001)
+    found = mutate.positions(df, "key").withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) <= 1.5 * 16_000 / len(sizes)
+    assert [r.key for r in found.orderBy("position").collect()] == sorted(r.key for r in df.collect())
