@@ -81,10 +81,21 @@ def hashed_tokens(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarra
     return factory
 
 
-def bounded(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def text_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of text in each row of a column of strings or of lists of strings."""
+    if pa.types.is_null(column.type):
+        return np.zeros(len(column), np.int64)
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        ends = np.concatenate([[0], np.cumsum(text_bytes(column.values))])
+        offsets = column.offsets.to_numpy()
+        return ends[offsets[1:]] - ends[offsets[:-1]]
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+
+
+def bounded(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``BATCH_BYTES`` of text: texts are long, and a batch of Spark's holds thousands of them. A longer text is a batch of its own."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy().astype(np.int64)
+        size = sum(text_bytes(batch.column(batch.schema.get_field_index(text))) for text in texts)
         ends, start = np.cumsum(size), 0
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BATCH_BYTES, "right")))
@@ -138,7 +149,7 @@ def generate(df: DataFrame, factory, spec: ModelSpec = ModelSpec(), prompt: str
     """Add ``content, success, error`` from a generator; each failure is a row, the job goes on.
 
     ``factory`` receives the model settings. An empty prompt is an error row and calls no model.
-    Rows where ``active`` is false get nulls.
+    Rows where ``active`` is false get nulls. Prompts are taken in batches of bounded text, since each may repeat several whole texts.
     """
     kept = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField("content", T.StringType()),
@@ -159,7 +170,7 @@ def generate(df: DataFrame, factory, spec: ModelSpec = ModelSpec(), prompt: str
             except Exception as problem:  # a failed call must not end the job
                 return "", False, str(problem)
 
-        for batch in batches:
+        for batch in bounded(batches, prompt):
             given = {name: batch.column(batch.schema.get_field_index(name)) for name in kept}
             wanted = batch.column(batch.schema.get_field_index("__active")).to_pylist()
             rows = [answer(text, flag) for text, flag in zip(given[prompt].to_pylist(), wanted)]

@@ -376,3 +376,26 @@ def test_index_parts_hold_bounded_text(spark):
     index = sparse.build_index(df)
     assert index.n_parts >= 40 * 1_100_000 // sparse.PART_BYTES and index.n_docs == 40
     assert {r.token: r.df for r in index.frequencies.collect()} == {"some": 40, "words": 40} | {str(i): 1 for i in range(40)}
+
+
+def _step(spark, monkeypatch, call):
+    """The function that ``call`` gives to the tasks, to be run on batches of the test's own."""
+    found = []
+    with monkeypatch.context() as patch:
+        patch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: found.append(run) or self)
+        call()
+    return found[0]
+
+
+def test_generator_batches_are_bounded(spark, monkeypatch):
+    """Prompts repeat several texts each: the generator's rows are taken in batches of bounded text, in their order, none lost."""
+    prompts = [None, "", "x" * (3 << 20), *(f"{i} " + "word " * 4_000 for i in range(500))]
+    df = spark.createDataFrame([], "id long, prompt string")
+    run = _step(spark, monkeypatch, lambda: hooks.generate(df, lambda spec: lambda text: text[:5]))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(prompts))), "prompt": prompts, "__active": [True] * len(prompts)})
+    done = list(run(iter([batch, batch.slice(0, 0)])))
+    assert all(b.num_rows == 1 or sum(len(p or "") for p in b.column("prompt").to_pylist()) <= hooks.BATCH_BYTES for b in done)
+    rows = pa.Table.from_batches(done).to_pylist()
+    assert [r["id"] for r in rows] == list(range(len(prompts)))
+    assert [(r["content"], r["success"], r["error"]) for r in rows] == [
+        (p[:5], True, None) if p else ("", False, "Invalid input message") for p in prompts]
