@@ -17,22 +17,28 @@ if hasattr(ctypes.CDLL(None), "mallopt"):
     ctypes.CDLL(None).mallopt(-3, 1 << 18)
 
 
+# How many blocks of ``reused_memory`` a worker is in.
+_inside = [0]
+
+
 @contextmanager
 def reused_memory():
     """Inside, freed memory is kept for the next arrays: with many arrays of some MB, one after the other, mapping each anew costs more than the work on it.
 
-    At the end it goes back to the system.
+    At the end of the outermost block it goes back to the system.
     """
     library = ctypes.CDLL(None)
-    if not (hasattr(library, "mallopt") and hasattr(library, "malloc_trim")):
+    if _inside[0] or not (hasattr(library, "mallopt") and hasattr(library, "malloc_trim")):
         yield
         return
+    _inside[0] += 1
     # M_MMAP_THRESHOLD at its largest, and M_TRIM_THRESHOLD.
     library.mallopt(-3, 32 << 20)
     library.mallopt(-1, 256 << 20)
     try:
         yield
     finally:
+        _inside[0] -= 1
         library.mallopt(-3, 1 << 18)
         library.mallopt(-1, 1 << 17)
         library.malloc_trim(ctypes.c_size_t(0))

@@ -7,7 +7,7 @@ Symbols are the bytes or the words of a text. The job finds the windows that rep
    reports those that occur in two documents at least. A minimum that occurs twice inside a task's pack is reported there at
    once and sent on only once, with the number of symbols of its runs. A shard also reports the minima whose runs have more symbols
    than a shard of step 2 should hold.
-2. Shards. Marked runs are cut out as segments and sent to the shard of their minimum, where all equal windows meet. Inside a pack,
+2. Shards. Marked runs are cut out as segments and sent to the shard of their minimum, where all equal windows meet; many shards travel in bundles. Inside a pack,
    equal segments are sent once with their smallest id; the others are repeats already. The shard's index (a suffix
    array, or an FM-index) says for each window the smallest id that holds it. Each window of the runs of a minimum that is too large for a shard (a passage
    shorter than a window, in many documents of different context) is a segment of its own, sent to the shard of the window's hash and solved there like others.
@@ -25,9 +25,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.batches import column, flat, pieces, ranges, words8
+from corpusloom.llm.batches import column, flat, pieces, ranges, reused_memory, words8
 from corpusloom.llm.components import released
-from corpusloom.llm.shingles import FACTOR, MIX, byte_values, mixed, powers, word_bounds, word_hashes
+from corpusloom.llm.shingles import FACTOR, MIX, mixed, powers, word_bounds, word_hashes
 from corpusloom.session import written
 
 PACK_RUNS = 1_000_000
@@ -37,6 +37,9 @@ MARK_BYTES = 16 << 20
 SHARD_SYMBOLS = 1 << 19
 PIECE = 1 << 20
 CHUNK = 1 << 14
+# Shards that share a row of a pack, where there are more than so many of them: bytes of their segments at most.
+SHARD_ROWS = 64
+BUNDLE_BYTES = 16 << 20
 # Symbols from which two segments are compared by themselves.
 LONG = 1024
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
@@ -71,14 +74,15 @@ class Units:
             # In stretches whose hashes stay in a core's cache.
             return np.concatenate([self.minima(symbols[a:a + CHUNK + self.window - 1]) for a in range(0, n, CHUNK)])
         m = len(symbols) - g + 1
-        parts = ([symbols[i:i + m] for i in range(g)] if self.words else [words8(symbols)[i:i + m] for i in range(0, g, 8)])
-        h = np.zeros(m, np.uint64)
-        for part in parts:
-            h ^= part
+        # One copy in place: numbers that lie at any byte are slow to read again and again.
+        values, step = (symbols, 1) if self.words else (words8(symbols).copy(), 8)
+        h, high = np.zeros(m, np.uint64), np.empty(m, np.uint64)
+        for i in range(0, g, step):
+            h ^= values[i:i + m]
             h *= np.uint64(FACTOR)
-            h ^= h >> np.uint64(29)
+            h ^= np.right_shift(h, np.uint64(29), out=high)
         h *= MIX
-        h ^= h >> np.uint64(32)
+        h ^= np.right_shift(h, np.uint64(32), out=high)
         h *= np.uint64(FACTOR)
         width, want = 1, self.window - g + 1
         while 2 * width <= want:
@@ -93,11 +97,12 @@ class Units:
         texts = np.flatnonzero(b > a)
         if not len(texts):
             return h[:0], texts, texts, texts, texts
-        change = np.append(True, h[1:] != h[:-1])
+        change = np.ones(len(h), bool)
+        np.not_equal(h[1:], h[:-1], out=change[1:])
         change[a[texts]] = True
         change[np.minimum(b[texts], len(h) - 1)[b[texts] < len(h)]] = True
         starts = np.flatnonzero(change)
-        text = texts[np.maximum(np.searchsorted(a[texts], starts, "right") - 1, 0)]
+        text = np.repeat(texts, np.diff(np.concatenate([[0], np.searchsorted(starts, a[texts[1:]]), [len(starts)]])))
         length = np.diff(np.append(starts, len(h)))
         inside = (starts >= a[text]) & (starts < b[text])
         starts, text, length = starts[inside], text[inside], length[inside]
@@ -108,10 +113,11 @@ class Units:
 
     def content_hashes(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Hashes that equal segments share; who needs equality compares the symbols too (``same_content``)."""
+        if not self.words:
+            return word_hashes(symbols, starts, starts + lengths, lower=False)
         up, down = powers(1 << max(20, int(len(symbols)).bit_length()))
         total = np.zeros(len(symbols) + 1, np.uint64)
-        values = symbols if self.words else byte_values()[symbols]
-        np.cumsum(values * up[:len(symbols)], out=total[1:])
+        np.cumsum(symbols * up[:len(symbols)], out=total[1:])
         return mixed((total[starts + lengths] - total[starts]) * down[starts] + lengths.astype(np.uint64) * MIX)
 
 
@@ -151,8 +157,14 @@ def _equal(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
     return out
 
 
+def gathered(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The symbols of the segments from ``begin`` on, one after the other."""
+    raw, width = symbols.tobytes(), symbols.itemsize
+    return np.frombuffer(b"".join([raw[a:b] for a, b in zip((begin * width).tolist(), ((begin + size) * width).tolist(), strict=True)]), symbols.dtype)
+
+
 MARKED = "shard int, kind int, minimum binary, many binary, weight binary, doc binary, run binary, ids binary, keys binary, pack bigint"
-SEGMENTS = "shard int, kind int, data binary, lengths binary, hashes binary, content binary, doc binary, start binary, size binary, ids binary, keys binary, pack bigint"
+SEGMENTS = "shard int, kind int, data binary, lengths binary, hashes binary, part binary, content binary, doc binary, start binary, size binary, ids binary, keys binary, pack bigint"
 FOUND = "pack bigint, doc binary, found binary, ids binary, keys binary"
 
 
@@ -194,15 +206,15 @@ def _numbers(row: dict, name: str, kind: type) -> np.ndarray:
 def _mark(units: Units, shards: int):
     def pack(held: list[tuple], ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         value, doc, run, weight = (np.concatenate([h[i] for h in held]) for i in range(4))
-        order = np.argsort(value, kind="stable")
+        some = int(ids[doc[-1]])
+        order = np.argsort(value)
         value, doc, run, weight = value[order], doc[order], run[order], weight[order]
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        last = np.append(first[1:], len(value)) - 1
-        many = doc[first] != doc[last]
-        inside = np.repeat(many, last - first + 1)
+        many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        inside = np.repeat(many, np.diff(np.append(first, len(value))))
         if inside.any():
             # Known to repeat: passed through, dealt out evenly.
-            yield _batch([_packed(int(ids[doc[-1]]) % shards, 0, [None, None, None, run[inside].astype(np.int32)], doc[inside], ids, keys, 3)], MARKED)
+            yield _batch([_packed(some % shards, 0, [None, None, None, run[inside].astype(np.int32)], doc[inside], ids, keys, 3)], MARKED)
         send = ~inside
         send[first] = True
         flag = np.zeros(len(value), bool)
@@ -294,7 +306,7 @@ def _repeated(units: Units, most: int):
             weight = np.concatenate([_numbers(r, "weight", np.int32) for r, _ in sent])
             d = np.concatenate([_numbers(r, "doc", np.int32) + b for r, b in sent])
             n = np.concatenate([_numbers(r, "run", np.int32) for r, _ in sent])
-            order = np.argsort(value, kind="stable")
+            order = np.argsort(value)
             value, many, d, n = value[order], many[order], d[order], n[order]
             first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             repeated = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | np.logical_or.reduceat(many, first)
@@ -315,7 +327,14 @@ def _repeated(units: Units, most: int):
     return run
 
 
+def _bundle(units: Units, shards: int) -> int:
+    """Consecutive shards that travel in one row of a pack: rows grow with the packs alone, not with packs times shards, until a bundle is as large as a task should hold."""
+    return max(1, min(shards // SHARD_ROWS, BUNDLE_BYTES // (SHARD_SYMBOLS * (8 if units.words else 1))))
+
+
 def _segments(units: Units, shards: int, large: np.ndarray):
+    bundle = _bundle(units, shards)
+
     def pack(held: list[tuple], ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         value, content, doc, start, size, symbols = (np.concatenate([h[i] for h in held]) for i in range(6))
         begin = np.cumsum(size) - size
@@ -331,17 +350,20 @@ def _segments(units: Units, shards: int, large: np.ndarray):
         later = ids[doc] > ids[doc[first]][number]
         if later.any():
             by = np.flatnonzero(later)
-            yield _batch([_packed(int(content[by[0]] % np.uint64(shards)), 0, [None] * 4 + [start[by].astype(np.int32), size[by].astype(np.int32)],
-                                  doc[by], ids, keys, 4)], SEGMENTS)
+            yield _batch([_packed(int(content[by[0]] % np.uint64(shards)) // bundle, 0, [None] * 5 + [start[by].astype(np.int32), size[by].astype(np.int32)],
+                                  doc[by], ids, keys, 5)], SEGMENTS)
         shard = _shards(value, shards)
-        cut = np.flatnonzero(np.diff(shard, prepend=-1))
+        row = shard // bundle
+        cut = np.flatnonzero(np.diff(row, prepend=-1))
+        symbols, ends = gathered(symbols, begin[first], size[first]), np.concatenate([[0], np.cumsum(size[first])])
         rows, total = [], 0
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=True):
-            own = first[(first >= a) & (first < b)] if len(cut) < 16 else first[np.searchsorted(first, a):np.searchsorted(first, b)]
+            x, y = int(number[a]), int(number[b - 1]) + 1
+            own = first[x:y]
             send = a + np.flatnonzero(~later[a:b])
-            data = symbols[ranges(begin[own], size[own])]
-            rows.append(_packed(shard[a], 1, [data, size[own].astype(np.int32), content[own], (number[send] - number[a]).astype(np.int32),
-                                              start[send].astype(np.int32), None], doc[send], ids, keys, 4))
+            data = symbols[ends[x]:ends[y]]
+            rows.append(_packed(row[a], 1, [data, size[own].astype(np.int32), content[own], (shard[own] - row[a] * bundle).astype(np.int32),
+                                            (number[send] - x).astype(np.int32), start[send].astype(np.int32), None], doc[send], ids, keys, 5))
             total += data.nbytes
             if total > PIECE:
                 yield _batch(rows, SEGMENTS)
@@ -354,10 +376,11 @@ def _segments(units: Units, shards: int, large: np.ndarray):
         for batch in pieces(batches, most=PIECE):
             symbols, first = units.symbols(*flat(column(batch, "text")))
             value, doc, number, start, windows = units.runs(symbols, first)
-            marks = [np.unique(np.frombuffer(b"".join(x), np.int32)).astype(np.int64) for x in column(batch, "runs").to_pylist()]
-            runs = np.cumsum(np.bincount(doc, minlength=batch.num_rows))
-            runs = np.concatenate([[0], runs])
-            at = np.concatenate([m + runs[i] for i, m in enumerate(marks)])
+            lists = column(batch, "runs")
+            marks, ends = flat(lists.flatten())
+            of = np.repeat(np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()), np.diff(ends) // 4)
+            runs = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))])
+            at = np.unique(marks.view(np.int32) + runs[of])
             by_window = np.isin(value[at], large)
             few, at = at[by_window], at[~by_window]
             # A window of a run that is dealt by window is a segment of its own.
@@ -367,9 +390,9 @@ def _segments(units: Units, shards: int, large: np.ndarray):
                 width = np.full(len(begin), units.window)
                 place.append((mixed(units.content_hashes(symbols, begin, width) ^ value[of]), doc[of], begin, width))
             for v, d, s, size in place:
-                for a, b in _stretches(size):
+                for a, b in _stretches(size, PACK_SYMBOLS):
                     own = slice(a, b)
-                    held.append((v[own], units.content_hashes(symbols, s[own], size[own]), d[own] + n, s[own] - first[d[own]], size[own], symbols[ranges(s[own], size[own])]))
+                    held.append((v[own], units.content_hashes(symbols, s[own], size[own]), d[own] + n, s[own] - first[d[own]], size[own], gathered(symbols, s[own], size[own])))
                     total += int(size[own].sum())
                     if total * (8 if units.words else 1) >= 2 * PACK_SYMBOLS:
                         yield from pack(held, np.concatenate([*ids, column(batch, "doc_id").to_numpy()]), np.concatenate([*keys, column(batch, "key").to_numpy()]))
@@ -384,19 +407,22 @@ def _segments(units: Units, shards: int, large: np.ndarray):
     return run
 
 
-def _stretches(size: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Consecutive segments of about ``PACK_SYMBOLS`` symbols together."""
+def _stretches(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive segments of about ``most`` symbols together."""
     total, start = np.cumsum(size), 0
     while start < len(size):
-        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PACK_SYMBOLS, "right")))
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, "right")))
         yield start, end
         start = end
 
 
 def _solved(units: Units, solve: Solve):
-    """Spans of symbols to be cut, of a shard's segments."""
+    """Spans of symbols to be cut, of the segments of a bundle of shards, which are solved one after the other."""
     def run(table: pa.Table) -> pa.Table:
-        rows = _unpacked(table)
+        with reused_memory():
+            return spans(_unpacked(table))
+
+    def spans(rows: list[dict]) -> pa.Table:
         before, ids, keys = _gathered(rows)
         doc, begin, end = [], [], []
         for r, b in zip(rows, before, strict=False):
@@ -414,28 +440,42 @@ def _solved(units: Units, solve: Solve):
             start = np.concatenate([_numbers(r, "start", np.int32) for r, _ in sent]).astype(np.int64)
             content = np.concatenate([_numbers(r, "content", np.int32) + c for (r, _), c in zip(sent, n_content, strict=False)])
             data = np.concatenate([_numbers(r, "data", np.uint64 if units.words else np.uint8) for r, _ in sent])
-            order = np.argsort(hashes, kind="stable")
+            part = np.concatenate([_numbers(r, "part", np.int32) for r, _ in sent])
+            order = np.argsort(hashes)
             at = np.cumsum(size) - size
             distinct = np.empty(len(order), np.int64)
             distinct[order] = same_content(data, at[order], size[order], np.append(True, hashes[order[1:]] != hashes[order[:-1]]))
+            # Contents in the order of their shards.
             chosen = np.unique(distinct, return_index=True)[1]
-            content = distinct[content]
+            by = np.argsort(part[chosen], kind="stable")
+            chosen, place = chosen[by], np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            content = place[distinct[content]]
             least = np.full(len(chosen), np.iinfo(np.int64).max)
             np.minimum.at(least, content, ids[d])
-            data, size = data[ranges(at[chosen], size[chosen])], size[chosen]
-            smallest = solve(data, size, least, units.window)
+            data, size, part = gathered(data, at[chosen], size[chosen]), size[chosen], part[chosen]
+            cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+            ends = np.concatenate([[0], np.cumsum(size)])
+            smallest = np.concatenate([solve(data[ends[a]:ends[b]], size[a:b], least[a:b], units.window) for a, b in zip(cut[:-1], cut[1:], strict=True)])
             windows = size - units.window + 1
             first = np.cumsum(windows) - windows
-            total = windows[content]
-            own = np.repeat(np.arange(len(d)), total)
-            offset = ranges(np.zeros(len(d), np.int64), total)
-            hit = smallest[first[content][own] + offset] < ids[d][own]
-            doc.append(d[own[hit]])
-            begin.append(start[own[hit]] + offset[hit])
-            end.append(begin[-1] + units.window)
+            # A segment goes as a whole if all its windows do; where only some do, each is looked at.
+            whole = np.maximum.reduceat(smallest, first)[content] < ids[d]
+            some = np.flatnonzero(~whole & (np.minimum.reduceat(smallest, first)[content] < ids[d]))
+            doc.append(d[whole])
+            begin.append(start[whole])
+            end.append(start[whole] + size[content[whole]])
+            for a, b in _stretches(windows[content[some]], PIECE):
+                few = some[a:b]
+                total = windows[content[few]]
+                own, offset = np.repeat(few, total), ranges(np.zeros(len(few), np.int64), total)
+                hit = smallest[first[content][own] + offset] < ids[d][own]
+                doc.append(d[own[hit]])
+                begin.append(start[own[hit]] + offset[hit])
+                end.append(begin[-1] + units.window)
         doc, begin, end = np.concatenate(doc), np.concatenate(begin), np.concatenate(end)
-        doc, spans = merged(doc, begin, end)
-        return _by_pack(rows, doc, spans.astype(np.int32), before)
+        doc, found = merged(doc, begin, end)
+        return _by_pack(rows, doc, found.astype(np.int32), before)
     return run
 
 

@@ -37,11 +37,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-@lru_cache(maxsize=1)
-def byte_values() -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
-
-
 def lower_table(lower: bool) -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     if lower:

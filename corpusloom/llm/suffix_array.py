@@ -42,62 +42,79 @@ def doubled(t: np.ndarray, depth: int | None = None) -> np.ndarray:
             return order
 
 
+def first_symbols(code: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    """The first ``depth`` symbols (of so many bits) of every suffix as one number, made of powers of two of them."""
+    n, taken, width = len(code), 0, 1
+    key, part = np.zeros(n, np.int64), np.zeros(n + depth, np.int64)
+    part[:n] = code
+    while True:
+        if depth & width:
+            key <<= width * bits
+            key |= part[taken:taken + n]
+            taken += width
+        if taken == depth:
+            return key
+        longer = part[:-width] << width * bits
+        longer |= part[width:]
+        part, width = longer, 2 * width
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Positions of all suffixes in order. ``t``: small numbers, the last one smaller than all others and found only there."""
     n = len(t)
     used = np.zeros(int(t.max()) + 1, bool)
     used[t] = True
-    code = np.cumsum(used)[t]
-    bits, place = int(code.max()).bit_length(), n.bit_length()
+    code = np.cumsum(used)
+    bits, place = int(code[-1]).bit_length(), n.bit_length()
     depth = max(1, (62 - place) // bits)
-    padded = np.concatenate([code, np.zeros(depth, np.int64)])
-    key = np.zeros(n, np.int64)
-    for k in range(depth):
-        key = (key << bits) | padded[k:k + n]
-    order, key = ordered(key, depth * bits)
+    order, key = ordered(first_symbols(code[t], bits, depth), depth * bits)
     # A suffix has the first place of those that are tied with it as its rank.
-    rank, tied = np.empty(n, np.int64), np.arange(n)
+    rank, tied, at = np.empty(n, np.int64), np.arange(n), order.copy()
     while True:
-        new = np.append(True, key[1:] != key[:-1])
-        rank[order[tied]] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
-        tied = tied[~(new & np.append(new[1:], True))]
-        if not len(tied):
-            return order.astype(np.int32)
+        new = np.ones(len(key) + 1, bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:-1])
+        rank[at] = np.maximum.accumulate(tied * new[:-1])
+        live = np.flatnonzero(~(new[:-1] & new[1:]))
+        if not len(live):
+            return order
         # No tied suffix ends within ``depth`` symbols: the last symbol is found once.
-        at = order[tied]
-        group = np.cumsum(np.append(False, rank[at[1:]] != rank[at[:-1]]))
+        tied, at, group = tied[live], at[live], np.cumsum(new[live])
         by, key = ordered((group << place) | rank[at + depth], int(group[-1]).bit_length() + place)
-        order[tied] = at[by]
+        at = at[by]
+        order[tied] = at
         depth *= 2
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For each position, how long a prefix its suffix shares with the suffix before it in ``sa``.
+    """For each position, how long a prefix its suffix shares with the suffix before it in ``sa``. The last byte is found only there.
 
-    Only positions whose preceding byte differs from that of the other suffix are compared; at every other
-    position the value is one less than at the position before.
+    Only positions whose preceding byte differs from that of the other suffix are compared, eight bytes at a time; at every other
+    position the prefix ends where that of the position before does.
     """
     n = len(sa)
-    before = np.full(n, -1, np.int32)
-    before[sa[1:]] = sa[:-1]
-    at = np.arange(n, dtype=np.int32)
-    start = (before <= 0) | (at == 0)
-    start[1:] |= data[:-1] != data[np.maximum(before[1:] - 1, 0)]
-    i = np.flatnonzero(start & (before >= 0))
-    j, eight = before[i].astype(np.int64), words8(data)
-    shared = np.zeros(n, np.int32)
-    live = np.arange(len(i))
-    done = np.zeros(len(i), np.int64)
+    before = np.empty(n, np.int64)
+    before[sa[1:]], before[sa[0]] = sa[:-1], -1
+    left = np.empty(n, np.int16)
+    left[1:], left[0] = data[:-1], -1
+    start = left[before] != left
+    start[sa[0]] = False
+    i = np.flatnonzero(start)
+    a, b, live, eight = i, before[i], np.arange(len(i)), words8(data).copy()
+    # Ends of the shared prefixes: they never fall from one position to the next.
+    end = i.copy()
     while len(live):
-        x = eight[np.minimum(i[live] + done[live], n)] ^ eight[np.minimum(j[live] + done[live], n)]
-        room = n - np.maximum(i[live], j[live]) - done[live]
-        low = x & (~x + np.uint64(1))
-        here = np.where(x == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64)
-        done[live] += np.minimum(here, room)
-        live = live[(here == 8) & (room > 8)]
-    shared[i] = done
-    last = np.maximum.accumulate(np.where(start, at, 0))
-    return shared[last] - (at - last)
+        x = eight[a] ^ eight[b]
+        same = x == 0
+        x &= ~x + np.uint64(1)
+        x -= np.uint64(1)
+        end[live] += np.bitwise_count(x) >> 3
+        live = live[same]
+        a, b = a[same] + 8, b[same] + 8
+    far = np.zeros(n, np.int64)
+    far[i], far[sa[0]] = end, sa[0]
+    np.maximum.accumulate(far, out=far)
+    far -= np.arange(n)
+    return far
 
 
 def least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
@@ -110,36 +127,29 @@ def least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: in
 
 
 def _least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
-    n = len(lengths)
     ends = np.cumsum(lengths + 1) - 1
-    inside = np.ones(len(data) + n + 1, bool)
+    inside = np.ones(len(data) + len(lengths) + 1, bool)
     inside[ends], inside[-1] = False, False
-    text = np.zeros(len(inside), np.int16)
-    text[inside] = data
-    text[inside] += 2
-    text[ends] = 1
-    sa = suffix_array(text)
-    # Bytes that no UTF-8 text holds stand for the separators and the end.
-    raw = np.full(len(text), 0xFF, np.uint8)
+    # Bytes that no UTF-8 text holds stand for the separators and the end; as symbols they are the smallest ones.
+    raw = np.full(len(inside), 0xFF, np.uint8)
     raw[inside] = data
     raw[-1] = 0xFE
+    sa = suffix_array(raw + np.uint8(2))
     shared = permuted_prefixes(raw, sa)
-    # The segment of each window; -1 where none starts.
-    segment = np.full(len(text), -1, np.int64)
-    segment[:-1] = np.repeat(np.arange(n), lengths + 1)
+    # Positions where a window starts, and the id of the segment of each.
+    starts = inside
     for back in range(window):
-        segment[ends - back] = -1
-    windows = np.flatnonzero(segment >= 0)
-    at = np.flatnonzero(segment[sa] >= 0)
+        starts[ends - back] = False
+    id_at = np.append(np.repeat(ids, lengths + 1), 0)
+    at = np.flatnonzero(starts[sa])
     order = sa[at]
     # The shared prefix with the window before in order is the least of all values in between.
     low = np.minimum.reduceat(shared[sa[:at[-1] + 1]], np.append(at[:1] * 0, at[:-1] + 1)) if len(at) else at
-    low = np.minimum(low, shared[order])
     cut = np.flatnonzero(np.append(True, low[1:] < window)) if len(order) else order
-    least = np.minimum.reduceat(ids[segment[order]], cut) if len(order) else ids[:0]
-    out = np.empty(len(text), np.int64)
+    least = np.minimum.reduceat(id_at[order], cut) if len(order) else ids[:0]
+    out = np.empty(len(raw), np.int64)
     out[order] = np.repeat(least, np.diff(np.append(cut, len(order))))
-    return out[windows]
+    return out[starts]
 
 
 def cut_repeated_bytes(docs: DataFrame, window: int = 50, characters: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -60,6 +61,39 @@ def test_many_shards(spark, monkeypatch, words):
     assert got(df, words, window) == brute(rows, words, window)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_shards_travel_in_bundles(spark, monkeypatch, words):
+    """Rows of a pack do not grow with the shards, and shards that share a row are solved one by one."""
+    monkeypatch.setattr(repeats, "SHARD_SYMBOLS", 2_000)
+    monkeypatch.setattr(repeats, "SHARD_ROWS", 3)
+    rng = random.Random(6)
+    shared = [" ".join(f"{rng.randrange(10**5)}" for _ in range(60)) for _ in range(60)]
+    rows = [(i, " ".join(rng.sample(shared, 3)) + f" tail {i}") for i in range(120)]
+    rows += [(i + 120, rows[i][1]) for i in range(10)]
+    window, inner = (13, fm_index.least_ids) if words else (50, suffix_array.least_ids)
+
+    def solve(data, lengths, ids, window):
+        if len(data) > 12_000:
+            raise MemoryError(f"{len(data)} symbols in one shard")
+        return inner(data, lengths, ids, window)
+
+    units = repeats.Units(words=words, window=window, gram=6 if words else 24)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = repeats.cut_repeats(df, units, solve).collect()
+    found = sorted(((r.doc_id, r.n_symbols, r.n_removed, [[s.first, s.last] for s in r.spans], r.kept if words else bytes(r.kept)) for r in out), key=repr)
+    assert found == brute(rows, words, window)
+
+
+def test_rows_of_a_pack_do_not_grow_with_the_shards():
+    units = repeats.Units(words=False, window=50, gram=24)
+    rng = random.Random(6)
+    text = " ".join(f"{rng.randrange(10**9)}" for _ in range(3_000))
+    runs = len(units.runs(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "key": [2], "text": [text], "runs": [[np.arange(runs, dtype=np.int32).tobytes()]]})
+    few, many = (sum(b.num_rows for b in repeats._segments(units, shards, np.zeros(0, np.uint64))(iter([batch]))) for shards in (100, 1_000))
+    assert runs > 1_000 and many <= 128 and few <= 100
+
+
 @pytest.mark.parametrize("words", [False, True])
 def test_short_passage_of_many_documents(spark, monkeypatch, words):
     """A passage shorter than a window, in every document with a context of its own, does not make one large shard."""
