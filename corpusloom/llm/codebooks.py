@@ -19,8 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.components import released
-from corpusloom.session import BROADCAST_KEY_BYTES, key_bytes, written
+from corpusloom.session import BROADCAST_KEY_BYTES, key_bytes, released, written
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
 BLOCK_ROWS = 8_192

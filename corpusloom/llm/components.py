@@ -1,31 +1,14 @@
-"""Connected components of a table of links, and small helpers for jobs of several steps."""
+"""Connected components of a table of links."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.session import written
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Inside, the shuffle files of a write go as soon as it is done; later steps read the written tables."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each id of a task's links with the smallest id that these links lead to."""

@@ -16,8 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.components import released
-from corpusloom.session import BROADCAST_KEY_BYTES, key_bytes, written
+from corpusloom.session import BROADCAST_KEY_BYTES, key_bytes, released, written
 
 LEVELS = 10
 BLOCK = 1 << LEVELS

@@ -20,8 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.components import released
-from corpusloom.session import written
+from corpusloom.session import released, written
 
 TREE_ROWS = 16_384
 PAGE = 64

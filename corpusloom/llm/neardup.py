@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.batches import column, flat, pieces
-from corpusloom.llm.components import components, released
+from corpusloom.llm.components import components
 from corpusloom.llm.shingles import MIX, mixed, shingle_sets
-from corpusloom.session import written
+from corpusloom.session import released, written
 
 BANDS, BAND_ROWS = 48, 6
 HASHES = BANDS * BAND_ROWS

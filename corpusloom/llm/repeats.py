@@ -26,9 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.batches import column, flat, pieces, ranges, reused_memory, words8
-from corpusloom.llm.components import released
 from corpusloom.llm.shingles import FACTOR, MIX, mixed, powers, word_bounds, word_hashes
-from corpusloom.session import written
+from corpusloom.session import released, written
 
 PACK_RUNS = 1_000_000
 PACK_SYMBOLS = 4 << 20

@@ -7,22 +7,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions import text
 from corpusloom.operators import mutate
-from corpusloom.session import join_keys, written
+from corpusloom.session import BROADCAST_KEY_BYTES, join_keys, key_bytes, released, written
 from corpusloom.sources import collection
 
 
 def ingest(source: DataFrame, path: str, checkpoint: str, name: str, embedder,
            dimension: int | None = None, order: str = "arrival") -> StreamingQuery:
-    """Upsert a stream of ``doc_id, content, metadata, embedding`` into a collection: one version below ``path`` for each micro-batch, named by its number.
+    """Upsert a stream of ``doc_id, content, metadata, embedding`` into a collection: one folder below ``path`` for each micro-batch, named by its number.
 
-    The column ``order`` decides between versions of one id that fall into one micro-batch: an event time, or the
-    ``arrival`` that ``file_stream`` gives. A batch that is replayed after a failure starts from the version before it and writes the same one again.
+    A folder holds the rows that its micro-batch adds or replaces, so the folders together are as large as what has arrived, however many there are;
+    ``latest`` merges them. The column ``order`` decides between versions of one id that fall into one micro-batch: an event time, or the
+    ``arrival`` that ``file_stream`` gives. A batch that is replayed after a failure writes its own folder again.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        before = collection.load(batch.sparkSession, version(path, batch_id - 1) if batch_id else None)
         rows = collection.complete(batch, order, embedder, dimension=dimension)
-        mutate.upsert(before, rows, order).write.mode("overwrite").parquet(version(path, batch_id))
+        with released(batch.sparkSession):
+            mutate.one_per_id(rows, order).drop(order).write.mode("overwrite").parquet(version(path, batch_id))
 
     return (source.writeStream.foreachBatch(apply).queryName(name)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -32,11 +33,19 @@ def version(path: str, batch_id: int) -> str:
     return f"{path}/version={batch_id}"
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The last version below ``path``; the others are partitions that are not read."""
+def latest(spark: SparkSession, path: str, until: int | None = None) -> DataFrame:
+    """The collection below ``path`` after its last micro-batch, or after the one with the number ``until``: each id with its row of the last batch that holds it.
+
+    Only ids and numbers are shuffled to find the rows that later ones replace; the others move only if more ids have been replaced than may be broadcast.
+    """
     versions = spark.read.parquet(path)
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == last).drop("version")
+    if until is not None:
+        versions = versions.filter(F.col("version") <= until)
+    repeated = versions.groupBy("doc_id").agg(F.max("version").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    with released(spark):
+        repeated = written(repeated.select(F.col("doc_id").alias("id"), "last"), "replaced-ids")
+    few = F.broadcast(repeated) if key_bytes(repeated) <= BROADCAST_KEY_BYTES else repeated
+    return versions.join(few, (F.col("doc_id") == F.col("id")) & (F.col("version") < F.col("last")), "left_anti").drop("version")
 
 
 def token_totals(messages: DataFrame) -> DataFrame:
@@ -62,7 +71,10 @@ def stream_token_totals(messages: DataFrame, path: str, checkpoint: str) -> Stre
 
 
 def latest_totals(spark: SparkSession, path: str) -> DataFrame:
-    return latest(spark, path).withColumn("est_tokens", text.token_estimate(F.col("n_chars")))
+    """The totals of the last version below ``path``; the others are partitions that are not read."""
+    versions = spark.read.parquet(path)
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == last).drop("version").withColumn("est_tokens", text.token_estimate(F.col("n_chars")))
 
 
 def run(query: StreamingQuery) -> None:

@@ -180,6 +180,26 @@ def test_stream_replaces_and_resumes(spark, tmp_path, rows):
     assert rows(spark.read.parquet(jobs.version(out, 0)), "doc_id", "content") == [("a", "one"), ("b", "two")]
 
 
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_a_batch_stores_its_own_rows_only(spark, tmp_path, rows, monkeypatch, bound):
+    """What a stream keeps grows with what arrives, not with the collection in each batch; every state can still be read."""
+    monkeypatch.setattr(jobs, "BROADCAST_KEY_BYTES", bound, raising=False)
+    kind = "doc_id string, content string, metadata map<string,string>, embedding array<float>"
+    inbox, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    waves = [[(str(i), f"text {i}") for i in range(100)], [("5", "changed"), ("100", "new")], [("5", "again")], [(None, "no id")]]
+    for wave in waves:
+        part = spark.createDataFrame([(i, text, {"a": "b"}, None) for i, text in wave], kind)
+        jobs.write_part(part.coalesce(1), inbox)
+        jobs.run(jobs.ingest(jobs.file_stream(spark, inbox, part), out, state, "s", hooks.hashed_tokens(8), 8))
+    assert spark.read.parquet(out).count() == sum(map(len, waves))
+    found = {r.doc_id: r.content for r in jobs.latest(spark, out).collect()}
+    assert len(found) == 102 and jobs.latest(spark, out).count() == 102
+    assert (found["5"], found["6"], found["100"]) == ("again", "text 6", "new") and "no id" in found.values()
+    assert {r.content for r in jobs.latest(spark, out, 1).filter("doc_id in (5, 6, 100)").collect()} == {"changed", "text 6", "new"}
+    assert jobs.latest(spark, out, 0).count() == 100
+    assert jobs.latest(spark, out).schema == spark.read.parquet(jobs.version(out, 0)).schema
+
+
 def test_stream_totals_over_batches(spark, tmp_path, rows):
     inbox, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
     for conv, text in ((1, "abc"), (2, "x"), (1, "defgh")):
