@@ -12,7 +12,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusloom.functions import hooks, text
 from corpusloom.session import join_keys, match_few, written
@@ -20,6 +20,16 @@ from corpusloom.session import join_keys, match_few, written
 RANGE_ROWS = 1_000_000
 
 
+def partition_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of ``n`` partitions a number that a hash partitioning sends there (numbers are spread at random; one that is not found stands for itself)."""
+    ids = spark.range(32 * n).select(F.col("id").cast("int").alias("id"))
+    found = ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id")).collect()
+    keys = np.arange(n, dtype=np.int32)
+    for row in found:
+        keys[row["part"]] = row["id"]
+    return keys
+
+
 def positions(df: DataFrame, order: str, out: str = "position", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add the place of each row, from 0, in the order of a unique column of any type that sorts.
 
@@ -33,14 +43,16 @@ def positions(df: DataFrame, order: str, out: str = "position", range_rows: int
     # One key per range; the first range is open below.
     bounds = sampled.select("key").distinct().orderBy("key").toArrow().column("key").to_numpy()[1:]
 
+    tasks = partition_keys(df.sparkSession, n_ranges)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(batch.schema.get_field_index(order)).to_numpy(zero_copy_only=False)
             found = np.searchsorted(bounds, key, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "__range"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(tasks[found])], names=[*batch.schema.names, "__range", "__task"])
 
     def ranged(rows: DataFrame) -> DataFrame:
-        schema = T.StructType([*rows.schema.fields, T.StructField("__range", T.IntegerType())])
+        schema = T.StructType([*rows.schema.fields, T.StructField("__range", T.IntegerType()), T.StructField("__task", T.IntegerType())])
         return rows.filter(F.col(order).isNotNull()).mapInArrow(place, schema)
 
     sizes = np.zeros(len(bounds) + 1, np.int64)
@@ -58,10 +70,10 @@ def positions(df: DataFrame, order: str, out: str = "position", range_rows: int
                 start = seen.get(int(own[a]), int(offsets[own[a]]))
                 numbers[a:b] = np.arange(start, start + b - a)
                 seen[int(own[a])] = start + b - a
-            yield batch.drop_columns(["__range"]).append_column(out, pa.array(numbers))
+            yield batch.drop_columns(["__range", "__task"]).append_column(out, pa.array(numbers))
 
-    # A range is a task: by a hash several ranges would share one, and others stay empty.
-    sorted_rows = ranged(df).repartitionById(n_ranges, F.col("__range")).sortWithinPartitions("__range", order)
+    # A range is a task: by the hash of its own number several ranges would share one, and others stay empty.
+    sorted_rows = ranged(df).repartition(n_ranges, "__task").sortWithinPartitions("__range", order)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
     numbered = sorted_rows.mapInArrow(number, schema)
     return numbered.unionByName(df.filter(F.col(order).isNull()).withColumn(out, F.lit(None).cast("long")))
