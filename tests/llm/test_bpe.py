@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -53,6 +54,28 @@ def test_full_store_is_emptied(own, library, monkeypatch):
         same(own, library, [f"some words {i} here", "and others"])
 
 
+def test_words_of_a_batch_are_those_of_the_pattern(own):
+    rng = random.Random(2)
+    letters = "aaab  \n\t'sll'remtdv1½²éß中́\u3000 \u200b😀_-.\x00\x1c\x85"
+    pattern = regex.compile(bpe.WORDS)
+    for _ in range(300):
+        texts = ["".join(rng.choices(letters, k=rng.randrange(1, 25))) for _ in range(rng.randrange(1, 6))]
+        joined, lengths = "".join(texts), np.array([len(t) for t in texts])
+        starts = [*own.words(np.frombuffer(joined.encode("utf-32-le"), np.uint32), np.cumsum(lengths) - lengths).tolist(), len(joined)]
+        assert [joined[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)] == [w for t in texts for w in pattern.findall(t)]
+
+
+def test_equal_hashes_of_different_words(own, library, monkeypatch):
+    """Words that share a hash only keep their own ids, inside a batch and beside the store."""
+    monkeypatch.setattr(bpe, "word_hashes", lambda data, starts, ends, lower: (ends - starts).astype(np.uint64) // np.uint64(4))
+    own.clear()
+    try:
+        for i in range(3):
+            same(own, library, [f"some words {i} here here", "and other words", "a" * 40 + "b " + "a" * 41, "x" * 2000, "x" * 1999 + "y"])
+    finally:
+        own.clear()
+
+
 def test_broken_utf8_and_unknown_ids(own):
     half = own.encode(["é"])[0]
     assert own.decode(np.array([own.of_byte[0xC3]]), np.array([1])).to_pylist() == ["�"]
